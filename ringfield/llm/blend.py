@@ -86,7 +86,7 @@ w AS (SELECT *, CASE (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1
 r AS (SELECT *, 2 * source_size / weight AS ratio, sum(2 * source_size) OVER o - 2 * source_size AS capped, sum(weight) OVER (ORDER BY 2 * source_size / weight DESC, source DESC NULLS FIRST) AS left_weight,
         (SELECT sum(source_size) FROM src) * 1.5::DOUBLE AS total
       FROM w WINDOW o AS (ORDER BY 2 * source_size / weight, source NULLS LAST)),
-l AS (SELECT min((total - capped) / left_weight) FILTER ((total - capped) / left_weight <= ratio) AS lev FROM r),
+l AS (SELECT arg_min((total - capped) / left_weight, ratio) FILTER ((total - capped) / left_weight <= ratio) AS lev FROM r),
 t AS (SELECT source, source_size, CASE WHEN 2 * source_size <= lev * weight THEN 2.0::DOUBLE * source_size ELSE lev * weight END AS target FROM r, l),
 d AS (SELECT s.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw

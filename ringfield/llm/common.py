@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -199,3 +200,16 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     for k in range(1, n):
         h = h * _R + words[k : k + m]
     return mix(h + np.uint64(n))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder path under ``spark.checkpoint.dir`` (where it is unset: a temporary folder of this machine)."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

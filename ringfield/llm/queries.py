@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .blend import OP2_SQL, op2_source_mix
 from .shard import op9_sharding
+from .tokenfiles import op8_token_files
 from .urlrules import OP7_SQL, op7_url_rules
 
 QUERIES = {
     "op2_source_mix": op2_source_mix,
     "op7_url_rules": op7_url_rules,
+    "op8_token_files": op8_token_files,
     "op9_sharding": op9_sharding,
 }
 ORACLES = {"op2_source_mix": OP2_SQL, "op7_url_rules": OP7_SQL}
