@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .blend import OP2_SQL, op2_source_mix
+from .decontam import op6_decontamination
 from .shard import op9_sharding
 from .tokenfiles import op8_token_files
 from .urlrules import OP7_SQL, op7_url_rules
 
 QUERIES = {
     "op2_source_mix": op2_source_mix,
+    "op6_decontamination": op6_decontamination,
     "op7_url_rules": op7_url_rules,
     "op8_token_files": op8_token_files,
     "op9_sharding": op9_sharding,
