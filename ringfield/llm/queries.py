@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from .blend import OP2_SQL, op2_source_mix
+from .chatformat import op5_chat_windows
 from .decontam import op6_decontamination
+from .pii import op4_personal_data
 from .shard import op9_sharding
 from .tokenfiles import op8_token_files
 from .urlrules import OP7_SQL, op7_url_rules
 
 QUERIES = {
     "op2_source_mix": op2_source_mix,
+    "op4_personal_data": op4_personal_data,
+    "op5_chat_windows": op5_chat_windows,
     "op6_decontamination": op6_decontamination,
     "op7_url_rules": op7_url_rules,
     "op8_token_files": op8_token_files,
