@@ -20,7 +20,9 @@ LIMIT = 18
 #: Tokens between two bit-offset checkpoints, and tokens after which a block is closed.
 EVERY, BLOCK_TOKENS = 256, 1 << 20
 #: Distinct pieces of text whose ids a worker remembers.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
+#: Pieces in one call of the library.
+ENCODED_AT_ONCE = 8192
 
 # -- tokenising ------------------------------------------------------------------------------------
 
@@ -78,9 +80,7 @@ class Encoder:
         place = pc.index_in(words, value_set=self.known)
         if place.null_count:
             new = words.filter(place.is_null())
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new.to_pylist(), add_special_tokens=False)]
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((x for y in ids for x in y), self.dtype, int(lens.sum()))
+            lens, flat = self._encode(new)
             at = len(self.known)
             self.known = pa.concat_arrays([self.known, new])
             self.ids = np.concatenate([self.ids, flat])
@@ -100,6 +100,16 @@ class Encoder:
         return out, at + np.arange(len(t) + 1)
 
 
+    def _encode(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids and ids of the pieces, some thousand at a time: the library's results are large objects."""
+        lens, flat = [np.zeros(0, np.int64)], [np.zeros(0, self.dtype)]
+        for at in range(0, len(pieces), ENCODED_AT_ONCE):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces.slice(at, ENCODED_AT_ONCE).to_pylist(), add_special_tokens=False)]
+            lens.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter((x for y in ids for x in y), self.dtype, int(lens[-1].sum())))
+        return np.concatenate(lens), np.concatenate(flat)
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -225,7 +235,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, squeeze = _encoder(tokenizer), zstandard.ZstdCompressor(level=3)
         for whole in batches:
-            for b in blocks(whole, "text__", 8 << 20):
+            for b in blocks(whole, "text__", 4 << 20):
                 ids, at = enc.encode(b.column(1), end_id)
                 raw, w = ids.tobytes(), ids.itemsize
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([squeeze.compress(raw[at[i] * w : at[i + 1] * w]) for i in range(b.num_rows)], pa.binary())], ["doc_id", "ids"])
