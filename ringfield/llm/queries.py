@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .audioprint import op10_audio_prints
 from .blend import OP2_SQL, op2_source_mix
 from .chatformat import op5_chat_windows
 from .decontam import op6_decontamination
+from .langid import op3_page_language
 from .pii import op4_personal_data
 from .shard import op9_sharding
 from .tokenfiles import op8_token_files
@@ -12,11 +14,13 @@ from .urlrules import OP7_SQL, op7_url_rules
 
 QUERIES = {
     "op2_source_mix": op2_source_mix,
+    "op3_page_language": op3_page_language,
     "op4_personal_data": op4_personal_data,
     "op5_chat_windows": op5_chat_windows,
     "op6_decontamination": op6_decontamination,
     "op7_url_rules": op7_url_rules,
     "op8_token_files": op8_token_files,
     "op9_sharding": op9_sharding,
+    "op10_audio_prints": op10_audio_prints,
 }
 ORACLES = {"op2_source_mix": OP2_SQL, "op7_url_rules": OP7_SQL}
