@@ -9,10 +9,12 @@ from .decontam import op6_decontamination
 from .langid import op3_page_language
 from .pii import op4_personal_data
 from .shard import op9_sharding
+from .simjoin import op1_ngram_jaccard
 from .tokenfiles import op8_token_files
 from .urlrules import OP7_SQL, op7_url_rules
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_source_mix": op2_source_mix,
     "op3_page_language": op3_page_language,
     "op4_personal_data": op4_personal_data,
