@@ -292,9 +292,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     remove_folder(spark, stage)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     """Documents from the files: doc_id, start (ids of all documents before it), n_tokens and the ids (binary, little-endian).
 
+    With ``digest``, the CRC-32 of the ids as 32-bit little-endian numbers (``ids_crc32``) stands in place of the ids.
     Blocks are decoded independently, in any number of tasks. The starts come from the totals of
     the parts, one small row each, and running sums inside a part.
     """
@@ -320,25 +321,12 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 ids = unpack(bits.as_py(), marks.values.to_numpy(zero_copy_only=False), n.as_py(), symbol, length, limit)
                 each = sizes.values.to_numpy(zero_copy_only=False)
                 ends = np.cumsum(each)
-                raw, w = ids.tobytes(), dtype.itemsize
-                yield pa.RecordBatch.from_arrays(
-                    [names.values, pa.array(ends - each + start.as_py()), pa.array(each), pa.array([raw[(e - s) * w : e * w] for s, e in zip(each, ends, strict=True)], pa.binary())],
-                    ["doc_id", "start", "n_tokens", "ids"],
-                )
+                texts = [ids[e - s : e] for s, e in zip(each, ends, strict=True)]
+                last = pa.array([zlib.crc32(x.astype("<u4")) for x in texts], pa.int64()) if digest else pa.array([x.tobytes() for x in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([names.values, pa.array(ends - each + start.as_py()), pa.array(each), last], ["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
 
     joined = table.join(placed, ["part", "block"])
-    return joined.select("start", "doc_ids", "doc_tokens", "tokens", "marks", "bits").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
-
-
-def with_crc32(documents: DataFrame, width: int) -> DataFrame:
-    """The documents of ``read_token_files`` with the CRC-32 of their ids as 32-bit little-endian numbers."""
-
-    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sums = [zlib.crc32(np.frombuffer(x, f"<u{width}").astype("<u4")) for x in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return documents.mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return joined.select("start", "doc_ids", "doc_tokens", "tokens", "marks", "bits").mapInArrow(read, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary"))
 
 
 def default_tokenizer() -> str:
@@ -352,8 +340,7 @@ def token_rows(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     path = shared_folder(spark, "token-files")
     write_token_files(docs, path, tokenizer or default_tokenizer())
-    width = spark.read.parquet(f"{path}/code").first()["width"]
-    return with_crc32(read_token_files(spark, path), width)
+    return read_token_files(spark, path, digest=True)
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
