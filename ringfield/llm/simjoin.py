@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Texts, blocks, gram_hashes, mix, partitions, saved, spans_of, table_of, word_hashes
@@ -18,10 +18,12 @@ WORDS = 5
 ORDER_SAMPLE, FREQUENT, FREQUENT_MOST = 16, 6, 1 << 20
 #: Documents of one bucket that are written in one row; larger buckets go in blocks of so many.
 BUCKET = 256
-#: 64-bit words of the bit sketch that each class keeps.
+#: Fewest 64-bit words of the bit sketch that each class keeps; it has at least as many bits as the set has shingles.
 SKETCH = 8
 #: Slots of the fixed-size bitmap that thins out the texts before the exact join with wanted classes.
 BITMAP_BITS = 24
+#: Partners of one class that are verified in one task.
+STAR = 256
 
 _WHITE = table_of("white")
 
@@ -95,8 +97,12 @@ def probe_keys(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def bit_sketch(s: np.ndarray) -> np.ndarray:
-    """A parity sketch of 64 * SKETCH bits: each hash flips one bit."""
-    bits = np.bincount((mix(s ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(64 - 9)).astype(np.int64), minlength=64 * SKETCH) & 1
+    """A parity sketch: each hash flips one of B bits, B the power of two from the size of the set on.
+
+    The lowest bits of the hash choose the bit, so XOR-ing its halves gives the sketch of half the length.
+    """
+    size = max(64 * SKETCH, 1 << max(0, len(s) - 1).bit_length())
+    bits = np.bincount((mix(s ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -117,8 +123,7 @@ def describe(docs: DataFrame, salt: int) -> DataFrame:
                 rows = []
                 for s in shingle_sets(b.column(1)):
                     rows.append((*_class_id(s, salt), len(s), bit_sketch(s)) if len(s) else (0, 0, 0, np.zeros(SKETCH, np.int64)))
-                sketch = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, np.int64)), SKETCH).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], sketch], ["id", "class", "check", "n", "sketch"])
+                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], pa.array([r[3] for r in rows], pa.list_(pa.int64()))], ["id", "class", "check", "n", "sketch"])
 
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, class long, check long, n long, sketch array<long>")
 
@@ -222,43 +227,74 @@ def buckets(docs: DataFrame, frequent: np.ndarray, salt: int) -> DataFrame:
     return sent.repartition(targets, "target").mapInArrow(meet, "bucket long, block int, classes array<long>")
 
 
-def _hamming(a: str, b: str):
-    return F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+def _hamming(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def _fold(a: Column) -> Column:
+    half = (F.size(a) / 2).cast("int")
+    return F.zip_with(F.slice(a, F.lit(1), half), F.slice(a, half + 1, half), lambda x, y: x.bitwiseXOR(y))
 
 
-def _plausible():
+def _plausible() -> Column:
     """Sizes and sketches that similarity >= 3/4 allows: a Hamming distance above (a + b)/7 rules a pair out."""
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    return (4 * small >= 3 * large) & (7 * _hamming("sketch_a", "sketch_b") <= F.col("n_a") + F.col("n_b"))
+    a, b = F.col("sketch_a"), F.col("sketch_b")
+    far = F.when(F.size(a) == F.size(b), _hamming(a, b)).when(F.size(a) > F.size(b), _hamming(_fold(a), b)).otherwise(_hamming(a, _fold(b)))
+    # Sizes within 4/3 have sketches of equal length or one of twice the other's.
+    return F.when(4 * small >= 3 * large, 7 * far <= F.col("n_a") + F.col("n_b")).otherwise(F.lit(False))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, salt: int) -> DataFrame:
-    """The pairs (a, b) of classes that link: first by size and sketch, then exactly on the sets of shingles.
+def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches allow, with the classes' representatives."""
+    side = lambda x: classes.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"), F.col("rep").alias(f"rep_{x}"))
+    return saved(pairs.join(side("a"), "a").join(side("b"), "b").where(_plausible()).select("a", "b", "rep_a", "rep_b"))
+
 
-    Only the texts of wanted representatives are read again: a bitmap of fixed size, built from their ids,
-    thins out the scan, and a join with the wanted classes makes it exact.
+def verified(near: DataFrame, docs: DataFrame, salt: int) -> DataFrame:
+    """The pairs (a, b) that link, decided exactly on the sets of shingles.
+
+    Only the texts of the pairs' representatives are read again and moved: texts are smaller than sets. A bitmap of
+    fixed size, built from the ids, thins out the scan, and joins on the id make it exact. The text of b travels to
+    the tasks of a; a class with many partners is dealt over several of them, STAR partners each.
     """
-    side = lambda x: classes.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"), F.col("rep").alias(f"rep_{x}"))
-    near = saved(pairs.join(side("a"), "a").join(side("b"), "b").where(_plausible()).select("a", "b", "n_a", "n_b", "rep_a", "rep_b"))
-    wanted = near.select(F.explode(F.array(F.struct(F.col("a").alias("class"), F.col("rep_a").alias("rep")), F.struct(F.col("b").alias("class"), F.col("rep_b").alias("rep")))).alias("w")).select("w.*").distinct()
     slot = F.pmod(F.xxhash64("rep"), F.lit(1 << BITMAP_BITS))
     bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
+    wanted = near.select(F.explode(F.array("rep_a", "rep_b")).alias("rep"))
     for r in wanted.select(slot.alias("slot")).selectExpr("cast(slot div 64 as int) AS w", "shiftleft(1L, cast(slot % 64 as int)) AS bit").groupBy("w").agg(F.bit_or("bit").alias("bits")).collect():
         bitmap[r["w"]] = np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
+    kind = docs.schema["id"].dataType.simpleString()
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(2).to_numpy(zero_copy_only=False)
+            some = b.filter(pa.array((bitmap[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+            yield pa.RecordBatch.from_arrays(some.columns[:2], ["id", "text"])
+
+    texts = docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(1 << BITMAP_BITS)).alias("slot")).mapInArrow(thin, f"id {kind}, text string")
+    stars = near.groupBy("a", "rep_a").agg(F.count(F.lit(1)).alias("partners")).withColumn("parts", F.ceil(F.col("partners") / STAR).cast("int"))
+    dealt = near.join(stars.select("a", "parts"), "a").select("a", "b", "rep_b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    right = dealt.join(texts, dealt["rep_b"] == texts["id"]).select("a", "part", F.lit(1).alias("kind"), "b", "text")
+    left = stars.join(texts, stars["rep_a"] == texts["id"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("a").alias("b"), "text")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        star, own = None, np.zeros(0, np.uint64)
         for whole in batches:
-            at = whole.column(1).to_numpy(zero_copy_only=False)
-            some = whole.filter(pa.array((bitmap[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
-            for b in blocks(some, "text"):
-                found = [s for s in shingle_sets(b.column(0)) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([_class_id(s, salt)[0] for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["class", "set"])
+            for b in blocks(whole, "text"):
+                out = []
+                for a, what, c, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), shingle_sets(b.column(4)), strict=True):
+                    if not len(s) or _class_id(s, salt)[0] != c:
+                        continue  # another row with this id
+                    if what == 0:
+                        star, own = a, s
+                    elif star == a:
+                        common = len(np.intersect1d(own, s, assume_unique=True))
+                        if 100 * common >= 75 * (len(own) + len(s) - common):
+                            out.append((a, c))
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(2)], ["a", "b"])
 
-    scanned = docs.select("text", F.pmod(F.xxhash64("id"), F.lit(1 << BITMAP_BITS)).alias("slot")).mapInArrow(sets, "class long, set array<long>")
-    exact = saved(scanned.join(wanted.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.first("set").alias("set")))
-    both = near.join(exact.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a").join(exact.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
-    common = F.size(F.array_intersect("set_a", "set_b")).cast("long")
-    return saved(both.select("a", "b", common.alias("i"), "n_a", "n_b").where("100 * i >= 75 * (n_a + n_b - i)").select("a", "b"))
+    met = left.union(right).repartition(partitions(docs.sparkSession), "a", "part").sortWithinPartitions("a", "part", "kind")
+    return saved(met.mapInArrow(compare, "a long, b long").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -301,23 +337,38 @@ def cross_pairs(found: DataFrame, classes: DataFrame, labels: DataFrame) -> Data
     told = saved(told.join(meetings.select(F.explode(F.array("left", "right")).alias("row")).distinct(), "row", "left_semi"))
     met = meetings.join(told.select(F.col("row").alias("left"), F.col("m").alias("x")), "left").join(told.select(F.col("row").alias("right"), F.col("m").alias("y")), "right").select("x", "y")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def read(v: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-            s = v.values
-            k = s.field("sketch")
-            return (*[s.field(f).to_numpy(zero_copy_only=False) for f in ("class", "root", "n")], k.flatten().to_numpy(zero_copy_only=False).reshape(len(s), SKETCH))
+    def by_length(v: pa.ListScalar) -> dict[int, tuple]:
+        """Classes, roots, sizes and sketches of a block, by the length of the sketch."""
+        x = v.values
+        words = x.field("sketch")
+        lens = np.diff(words.offsets.to_numpy())
+        c, r, n = (x.field(f).to_numpy(zero_copy_only=False) for f in ("class", "root", "n"))
+        out = {}
+        for size in np.unique(lens).tolist():
+            at = np.flatnonzero(lens == size)
+            out[size] = (c[at], r[at], n[at], words.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), size).view(np.uint64))
+        return out
+
+    def fold(k: np.ndarray, size: int) -> np.ndarray:
+        return k if k.shape[1] == size else k[:, :size] ^ k[:, size:]
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [np.zeros((0, 2), np.int64)]
-            for x, y in zip(b.column(0), b.column(1), strict=True):
-                (c, r, n, k), (c2, r2, n2, k2) = read(x), read(y)
-                total = n[:, None] + n2
-                ok = (r[:, None] != r2) & (4 * np.minimum(n[:, None], n2) >= 3 * np.maximum(n[:, None], n2))
-                i, j = np.nonzero(ok)
-                far = np.bitwise_count(k[i] ^ k2[j]).sum(axis=1, dtype=np.int64)
-                fine = 7 * far <= total[i, j]
-                p = np.stack([c[i[fine]], c2[j[fine]]], axis=1)
-                out.append(np.sort(p, axis=1))
+            for left, right in zip(b.column(0), b.column(1), strict=True):
+                xs, ys = by_length(left), by_length(right)
+                for s, (c, r, n, k) in xs.items():
+                    for s2 in (s // 2, s, 2 * s):
+                        if s2 not in ys:
+                            continue
+                        c2, r2, n2, k2 = ys[s2]
+                        i, j = np.nonzero((r[:, None] != r2) & (4 * np.minimum(n[:, None], n2) >= 3 * np.maximum(n[:, None], n2)))
+                        u, w = fold(k, min(s, s2)), fold(k2, min(s, s2))
+                        for at in range(0, len(i), 4096):
+                            p, q = i[at : at + 4096], j[at : at + 4096]
+                            far = np.bitwise_count(u[p] ^ w[q]).sum(axis=1, dtype=np.int64)
+                            fine = 7 * far <= n[p] + n2[q]
+                            out.append(np.sort(np.stack([c[p[fine]], c2[q[fine]]], axis=1), axis=1))
             pairs = np.unique(np.concatenate(out), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
@@ -352,10 +403,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     head = found.where("block > 0").select("bucket").distinct().join(least, "bucket")
     small = found.where("block = 0").select(F.col("classes")[0].alias("a"), F.explode("classes").alias("b"))
     large = found.where("block > 0").join(head, "bucket").select("a", F.explode("classes").alias("b"))
-    star = small.union(large).where("a <> b").distinct()
-    links = verified(star, classes, docs, salt)
+    star = plausible(small.union(large).where("a <> b").distinct(), classes)
+    # One pair for each class is enough to draw groups together; the others count only across components.
+    first = saved(star.groupBy("b").agg(F.min(F.struct("a", "rep_a", "rep_b")).alias("p")).select("p.a", "b", "p.rep_a", "p.rep_b"))
+    links = verified(first, docs, salt)
     labels = components(links)
-    more = verified(cross_pairs(found, classes, labels).join(star, ["a", "b"], "left_anti"), classes, docs, salt)
+    rest = cross_pairs(found, classes, labels).join(first, ["a", "b"], "left_anti")
+    more = verified(plausible(rest, classes), docs, salt)
     if more.limit(1).count():
         labels = components(links.union(more))
     known = classes.join(labels.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "rep", F.coalesce("root", "class").alias("root"))
