@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Texts, blocks, partitions, remove_folder, shared_folder
+from .common import Texts, blocks, maybe_broadcast, partitions, remove_folder, shared_folder
 
 #: Longest code in bits; at least log2 of the number of different ids.
 LIMIT = 18
@@ -325,7 +325,7 @@ def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> Da
                 last = pa.array([zlib.crc32(x.astype("<u4")) for x in texts], pa.int64()) if digest else pa.array([x.tobytes() for x in texts], pa.binary())
                 yield pa.RecordBatch.from_arrays([names.values, pa.array(ends - each + start.as_py()), pa.array(each), last], ["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
 
-    joined = table.join(placed, ["part", "block"])
+    joined = table.join(maybe_broadcast(placed), ["part", "block"])  # one narrow row a block; the bits stay where they are
     return joined.select("start", "doc_ids", "doc_tokens", "tokens", "marks", "bits").mapInArrow(read, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary"))
 
 
