@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import maps
+
+QUERIES: dict = {**maps.QUERIES}
+ORACLES: dict = {**maps.ORACLES}
