@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Texts, blocks, gram_hashes, mix, partitions, saved, spans_of, table_of, word_hashes
+from .common import Texts, blocks, gram_hashes, maybe_broadcast, mix, partitions, saved, spans_of, table_of, word_hashes
 
 #: Words of a shingle; documents link at intersection/union >= 3/4 (the bounds below are derived for it).
 WORDS = 5
@@ -18,6 +19,8 @@ WORDS = 5
 ORDER_SAMPLE, FREQUENT, FREQUENT_MOST = 16, 6, 1 << 20
 #: Documents of one bucket that are written in one row; larger buckets go in blocks of so many.
 BUCKET = 256
+#: Sizes travel as 16-bit codes, logarithms to this base; sizes within 4/3 have codes at most SIZE_GAP apart.
+SIZE_BASE, SIZE_GAP = 1.0005, 577
 #: Fewest 64-bit words of the bit sketch that each class keeps; it has at least as many bits as the set has shingles.
 SKETCH = 8
 #: Slots of the fixed-size bitmap that thins out the texts before the exact join with wanted classes.
@@ -114,6 +117,10 @@ def _class_id(s: np.ndarray, salt: int) -> tuple[int, int]:
     return int(mix(np.array([a + n], np.uint64)).view(np.int64)[0]), int(mix(np.array([b ^ n], np.uint64)).view(np.int64)[0])
 
 
+def size_code(n: int) -> int:
+    return int(math.log(n) / math.log(SIZE_BASE))
+
+
 def describe(docs: DataFrame, salt: int) -> DataFrame:
     """One narrow row for each document: id, class (fingerprint of its set), check, n, sketch."""
 
@@ -149,30 +156,29 @@ def frequent_keys(docs: DataFrame, salt: int) -> np.ndarray:
 
 
 def buckets(docs: DataFrame, frequent: np.ndarray, salt: int) -> DataFrame:
-    """The classes that share a key: rows of ``bucket``, ``block`` and sorted ``classes`` (at most BUCKET of them).
+    """The classes that share a key: rows of ``bucket``, ``block``, sorted ``classes`` (at most BUCKET) and their size ``codes``.
 
     Each task sends the keys of a class once, packed by target partition: a few rows of bytes for each target
-    instead of a row for each key. A target sorts its keys and writes the buckets of two or more
-    classes; equal small buckets (many keys of one group of near copies) are written once.
+    instead of a row for each key. A target sorts its keys and writes the buckets of two or more classes, cut
+    where the next larger size is out of reach; equal small buckets (many keys of one group of near
+    copies) are written once.
     """
     spark = docs.sparkSession
     targets = max(partitions(spark), 1)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        keys, classes, held = [], [], 0
+        keys, classes, codes, held = [], [], [], 0
 
         def packed() -> Iterator[pa.RecordBatch]:
-            k, c = np.concatenate(keys), np.concatenate(classes)
+            k, c, z = np.concatenate(keys), np.concatenate(classes), np.concatenate(codes)
             to = (k % np.uint64(targets)).astype(np.int32)
             order = np.argsort(to, kind="stable")
-            k, c, to = k[order], c[order], to[order]
+            k, c, z, to = k[order], c[order], z[order], to[order]
             cut = np.flatnonzero(np.diff(to, prepend=-1))
             ends = np.append(cut[1:], len(to))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(to[cut]), pa.array([k[a:z].tobytes() for a, z in zip(cut, ends, strict=True)], pa.binary()), pa.array([c[a:z].tobytes() for a, z in zip(cut, ends, strict=True)], pa.binary())],
-                ["target", "keys", "classes"],
-            )
+            parts = [pa.array([x[i:j].tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary()) for x in (k, c, z)]
+            yield pa.RecordBatch.from_arrays([pa.array(to[cut]), *parts], ["target", "keys", "classes", "codes"])
 
         for whole in batches:
             for b in blocks(whole, "text"):
@@ -183,37 +189,42 @@ def buckets(docs: DataFrame, frequent: np.ndarray, salt: int) -> DataFrame:
                         own = probe_keys(s, frequent)
                         keys.append(own)
                         classes.append(np.full(len(own), c, np.int64))
+                        codes.append(np.full(len(own), size_code(len(s)), np.uint16))
                         held += len(own)
                 if held > 1 << 20:
                     yield from packed()
-                    keys, classes, held = [], [], 0
+                    keys, classes, codes, held = [], [], [], 0
         if held:
             yield from packed()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, classes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        parts: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (np.uint64, np.int64, np.uint16)]
         for b in batches:
-            keys += [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
-            classes += [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
-        k, c = np.concatenate(keys), np.concatenate(classes)
-        keys, classes = [], []
-        order = np.argsort(k, kind="stable")
-        k, c = k[order], c[order]
-        first = np.flatnonzero(np.diff(k, prepend=k[:1] ^ np.uint64(1)))
+            for k, own in enumerate(parts):
+                own += [np.frombuffer(x, own[0].dtype) for x in b.column(k + 1).to_pylist()]
+        k, c, z = (np.concatenate(own) for own in parts)
+        parts.clear()
+        order = np.lexsort((c, z, k))
+        k, c, z = k[order], c[order], z[order].astype(np.int64)
+        same = np.diff(k, prepend=k[:1] ^ np.uint64(1)) == 0
+        # The rows of a class that several tasks have sent stand together.
+        kept = ~(same & (np.diff(c, prepend=c[:1]) == 0) & (np.diff(z, prepend=z[:1]) == 0))
+        k, c, z, same = k[kept], c[kept], z[kept], same[kept]
+        first = np.flatnonzero(~same | (np.diff(z, prepend=z[:1]) > SIZE_GAP))
         size = np.diff(np.append(first, len(k)))
         small: set[bytes] = set()
-        out: list[tuple[int, int, np.ndarray]] = []
+        out: list[tuple[int, int, np.ndarray, np.ndarray]] = []
         for a, n in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-            group = np.unique(c[a : a + n])
-            if len(group) < 2:
-                continue
-            if len(group) <= BUCKET:
+            by = np.argsort(c[a : a + n])
+            group, codes = c[a : a + n][by], z[a : a + n][by]
+            name = int((k[a] + np.uint64(z[a])).view(np.int64))
+            if n <= BUCKET:
                 raw = group.tobytes()
                 if raw not in small:
                     small.add(raw)
-                    out.append((int(k[a].view(np.int64)), 0, group))
+                    out.append((name, 0, group, codes))
             else:
-                out += [(int(k[a].view(np.int64)), j // BUCKET, group[j : j + BUCKET]) for j in range(0, len(group), BUCKET)]
+                out += [(name, j // BUCKET, group[j : j + BUCKET], codes[j : j + BUCKET]) for j in range(0, n, BUCKET)]
             if len(out) > 2000:
                 yield batch(out)
                 out = []
@@ -221,10 +232,10 @@ def buckets(docs: DataFrame, frequent: np.ndarray, salt: int) -> DataFrame:
             yield batch(out)
 
     def batch(out: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.list_(pa.int64()))], ["bucket", "block", "classes"])
+        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), *[pa.array([o[k] for o in out], pa.list_(pa.int64())) for k in (2, 3)]], ["bucket", "block", "classes", "codes"])
 
-    sent = docs.mapInArrow(send, "target int, keys binary, classes binary")
-    return sent.repartition(targets, "target").mapInArrow(meet, "bucket long, block int, classes array<long>")
+    sent = docs.mapInArrow(send, "target int, keys binary, classes binary, codes binary")
+    return sent.repartition(targets, "target").mapInArrow(meet, "bucket long, block int, classes array<long>, codes array<long>")
 
 
 def _hamming(a: Column, b: Column) -> Column:
@@ -322,19 +333,19 @@ def cross_pairs(found: DataFrame, classes: DataFrame, labels: DataFrame) -> Data
     Buckets that lie in one component need no further look. Of the others, blocks of at most BUCKET classes meet
     block by block; each meeting compares sketches in numpy and emits only what sizes and sketches allow.
     """
-    rows = found.withColumn("row", F.monotonically_increasing_id())
+    large = found.where("block > 0").select("bucket").distinct()
+    # The only pair of a bucket of two has been a star pair.
+    rows = saved(found.join(large.withColumn("large", F.lit(True)), "bucket", "left").where("large OR size(classes) > 2").withColumn("row", F.monotonically_increasing_id()))
     members = saved(rows.select("row", F.explode("classes").alias("class")).join(labels.select(F.col("node").alias("class"), "root"), "class", "left").select("row", "class", F.coalesce("root", "class").alias("root")))
-    rows = saved(rows.select("row", "bucket", "block"))
     # A small bucket is one row; the blocks of a large one are judged together.
-    whole = F.when(F.col("large"), F.col("bucket"))
-    large = rows.where("block > 0").select("bucket").distinct().withColumn("large", F.lit(True))
-    keyed = rows.join(large, "bucket", "left").select("row", F.struct(whole.alias("bucket"), F.when(F.col("large").isNull(), F.col("row")).alias("row")).alias("group"))
+    keyed = rows.select("row", F.struct(F.when(F.col("large"), F.col("bucket")).alias("bucket"), F.when(F.col("large").isNull(), F.col("row")).alias("row")).alias("group"))
     span = members.groupBy("row").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     mixed = keyed.join(span, "row").groupBy("group").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list("row").alias("rows")).where("lo <> hi")
     # The number of blocks of one bucket is its size over BUCKET.
     meetings = mixed.select(F.explode("rows").alias("left"), "rows").select("left", F.explode("rows").alias("right")).where("left <= right")
-    told = members.join(classes.select("class", "n", "sketch"), "class").groupBy("row").agg(F.collect_list(F.struct("class", "root", "n", "sketch")).alias("m"))
-    told = saved(told.join(meetings.select(F.explode(F.array("left", "right")).alias("row")).distinct(), "row", "left_semi"))
+    meetings = saved(meetings)
+    some = members.join(meetings.select(F.explode(F.array("left", "right")).alias("row")).distinct(), "row", "left_semi")
+    told = saved(some.join(classes.select("class", "n", "sketch"), "class").groupBy("row").agg(F.collect_list(F.struct("class", "root", "n", "sketch")).alias("m")))
     met = meetings.join(told.select(F.col("row").alias("left"), F.col("m").alias("x")), "left").join(told.select(F.col("row").alias("right"), F.col("m").alias("y")), "right").select("x", "y")
 
     def by_length(v: pa.ListScalar) -> dict[int, tuple]:
@@ -399,17 +410,21 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             break
         salt += 1  # two different sets with one fingerprint: take others
     found = saved(buckets(docs, frequent_keys(docs, salt), salt))
-    least = found.groupBy("bucket").agg(F.min(F.col("classes")[0]).alias("a")).where("a IS NOT NULL")
-    head = found.where("block > 0").select("bucket").distinct().join(least, "bucket")
-    small = found.where("block = 0").select(F.col("classes")[0].alias("a"), F.explode("classes").alias("b"))
-    large = found.where("block > 0").join(head, "bucket").select("a", F.explode("classes").alias("b"))
-    star = plausible(small.union(large).where("a <> b").distinct(), classes)
+    # The least class of a bucket (of all blocks of a large one) is paired with all others that its size allows.
+    least = found.where("block > 0").select("bucket").distinct().join(found.select("bucket", F.struct(F.col("classes")[0].alias("a"), F.col("codes")[0].alias("code")).alias("head")), "bucket").groupBy("bucket").agg(F.min("head").alias("head"))
+    each = F.explode(F.arrays_zip("classes", "codes")).alias("e")
+    heads = found.join(maybe_broadcast(least), "bucket", "left").select(F.coalesce("head", F.struct(F.col("classes")[0].alias("a"), F.col("codes")[0].alias("code"))).alias("head"), each)
+    pairs = heads.where((F.col("head.a") != F.col("e.classes")) & (F.abs(F.col("head.code") - F.col("e.codes")) <= SIZE_GAP)).select("head.a", F.col("e.classes").alias("b")).distinct()
+    star = plausible(pairs, classes)
     # One pair for each class is enough to draw groups together; the others count only across components.
     first = saved(star.groupBy("b").agg(F.min(F.struct("a", "rep_a", "rep_b")).alias("p")).select("p.a", "b", "p.rep_a", "p.rep_b"))
     links = verified(first, docs, salt)
     labels = components(links)
-    rest = cross_pairs(found, classes, labels).join(first, ["a", "b"], "left_anti")
-    more = verified(plausible(rest, classes), docs, salt)
+    root = lambda x: labels.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    apart = star.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    rest = cross_pairs(found, classes, labels).union(apart).distinct().join(first, ["a", "b"], "left_anti")
+    rep = lambda x: classes.select(F.col("class").alias(x), F.col("rep").alias(f"rep_{x}"))
+    more = verified(saved(rest.join(rep("a"), "a").join(rep("b"), "b").select("a", "b", "rep_a", "rep_b")), docs, salt)
     if more.limit(1).count():
         labels = components(links.union(more))
     known = classes.join(labels.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "rep", F.coalesce("root", "class").alias("root"))
@@ -423,8 +438,6 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those that have a similar one of smaller id: one of each component stays."""
-    from .common import maybe_broadcast
-
     gone = saved(similar_documents(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct())
     return docs.join(maybe_broadcast(gone), id_col, "left_anti").select(*docs.columns)
 
