@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import maps
+from .plans import maps, scores
 
-QUERIES: dict = {**maps.QUERIES}
-ORACLES: dict = {**maps.ORACLES}
+QUERIES: dict = {**maps.QUERIES, **scores.QUERIES}
+ORACLES: dict = {**maps.ORACLES, **scores.ORACLES}
