@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import maps, scores
+from .plans import design, maps, scores
 
-QUERIES: dict = {**maps.QUERIES, **scores.QUERIES}
-ORACLES: dict = {**maps.ORACLES, **scores.ORACLES}
+QUERIES: dict = {**maps.QUERIES, **scores.QUERIES, **design.QUERIES}
+ORACLES: dict = {**maps.ORACLES, **scores.ORACLES, **design.ORACLES}
