@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -42,6 +43,12 @@ def saved(table: DataFrame) -> DataFrame:
     return table.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished phases now: its cleaner acts when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def maybe_broadcast(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if the table has at most ``limit`` rows (counted); else leave the join to a shuffle."""
     return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small

@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Texts, blocks, gram_hashes, maybe_broadcast, mix, partitions, saved, spans_of, table_of, word_hashes
+from .common import Texts, blocks, gram_hashes, maybe_broadcast, mix, partitions, release, saved, spans_of, table_of, word_hashes
 
 #: Words of a shingle; documents link at intersection/union >= 3/4 (the bounds below are derived for it).
 WORDS = 5
 #: Documents of which one in ORDER_SAMPLE, chosen by hash, is counted to find frequent keys, the count from which a key
 #: is frequent, and how many of them are broadcast at most. They only set the order of a document's keys.
-ORDER_SAMPLE, FREQUENT, FREQUENT_MOST = 16, 6, 1 << 20
+ORDER_SAMPLE, FREQUENT, FREQUENT_MOST = 8, 3, 1 << 20
 #: Documents of one bucket that are written in one row; larger buckets go in blocks of so many.
 BUCKET = 256
 #: Sizes travel as 16-bit codes, logarithms to this base; sizes within 4/3 have codes at most SIZE_GAP apart.
@@ -146,7 +146,8 @@ def frequent_keys(docs: DataFrame, salt: int) -> np.ndarray:
                 for s in shingle_sets(b.column(1)):
                     if len(s) > 2 and (c := _class_id(s, salt)[0]) not in seen:
                         seen.add(c)
-                        keys += [parity_words(s, level) for level in levels_of(len(s))]
+                        # Later words than these hardly ever come among the first.
+                        keys += [parity_words(s, level)[: len(s) // 2 + 2] for level in levels_of(len(s))]
                 k, n = np.unique(np.concatenate(keys), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n, pa.int64())], ["key", "n"])
 
@@ -409,7 +410,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         if not classes.where("torn").limit(1).count():
             break
         salt += 1  # two different sets with one fingerprint: take others
+    spark = docs.sparkSession
     found = saved(buckets(docs, frequent_keys(docs, salt), salt))
+    release(spark)
     # The least class of a bucket (of all blocks of a large one) is paired with all others that its size allows.
     least = found.where("block > 0").select("bucket").distinct().join(found.select("bucket", F.struct(F.col("classes")[0].alias("a"), F.col("codes")[0].alias("code")).alias("head")), "bucket").groupBy("bucket").agg(F.min("head").alias("head"))
     each = F.explode(F.arrays_zip("classes", "codes")).alias("e")
@@ -419,12 +422,16 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # One pair for each class is enough to draw groups together; the others count only across components.
     first = saved(star.groupBy("b").agg(F.min(F.struct("a", "rep_a", "rep_b")).alias("p")).select("p.a", "b", "p.rep_a", "p.rep_b"))
     links = verified(first, docs, salt)
+    release(spark)
     labels = components(links)
     root = lambda x: labels.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
     apart = star.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
     rest = cross_pairs(found, classes, labels).union(apart).distinct().join(first, ["a", "b"], "left_anti")
     rep = lambda x: classes.select(F.col("class").alias(x), F.col("rep").alias(f"rep_{x}"))
-    more = verified(saved(rest.join(rep("a"), "a").join(rep("b"), "b").select("a", "b", "rep_a", "rep_b")), docs, salt)
+    rest = saved(rest.join(rep("a"), "a").join(rep("b"), "b").select("a", "b", "rep_a", "rep_b"))
+    release(spark)
+    more = verified(rest, docs, salt)
+    release(spark)
     if more.limit(1).count():
         labels = components(links.union(more))
     known = classes.join(labels.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "rep", F.coalesce("root", "class").alias("root"))
