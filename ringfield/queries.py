@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import design, maps, scores
+from .plans import decide, design, maps, scores, steps
 
-QUERIES: dict = {**maps.QUERIES, **scores.QUERIES, **design.QUERIES}
-ORACLES: dict = {**maps.ORACLES, **scores.ORACLES, **design.ORACLES}
+QUERIES: dict = {**maps.QUERIES, **scores.QUERIES, **design.QUERIES, **decide.QUERIES, **steps.QUERIES}
+ORACLES: dict = {**maps.ORACLES, **scores.ORACLES, **design.ORACLES, **decide.ORACLES, **steps.ORACLES}
