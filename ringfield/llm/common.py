@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Rows of a table that may be broadcast; beyond this every operator here uses a shuffle join.
 BROADCAST_ROWS = 200_000
 #: Bytes of text that one vectorised step looks at; a longer single text makes its own step.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 _WHITE = bytes([0x20, *range(0x09, 0x0E)])
 

@@ -192,7 +192,7 @@ def buckets(docs: DataFrame, frequent: np.ndarray, salt: int) -> DataFrame:
                         classes.append(np.full(len(own), c, np.int64))
                         codes.append(np.full(len(own), size_code(len(s)), np.uint16))
                         held += len(own)
-                if held > 1 << 20:
+                if held > 1 << 18:
                     yield from packed()
                     keys, classes, codes, held = [], [], [], 0
         if held:
@@ -248,28 +248,36 @@ def _fold(a: Column) -> Column:
     return F.zip_with(F.slice(a, F.lit(1), half), F.slice(a, half + 1, half), lambda x, y: x.bitwiseXOR(y))
 
 
-def _plausible() -> Column:
-    """Sizes and sketches that similarity >= 3/4 allows: a Hamming distance above (a + b)/7 rules a pair out."""
+def _closeness() -> Column:
+    """The Hamming distance over both sizes, null where sizes or sketches rule a similarity of 3/4 out (it is above 1/7)."""
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     a, b = F.col("sketch_a"), F.col("sketch_b")
     far = F.when(F.size(a) == F.size(b), _hamming(a, b)).when(F.size(a) > F.size(b), _hamming(_fold(a), b)).otherwise(_hamming(a, _fold(b)))
     # Sizes within 4/3 have sketches of equal length or one of twice the other's.
-    return F.when(4 * small >= 3 * large, 7 * far <= F.col("n_a") + F.col("n_b")).otherwise(F.lit(False))
+    return F.when(4 * small >= 3 * large, F.when(7 * far <= F.col("n_a") + F.col("n_b"), far / (F.col("n_a") + F.col("n_b"))))
 
 
 def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that sizes and sketches allow, with the classes' representatives."""
-    side = lambda x: classes.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"), F.col("rep").alias(f"rep_{x}"))
-    return saved(pairs.join(side("a"), "a").join(side("b"), "b").where(_plausible()).select("a", "b", "rep_a", "rep_b"))
+    """The pairs (a, b) that sizes and sketches allow, with their closeness (``far``)."""
+    side = lambda x: classes.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    return saved(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", _closeness().alias("far")).where("far IS NOT NULL"))
 
 
-def verified(near: DataFrame, docs: DataFrame, salt: int) -> DataFrame:
+def closest(pairs: DataFrame) -> DataFrame:
+    """For every class the pair with its closest partner: at most one pair for each class."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("end"), F.struct("far", "a", "b").alias("p"))
+    return ends.groupBy("end").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct()
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, salt: int) -> DataFrame:
     """The pairs (a, b) that link, decided exactly on the sets of shingles.
 
     Only the texts of the pairs' representatives are read again and moved: texts are smaller than sets. A bitmap of
     fixed size, built from the ids, thins out the scan, and joins on the id make it exact. The text of b travels to
     the tasks of a; a class with many partners is dealt over several of them, STAR partners each.
     """
+    rep = lambda x: classes.select(F.col("class").alias(x), F.col("rep").alias(f"rep_{x}"))
+    near = saved(pairs.select("a", "b").join(rep("a"), "a").join(rep("b"), "b"))
     slot = F.pmod(F.xxhash64("rep"), F.lit(1 << BITMAP_BITS))
     bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
     wanted = near.select(F.explode(F.array("rep_a", "rep_b")).alias("rep"))
@@ -366,7 +374,7 @@ def cross_pairs(found: DataFrame, classes: DataFrame, labels: DataFrame) -> Data
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [np.zeros((0, 2), np.int64)]
+            out, share = [np.zeros((0, 2), np.int64)], [np.zeros(0)]
             for left, right in zip(b.column(0), b.column(1), strict=True):
                 xs, ys = by_length(left), by_length(right)
                 for s, (c, r, n, k) in xs.items():
@@ -380,11 +388,12 @@ def cross_pairs(found: DataFrame, classes: DataFrame, labels: DataFrame) -> Data
                             p, q = i[at : at + 4096], j[at : at + 4096]
                             far = np.bitwise_count(u[p] ^ w[q]).sum(axis=1, dtype=np.int64)
                             fine = 7 * far <= n[p] + n2[q]
+                            share.append(far[fine] / (n[p] + n2[q])[fine])
                             out.append(np.sort(np.stack([c[p[fine]], c2[q[fine]]], axis=1), axis=1))
-            pairs = np.unique(np.concatenate(out), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            pairs, at = np.unique(np.concatenate(out), axis=0, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.concatenate(share)[at])], ["a", "b", "far"])
 
-    return met.mapInArrow(compare, "a long, b long").distinct()
+    return met.mapInArrow(compare, "a long, b long, far double").groupBy("a", "b").agg(F.min("far").alias("far"))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -419,21 +428,29 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     heads = found.join(maybe_broadcast(least), "bucket", "left").select(F.coalesce("head", F.struct(F.col("classes")[0].alias("a"), F.col("codes")[0].alias("code"))).alias("head"), each)
     pairs = heads.where((F.col("head.a") != F.col("e.classes")) & (F.abs(F.col("head.code") - F.col("e.codes")) <= SIZE_GAP)).select("head.a", F.col("e.classes").alias("b")).distinct()
     star = plausible(pairs, classes)
-    # One pair for each class is enough to draw groups together; the others count only across components.
-    first = saved(star.groupBy("b").agg(F.min(F.struct("a", "rep_a", "rep_b")).alias("p")).select("p.a", "b", "p.rep_a", "p.rep_b"))
-    links = verified(first, docs, salt)
+    # The closest pair of each class draws groups together; other pairs count only across components.
+    first = saved(closest(star))
+    links = verified(first, classes, docs, salt)
     release(spark)
     labels = components(links)
-    root = lambda x: labels.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
-    apart = star.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    rest = cross_pairs(found, classes, labels).union(apart).distinct().join(first, ["a", "b"], "left_anti")
-    rep = lambda x: classes.select(F.col("class").alias(x), F.col("rep").alias(f"rep_{x}"))
-    rest = saved(rest.join(rep("a"), "a").join(rep("b"), "b").select("a", "b", "rep_a", "rep_b"))
-    release(spark)
-    more = verified(rest, docs, salt)
-    release(spark)
-    if more.limit(1).count():
-        labels = components(links.union(more))
+
+    def across(pairs: DataFrame) -> DataFrame:
+        root = lambda x: labels.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+        joined = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+        return joined.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "far")
+
+    rest = saved(cross_pairs(found, classes, labels).union(across(star)).groupBy("a", "b").agg(F.min("far").alias("far")).join(first, ["a", "b"], "left_anti"))
+    for some in (closest, None):
+        # Once more the closest pairs first; then all that still lie across two components.
+        tried = saved(some(rest) if some else rest.select("a", "b"))
+        more = verified(tried, classes, docs, salt)
+        release(spark)
+        if more.limit(1).count():
+            links = saved(links.union(more))
+            labels = components(links)
+            rest = saved(across(rest.join(tried, ["a", "b"], "left_anti"))) if some else rest
+        elif some:
+            rest = saved(rest.join(tried, ["a", "b"], "left_anti"))
     known = classes.join(labels.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "rep", F.coalesce("root", "class").alias("root"))
     ids = known.groupBy("root").agg(F.min("rep").alias("component"))
     told = known.join(ids, "root").select("class", F.col("rep").alias("class_id"), F.col("component").alias("component_id"))

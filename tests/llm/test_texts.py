@@ -1,0 +1,214 @@
+"""Language ID, personal data, chat windows, decontamination, token files, audio prints."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from ringfield.llm import audioprint, chatformat, decontam, langid, pii, tokenfiles
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_language_on_held_out_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang IS NOT NULL")
+    model = langid.fit(docs.where("doc_id % 2 = 0").select("text", "lang"))
+    test = docs.where("doc_id % 2 = 1")
+    got = langid.identify(test, model, "doc_id", "text", F.lit(None).cast("string"), F.col("source")).join(test.select("doc_id", F.col("lang").alias("want")), "doc_id").where("letters > 20")
+    assert got.where("lang = want").count() >= 0.97 * got.count()
+
+
+def test_language_of_odd_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs.select("text", "lang"))
+    rows = [(1, None, None, None, "c"), (2, "", "en", "a", "c"), (3, "!! 12", None, "b", "c"), (4, "the and of " * 20000, "zz", "b", "c"), (4, "the and of " * 20000, "zz", "b", "c")]
+    x = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, confidence string")
+    got = sorted(tuple(r) for r in langid.identify(x, model, "doc_id", "text", F.col("lang"), F.col("source")).select("doc_id", "lang").collect())
+    assert got == [(1, "und"), (2, "en"), (3, "und"), (4, "en"), (4, "en")]
+    assert langid.keep_identified(docs.unionByName(x.select("doc_id", "text", "lang", "source", F.lit(0).cast("long").alias("n_chars")))).where("doc_id < 5").groupBy("doc_id").count().count() == 5
+    assert langid.identify(x.limit(0), model, "doc_id", "text", F.col("lang"), F.col("source")).count() == 0
+    empty = langid.fit(docs.limit(0).select("text", "lang"))
+    assert {r.lang for r in langid.identify(x, empty, "doc_id", "text", F.col("lang"), F.col("source")).collect()} == {"und"}
+
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain(text):
+    out = []
+    for kind, p in PATTERNS.items():
+        for m in re.finditer(p, text):
+            d = re.sub("[^0-9]", "", m[0])
+            luhn = sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+            if kind == "email" or (kind == "ip" and all(int(x) <= 255 for x in m[0].split("."))) or (kind == "card" and 13 <= len(d) <= 19 and luhn) or (kind == "phone" and 9 <= len(d) <= 15):
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_fixed_patterns_by_brute_force():
+    rng = random.Random(0)
+    for _ in range(4000):
+        t = "".join(rng.choice(["a", "1", "42", "255", ".", "@", "_", "-", "%", " ", "+", "(", ")", "é", "4111111111111111", "\n"]) for _ in range(rng.randint(0, 30)))
+        assert pii.base_spans(t) == plain(t), t
+
+
+def test_personal_data(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    more = spark.createDataFrame([(-1, None), (-2, ""), (-3, "call (523) 555-1055 or mail a@b.co, 1.2.3.4"), (-4, "7" * 200_000), (-5, "é +1 (499) 555-6503 4111 1111 1111 1111")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.find_pii(docs.unionByName(more).withColumn("spans", F.lit(1))).collect()}
+    for r in rows.values():
+        fixed = [(s.kind, s.start, s.end) for s in r.spans if s.fixed]
+        assert fixed == sorted(plain(r.text or ""), key=lambda s: (pii.KINDS.index(s[0]), s[1]))
+        assert all(pii.valid(s.kind, r.text[s.start : s.end]) for s in r.spans)
+    assert [(s.kind, s.fixed) for s in rows[-3].spans] == [("email", True), ("ip", True), ("phone", False)]
+    clean = [r for r in rows.values() if r.text and not re.search("[0-9@]", r.text)]
+    assert clean and not any(r.spans for r in clean)
+    assert pii.redact(more).where("doc_id = -3").first().text == "call <phone> or mail <email>, <ip>"
+
+
+def test_field_on_held_out_lines():
+    field, good, total = pii.default_field(), 0, 0
+    for words, tags in pii.labelled_table(seed=99, rows=150):
+        s = pii._shape_of(words)
+        got = pii.viterbi(field, s, np.array([0]), np.array([len(s)]))
+        good, total = good + sum(pii.TAGS[g] == t for g, t in zip(got, tags, strict=True)), total + len(tags)
+    assert good >= 0.98 * total
+
+
+def test_viterbi_equals_search_over_all_paths():
+    rng = np.random.default_rng(4)
+    field = pii.default_field()
+    import itertools
+
+    for _ in range(20):
+        s = pii._shape_of(rng.choice(["a", "(523)", "555-1055", "+1", "a@b.co", "1.2.3.4", "4111111111111111", "b,"], 4).tolist())
+        prev, nxt = np.concatenate([[pii.EDGE], s[:-1]]), np.concatenate([s[1:], [pii.EDGE]])
+        e = field.score(s, prev, nxt)
+        score = lambda p, e=e: sum(e[i, k] for i, k in enumerate(p)) + sum(field.trans[a, b] for a, b in zip(p, p[1:], strict=False))
+        best = max(itertools.product(range(len(pii.TAGS)), repeat=4), key=score)
+        got = pii.viterbi(field, s, np.array([0]), np.array([4]))
+        assert abs(score(tuple(got)) - score(best)) < 1e-4
+
+
+def test_chat_round_trip(spark):
+    rng = random.Random(1)
+    nasty = ["<|turn|>", "<|end|>", "\\", "\\<|", "<\\|end|>", "<|", "|>", "a b c", "\n", "", "é", "\\\\<|text|>"]
+    rows = []
+    for conv in range(12):
+        for turn in range(rng.randint(0, 9)):
+            role = "system" if turn == 0 and conv % 3 == 0 else "assistant" if turn % 2 else "user"
+            rows.append((conv, turn, role, None if rng.random() < 0.1 else " ".join(rng.choice(nasty) for _ in range(rng.randint(0, 12)))))
+    rows += [(50, None, None, "x"), (50, None, None, "x"), (None, 1, "assistant", "y"), (60, 0, "assistant", "long " * 30000)]
+    t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = {}
+    for conv in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == conv), key=lambda r: (-1 if r[1] is None else r[1], r[2] or "", r[3] or ""))
+        learnt = "".join(r[3] or "" for r in mine if r[2] == "assistant")
+        want[conv] = (len(mine), hashlib.sha256("".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in mine).encode()).hexdigest(), len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
+    for budget, history in ((1024, 256), (20, 10), (1, 0), (30, 100)):
+        windows = chatformat.format_windows(t, budget, history)
+        assert {r.conv_id: tuple(r)[1:5] for r in chatformat.read_back(windows).collect()} == want
+        for w in windows.collect():
+            fresh = [p for p in chatformat.parse_window(w.text) if p[0]]
+            assert len(fresh) <= 1 or sum(chatformat.count_words([p[2] for p in fresh])) <= budget + 200
+    assert chatformat.format_windows(t.limit(0)).count() == 0
+
+
+def test_decontamination_by_brute_force(spark):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    items = [(r.item_id, r.text) for r in bench.collect()] + [(None, "tiny item"), (900, None), (901, "one"), (901, "two words")]
+    passage = items[0][1].split()
+    texts = [None, "", "ONE two  words", "x " + " ".join(passage[:10]) + " y", " ".join(passage[:9]), "Tiny\0item!", " ".join(passage) * 2, "é " * 100, "z" * 300_000] + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("words__", F.lit(0))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    for size in (1 << 25, 4000):
+        scanned, names = decontam.scan_benchmark(docs, table, set_bytes=size)
+        for r in scanned.collect():
+            got = (r[names["words"]], sum(b - a for a, b in r[names["runs"]]), len(r[names["items"]]), hashlib.sha256(",".join(r[names["items"]]).encode()).hexdigest(), bool(r[names["runs"]]))
+            assert got == decontam.brute_force(r.text, items), r.doc_id
+    kept = decontam.decontaminate(docs, table)
+    assert kept.columns == docs.columns and kept.where("doc_id IN (2, 3, 6)").count() == 0 and kept.where("doc_id IN (0, 1)").count() == 2
+    cut = {r.doc_id: r.text for r in decontam.decontaminate(docs, table, remove="spans").collect()}
+    assert cut[3] == "x  y" and cut[0] is None and len(cut) == len(texts)
+    assert decontam.decontaminate(docs, table.limit(0)).count() == len(texts) and decontam.decontaminate(docs.limit(0), table).count() == 0
+
+
+def test_pieces_never_change_the_ids():
+    enc = tokenfiles.Encoder(tokenfiles.default_tokenizer())
+    rng = random.Random(6)
+    parts = ["foo", "Bar", "é", "É", " ", "  ", "\n", "\r\n", "\t", ".", "'s", "don't", "123", "\xa0", "\u2003", "“q”", "你好", "<|endoftext|>", "×", "÷", "!", "\x1c", "\x85", "ß", "\x00"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    ids, at = enc.encode(pa.array([*texts, None]), 2)
+    want = enc.tokenizer.encode_batch([*texts, ""], add_special_tokens=False)
+    for k, w in enumerate(want):
+        assert ids[at[k] : at[k + 1]].tolist() == [*w.ids, 2], repr(texts[k] if k < len(texts) else None)
+
+
+def test_code_is_optimal_and_limited():
+    rng = np.random.default_rng(1)
+    for n, limit in ((1, 4), (2, 4), (5, 3), (16, 4), (1000, 12), (3000, 18)):
+        counts = np.zeros(4000, np.int64)
+        counts[rng.choice(4000, n, replace=False)] = np.maximum(1, (rng.pareto(0.5, n) * 3).astype(np.int64))
+        lengths = tokenfiles.code_lengths(counts, limit)
+        used = lengths[lengths > 0].astype(float)
+        assert (lengths > 0).sum() == n and lengths.max() <= limit and (n == 1 or abs((2.0**-used).sum() - 1) < 1e-9)
+        import heapq
+
+        heap = [int(c) for c in counts[counts > 0]]
+        heapq.heapify(heap)
+        best = 0
+        while len(heap) > 1:
+            x = heapq.heappop(heap) + heapq.heappop(heap)
+            best += x
+            heapq.heappush(heap, x)
+        cost = int((counts * lengths).sum())
+        free = tokenfiles.code_lengths(counts, 60)
+        assert cost >= best and (n == 1 or int((counts * free).sum()) == best)
+        codes, ids = tokenfiles.canonical_codes(lengths), rng.choice(np.flatnonzero(counts), 5001)
+        bits, marks = tokenfiles.pack(ids, lengths, codes)
+        assert (tokenfiles.unpack(bits, marks, len(ids), *tokenfiles.decode_tables(lengths, np.uint16)) == ids).all()
+
+
+def test_token_files(spark, monkeypatch):
+    monkeypatch.setattr(tokenfiles, "BLOCK_TOKENS", 700)
+    texts = [None, "", "a", "b " * 5000, "a"] + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect()]
+    rows = [(k * 7 % 45 - 3, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    enc, at = tokenfiles.Encoder(tokenfiles.default_tokenizer()).tokenizer, 0
+    got = sorted(tokenfiles.token_rows(docs).collect())
+    for r, (doc, text) in zip(got, sorted(rows), strict=True):
+        ids = [*enc.encode(text or "", add_special_tokens=False).ids, 2]
+        assert tuple(r) == (doc, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert tokenfiles.token_rows(docs.limit(0)).count() == 0
+
+
+def test_prints_find_clips_and_ignore_strangers(spark):
+    rng = np.random.default_rng(1)
+    tune = lambda: np.concatenate([np.sin(2 * np.pi * 220 * 2 ** (k / 12) * np.arange(1024) / audioprint.RATE) for k in rng.integers(0, 36, 70)])
+    tunes = [tune() for _ in range(10)]
+    pcm = lambda x: (np.clip(x, -1, 1) * 20000).astype("<i2").tobytes()
+    rows = [(k * 100, bytearray(pcm(x))) for k, x in enumerate(tunes)]
+    rows += [(1 + k * 100, bytearray(pcm(0.5 * x[512 * (5 + k) : 512 * (5 + k + 70)] + rng.normal(0, 0.03, 512 * 70)))) for k, x in enumerate(tunes)]
+    rows += [(5000, None), (5001, bytearray(b"")), (5002, bytearray(b"\x01")), (5003, bytearray(pcm(tunes[0])))]
+    prints = audioprint.fingerprints(spark.createDataFrame(rows, "id long, pcm binary"), "id", "pcm")
+    got = {r.id: r for r in audioprint.align_every(prints, "id", F.col("id") % 100 == 0).collect()}
+    hits = 0
+    for k in range(10):
+        own = [m for m in got[1 + k * 100].matches if m["query"] == k * 100]
+        hits += bool(own) and own[0].offset == 5 + k
+        assert all(m["query"] == k * 100 for m in got[1 + k * 100].matches)
+    assert hits >= 9  # recall against the known pairs
+    assert got[5003].class_id == 0 and got[5000].frames == 0 and not got[5001].matches
+    # The index against a search at every offset.
+    a, b = (np.frombuffer(bytes(r.print), "<u4") for r in prints.where("id IN (300, 301)").orderBy("id").collect())
+    rates = {o: float(np.bitwise_count(a[o : o + len(b)] ^ b[: len(a[o : o + len(b)])]).mean()) for o in range(len(a) - len(b) + 1)}
+    assert min(rates, key=rates.get) == 8
+
+
+def test_empty_media(spark):
+    assert audioprint.op10_audio_prints.__name__ and audioprint.align_every(audioprint.fingerprints(spark.createDataFrame([], "id long, pcm binary"), "id", "pcm"), "id", F.col("id") % 100 == 0).count() == 0
