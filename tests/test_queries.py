@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF, same_rows
+from helpers import SF, same_rows
 from ringfield.queries import ORACLES, QUERIES
 
 MAY_BE_EMPTY = {"track_route_conflict"}
