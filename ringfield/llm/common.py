@@ -43,6 +43,19 @@ def saved(table: DataFrame) -> DataFrame:
     return table.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python 8 MB at a time.
+
+    A batch exists several times at once (in the JVM, on its way, in the worker), and Spark's 64 MB a batch are too
+    much for small executors. The session's setting is changed only where it has its default value.
+    """
+    if spark.conf.get(_BATCH_BYTES, "").rstrip("b") == str(64 << 20):
+        spark.conf.set(_BATCH_BYTES, "8m")
+
+
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished phases now: its cleaner acts when the driver collects its garbage."""
     gc.collect()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Texts, blocks, fresh, gram_hashes, spans_of, table_of, word_hashes
+from .common import Texts, blocks, fresh, gram_hashes, small_batches, spans_of, table_of, word_hashes
 
 #: Bytes of benchmark text in one broadcast set; a larger benchmark is split over several passes of the same scan.
 SET_BYTES = 32 << 20
@@ -103,6 +103,7 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col:
     with equal item ids count as one item with several texts; a null item id is the empty string. An empty
     benchmark hits nothing. Columns of the documents stay as they are, whatever their names.
     """
+    small_batches(docs.sparkSession)
     names = {k: fresh(docs, f"{k}__") for k in ("words", "runs", "items")}
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0))).first()[0]
     slices = max(1, -(-size // set_bytes))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Texts, blocks, fresh, maybe_broadcast, saved
+from .common import Texts, blocks, fresh, maybe_broadcast, saved, small_batches
 from .urlrules import url_host
 
 #: Rows of labelled text that the text model is fitted on, at most, and languages that it knows, at most.
@@ -64,6 +64,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", ro
     Only trigram counts come to the driver, at most 2^18 for each of at most ``FIT_LANGUAGES`` languages. Rows
     without label or text are left out. Without any row the model has no language and all text is undetermined.
     """
+    small_batches(labelled.sparkSession)
     source = labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull() & (F.col(label_col) != ""))
     found = source.groupBy(F.col(label_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(FIT_LANGUAGES).collect()
     total = sum(r["count"] for r in found)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Texts, blocks, fresh, spans_of, table_of
+from .common import Texts, blocks, fresh, small_batches, spans_of, table_of
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *KINDS)
@@ -325,6 +325,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", span_col: str = "spans", l
     ``labelled_table()``, 400 lines) on the driver. Null and empty texts have no spans. Columns stay, but one named
     ``span_col`` is replaced.
     """
+    small_batches(docs.sparkSession)
     field = train(labelled) if labelled else default_field()
     keep = [c for c in docs.columns if c.lower() != span_col.lower()]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in keep]).schema) + f", `{span_col}` {SPAN_DDL}"

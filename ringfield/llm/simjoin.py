@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Texts, blocks, gram_hashes, maybe_broadcast, mix, partitions, release, saved, spans_of, table_of, word_hashes
+from .common import Texts, blocks, gram_hashes, maybe_broadcast, mix, partitions, release, saved, small_batches, spans_of, table_of, word_hashes
 
 #: Words of a shingle; documents link at intersection/union >= 3/4 (the bounds below are derived for it).
 WORDS = 5
@@ -410,6 +410,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     included). Null and empty texts have no shingle and are alone, each with its own id. Rows of equal id
     each get their row. Ids may not be null. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     salt = 0
     while True:

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Texts, blocks, maybe_broadcast, partitions, remove_folder, shared_folder
+from .common import Texts, blocks, maybe_broadcast, partitions, remove_folder, shared_folder, small_batches
 
 #: Longest code in bits; at least log2 of the number of different ids.
 LIMIT = 18
@@ -230,6 +230,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     bytes. An empty table gives a code table without codes and no blocks.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     stage = shared_folder(spark, "token-ids")
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
