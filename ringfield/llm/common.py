@@ -49,7 +49,7 @@ def small_batches(spark: SparkSession) -> None:
     A batch exists several times at once (in the JVM, on its way, in the worker), and Spark's 64 MB a batch are too
     much for small executors. The session's setting is changed only where it has its default value.
     """
-    if spark.conf.get(_BATCH_BYTES, "").rstrip("b") == str(64 << 20):
+    if spark.conf.get(_BATCH_BYTES).rstrip("b") == str(64 << 20):
         spark.conf.set(_BATCH_BYTES, "8m")
 
 
