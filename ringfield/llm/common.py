@@ -231,6 +231,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(table: DataFrame, folder: str) -> DataFrame:
+    """Write the table as Parquet below a shared folder and read it back.
+
+    Unlike a checkpoint this also drops what the optimiser knows of the old plan: in loops those
+    constraints pile up, and planning takes longer every round.
+    """
+    path = f"{folder}/{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

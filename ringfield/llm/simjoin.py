@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Texts, blocks, gram_hashes, maybe_broadcast, mix, partitions, release, saved, small_batches, spans_of, table_of, word_hashes
+from .common import Texts, blocks, gram_hashes, maybe_broadcast, mix, partitions, release, remove_folder, shared_folder, small_batches, spans_of, stored, table_of, word_hashes
 
 #: Words of a shingle; documents link at intersection/union >= 3/4 (the bounds below are derived for it).
 WORDS = 5
@@ -257,10 +257,10 @@ def _closeness() -> Column:
     return F.when(4 * small >= 3 * large, F.when(7 * far <= F.col("n_a") + F.col("n_b"), far / (F.col("n_a") + F.col("n_b"))))
 
 
-def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def plausible(pairs: DataFrame, classes: DataFrame, scratch: str) -> DataFrame:
     """The pairs (a, b) that sizes and sketches allow, with their closeness (``far``)."""
     side = lambda x: classes.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    return saved(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", _closeness().alias("far")).where("far IS NOT NULL"))
+    return stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", _closeness().alias("far")).where("far IS NOT NULL"), scratch)
 
 
 def closest(pairs: DataFrame) -> DataFrame:
@@ -269,7 +269,7 @@ def closest(pairs: DataFrame) -> DataFrame:
     return ends.groupBy("end").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct()
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, salt: int) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, salt: int, scratch: str) -> DataFrame:
     """The pairs (a, b) that link, decided exactly on the sets of shingles.
 
     Only the texts of the pairs' representatives are read again and moved: texts are smaller than sets. A bitmap of
@@ -277,7 +277,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, salt: int) -
     the tasks of a; a class with many partners is dealt over several of them, STAR partners each.
     """
     rep = lambda x: classes.select(F.col("class").alias(x), F.col("rep").alias(f"rep_{x}"))
-    near = saved(pairs.select("a", "b").join(rep("a"), "a").join(rep("b"), "b"))
+    near = stored(pairs.select("a", "b").join(rep("a"), "a").join(rep("b"), "b"), scratch)
     slot = F.pmod(F.xxhash64("rep"), F.lit(1 << BITMAP_BITS))
     bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
     wanted = near.select(F.explode(F.array("rep_a", "rep_b")).alias("rep"))
@@ -314,29 +314,29 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, salt: int) -
                 yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(2)], ["a", "b"])
 
     met = left.union(right).repartition(partitions(docs.sparkSession), "a", "part").sortWithinPartitions("a", "part", "kind")
-    return saved(met.mapInArrow(compare, "a long, b long").distinct())
+    return stored(met.mapInArrow(compare, "a long, b long").distinct(), scratch)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: str) -> DataFrame:
     """The smallest node reachable from every node of the edges (a, b): ``node`` and ``root``.
 
     Every round takes the least label of the neighbours and then the label of that label, so long chains
-    shrink by jumps; each round's table is a checkpoint.
+    shrink by jumps; each round's table is written and read back.
     """
-    both = saved(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), scratch)
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), scratch)
     while True:
         least = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = labels.join(least, "node").select("node", F.least("root", "near").alias("root"))
         jump = step.join(labels.select(F.col("node").alias("root"), F.col("root").alias("far")), "root").select("node", F.least("root", "far").alias("root"))
-        after = saved(jump)
+        after = stored(jump, scratch)
         changed = after.join(labels.withColumnRenamed("root", "old"), "node").where("root <> old").limit(1).count()
         labels = after
         if not changed:
             return labels
 
 
-def cross_pairs(found: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+def cross_pairs(found: DataFrame, classes: DataFrame, labels: DataFrame, scratch: str) -> DataFrame:
     """Plausible pairs within a bucket whose classes are not yet in one component.
 
     Buckets that lie in one component need no further look. Of the others, blocks of at most BUCKET classes meet
@@ -344,18 +344,20 @@ def cross_pairs(found: DataFrame, classes: DataFrame, labels: DataFrame) -> Data
     """
     large = found.where("block > 0").select("bucket").distinct()
     # The only pair of a bucket of two has been a star pair.
-    rows = saved(found.join(large.withColumn("large", F.lit(True)), "bucket", "left").where("large OR size(classes) > 2").withColumn("row", F.monotonically_increasing_id()))
-    members = saved(rows.select("row", F.explode("classes").alias("class")).join(labels.select(F.col("node").alias("class"), "root"), "class", "left").select("row", "class", F.coalesce("root", "class").alias("root")))
+    rows = stored(found.join(large.withColumn("large", F.lit(True)), "bucket", "left").where("large OR size(classes) > 2").withColumn("row", F.monotonically_increasing_id()), scratch)
+    members = stored(rows.select("row", F.explode("classes").alias("class")).join(labels.select(F.col("node").alias("class"), "root"), "class", "left").select("row", "class", F.coalesce("root", "class").alias("root")), scratch)
     # A small bucket is one row; the blocks of a large one are judged together.
     keyed = rows.select("row", F.struct(F.when(F.col("large"), F.col("bucket")).alias("bucket"), F.when(F.col("large").isNull(), F.col("row")).alias("row")).alias("group"))
     span = members.groupBy("row").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     mixed = keyed.join(span, "row").groupBy("group").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list("row").alias("rows")).where("lo <> hi")
     # The number of blocks of one bucket is its size over BUCKET.
     meetings = mixed.select(F.explode("rows").alias("left"), "rows").select("left", F.explode("rows").alias("right")).where("left <= right")
-    meetings = saved(meetings)
+    meetings = stored(meetings, scratch)
     some = members.join(meetings.select(F.explode(F.array("left", "right")).alias("row")).distinct(), "row", "left_semi")
-    told = saved(some.join(classes.select("class", "n", "sketch"), "class").groupBy("row").agg(F.collect_list(F.struct("class", "root", "n", "sketch")).alias("m")))
-    met = meetings.join(told.select(F.col("row").alias("left"), F.col("m").alias("x")), "left").join(told.select(F.col("row").alias("right"), F.col("m").alias("y")), "right").select("x", "y")
+    told = stored(some.join(classes.select("class", "n", "sketch"), "class").groupBy("row").agg(F.collect_list(F.struct("class", "root", "n", "sketch")).alias("m")), scratch)
+    # Most rows meet only themselves and need no join; the rest are the blocks of large buckets.
+    apart = meetings.where("left < right").join(told.select(F.col("row").alias("left"), F.col("m").alias("x")), "left").join(told.select(F.col("row").alias("right"), F.col("m").alias("y")), "right").select("x", "y")
+    met = told.select(F.col("m").alias("x"), F.col("m").alias("y")).union(apart)
 
     def by_length(v: pa.ListScalar) -> dict[int, tuple]:
         """Classes, roots, sizes and sketches of a block, by the length of the sketch."""
@@ -412,46 +414,49 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    spark = docs.sparkSession
+    kept, scratch = shared_folder(spark, "similar"), shared_folder(spark, "similar-scratch")
     salt = 0
     while True:
-        base = saved(describe(docs, salt))
+        base = stored(describe(docs, salt), kept)
         full = base.where("n > 0")
-        classes = saved(full.groupBy("class").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), (F.min("check") != F.max("check")).alias("torn")))
+        classes = stored(full.groupBy("class").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), (F.min("check") != F.max("check")).alias("torn")), kept)
         if not classes.where("torn").limit(1).count():
             break
         salt += 1  # two different sets with one fingerprint: take others
-    spark = docs.sparkSession
-    found = saved(buckets(docs, frequent_keys(docs, salt), salt))
+    found = stored(buckets(docs, frequent_keys(docs, salt), salt), scratch)
     release(spark)
     # The least class of a bucket (of all blocks of a large one) is paired with all others that its size allows.
     least = found.where("block > 0").select("bucket").distinct().join(found.select("bucket", F.struct(F.col("classes")[0].alias("a"), F.col("codes")[0].alias("code")).alias("head")), "bucket").groupBy("bucket").agg(F.min("head").alias("head"))
     each = F.explode(F.arrays_zip("classes", "codes")).alias("e")
     heads = found.join(maybe_broadcast(least), "bucket", "left").select(F.coalesce("head", F.struct(F.col("classes")[0].alias("a"), F.col("codes")[0].alias("code"))).alias("head"), each)
     pairs = heads.where((F.col("head.a") != F.col("e.classes")) & (F.abs(F.col("head.code") - F.col("e.codes")) <= SIZE_GAP)).select("head.a", F.col("e.classes").alias("b")).distinct()
-    star = plausible(pairs, classes)
+    star = plausible(pairs, classes, scratch)
     # The closest pair of each class draws groups together; other pairs count only across components.
-    first = saved(closest(star))
-    links = verified(first, classes, docs, salt)
+    first = stored(closest(star), scratch)
+    links = verified(first, classes, docs, salt, scratch)
     release(spark)
-    labels = components(links)
+    labels = components(links, scratch)
 
     def across(pairs: DataFrame) -> DataFrame:
         root = lambda x: labels.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
         joined = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
         return joined.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "far")
 
-    rest = saved(cross_pairs(found, classes, labels).union(across(star)).groupBy("a", "b").agg(F.min("far").alias("far")).join(first, ["a", "b"], "left_anti"))
+    rest = stored(cross_pairs(found, classes, labels, scratch).union(across(star)).groupBy("a", "b").agg(F.min("far").alias("far")).join(first, ["a", "b"], "left_anti"), scratch)
     for some in (closest, None):
         # Once more the closest pairs first; then all that still lie across two components.
-        tried = saved(some(rest) if some else rest.select("a", "b"))
-        more = verified(tried, classes, docs, salt)
+        tried = stored(some(rest) if some else rest.select("a", "b"), scratch)
+        more = verified(tried, classes, docs, salt, scratch)
         release(spark)
         if more.limit(1).count():
-            links = saved(links.union(more))
-            labels = components(links)
-            rest = saved(across(rest.join(tried, ["a", "b"], "left_anti"))) if some else rest
+            links = stored(links.union(more), scratch)
+            labels = components(links, scratch)
+            rest = stored(across(rest.join(tried, ["a", "b"], "left_anti")), scratch) if some else rest
         elif some:
-            rest = saved(rest.join(tried, ["a", "b"], "left_anti"))
+            rest = stored(rest.join(tried, ["a", "b"], "left_anti"), scratch)
+    labels = stored(labels, kept)
+    remove_folder(spark, scratch)
     known = classes.join(labels.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "rep", F.coalesce("root", "class").alias("root"))
     ids = known.groupBy("root").agg(F.min("rep").alias("component"))
     told = known.join(ids, "root").select("class", F.col("rep").alias("class_id"), F.col("component").alias("component_id"))
@@ -463,7 +468,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those that have a similar one of smaller id: one of each component stays."""
-    gone = saved(similar_documents(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct())
+    gone = stored(similar_documents(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), shared_folder(docs.sparkSession, "gone"))
     return docs.join(maybe_broadcast(gone), id_col, "left_anti").select(*docs.columns)
 
 
