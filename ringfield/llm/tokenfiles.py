@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,9 +28,11 @@ ENCODED_AT_ONCE = 8192
 # -- tokenising ------------------------------------------------------------------------------------
 
 
-def piece_starts(b: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def piece_starts(b: np.ndarray, offsets: np.ndarray, added: list[tuple[int, int]] = ()) -> np.ndarray:
     """Offsets at which the byte-level pattern always splits, so that the pieces can be encoded one by one.
 
+    ``added`` has the first and last offsets of the added tokens in the texts; each is a piece of its own.
+
     Such places are: a letter before ASCII punctuation, a visible character before a space or line feed
     that opens a white-space run, and a visible character after a lone line feed. Elsewhere pieces stay
     joined, which costs repeats, never correctness.
@@ -48,6 +51,10 @@ def piece_starts(b: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         seen = (k > 0) | latin
         flag[1:] = seen[:-1] & ((b[1:] == 32) | (b[1:] == 10)) | letter[:-1] & (k[1:] == 4)
         flag[2:] |= (b[1:-1] == 10) & seen[:-2] & ((k[2:] > 0) | (b[2:] == 0xC3))
+    for begin, end in added:
+        flag[begin:end] = False
+        flag[begin] = True
+        flag[end : end + 1] = True
     flag[offsets[:-1][offsets[:-1] < n]] = True
     return np.flatnonzero(flag)
 
@@ -61,7 +68,10 @@ class Encoder:
 
         self.path = path
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        tokens = self.tokenizer.get_added_tokens_decoder().values()
+        #: The library takes added tokens out of a text before its pattern splits the rest; the longest at the first place wins.
+        self.added = re.compile(b"|".join(re.escape(x.content.encode()) for x in sorted(tokens, key=lambda x: -len(x.content.encode())))) if tokens else None
+        self.whole = any(x.lstrip or x.rstrip or x.single_word or x.normalized for x in tokens)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.clear()
 
@@ -71,7 +81,7 @@ class Encoder:
     def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, ``end_id`` after every text, and the offsets of the texts in them."""
         t = Texts(column)
-        starts = piece_starts(t.bytes, t.offsets)
+        starts = piece_starts(t.bytes, t.offsets, self.added_in(t))
         bounds = np.append(starts, len(t.bytes)).astype(np.int64)
         pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(t.bytes))).dictionary_encode()
         words, which = pieces.dictionary, pieces.indices.to_numpy(zero_copy_only=False)
@@ -99,6 +109,14 @@ class Encoder:
         out[np.arange(run[-1]) + np.repeat(np.arange(len(t)), np.diff(at))] = self.ids[gather]
         return out, at + np.arange(len(t) + 1)
 
+    def added_in(self, t: Texts) -> list[tuple[int, int]]:
+        """First and last offsets of the added tokens in the texts; if some tokens depend on what is beside them, of whole texts instead."""
+        if self.added is None or not self.added.search(t.bytes):
+            return []
+        texts = [(a, b) for a, b in zip(t.offsets[:-1].tolist(), t.offsets[1:].tolist(), strict=True) if b > a]
+        if self.whole:
+            return [(a, b) for a, b in texts if self.added.search(t.bytes, a, b)]
+        return [m.span() for a, b in texts for m in self.added.finditer(t.bytes, a, b)]
 
     def _encode(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids and ids of the pieces, some thousand at a time: the library's results are large objects."""

@@ -148,6 +148,28 @@ def test_pieces_never_change_the_ids():
         assert ids[at[k] : at[k + 1]].tolist() == [*w.ids, 2], repr(texts[k] if k < len(texts) else None)
 
 
+def test_ids_are_those_of_the_library_as_it_comes(tmp_path):
+    """Added tokens in a text are single ids, wherever they stand."""
+    from tokenizers import AddedToken, Tokenizer
+
+    path, end = tokenfiles.default_tokenizer(), "<|endoftext|>"
+    fresh, rng = Tokenizer.from_file(path), random.Random(8)
+    parts = [end, end, "<|endof", "text|>", "endoftext", "a", "é", " ", "  ", "\n", "<", "|", ">", "don't", "12", "你"]
+    texts = [f"end {end} start", end, end * 3, f"<|endoftext{end}|>", "<|endof", f"text|>{end}", f"x  {end}\n\n{end}  y"] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(2000)]
+    ids, at = tokenfiles.Encoder(path).encode(pa.array(texts), 2)
+    for k, text in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == [*fresh.encode(text, add_special_tokens=False).ids, 2], repr(text)
+    assert ids[at[0] : at[1]].tolist() == [437, 220, 50256, 923, 2]
+    for stripped, normal in ((False, False), (True, False), (False, True)):  # several tokens, one a part of another; tokens that take white space along
+        more = Tokenizer.from_file(path)
+        more.add_tokens([AddedToken("<|endof", lstrip=stripped, normalized=normal), AddedToken("é <", rstrip=stripped, normalized=normal)])
+        more.save(with_more := str(tmp_path / f"{stripped}-{normal}.json"))
+        again = Tokenizer.from_file(with_more)
+        ids, at = tokenfiles.Encoder(with_more).encode(pa.array(texts), 2)
+        for k, text in enumerate(texts):
+            assert ids[at[k] : at[k + 1]].tolist() == [*again.encode(text, add_special_tokens=False).ids, 2], repr(text)
+
+
 def test_code_is_optimal_and_limited():
     rng = np.random.default_rng(1)
     for n, limit in ((1, 4), (2, 4), (5, 3), (16, 4), (1000, 12), (3000, 18)):
