@@ -67,7 +67,7 @@ def costmap_resample(spark, d):
 
 
 def costmap_inflate(spark, d):
-    return D.inflate(raster(spark, d)).where("frame_id < 2").select("frame_id", "ix", "iy", F.round("trav", 6).alias("trav"), "class_id")
+    return D.inflate(raster(spark, d)).select("frame_id", "ix", "iy", F.round("trav", 6).alias("trav"), "class_id")
 
 
 def predicted(spark, d):
@@ -122,10 +122,10 @@ def bbox_classify(spark, d):
 
 
 def lattice_resample(spark, d):
-    """A 2 m lattice over the footprint of frame 0, each point with the map cell that covers it."""
-    c = O.cell_map(pts_wide(spark, d).where("frame_id = 0"))
+    """A 2 m lattice over the footprint of every frame, each point with the map cell that covers it."""
+    c = O.cell_map(pts_wide(spark, d))
     xy = spark.range(81 * 81).select(((F.col("id") / 81).cast("int") * 2.0 - 80.0).alias("x"), ((F.col("id") % 81) * 2.0 - 80.0).alias("y"))
-    return project(xy).join(c.select("cell_id", "class_id", "n"), "cell_id").select("x", "y", "cell_id", "class_id", "n")
+    return project(xy).join(c.select("frame_id", "cell_id", "class_id", "n"), "cell_id").select("frame_id", "x", "y", "cell_id", "class_id", "n")
 
 
 def ray_grid(spark, d):
