@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Texts, blocks, gram_hashes, maybe_broadcast, mix, partitions, release, remove_folder, shared_folder, small_batches, spans_of, stored, table_of, word_hashes
+from .common import Texts, blocks, fresh, gram_hashes, maybe_broadcast, mix, partitions, release, remove_folder, shared_folder, small_batches, spans_of, stored, table_of, word_hashes
 
 #: Words of a shingle; documents link at intersection/union >= 3/4 (the bounds below are derived for it).
 WORDS = 5
@@ -467,11 +467,29 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those that have a similar one of smaller id: one of each component stays."""
+    """The documents without those that have a similar one of smaller id: one of each component stays.
+
+    Where ids are repeated or null, rows get keys of their own: of the rows of a component with the least id, or of those
+    without an id if all are, one stays, by a hash of its text. Rows without shingles all stay.
+    """
+    if docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(id_col).isNull()).limit(1).count():
+        return _keep_one_row(docs, id_col, text_col)
     gone = stored(similar_documents(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), shared_folder(docs.sparkSession, "gone"))
     return docs.join(maybe_broadcast(gone), id_col, "left_anti").select(*docs.columns)
 
 
+def _keep_one_row(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``keep_one`` by keys of the rows, which are written once so that they stay the same."""
+    key, folder = fresh(docs, "key"), shared_folder(docs.sparkSession, "gone")
+    rows = stored(docs.withColumn(key, F.monotonically_increasing_id()), folder)
+    told = similar_documents(rows, key, text_col).select(key, F.col("component_id").alias("component"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "hash", key)
+    names = rows.select(key, F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+    stay = told.join(names, key).groupBy("component").agg(F.min(order)[key].alias(key))
+    gone = stored(told.select(key).join(stay.select(key), key, "left_anti"), folder)
+    return rows.join(maybe_broadcast(gone), key, "left_anti").select(*docs.columns)
+
+
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return found.select("doc_id", "n_shingles", "component_id", "class_id")

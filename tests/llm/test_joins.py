@@ -198,3 +198,14 @@ def test_many_nested_rules(spark):
     for r in got:
         fits = [(len(h + p), len(h)) for (h, p), _ in rules if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
         assert (len(r.rule) if r.rule else None) == (max(fits)[0] if fits else None)
+
+
+def test_one_of_each_component_stays_where_ids_are_repeated_or_null(spark):
+    """Rows, not ids, are kept and dropped: a clean text under the id of a copy stays, and copies with one id or none go."""
+    a, b, c, d, e = (" ".join(f"{t}{k}" for k in range(40)) for t in "abcde")
+    near = b + " b40"
+    rows = [(1, a, 0), (2, a, 0), (2, c, 0), (5, d, 0), (5, d, 0), (5, d, 0), (None, e, 0), (None, e, 0), (None, b, 0), (7, near, 0), (7, None, 0), (None, None, 0), (None, "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key int").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in simjoin.keep_one(docs).collect()), key=repr)
+    assert got == sorted([(1, a), (2, c), (5, d), (None, e), (7, near), (7, None), (None, None), (None, "")], key=repr)
+    assert simjoin.keep_one(docs).columns == docs.columns
