@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Texts, blocks, fresh, gram_hashes, maybe_broadcast, mix, partitions, release, remove_folder, shared_folder, small_batches, spans_of, stored, table_of, word_hashes
@@ -17,8 +17,14 @@ WORDS = 5
 #: Documents of which one in ORDER_SAMPLE, chosen by hash, is counted to find frequent keys, the count from which a key
 #: is frequent, and how many of them are broadcast at most. They only set the order of a document's keys.
 ORDER_SAMPLE, FREQUENT, FREQUENT_MOST = 8, 3, 1 << 20
-#: Documents of one bucket that are written in one row; larger buckets go in blocks of so many.
+#: Classes of one bucket that are written in one row and compared at once; larger buckets go in several rows.
 BUCKET = 256
+#: Classes that one task gathers for one key (by the counted sample); keys of more are dealt over several tasks.
+HOT_KEY = 1 << 18
+#: Classes (or small buckets) that a task remembers so as not to send them twice.
+SEEN = 1 << 17
+#: Pairs that a meeting gives for each two components, round by round; after these rounds it gives all.
+GROWTH = (1, 8, 128)
 #: Sizes travel as 16-bit codes, logarithms to this base; sizes within 4/3 have codes at most SIZE_GAP apart.
 SIZE_BASE, SIZE_GAP = 1.0005, 577
 #: Fewest 64-bit words of the bit sketch that each class keeps; it has at least as many bits as the set has shingles.
@@ -135,8 +141,11 @@ def describe(docs: DataFrame, salt: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, class long, check long, n long, sketch array<long>")
 
 
-def frequent_keys(docs: DataFrame, salt: int) -> np.ndarray:
-    """Keys that many classes show, counted on one document in ORDER_SAMPLE. They only order the keys of a document."""
+def frequent_keys(docs: DataFrame, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that many classes show, sorted, and about how many, counted on one document in ORDER_SAMPLE.
+
+    They order the keys of a document, and spread the keys of more than HOT_KEY classes over several tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -144,28 +153,47 @@ def frequent_keys(docs: DataFrame, salt: int) -> np.ndarray:
             for b in blocks(whole, "text"):
                 keys = [np.zeros(0, np.uint64)]
                 for s in shingle_sets(b.column(1)):
-                    if len(s) > 2 and (c := _class_id(s, salt)[0]) not in seen:
-                        seen.add(c)
+                    if len(s) > 2 and _new(seen, c := _class_id(s, salt)[0]):
                         # Later words than these hardly ever come among the first.
                         keys += [parity_words(s, level)[: len(s) // 2 + 2] for level in levels_of(len(s))]
                 k, n = np.unique(np.concatenate(keys), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n, pa.int64())], ["key", "n"])
 
     sample = docs.where(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(ORDER_SAMPLE)) == 0)
-    found = sample.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "key").limit(FREQUENT_MOST).select("key")
-    return np.sort(np.array([r[0] for r in found.collect()], np.int64).view(np.uint64))
+    found = sample.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "key").limit(FREQUENT_MOST).toArrow()
+    keys, n = found.column("key").to_numpy().view(np.uint64), found.column("n").to_numpy() * ORDER_SAMPLE
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def _new(seen: set[int], c: int) -> bool:
+    """Whether a class was not seen lately: its keys go out once for most of its copies (a second time does no harm)."""
+    if c in seen:
+        return False
+    if len(seen) >= SEEN:
+        seen.clear()
+    seen.add(c)
+    return True
 
 
-def buckets(docs: DataFrame, frequent: np.ndarray, salt: int) -> DataFrame:
-    """The classes that share a key: rows of ``bucket``, ``block``, sorted ``classes`` (at most BUCKET) and their size ``codes``.
+def buckets(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], salt: int) -> DataFrame:
+    """The classes that share a key: rows of ``bucket``, ``large`` and sorted ``classes`` (at most BUCKET).
 
     Each task sends the keys of a class once, packed by target partition: a few rows of bytes for each target
     instead of a row for each key. A target sorts its keys and writes the buckets of two or more classes, cut
     where the next larger size is out of reach; equal small buckets (many keys of one group of near
-    copies) are written once.
+    copies) are written once. Larger buckets are ``large`` and come in several rows; so are keys of
+    more than HOT_KEY classes, which are dealt over several targets.
     """
     spark = docs.sparkSession
     targets = max(partitions(spark), 1)
+    frequent = known[0]
+    hot = known[1] > HOT_KEY
+    hot, dealt = frequent[hot], -(-known[1][hot] // HOT_KEY)
+
+    def among(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.minimum(np.searchsorted(hot, k), len(hot) - 1)
+        return place, hot[place] == k
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -173,7 +201,11 @@ def buckets(docs: DataFrame, frequent: np.ndarray, salt: int) -> DataFrame:
 
         def packed() -> Iterator[pa.RecordBatch]:
             k, c, z = np.concatenate(keys), np.concatenate(classes), np.concatenate(codes)
-            to = (k % np.uint64(targets)).astype(np.int32)
+            spread = k
+            if len(hot):
+                place, is_hot = among(k)
+                spread = np.where(is_hot, k + mix(c.view(np.uint64)) % dealt[place].astype(np.uint64), k)
+            to = (spread % np.uint64(targets)).astype(np.int32)
             order = np.argsort(to, kind="stable")
             k, c, z, to = k[order], c[order], z[order], to[order]
             cut = np.flatnonzero(np.diff(to, prepend=-1))
@@ -185,8 +217,7 @@ def buckets(docs: DataFrame, frequent: np.ndarray, salt: int) -> DataFrame:
             for b in blocks(whole, "text"):
                 for s in shingle_sets(b.column(1)):
                     # A set of at most two shingles has no partner but its equals.
-                    if len(s) > 2 and (c := _class_id(s, salt)[0]) not in seen:
-                        seen.add(c)
+                    if len(s) > 2 and _new(seen, c := _class_id(s, salt)[0]):
                         own = probe_keys(s, frequent)
                         keys.append(own)
                         classes.append(np.full(len(own), c, np.int64))
@@ -211,21 +242,24 @@ def buckets(docs: DataFrame, frequent: np.ndarray, salt: int) -> DataFrame:
         # The rows of a class that several tasks have sent stand together.
         kept = ~(same & (np.diff(c, prepend=c[:1]) == 0) & (np.diff(z, prepend=z[:1]) == 0))
         k, c, z, same = k[kept], c[kept], z[kept], same[kept]
-        first = np.flatnonzero(~same | (np.diff(z, prepend=z[:1]) > SIZE_GAP))
+        wide = among(k)[1] if len(hot) else np.zeros(len(k), bool)
+        first = np.flatnonzero(~same | ~wide & (np.diff(z, prepend=z[:1]) > SIZE_GAP))
         size = np.diff(np.append(first, len(k)))
+        some = (size > 1) | wide[first]
         small: set[bytes] = set()
-        out: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-        for a, n in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-            by = np.argsort(c[a : a + n])
-            group, codes = c[a : a + n][by], z[a : a + n][by]
-            name = int((k[a] + np.uint64(z[a])).view(np.int64))
-            if n <= BUCKET:
+        out: list[tuple[int, bool, np.ndarray]] = []
+        for a, n in zip(first[some].tolist(), size[some].tolist(), strict=True):
+            group = np.sort(c[a : a + n])
+            if n <= BUCKET and not wide[a]:
                 raw = group.tobytes()
                 if raw not in small:
+                    if len(small) >= SEEN:
+                        small.clear()
                     small.add(raw)
-                    out.append((name, 0, group, codes))
+                    out.append((0, False, group))
             else:
-                out += [(name, j // BUCKET, group[j : j + BUCKET], codes[j : j + BUCKET]) for j in range(0, n, BUCKET)]
+                name = int(k[a : a + 1].view(np.int64)[0]) if wide[a] else int((k[a : a + 1] + np.uint64(z[a])).view(np.int64)[0])
+                out += [(name, True, group[j : j + BUCKET]) for j in range(0, n, BUCKET)]
             if len(out) > 2000:
                 yield batch(out)
                 out = []
@@ -233,34 +267,10 @@ def buckets(docs: DataFrame, frequent: np.ndarray, salt: int) -> DataFrame:
             yield batch(out)
 
     def batch(out: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), *[pa.array([o[k] for o in out], pa.list_(pa.int64())) for k in (2, 3)]], ["bucket", "block", "classes", "codes"])
+        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.bool_()), pa.array([o[2] for o in out], pa.list_(pa.int64()))], ["bucket", "large", "classes"])
 
     sent = docs.mapInArrow(send, "target int, keys binary, classes binary, codes binary")
-    return sent.repartition(targets, "target").mapInArrow(meet, "bucket long, block int, classes array<long>, codes array<long>")
-
-
-def _hamming(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-
-
-def _fold(a: Column) -> Column:
-    half = (F.size(a) / 2).cast("int")
-    return F.zip_with(F.slice(a, F.lit(1), half), F.slice(a, half + 1, half), lambda x, y: x.bitwiseXOR(y))
-
-
-def _closeness() -> Column:
-    """The Hamming distance over both sizes, null where sizes or sketches rule a similarity of 3/4 out (it is above 1/7)."""
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    a, b = F.col("sketch_a"), F.col("sketch_b")
-    far = F.when(F.size(a) == F.size(b), _hamming(a, b)).when(F.size(a) > F.size(b), _hamming(_fold(a), b)).otherwise(_hamming(a, _fold(b)))
-    # Sizes within 4/3 have sketches of equal length or one of twice the other's.
-    return F.when(4 * small >= 3 * large, F.when(7 * far <= F.col("n_a") + F.col("n_b"), far / (F.col("n_a") + F.col("n_b"))))
-
-
-def plausible(pairs: DataFrame, classes: DataFrame, scratch: str) -> DataFrame:
-    """The pairs (a, b) that sizes and sketches allow, with their closeness (``far``)."""
-    side = lambda x: classes.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    return stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", _closeness().alias("far")).where("far IS NOT NULL"), scratch)
+    return sent.repartition(targets, "target").mapInArrow(meet, "bucket long, large boolean, classes array<long>")
 
 
 def closest(pairs: DataFrame) -> DataFrame:
@@ -336,66 +346,191 @@ def components(edges: DataFrame, scratch: str) -> DataFrame:
             return labels
 
 
-def cross_pairs(found: DataFrame, classes: DataFrame, labels: DataFrame, scratch: str) -> DataFrame:
-    """Plausible pairs within a bucket whose classes are not yet in one component.
+def rooted(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members (with a column ``class``) and the component that each is known to be in: at first itself."""
+    return members.join(labels.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+
 
-    Buckets that lie in one component need no further look. Of the others, blocks of at most BUCKET classes meet
-    block by block; each meeting compares sketches in numpy and emits only what sizes and sketches allow.
+def gatherings(large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of at most about BUCKET classes that bring large groups together: each class goes to its largest bucket only."""
+    size = large.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    best = large.join(maybe_broadcast(size), "bucket").groupBy("class").agg(F.max(F.struct("size", "bucket")).alias("best"))
+    part = F.pmod(F.xxhash64("class"), F.ceil(F.col("best.size") / BUCKET))
+    members = best.select(F.xxhash64("best.bucket", part).alias("row"), "class")
+    return members, members.select(F.col("row").alias("left"), F.col("row").alias("right")).distinct()
+
+
+def meetings_of(small: DataFrame, large: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All rows of classes (``row``, ``class``) that can hold a link across two components, and which rows meet (``left``, ``right``).
+
+    A small bucket is one row that meets itself. The classes of a large bucket are split into those of its
+    largest component and the rest, both in rows of about BUCKET classes; two rows of the largest component do not meet.
     """
-    large = found.where("block > 0").select("bucket").distinct()
-    # The only pair of a bucket of two has been a star pair.
-    rows = stored(found.join(large.withColumn("large", F.lit(True)), "bucket", "left").where("large OR size(classes) > 2").withColumn("row", F.monotonically_increasing_id()), scratch)
-    members = stored(rows.select("row", F.explode("classes").alias("class")).join(labels.select(F.col("node").alias("class"), "root"), "class", "left").select("row", "class", F.coalesce("root", "class").alias("root")), scratch)
-    # A small bucket is one row; the blocks of a large one are judged together.
-    keyed = rows.select("row", F.struct(F.when(F.col("large"), F.col("bucket")).alias("bucket"), F.when(F.col("large").isNull(), F.col("row")).alias("row")).alias("group"))
-    span = members.groupBy("row").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    mixed = keyed.join(span, "row").groupBy("group").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list("row").alias("rows")).where("lo <> hi")
-    # The number of blocks of one bucket is its size over BUCKET.
-    meetings = mixed.select(F.explode("rows").alias("left"), "rows").select("left", F.explode("rows").alias("right")).where("left <= right")
-    meetings = stored(meetings, scratch)
-    some = members.join(meetings.select(F.explode(F.array("left", "right")).alias("row")).distinct(), "row", "left_semi")
-    told = stored(some.join(classes.select("class", "n", "sketch"), "class").groupBy("row").agg(F.collect_list(F.struct("class", "root", "n", "sketch")).alias("m")), scratch)
-    # Most rows meet only themselves and need no join; the rest are the blocks of large buckets.
-    apart = meetings.where("left < right").join(told.select(F.col("row").alias("left"), F.col("m").alias("x")), "left").join(told.select(F.col("row").alias("right"), F.col("m").alias("y")), "right").select("x", "y")
-    met = told.select(F.col("m").alias("x"), F.col("m").alias("y")).union(apart)
-
-    def by_length(v: pa.ListScalar) -> dict[int, tuple]:
-        """Classes, roots, sizes and sketches of a block, by the length of the sketch."""
-        x = v.values
-        words = x.field("sketch")
-        lens = np.diff(words.offsets.to_numpy())
-        c, r, n = (x.field(f).to_numpy(zero_copy_only=False) for f in ("class", "root", "n"))
-        out = {}
-        for size in np.unique(lens).tolist():
-            at = np.flatnonzero(lens == size)
-            out[size] = (c[at], r[at], n[at], words.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), size).view(np.uint64))
+    own = rooted(small, labels)
+    mixed = own.groupBy("row").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("row")
+    pieces = rooted(large, labels)
+    shares = pieces.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("size"))
+    shares = shares.select("bucket", F.col("top.root").alias("main"), F.ceil(F.col("top.n") / BUCKET).alias("main_rows"), F.ceil((F.col("size") - F.col("top.n")) / BUCKET).alias("rest_rows")).where("rest_rows > 0")
+    name = lambda kind, part: F.xxhash64("bucket", F.lit(kind), part)
+    part = lambda n: F.pmod(F.xxhash64("class"), F.col(n))
+    split = pieces.join(maybe_broadcast(shares), "bucket").select(F.when(F.col("root") == F.col("main"), name("main", part("main_rows"))).otherwise(name("rest", part("rest_rows"))).alias("row"), "class")
+    each = shares.select("bucket", "main_rows", "rest_rows", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rest_rows") - 1)).alias("i"))
+    other = lambda kind, lo, n: each.select("bucket", "i", F.explode(F.sequence(lo, F.col(n) - 1)).alias("j")).select(name("rest", F.col("i")).alias("left"), name(kind, F.col("j")).alias("right"))
+    meetings = mixed.select(F.col("row").alias("left"), F.col("row").alias("right")).union(other("rest", F.col("i"), "rest_rows")).union(other("main", F.lit(0).cast("long"), "main_rows"))
+    return own.join(mixed, "row", "left_semi").select("row", "class").union(split), meetings
+
+
+class _Members:
+    """The lists of a column of classes with component, size and sketch as flat arrays."""
+
+    def __init__(self, column: pa.ListArray):
+        v, words = column.values, column.values.field("sketch")
+        self.at, self.cut = column.offsets.to_numpy(), words.offsets.to_numpy()
+        self.words = words.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        self.columns = [v.field(f).to_numpy(zero_copy_only=False) for f in ("class", "root", "n")]
+
+    def of(self, k: int) -> dict[int, tuple[np.ndarray, ...]]:
+        """Classes, roots, sizes and sketches of list k, by the length of the sketch."""
+        lo, hi = int(self.at[k]), int(self.at[k + 1])
+        lens, out = np.diff(self.cut[lo : hi + 1]), {}
+        for size in set(lens.tolist()):
+            at = lo + np.flatnonzero(lens == size)
+            out[size] = (*[x[at] for x in self.columns], self.words[self.cut[at][:, None] + np.arange(size)])
         return out
 
-    def fold(k: np.ndarray, size: int) -> np.ndarray:
-        return k if k.shape[1] == size else k[:, :size] ^ k[:, size:]
+
+def _plausible(xs: dict, ys: dict | None) -> list[np.ndarray]:
+    """Pairs of classes of two lists (of one: ys is None) in different components that sizes and sketches allow.
+
+    Arrays: both classes (smaller first), both roots, and the Hamming distance of the sketches over both sizes (above 1/7 the
+    similarity is below 3/4).
+    """
+    found: list[list[np.ndarray]] = []
+    for s, (c, r, n, k) in xs.items():
+        for t in (s, 2 * s) if ys is None else (s // 2, s, 2 * s):
+            # Sizes within 4/3 have sketches of equal length or one of twice the other's.
+            if t not in (xs if ys is None else ys):
+                continue
+            c2, r2, n2, k2 = (xs if ys is None else ys)[t]
+            fits = (r[:, None] != r2) & (4 * np.minimum(n[:, None], n2) >= 3 * np.maximum(n[:, None], n2))
+            i, j = np.nonzero(np.triu(fits) if ys is None and t == s else fits)
+            half = lambda w, size: w if w.shape[1] == size else w[:, :size] ^ w[:, size:]
+            u, w = half(k, min(s, t)), half(k2, min(s, t))
+            step = max(1, (1 << 19) // min(s, t))
+            for at in range(0, len(i), step):
+                p, q = i[at : at + step], j[at : at + step]
+                both = n[p] + n2[q]
+                far = np.bitwise_count(u[p] ^ w[q]).sum(axis=1, dtype=np.int64)
+                p, q, far = p[fine := 7 * far <= both], q[fine], far[fine] / both[fine]
+                found.append([np.minimum(c[p], c2[q]), np.maximum(c[p], c2[q]), r[p], r2[q], far])
+    return [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 4 + [np.zeros(0)]
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Positions of the edges (a, b), taken in order, that join two trees; nodes are small numbers."""
+    parent, kept, trees = list(range(int(max(a.max(), b.max())) + 1)), [], len(np.unique(np.concatenate([a, b])))
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        while parent[y] != y:
+            parent[y] = y = parent[parent[y]]
+        if x != y:
+            parent[x] = y
+            kept.append(k)
+            if len(kept) == trees - 1:
+                break
+    return kept
+
+
+def candidates(members: DataFrame, meetings: DataFrame, labels: DataFrame, classes: DataFrame, refused: DataFrame | None, most: int | None, scratch: str) -> DataFrame:
+    """The pairs (``m`` for the meeting, ``a``, ``b``, ``far``) to verify next: plausible ones across two components.
+
+    Every meeting compares all its classes in numpy. With ``most`` = 1 it gives its closest pairs that together join
+    all components that can be joined there, one pair less than these are: if they all link, nothing is left to do. Else
+    at most so many for each two components (None: all), without the pairs found wrong before (``refused``).
+    """
+    rows = meetings.select(F.explode(F.array("left", "right")).alias("row")).distinct()
+    full = rooted(members.join(rows, "row", "left_semi"), labels).join(classes.select("class", "n", "sketch"), "class")
+    told = stored(full.groupBy("row").agg(F.collect_list(F.struct("class", "root", "n", "sketch")).alias("list")), scratch)
+    side = lambda k, x: told.select(F.col("row").alias(k), F.col("list").alias(x))
+    alone = meetings.where("left = right").join(side("left", "x"), "left").select("left", "right", "x", F.expr("if(true, null, x)").alias("y"))
+    apart = meetings.where("left <> right").join(side("left", "x"), "left").join(side("right", "y"), "right").select("left", "right", "x", "y")
+    met = alone.union(apart).withColumn("m", F.xxhash64("left", "right"))
+    if refused is None:
+        met = met.select("m", "x", "y", F.expr("cast(null AS array<struct<a: bigint, b: bigint>>)").alias("no"))
+    else:
+        met = met.join(refused.groupBy("m").agg(F.collect_list(F.struct("a", "b")).alias("no")), "m", "left").select("m", "x", "y", "no")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out, share = [np.zeros((0, 2), np.int64)], [np.zeros(0)]
-            for left, right in zip(b.column(0), b.column(1), strict=True):
-                xs, ys = by_length(left), by_length(right)
-                for s, (c, r, n, k) in xs.items():
-                    for s2 in (s // 2, s, 2 * s):
-                        if s2 not in ys:
-                            continue
-                        c2, r2, n2, k2 = ys[s2]
-                        i, j = np.nonzero((r[:, None] != r2) & (4 * np.minimum(n[:, None], n2) >= 3 * np.maximum(n[:, None], n2)))
-                        u, w = fold(k, min(s, s2)), fold(k2, min(s, s2))
-                        for at in range(0, len(i), 4096):
-                            p, q = i[at : at + 4096], j[at : at + 4096]
-                            far = np.bitwise_count(u[p] ^ w[q]).sum(axis=1, dtype=np.int64)
-                            fine = 7 * far <= n[p] + n2[q]
-                            share.append(far[fine] / (n[p] + n2[q])[fine])
-                            out.append(np.sort(np.stack([c[p[fine]], c2[q[fine]]], axis=1), axis=1))
-            pairs, at = np.unique(np.concatenate(out), axis=0, return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.concatenate(share)[at])], ["a", "b", "far"])
-
-    return met.mapInArrow(compare, "a long, b long, far double").groupBy("a", "b").agg(F.min("far").alias("far"))
+        for batch in batches:
+            out: list[tuple] = []
+            left, right, two = _Members(batch.column(1)), _Members(batch.column(2)), batch.column(2).is_valid().to_pylist()
+            for k, (m, no) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                a, b, ra, rb, far = _plausible(left.of(k), right.of(k) if two[k] else None)
+                if no and len(a):
+                    wrong = {(p["a"], p["b"]) for p in no}
+                    a, b, ra, rb, far = (v[[p not in wrong for p in zip(a.tolist(), b.tolist(), strict=True)]] for v in (a, b, ra, rb, far))
+                if not len(a):
+                    continue
+                names, at = np.unique(np.concatenate([ra, rb]), return_inverse=True)
+                lo, hi = np.minimum(at[: len(a)], at[len(a) :]), np.maximum(at[: len(a)], at[len(a) :])
+                code = lo * len(names) + hi
+                order = np.lexsort((b, a, far, code))
+                if most:
+                    first = np.flatnonzero(np.diff(code[order], prepend=-1))
+                    place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+                    order = order[place < most]
+                if most == 1:
+                    order = order[np.lexsort((b[order], a[order], far[order]))]
+                    order = order[_forest(lo[order], hi[order])]
+                out.append((np.full(len(order), m), a[order], b[order], far[order]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["m", "a", "b", "far"])
+
+    return stored(met.mapInArrow(compare, "m long, a long, b long, far double").distinct(), scratch)
+
+
+class _Links:
+    """The verified links so far and the components that they make."""
+
+    def __init__(self, classes: DataFrame, docs: DataFrame, salt: int, scratch: str):
+        self.classes, self.docs, self.salt, self.scratch = classes, docs, salt, scratch
+        spark = docs.sparkSession
+        self.links, self.labels = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, root long")
+
+    def across(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that lie across two components."""
+        root = lambda x: self.labels.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+        joined = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+        return joined.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select(*pairs.columns)
+
+    def add(self, pairs: DataFrame) -> None:
+        new = verified(pairs, self.classes, self.docs, self.salt, self.scratch)
+        release(self.docs.sparkSession)
+        if new.limit(1).count():
+            self.links = stored(self.links.union(new), self.scratch)
+            self.labels = components(self.links, self.scratch)
+
+    def join_up(self, members: DataFrame, meetings: DataFrame) -> None:
+        """Verify pairs until no meeting holds two classes that may link and are in two components."""
+        spark, refused = self.docs.sparkSession, None
+        members, meetings = stored(members, self.scratch), stored(meetings, self.scratch)
+        for most in (*GROWTH, None):
+            pairs = candidates(members, meetings, self.labels, self.classes, refused, most, self.scratch)
+            each = pairs.groupBy("a", "b").agg(F.min("far").alias("far"))
+            if refused is not None:
+                each = each.join(refused.select("a", "b").distinct(), ["a", "b"], "left_anti")
+            # The closest pair of each class draws groups together; other pairs count only if they still lie across components.
+            first = stored(closest(each), self.scratch)
+            self.add(first)
+            self.add(stored(self.across(each.select("a", "b").join(first, ["a", "b"], "left_anti")), self.scratch))
+            wrong = stored(self.across(pairs.select("m", "a", "b")), self.scratch)
+            if most is None or not wrong.limit(1).count():
+                break
+            # Only meetings with a pair that was verified and found wrong can hold more.
+            refused = wrong if refused is None else stored(refused.join(wrong.select("m").distinct(), "m", "left_semi").union(wrong), self.scratch)
+            meetings = stored(meetings.withColumn("m", F.xxhash64("left", "right")).join(wrong.select("m").distinct(), "m", "left_semi").drop("m"), self.scratch)
+            release(spark)
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -403,17 +538,22 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Method. Documents with equal sets are one class. Per size band a set's hashes are XOR-ed into the words of
     a parity sketch; sets that are similar enough agree, by the pigeonhole, on one of the first few non-empty words, and
-    a shuffle of these words finds all candidates. The least class of every bucket is
-    paired with the others; pairs that sizes and sketches allow are verified on their sets; the links give
-    components. Then only pairs that share a word across two components are left, and they are verified the same way.
-    So a group of thousands of copies costs a number of pairs in proportion to its size, and no link is lost.
+    a shuffle of these words brings all candidates into common buckets. Buckets with the same classes count once. The
+    classes of a bucket compare sizes and sketches and give the closest pairs that would join their components; these are
+    verified on the sets themselves. Buckets with pairs that proved wrong give more pairs, until no bucket
+    holds a plausible pair across two components. So no link that decides a component is lost, and what
+    a bucket sends on is in proportion to its size.
 
     Returns the id, ``n_shingles``, ``class_id`` (least id with an equal set) and ``component_id`` (least id reachable, itself
     included). Null and empty texts have no shingle and are alone, each with its own id. Rows of equal id
-    each get their row. Ids may not be null. An empty table gives no rows.
+    each get their row. Rows without an id count like others: a class or component with no id at all has a null
+    ``class_id`` or ``component_id``. An empty table gives no rows. Other columns of the table are not looked at. The
+    session's ``spark.sql.execution.arrow.maxBytesPerBatch`` is lowered to 8 MB where it has its default.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if docs.where("id IS NULL").limit(1).count():
+        return _by_row(docs).withColumnRenamed("id", id_col)
     spark = docs.sparkSession
     kept, scratch = shared_folder(spark, "similar"), shared_folder(spark, "similar-scratch")
     salt = 0
@@ -426,36 +566,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         salt += 1  # two different sets with one fingerprint: take others
     found = stored(buckets(docs, frequent_keys(docs, salt), salt), scratch)
     release(spark)
-    # The least class of a bucket (of all blocks of a large one) is paired with all others that its size allows.
-    least = found.where("block > 0").select("bucket").distinct().join(found.select("bucket", F.struct(F.col("classes")[0].alias("a"), F.col("codes")[0].alias("code")).alias("head")), "bucket").groupBy("bucket").agg(F.min("head").alias("head"))
-    each = F.explode(F.arrays_zip("classes", "codes")).alias("e")
-    heads = found.join(maybe_broadcast(least), "bucket", "left").select(F.coalesce("head", F.struct(F.col("classes")[0].alias("a"), F.col("codes")[0].alias("code"))).alias("head"), each)
-    pairs = heads.where((F.col("head.a") != F.col("e.classes")) & (F.abs(F.col("head.code") - F.col("e.codes")) <= SIZE_GAP)).select("head.a", F.col("e.classes").alias("b")).distinct()
-    star = plausible(pairs, classes, scratch)
-    # The closest pair of each class draws groups together; other pairs count only across components.
-    first = stored(closest(star), scratch)
-    links = verified(first, classes, docs, salt, scratch)
-    release(spark)
-    labels = components(links, scratch)
-
-    def across(pairs: DataFrame) -> DataFrame:
-        root = lambda x: labels.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
-        joined = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
-        return joined.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "far")
-
-    rest = stored(cross_pairs(found, classes, labels, scratch).union(across(star)).groupBy("a", "b").agg(F.min("far").alias("far")).join(first, ["a", "b"], "left_anti"), scratch)
-    for some in (closest, None):
-        # Once more the closest pairs first; then all that still lie across two components.
-        tried = stored(some(rest) if some else rest.select("a", "b"), scratch)
-        more = verified(tried, classes, docs, salt, scratch)
-        release(spark)
-        if more.limit(1).count():
-            links = stored(links.union(more), scratch)
-            labels = components(links, scratch)
-            rest = stored(across(rest.join(tried, ["a", "b"], "left_anti")), scratch) if some else rest
-        elif some:
-            rest = stored(rest.join(tried, ["a", "b"], "left_anti"), scratch)
-    labels = stored(labels, kept)
+    # Many keys of a shared passage have the same classes: such buckets count once.
+    small = stored(found.where("NOT large").select("classes").distinct().withColumn("row", F.monotonically_increasing_id()), scratch).select("row", F.explode("classes").alias("class"))
+    large = stored(found.where("large").select("bucket", F.explode("classes").alias("class")), scratch)
+    state = _Links(classes, docs, salt, scratch)
+    if large.limit(1).count():
+        state.join_up(*gatherings(large))
+    state.join_up(*meetings_of(small, large, state.labels))
+    labels = stored(state.labels, kept)
     remove_folder(spark, scratch)
     known = classes.join(labels.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "rep", F.coalesce("root", "class").alias("root"))
     ids = known.groupBy("root").agg(F.min("rep").alias("component"))
@@ -466,6 +584,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
 
 
+def _by_row(docs: DataFrame) -> DataFrame:
+    """``similar_documents`` by keys of the rows, written once so that they stay the same, for tables with null ids."""
+    rows = stored(docs.withColumn("key", F.monotonically_increasing_id()), shared_folder(docs.sparkSession, "keyed"))
+    told = similar_documents(rows, "key").join(rows.select("key", "id"), "key")
+    least = lambda group, name: told.groupBy(group).agg(F.min("id").alias(name))
+    return told.join(least("class_id", "class"), "class_id").join(least("component_id", "component"), "component_id").select("id", "n_shingles", F.col("class").alias("class_id"), F.col("component").alias("component_id"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those that have a similar one of smaller id: one of each component stays.
 
