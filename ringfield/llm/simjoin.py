@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Texts, blocks, fresh, gram_hashes, maybe_broadcast, mix, partitions, release, remove_folder, shared_folder, small_batches, spans_of, stored, table_of, word_hashes
+from .common import BROADCAST_ROWS, Texts, blocks, fresh, gram_hashes, maybe_broadcast, mix, partitions, release, remove_folder, shared_folder, small_batches, spans_of, stored, table_of, word_hashes
 
 #: Words of a shingle; documents link at intersection/union >= 3/4 (the bounds below are derived for it).
 WORDS = 5
@@ -23,7 +23,9 @@ BUCKET = 256
 HOT_KEY = 1 << 18
 #: Classes (or small buckets) that a task remembers so as not to send them twice.
 SEEN = 1 << 17
-#: Pairs that a meeting gives for each two components, round by round; after these rounds it gives all.
+#: Plausible pairs for each class of a meeting up to which it gives all of them.
+SPARSE = 8
+#: Pairs that a meeting with more gives for each two components, round by round; after these rounds it gives all.
 GROWTH = (1, 8, 128)
 #: Sizes travel as 16-bit codes, logarithms to this base; sizes within 4/3 have codes at most SIZE_GAP apart.
 SIZE_BASE, SIZE_GAP = 1.0005, 577
@@ -279,21 +281,20 @@ def closest(pairs: DataFrame) -> DataFrame:
     return ends.groupBy("end").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct()
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, salt: int, scratch: str) -> DataFrame:
-    """The pairs (a, b) that link, decided exactly on the sets of shingles.
+def texts_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: str) -> DataFrame:
+    """The texts (``class``, ``text``) of the representatives of all classes of the pairs, from one scan of the documents.
 
-    Only the texts of the pairs' representatives are read again and moved: texts are smaller than sets. A bitmap of
-    fixed size, built from the ids, thins out the scan, and joins on the id make it exact. The text of b travels to
-    the tasks of a; a class with many partners is dealt over several of them, STAR partners each.
+    Few ids (counted) are broadcast to the scan; for more, a bitmap of fixed size, built from the ids, thins out the scan and
+    a join on the id makes it exact. Texts are smaller than sets of shingles.
     """
-    rep = lambda x: classes.select(F.col("class").alias(x), F.col("rep").alias(f"rep_{x}"))
-    near = stored(pairs.select("a", "b").join(rep("a"), "a").join(rep("b"), "b"), scratch)
-    slot = F.pmod(F.xxhash64("rep"), F.lit(1 << BITMAP_BITS))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    wanted = stored(ends.join(classes.select("class", "rep"), "class"), scratch)
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return stored(docs.join(F.broadcast(wanted), docs["id"] == wanted["rep"]).select("class", "text"), scratch)
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BITMAP_BITS))
     bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
-    wanted = near.select(F.explode(F.array("rep_a", "rep_b")).alias("rep"))
-    for r in wanted.select(slot.alias("slot")).selectExpr("cast(slot div 64 as int) AS w", "shiftleft(1L, cast(slot % 64 as int)) AS bit").groupBy("w").agg(F.bit_or("bit").alias("bits")).collect():
+    for r in wanted.select(slot("rep").alias("slot")).selectExpr("cast(slot div 64 as int) AS w", "shiftleft(1L, cast(slot % 64 as int)) AS bit").groupBy("w").agg(F.bit_or("bit").alias("bits")).collect():
         bitmap[r["w"]] = np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
-    kind = docs.schema["id"].dataType.simpleString()
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -301,11 +302,20 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, salt: int, s
             some = b.filter(pa.array((bitmap[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
             yield pa.RecordBatch.from_arrays(some.columns[:2], ["id", "text"])
 
-    texts = docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(1 << BITMAP_BITS)).alias("slot")).mapInArrow(thin, f"id {kind}, text string")
-    stars = near.groupBy("a", "rep_a").agg(F.count(F.lit(1)).alias("partners")).withColumn("parts", F.ceil(F.col("partners") / STAR).cast("int"))
-    dealt = near.join(stars.select("a", "parts"), "a").select("a", "b", "rep_b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
-    right = dealt.join(texts, dealt["rep_b"] == texts["id"]).select("a", "part", F.lit(1).alias("kind"), "b", "text")
-    left = stars.join(texts, stars["rep_a"] == texts["id"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("a").alias("b"), "text")
+    few = docs.select("id", "text", slot("id").alias("slot")).mapInArrow(thin, f"id {docs.schema['id'].dataType.simpleString()}, text string")
+    return stored(few.join(wanted, few["id"] == wanted["rep"]).select("class", "text"), scratch)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, salt: int, scratch: str) -> DataFrame:
+    """The pairs (a, b) that link, decided exactly on the sets of shingles.
+
+    The text of b travels to the tasks of a; a class with many partners is dealt over several of them, STAR partners each.
+    """
+    spark = pairs.sparkSession
+    stars = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners")).select("a", F.ceil(F.col("partners") / STAR).cast("int").alias("parts"))
+    dealt = pairs.join(stars, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    right = dealt.join(texts, dealt["b"] == texts["class"]).select("a", "part", F.lit(1).alias("kind"), "b", "text")
+    left = stars.join(texts, stars["a"] == texts["class"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("a").alias("b"), "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         star, own = None, np.zeros(0, np.uint64)
@@ -323,7 +333,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, salt: int, s
                             out.append((a, c))
                 yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(2)], ["a", "b"])
 
-    met = left.union(right).repartition(partitions(docs.sparkSession), "a", "part").sortWithinPartitions("a", "part", "kind")
+    met = left.union(right).repartition(partitions(spark), "a", "part").sortWithinPartitions("a", "part", "kind")
     return stored(met.mapInArrow(compare, "a long, b long").distinct(), scratch)
 
 
@@ -337,12 +347,11 @@ def components(edges: DataFrame, scratch: str) -> DataFrame:
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), scratch)
     while True:
         least = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        step = labels.join(least, "node").select("node", F.least("root", "near").alias("root"))
-        jump = step.join(labels.select(F.col("node").alias("root"), F.col("root").alias("far")), "root").select("node", F.least("root", "far").alias("root"))
+        step = labels.join(least, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        jump = step.join(labels.select(F.col("node").alias("root"), F.col("root").alias("far")), "root").select("node", "old", F.least("root", "far").alias("root"))
         after = stored(jump, scratch)
-        changed = after.join(labels.withColumnRenamed("root", "old"), "node").where("root <> old").limit(1).count()
-        labels = after
-        if not changed:
+        labels = after.select("node", "root")
+        if not after.where("root <> old").limit(1).count():
             return labels
 
 
@@ -351,33 +360,40 @@ def rooted(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
 
 
-def gatherings(large: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of at most about BUCKET classes that bring large groups together: each class goes to its largest bucket only."""
+def united(large: DataFrame) -> DataFrame:
+    """Large buckets (``bucket``, ``class``) without their repetition: near copies share many keys, so many buckets hold almost the same classes.
+
+    The home of a class is its largest bucket. A bucket joins the one that most of its classes have as their home, so any
+    two classes of one bucket are in one bucket still, and a class of a group of near copies is there once.
+    """
+    size = large.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    home = large.join(maybe_broadcast(size), "bucket").groupBy("class").agg(F.max(F.struct("size", "bucket")).alias("top")).select("class", F.col("top.bucket").alias("home"))
+    most = large.join(home, "class").groupBy("bucket", "home").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "home")).alias("top")).select("bucket", F.col("top.home").alias("into"))
+    return large.join(maybe_broadcast(most), "bucket").select(F.col("into").alias("bucket"), "class").distinct()
+
+
+def gatherings(large: DataFrame) -> DataFrame:
+    """Rows (``row``, ``class``) of about BUCKET classes that bring large groups together: each class goes to its largest bucket only."""
     size = large.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
     best = large.join(maybe_broadcast(size), "bucket").groupBy("class").agg(F.max(F.struct("size", "bucket")).alias("best"))
     part = F.pmod(F.xxhash64("class"), F.ceil(F.col("best.size") / BUCKET))
-    members = best.select(F.xxhash64("best.bucket", part).alias("row"), "class")
-    return members, members.select(F.col("row").alias("left"), F.col("row").alias("right")).distinct()
+    return best.select(F.xxhash64("best.bucket", part).alias("row"), "class")
 
 
-def meetings_of(small: DataFrame, large: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All rows of classes (``row``, ``class``) that can hold a link across two components, and which rows meet (``left``, ``right``).
+def split(large: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The classes of large buckets in rows of about BUCKET (``row``, ``class``), and which rows meet (``left``, ``right``).
 
-    A small bucket is one row that meets itself. The classes of a large bucket are split into those of its
-    largest component and the rest, both in rows of about BUCKET classes; two rows of the largest component do not meet.
+    The classes of a bucket's largest component and the rest are in rows apart; two rows of that component do not meet.
     """
-    own = rooted(small, labels)
-    mixed = own.groupBy("row").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("row")
-    pieces = rooted(large, labels)
+    pieces = large.join(labels.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     shares = pieces.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("size"))
     shares = shares.select("bucket", F.col("top.root").alias("main"), F.ceil(F.col("top.n") / BUCKET).alias("main_rows"), F.ceil((F.col("size") - F.col("top.n")) / BUCKET).alias("rest_rows")).where("rest_rows > 0")
     name = lambda kind, part: F.xxhash64("bucket", F.lit(kind), part)
     part = lambda n: F.pmod(F.xxhash64("class"), F.col(n))
-    split = pieces.join(maybe_broadcast(shares), "bucket").select(F.when(F.col("root") == F.col("main"), name("main", part("main_rows"))).otherwise(name("rest", part("rest_rows"))).alias("row"), "class")
+    rows = pieces.join(maybe_broadcast(shares), "bucket").select(F.when(F.col("root") == F.col("main"), name("main", part("main_rows"))).otherwise(name("rest", part("rest_rows"))).alias("row"), "class")
     each = shares.select("bucket", "main_rows", "rest_rows", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rest_rows") - 1)).alias("i"))
     other = lambda kind, lo, n: each.select("bucket", "i", F.explode(F.sequence(lo, F.col(n) - 1)).alias("j")).select(name("rest", F.col("i")).alias("left"), name(kind, F.col("j")).alias("right"))
-    meetings = mixed.select(F.col("row").alias("left"), F.col("row").alias("right")).union(other("rest", F.col("i"), "rest_rows")).union(other("main", F.lit(0).cast("long"), "main_rows"))
-    return own.join(mixed, "row", "left_semi").select("row", "class").union(split), meetings
+    return rows, other("rest", F.col("i"), "rest_rows").union(other("main", F.lit(0).cast("long"), "main_rows"))
 
 
 class _Members:
@@ -389,6 +405,9 @@ class _Members:
         self.words = words.values.to_numpy(zero_copy_only=False).view(np.uint64)
         self.columns = [v.field(f).to_numpy(zero_copy_only=False) for f in ("class", "root", "n")]
 
+    def size(self, k: int) -> int:
+        return int(self.at[k + 1] - self.at[k])
+
     def of(self, k: int) -> dict[int, tuple[np.ndarray, ...]]:
         """Classes, roots, sizes and sketches of list k, by the length of the sketch."""
         lo, hi = int(self.at[k]), int(self.at[k + 1])
@@ -442,26 +461,30 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
     return kept
 
 
-def candidates(members: DataFrame, meetings: DataFrame, labels: DataFrame, classes: DataFrame, refused: DataFrame | None, most: int | None, scratch: str) -> DataFrame:
+def candidates(members: DataFrame, meetings: DataFrame | None, labels: DataFrame, classes: DataFrame, refused: DataFrame | None, most: int | None, scratch: str) -> DataFrame:
     """The pairs (``m`` for the meeting, ``a``, ``b``, ``far``) to verify next: plausible ones across two components.
 
-    Every meeting compares all its classes in numpy. With ``most`` = 1 it gives its closest pairs that together join
-    all components that can be joined there, one pair less than these are: if they all link, nothing is left to do. Else
-    at most so many for each two components (None: all), without the pairs found wrong before (``refused``).
+    Every row of ``members`` (``row``, ``class``) meets itself, or those rows meet that ``meetings`` (``left``, ``right``) names.
+    A meeting compares all its classes in numpy. It gives all its pairs if these are no more than SPARSE for each
+    of its classes. Else (``more``), with ``most`` = 1, it gives the closest pairs that together join all components that
+    can be joined there, one pair less than these are; or at most so many for each two components (None: all). Pairs
+    found wrong before (``refused``) are not given again.
     """
-    rows = meetings.select(F.explode(F.array("left", "right")).alias("row")).distinct()
-    full = rooted(members.join(rows, "row", "left_semi"), labels).join(classes.select("class", "n", "sketch"), "class")
-    told = stored(full.groupBy("row").agg(F.collect_list(F.struct("class", "root", "n", "sketch")).alias("list")), scratch)
-    side = lambda k, x: told.select(F.col("row").alias(k), F.col("list").alias(x))
-    alone = meetings.where("left = right").join(side("left", "x"), "left").select("left", "right", "x", F.expr("if(true, null, x)").alias("y"))
-    apart = meetings.where("left <> right").join(side("left", "x"), "left").join(side("right", "y"), "right").select("left", "right", "x", "y")
-    met = alone.union(apart).withColumn("m", F.xxhash64("left", "right"))
+    full = rooted(members, labels).join(classes.select("class", "n", "sketch"), "class")
+    told = full.groupBy("row").agg(F.collect_list(F.struct("class", "root", "n", "sketch")).alias("list"))
+    if meetings is None:
+        met = told.select(F.col("row").alias("m"), F.col("list").alias("x"), F.expr("if(true, null, list)").alias("y"))
+    else:
+        told = stored(told, scratch)
+        side = lambda k, x: told.select(F.col("row").alias(k), F.col("list").alias(x))
+        met = meetings.join(side("left", "x"), "left").join(side("right", "y"), "right").select(F.xxhash64("left", "right").alias("m"), "x", F.expr("if(left = right, null, y)").alias("y"))
     if refused is None:
         met = met.select("m", "x", "y", F.expr("cast(null AS array<struct<a: bigint, b: bigint>>)").alias("no"))
     else:
         met = met.join(refused.groupBy("m").agg(F.collect_list(F.struct("a", "b")).alias("no")), "m", "left").select("m", "x", "y", "no")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[tuple[int, int]] = set()
         for batch in batches:
             out: list[tuple] = []
             left, right, two = _Members(batch.column(1)), _Members(batch.column(2)), batch.column(2).is_valid().to_pylist()
@@ -476,18 +499,24 @@ def candidates(members: DataFrame, meetings: DataFrame, labels: DataFrame, class
                 lo, hi = np.minimum(at[: len(a)], at[len(a) :]), np.maximum(at[: len(a)], at[len(a) :])
                 code = lo * len(names) + hi
                 order = np.lexsort((b, a, far, code))
-                if most:
+                more = most is not None and len(a) > SPARSE * (left.size(k) + right.size(k))
+                if more:
                     first = np.flatnonzero(np.diff(code[order], prepend=-1))
                     place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
                     order = order[place < most]
-                if most == 1:
+                if more and most == 1:
                     order = order[np.lexsort((b[order], a[order], far[order]))]
                     order = order[_forest(lo[order], hi[order])]
-                out.append((np.full(len(order), m), a[order], b[order], far[order]))
+                if not more:
+                    # Nobody asks which meeting gave these, and near copies meet in many buckets: a task gives a pair once.
+                    order = order[[p not in given and not given.add(p) for p in zip(a[order].tolist(), b[order].tolist(), strict=True)]]
+                    if len(given) > SEEN:
+                        given.clear()
+                out.append((np.full(len(order), m), a[order], b[order], far[order], np.full(len(order), more)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["m", "a", "b", "far"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["m", "a", "b", "far", "more"])
 
-    return stored(met.mapInArrow(compare, "m long, a long, b long, far double").distinct(), scratch)
+    return stored(met.mapInArrow(compare, "m long, a long, b long, far double, more boolean"), scratch)
 
 
 class _Links:
@@ -495,8 +524,8 @@ class _Links:
 
     def __init__(self, classes: DataFrame, docs: DataFrame, salt: int, scratch: str):
         self.classes, self.docs, self.salt, self.scratch = classes, docs, salt, scratch
-        spark = docs.sparkSession
-        self.links, self.labels = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, root long")
+        none = docs.sparkSession.range(0)
+        self.links, self.labels = none.select(F.col("id").alias("a"), F.col("id").alias("b")), none.select(F.col("id").alias("node"), F.col("id").alias("root"))
 
     def across(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs that lie across two components."""
@@ -504,33 +533,42 @@ class _Links:
         joined = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
         return joined.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select(*pairs.columns)
 
-    def add(self, pairs: DataFrame) -> None:
-        new = verified(pairs, self.classes, self.docs, self.salt, self.scratch)
+    def add(self, pairs: DataFrame, texts: DataFrame) -> None:
+        """Verify the pairs (stored) and join the components of those that link."""
+        if not pairs.limit(1).count():
+            return
+        new = verified(pairs, texts, self.salt, self.scratch)
         release(self.docs.sparkSession)
         if new.limit(1).count():
             self.links = stored(self.links.union(new), self.scratch)
             self.labels = components(self.links, self.scratch)
 
-    def join_up(self, members: DataFrame, meetings: DataFrame) -> None:
+    def join_up(self, members: DataFrame, meetings: DataFrame | None = None) -> None:
         """Verify pairs until no meeting holds two classes that may link and are in two components."""
-        spark, refused = self.docs.sparkSession, None
-        members, meetings = stored(members, self.scratch), stored(meetings, self.scratch)
+        refused = None
         for most in (*GROWTH, None):
             pairs = candidates(members, meetings, self.labels, self.classes, refused, most, self.scratch)
             each = pairs.groupBy("a", "b").agg(F.min("far").alias("far"))
             if refused is not None:
                 each = each.join(refused.select("a", "b").distinct(), ["a", "b"], "left_anti")
+            each = stored(each, self.scratch)
+            if not each.limit(1).count():
+                break
+            texts = texts_of(each, self.classes, self.docs, self.scratch)
             # The closest pair of each class draws groups together; other pairs count only if they still lie across components.
             first = stored(closest(each), self.scratch)
-            self.add(first)
-            self.add(stored(self.across(each.select("a", "b").join(first, ["a", "b"], "left_anti")), self.scratch))
-            wrong = stored(self.across(pairs.select("m", "a", "b")), self.scratch)
-            if most is None or not wrong.limit(1).count():
+            self.add(first, texts)
+            self.add(stored(self.across(each.select("a", "b").join(first, ["a", "b"], "left_anti")), self.scratch), texts)
+            # Only a meeting that held pairs back and gave one that was found wrong has more to tell.
+            wrong = stored(self.across(pairs.where("more").select("m", "a", "b")), self.scratch)
+            if not wrong.limit(1).count():
                 break
-            # Only meetings with a pair that was verified and found wrong can hold more.
-            refused = wrong if refused is None else stored(refused.join(wrong.select("m").distinct(), "m", "left_semi").union(wrong), self.scratch)
-            meetings = stored(meetings.withColumn("m", F.xxhash64("left", "right")).join(wrong.select("m").distinct(), "m", "left_semi").drop("m"), self.scratch)
-            release(spark)
+            alive = wrong.select("m").distinct()
+            refused = stored(wrong if refused is None else refused.join(alive, "m", "left_semi").union(wrong), self.scratch)
+            if meetings is None:
+                members = members.join(alive.withColumnRenamed("m", "row"), "row", "left_semi")
+            else:
+                meetings = meetings.join(alive, F.xxhash64("left", "right") == alive["m"], "left_semi")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -566,13 +604,18 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         salt += 1  # two different sets with one fingerprint: take others
     found = stored(buckets(docs, frequent_keys(docs, salt), salt), scratch)
     release(spark)
-    # Many keys of a shared passage have the same classes: such buckets count once.
-    small = stored(found.where("NOT large").select("classes").distinct().withColumn("row", F.monotonically_increasing_id()), scratch).select("row", F.explode("classes").alias("class"))
-    large = stored(found.where("large").select("bucket", F.explode("classes").alias("class")), scratch)
     state = _Links(classes, docs, salt, scratch)
+    large = found.where("large")
     if large.limit(1).count():
-        state.join_up(*gatherings(large))
-    state.join_up(*meetings_of(small, large, state.labels))
+        large = stored(united(stored(large.select("bucket", F.explode("classes").alias("class")), scratch)), scratch)
+        state.join_up(stored(gatherings(large), scratch))
+        state.join_up(*(stored(x, scratch) for x in split(large, state.labels)))
+    # Many keys of a shared passage have the same classes: such buckets count once.
+    small = stored(found.where("NOT large").select("classes").distinct().select(F.xxhash64("classes").alias("row"), F.explode("classes").alias("class")), scratch)
+    if state.labels.limit(1).count():
+        # Buckets within one component need no further look.
+        small = small.join(rooted(small, state.labels).groupBy("row").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("row"), "row", "left_semi")
+    state.join_up(small)
     labels = stored(state.labels, kept)
     remove_folder(spark, scratch)
     known = classes.join(labels.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "rep", F.coalesce("root", "class").alias("root"))

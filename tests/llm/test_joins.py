@@ -91,6 +91,41 @@ def test_large_buckets_are_judged_in_blocks(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_near_copies_give_pairs_in_proportion(spark, monkeypatch):
+    """A group of 1,200 near copies, keys of which are dealt over tasks, and rounds with pairs that prove wrong."""
+    monkeypatch.setattr(simjoin, "HOT_KEY", 64)
+    monkeypatch.setattr(simjoin, "SPARSE", 1)
+    monkeypatch.setattr(simjoin, "GROWTH", (1, 2))
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(70)]
+    rows = []
+    for k in range(1200):
+        own = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 4])):
+            own[rng.randrange(70)] = f"e{k}x{rng.randrange(1000)}"
+        rows.append((k, " ".join(own)))
+    given = []
+    plain = simjoin.candidates
+
+    def counted(*args):
+        found = plain(*args)
+        given.append(found.count())
+        return found
+
+    monkeypatch.setattr(simjoin, "candidates", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sorted(tuple(r) for r in simjoin.similar_documents(docs).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == brute_components(rows)
+    assert len(given) > 2 and max(given) < 40 * len(rows)
+
+
+def test_null_ids_link_like_others(spark):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(None, a), (7, a + " a30"), (None, b), (None, b + " b30"), (3, None), (None, "")]
+    got = simjoin.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == sorted([(None, 26, 7), (7, 27, 7), (None, 26, None), (None, 27, None), (3, 0, 3), (None, 0, None)], key=repr)
+
+
 def test_no_documents(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert simjoin.similar_documents(none).count() == 0
