@@ -39,7 +39,8 @@ def ring_of(r: Column, cfg: Config = DEFAULT) -> Column:
     inner = F.floor(r / F.lit(cfg.s_min))
     outer = n_inner(cfg) + F.floor(F.log(r / F.lit(cfg.r_knee)) / F.lit(math.log(1 + cfg.s_min / cfg.r_knee)))
     ring = F.when(r <= cfg.r_knee, inner).otherwise(outer)
-    return F.when((r >= 0) & (r <= cfg.r_max) & ~F.isnan(r), F.least(ring, F.lit(len(rings(cfg)) - 1))).otherwise(F.lit(-1)).cast("int")
+    # Never null, so that no join adds a filter that computes it once more.
+    return F.coalesce(F.when((r >= 0) & (r <= cfg.r_max) & ~F.isnan(r), F.least(ring, F.lit(len(rings(cfg)) - 1))).cast("int"), F.lit(-1))
 
 
 def radius(x: Column, y: Column) -> Column:
@@ -59,8 +60,6 @@ def project(points: DataFrame, cfg: Config = DEFAULT, keep_outside: bool = False
     """
     rows = points.withColumn("ring", ring_of(radius(F.col("x"), F.col("y")), cfg))
     dim = F.broadcast(ring_table(points.sparkSession, cfg).select("ring", "n_bins", "offset"))
-    if not keep_outside:
-        rows = rows.where("ring >= 0")
     joined = rows.join(dim, "ring", "left" if keep_outside else "inner")
     bin_ = F.greatest(F.lit(0), F.least(F.floor(turn(F.col("x"), F.col("y")) * F.col("n_bins")), F.col("n_bins") - 1)).cast("int")
     out = joined.withColumn("bin", F.coalesce(bin_, F.lit(-1))).withColumn("cell_id", F.coalesce(F.col("offset") + F.col("bin"), F.lit(-1)).cast("int"))

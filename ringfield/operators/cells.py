@@ -52,6 +52,16 @@ def cell_map(points: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return finalise(accumulate(points, cfg), cfg)
 
 
+def kept(table: DataFrame) -> DataFrame:
+    """The table computed once for several uses: a checkpoint in the cluster's folder; only where none is set, in a temporary one."""
+    context = table.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        import tempfile
+
+        context.setCheckpointDir(table.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return table.checkpoint()
+
+
 def ring_medians(cells: DataFrame) -> DataFrame:
     return cells.groupBy("frame_id", "ring").agg(F.median("z_ground").alias("med"), F.count(F.lit(1)).alias("n_occ"))
 
@@ -88,8 +98,9 @@ def analyse(cells: DataFrame, cfg: Config = DEFAULT, parity: bool = False) -> Da
     """Add reference, slope, clearance and the flags to the occupied cells.
 
     Neighbours come from one equi-join of four keys for each cell with the cells themselves; only occupied
-    cells take part, never the whole grid.
+    cells take part, never the whole grid. The cells are kept first: three branches read them.
     """
+    cells = kept(cells)
     other = cells.select("frame_id", F.col("cell_id").alias("neighbour_id"), F.col("z_ground").alias("zn"), F.col("z_obstacle").alias("on"))
     sizes = F.broadcast(ring_table(cells.sparkSession, cfg).select("ring", "s"))
     edge = neighbours(cells.select("frame_id", "cell_id", "ring", "bin", "z_ground"), cfg, parity).join(other, ["frame_id", "neighbour_id"])

@@ -73,16 +73,27 @@ def conflicts(predicted: DataFrame, waypoints: DataFrame, cfg: Config = DEFAULT,
     return first.select("frame_id", "f.track_order", (cfg.horizon / cfg.predict_steps * (F.col("f.step") + 1)).alias("t_conflict"))
 
 
-def reason(context: DataFrame) -> DataFrame:
-    """The sentence for a decision, by priority: clearance, hole, track, else the measured means.
+# The sentences of a decision.
+SAY_TRACK = "Rerouted: track #%d (DYNAMIC_OBJECT, %.1f m/s) predicted to intersect primary route at t+%.1f s."
+SAY_CLEARANCE = "Primary route blocked: overhead clearance %.2f m below vehicle height %.2f m at %.0f m ahead."
+SAY_HOLE = "Primary route blocked: negative obstacle depth %.2f m at %.0f m ahead."
+SAY_CLEAR = "Primary route selected: mean traversability %.2f, max slope %.1f°, no dynamic conflicts within %.0f s."
+SAY_LONGER, SAY_OTHER = " Alternative adds %.1f km at %s terrain risk.", " Alternative at %s terrain risk."
 
-    Columns: clearance, hole_depth, track_id, t_conflict, extra_km (null where absent), mean_trav, mean_slope, selected.
+
+def reason(context: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """The sentence for a decision, by priority: moving track, clearance, hole, else the measured means.
+
+    Columns: track_id, track_speed, t_conflict; clearance, clearance_range; hole_depth, hole_range (a cause counts where its first
+    and last column are not null); extra_km (null: none), alternative_risk, mean_trav, max_slope.
     """
+    extra = F.when(F.col("extra_km") > 0.005, F.format_string(SAY_LONGER, "extra_km", "alternative_risk")).otherwise(F.format_string(SAY_OTHER, "alternative_risk"))
+    there = lambda *c: F.col(c[0]).isNotNull() & F.col(c[1]).isNotNull()
     say = (
-        F.when(F.col("clearance").isNotNull(), F.format_string("Clearance %.1f m ahead is below the vehicle height", "clearance"))
-        .when(F.col("hole_depth").isNotNull(), F.format_string("Negative obstacle %.1f m deep ahead", "hole_depth"))
-        .when(F.col("track_id").isNotNull(), F.format_string("Track %d crosses the route in %.1f s; detour %.1f km", "track_id", "t_conflict", "extra_km"))
-        .otherwise(F.format_string("Route clear: traversability %.2f, slope %.1f deg", "mean_trav", "mean_slope"))
+        F.when(there("track_id", "t_conflict"), F.concat(F.format_string(SAY_TRACK, "track_id", "track_speed", "t_conflict"), extra))
+        .when(there("clearance", "clearance_range"), F.concat(F.format_string(SAY_CLEARANCE, "clearance", F.lit(cfg.height), "clearance_range"), extra))
+        .when(there("hole_depth", "hole_range"), F.concat(F.format_string(SAY_HOLE, "hole_depth", "hole_range"), extra))
+        .otherwise(F.format_string(SAY_CLEAR, "mean_trav", "max_slope", F.lit(cfg.horizon)))
     )
     return context.withColumn("reason", say)
 

@@ -39,16 +39,16 @@ def knn_vote(points: DataFrame, image: DataFrame, key: list[str], cfg: Config =
     """A class for each point from the pixels around it: the k nearest in range within the cutoff vote by distance.
 
     ``image`` has one row for a pixel (frame_id, py, px, range, cls). Rows do not wrap around in azimuth; empty
-    pixels do not vote; ties go to the lowest class; without a vote the own pixel decides. Each point looks up
-    a fixed number of pixels by an equi-join.
+    pixels do not vote; ties go to the lowest class; without a vote the own pixel decides. The neighbours are gathered
+    once for each pixel, so a point looks up one array of at most window^2 entries by an equi-join.
     """
     half = cfg.knn_window // 2
     offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-half, half + 1) for dx in range(-half, half + 1)])
-    looks = points.select(*key, "frame_id", F.col("range").alias("own"), "py", "px", F.explode(offsets).alias("o")).select(*key, "frame_id", "own", "o", (F.col("py") + F.col("o.dy")).alias("py"), (F.col("px") + F.col("o.dx")).alias("px"))
-    seen = looks.join(image.select("frame_id", "py", "px", F.col("range").alias("there"), F.col("cls").alias("there_cls")), ["frame_id", "py", "px"])
-    delta = F.round(F.abs(F.col("there") - F.col("own")), 9)
-    near = F.slice(F.array_sort(F.collect_list(F.struct(delta.alias("d"), F.col("o.dy").alias("dy"), F.col("o.dx").alias("dx"), F.col("there_cls").alias("c")))), 1, cfg.knn)  # at most window^2 entries
-    best = seen.groupBy("frame_id", *key).agg(near.alias("near"), F.max(F.when((F.col("o.dy") == 0) & (F.col("o.dx") == 0), F.col("there_cls"))).alias("own_cls"))
+    around = image.select("frame_id", F.col("range").alias("there"), F.col("cls").alias("c"), F.explode(offsets).alias("o"), "py", "px").select("frame_id", (F.col("py") - F.col("o.dy")).alias("py"), (F.col("px") - F.col("o.dx")).alias("px"), F.struct("o.dy", "o.dx", "there", "c").alias("e")).groupBy("frame_id", "py", "px").agg(F.collect_list("e").alias("around"))
+    seen = points.select(*key, "frame_id", F.col("range").alias("own"), "py", "px").join(around, ["frame_id", "py", "px"])
+    sized = F.transform("around", lambda e: F.struct(F.round(F.abs(e["there"] - F.col("own")), 9).alias("d"), e["dy"].alias("dy"), e["dx"].alias("dx"), e["c"].alias("c")))
+    centre = F.filter("around", lambda e: (e["dy"] == 0) & (e["dx"] == 0))
+    best = seen.select("frame_id", *key, F.slice(F.array_sort(sized), 1, cfg.knn).alias("near"), F.get(centre, F.lit(0))["c"].alias("own_cls"))
     score = lambda k: F.aggregate(F.filter("near", lambda s: (s["d"] <= cfg.knn_cutoff) & (s["c"] == k)), F.lit(0.0), lambda a, s: a + F.exp(-s["d"] * s["d"] / (2 * cfg.knn_sigma**2)))
     scored = best.withColumn("votes", F.array(*[F.round(score(k), 9) for k in range(5)]))
     won = F.array_position("votes", F.array_max("votes")).cast("int") - 1

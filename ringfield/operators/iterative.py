@@ -35,18 +35,19 @@ def radius_edges(nodes: DataFrame, radius: float) -> DataFrame:
     return left.join(right, ["frame_id", "bx", "by"]).where(F.col("a") < F.col("b")).withColumn("d2", dx * dx + dy * dy).where(F.col("d2") <= radius * radius).select("frame_id", "a", "b", F.sqrt("d2").alias("dist"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest id reachable from every node (frame_id, id): least label of the neighbours, then its label, until nothing changes."""
     both = edges.select("frame_id", "a", "b").union(edges.select("frame_id", F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
     labels = nodes.select("frame_id", "id", F.col("id").alias("root")).checkpoint()
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select("frame_id", F.col("id").alias("b"), "root"), ["frame_id", "b"]).groupBy("frame_id", F.col("a").alias("id")).agg(F.min("root").alias("near"))
         step = labels.join(near, ["frame_id", "id"], "left").select("frame_id", "id", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root"))
-        jump = step.join(labels.select("frame_id", F.col("id").alias("root"), F.col("root").alias("far")), ["frame_id", "root"]).select("frame_id", "id", "old", F.least("root", "far").alias("root")).checkpoint()
+        # All nodes with one label take the least that any of them met, and then the one that those took.
+        least = step.groupBy("frame_id", "old").agg(F.min("root").alias("met"))
+        jump = step.join(least, ["frame_id", "old"]).select("frame_id", "id", "old", "met").join(least.select("frame_id", F.col("old").alias("met"), F.col("met").alias("root")), ["frame_id", "met"]).select("frame_id", "id", "old", "root").checkpoint()
         labels = jump.select("frame_id", "id", "root")
         if not jump.where("old <> root").limit(1).count():
-            break
-    return labels
+            return labels
 
 
 def frame_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -105,7 +106,10 @@ def fit_plane(xyz: np.ndarray, cfg: Config = DEFAULT) -> tuple[np.ndarray, float
     centre = inside.mean(axis=0)
     n = np.linalg.svd(inside - centre, full_matrices=False)[2][2]
     n = n if n[2] >= 0 else -n
-    return n, float(-n @ centre), len(inside)
+    if n[2] < math.cos(math.radians(cfg.max_tilt_deg)):
+        return normal[k], float(d[k]), len(inside)  # the refit tilts too much: the voted plane stays
+    off = float(-n @ centre)
+    return n, off, int((np.abs(near @ n + off) <= cfg.ground_tol).sum())
 
 
 def ransac_planes(points: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -189,7 +193,8 @@ class Tracker:
             t["born"] = t["born"] or t["hits"] >= c.birth_hits
         for t in self.tracks:
             if not t["seen"]:
-                t["misses"] += 1
+                # A track is born by sightings in a row: a miss starts the count anew.
+                t["misses"], t["hits"] = t["misses"] + 1, 0
         self.tracks = [t for t in self.tracks if t["misses"] < c.death_misses]
         for j, f in enumerate(found):
             if j not in used_f:

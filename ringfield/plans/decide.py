@@ -16,7 +16,7 @@ from ..operators import store as S
 from ..operators.segment import bbox_class
 from ..sources.views import lineitem, pts_dense, pts_wide
 
-# Primitives of the scenes S2 and S3 (kind, centre, size, class, velocity, hazard).
+# Primitives of the scenes S2, S3 and S5 (kind, centre, size, class, velocity, hazard).
 SCENE = [(0, "plane", 0.0, 0.0, 0.0, 200.0, 200.0, 0.0, 1, 0.0, 0.0, ""), (1, "pit", 12.0, -0.5, -0.11, 1.4, 1.0, 0.22, 2, 0.0, 0.0, "pothole"), (2, "box", 38.0, 0.0, 3.85, 24.0, 20.0, 1.5, 3, 0.0, 0.0, "clearance"),
          (3, "cyl", 38.0, -9.0, 1.55, 1.2, 1.2, 3.1, 3, 0.0, 0.0, ""), (4, "cyl", 38.0, 9.0, 1.55, 1.2, 1.2, 3.1, 3, 0.0, 0.0, ""), (5, "box", 25.0, -16.0, 1.6, 7.0, 2.5, 3.2, 4, 0.0, 8.0, "track")]
 
@@ -99,7 +99,10 @@ def track_route_conflict(spark, d):
 def explain_reason(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     v = F.floor(F.col("value") * 10) / 10 + 0.02  # no value lies halfway between two printed ones
-    ctx = e.select("event_id", F.when(F.col("event_type") == "error", v).alias("clearance"), F.when(F.col("event_type") == "signup", v).alias("hole_depth"), F.when(F.col("event_type") == "view", F.col("user_id")).alias("track_id"), v.alias("t_conflict"), (v / 1000).alias("extra_km"), (v / 500).alias("mean_trav"), (v / 50).alias("mean_slope"))
+    low, hole, track = F.col("event_id") % 2 == 0, F.col("event_id") % 3 == 0, F.col("event_id") % 5 == 0  # several causes hold in some rows
+    ctx = e.select(
+        "event_id", F.when(track, F.col("user_id")).alias("track_id"), (v / 10).alias("track_speed"), F.when(F.col("event_type") != "click", v).alias("t_conflict"), F.when(low, v).alias("clearance"), v.alias("clearance_range"),
+        F.when(hole, v).alias("hole_depth"), v.alias("hole_range"), (v / 1000).alias("extra_km"), F.when(v < 20, "LOW").when(v < 60, "MEDIUM").otherwise("HIGH").alias("alternative_risk"), (v / 500).alias("mean_trav"), (v / 50).alias("max_slope"))
     return D.reason(ctx).select("event_id", "reason")
 
 
@@ -255,18 +258,21 @@ ORACLES = {
   FROM (SELECT p.rid, p.l_orderkey, p.l_linenumber, p.x, p.y, i.cls AS c, i.py - p.py AS dy, i.px - p.px AS dx, round(abs(i.range_ - p.range_), 9) AS d, row_number() OVER (PARTITION BY p.rid ORDER BY round(abs(i.range_ - p.range_), 9), i.py - p.py, i.px - p.px, i.cls) AS k
     FROM (SELECT *, row_number() OVER () AS rid FROM small) p JOIN best i ON i.frame_id = p.frame_id AND abs(i.py - p.py) <= 2 AND abs(i.px - p.px) <= 2) GROUP BY rid))""".replace("  [round(coalesce(sum(exp(-d * d / 2)) FILTER (k <= 5 AND d <= 1 AND c = v), 0), 9) for v in [0]] AS unused,\n", "")),
     "costmap_resample": C.sql(_ras, "SELECT frame_id, ix, iy, round(trav, 6) AS trav, class_id, flags FROM ras"),
-    "costmap_inflate": C.sql(_ras, """SELECT r.frame_id, r.ix, r.iy, round(CASE WHEN h.ix IS NOT NULL AND r.class_id NOT IN (3, 4) THEN 0 ELSE r.trav END, 6) AS trav, r.class_id FROM ras r LEFT JOIN (SELECT DISTINCT frame_id, ix + a AS ix, iy + b AS iy FROM ras, range(-5, 6) x(a), range(-5, 6) y(b) WHERE class_id IN (3, 4) AND abs(a) + abs(b) <= 5) h ON h.frame_id = r.frame_id AND h.ix = r.ix AND h.iy = r.iy WHERE r.frame_id < 2"""),
+    "costmap_inflate": C.sql(_ras + ", hard AS MATERIALIZED (SELECT frame_id, ix, iy FROM ras WHERE class_id IN (3, 4)), shifts AS MATERIALIZED (SELECT a, b FROM range(-5, 6) x(a), range(-5, 6) y(b) WHERE abs(a) + abs(b) <= 5)", """SELECT r.frame_id, r.ix, r.iy, round(CASE WHEN h.ix IS NOT NULL AND r.class_id NOT IN (3, 4) THEN 0 ELSE r.trav END, 6) AS trav, r.class_id FROM ras r LEFT JOIN (SELECT DISTINCT frame_id, ix + a AS ix, iy + b AS iy FROM hard, shifts) h ON h.frame_id = r.frame_id AND h.ix = r.ix AND h.iy = r.iy"""),
     "costmap_track_cost": C.sql(f"{_ras}, {_pred}", """SELECT frame_id, count(*) AS n, round(sum(cost), 4) AS cost, count(*) FILTER (cost >= 1) AS closed FROM (SELECT r.frame_id, greatest(0, least(1 - CASE WHEN hits IS NULL THEN trav ELSE greatest(0, trav - 3e-1 * hits) END, 1)) AS cost
   FROM ras r LEFT JOIN (SELECT frame_id, floor(x / 25e-2) AS ix, floor((y + 20) / 25e-2) AS iy, count(*) AS hits FROM pr GROUP BY ALL) h USING (frame_id, ix, iy)) GROUP BY frame_id"""),
     "risk_level": "SELECT l_orderkey, l_linenumber, round(l_discount * 8 + l_tax, 6) AS mean_cost, CASE WHEN round(l_discount * 8 + l_tax, 6) < 25e-2 THEN 'LOW' WHEN round(l_discount * 8 + l_tax, 6) < 55e-2 THEN 'MEDIUM' ELSE 'HIGH' END AS risk FROM lineitem",
     "track_route_conflict": C.sql(f"{C.points('wide')}, {_pred}", "SELECT frame_id, track_order, round(8e-1 * (step + 1), 6) AS t_conflict FROM (SELECT p.*, row_number() OVER (PARTITION BY frame_id ORDER BY track_order, step) AS k FROM pr p JOIN range(40) t(w) ON pow(p.x - w, 2) + pow(p.y - w * 25e-2, 2) < 9) WHERE k = 1"),
-    "explain_reason": """SELECT event_id, CASE event_type WHEN 'error' THEN printf('Clearance %.1f m ahead is below the vehicle height', value) WHEN 'signup' THEN printf('Negative obstacle %.1f m deep ahead', value) WHEN 'view' THEN printf('Track %d crosses the route in %.1f s; detour %.1f km', user_id, value, value / 1000)
-  ELSE printf('Route clear: traversability %.2f, slope %.1f deg', value / 500, value / 50) END AS reason FROM (SELECT * REPLACE (floor(value * 10) / 10 + 2e-2 AS value) FROM events)""",
+    "explain_reason": """SELECT event_id, CASE WHEN event_id % 5 = 0 AND user_id IS NOT NULL AND event_type <> 'click' THEN printf('Rerouted: track #%d (DYNAMIC_OBJECT, %.1f m/s) predicted to intersect primary route at t+%.1f s.', user_id, value / 10, value) || extra
+  WHEN event_id % 2 = 0 THEN printf('Primary route blocked: overhead clearance %.2f m below vehicle height 3.50 m at %.0f m ahead.', value, value) || extra
+  WHEN event_id % 3 = 0 THEN printf('Primary route blocked: negative obstacle depth %.2f m at %.0f m ahead.', value, value) || extra
+  ELSE printf('Primary route selected: mean traversability %.2f, max slope %.1f°, no dynamic conflicts within 4 s.', value / 500, value / 50) END AS reason
+  FROM (SELECT *, CASE WHEN value / 1000 > 5e-3 THEN printf(' Alternative adds %.1f km at ', value / 1000) ELSE ' Alternative at ' END || CASE WHEN value < 20 THEN 'LOW' WHEN value < 60 THEN 'MEDIUM' ELSE 'HIGH' END || ' terrain risk.' AS extra FROM (SELECT * REPLACE (floor(value * 10) / 10 + 2e-2 AS value) FROM events))""",
     "decision_log_change": """SELECT user_id, event_id, frame_idx::INT AS frame_idx, selected, risk, changed FROM (SELECT *, row_number() OVER w - 1 AS frame_idx, coalesce(lag(selected) OVER w <> selected OR lag(risk) OVER w <> risk, false) AS changed FROM (SELECT user_id, event_id, ts, CASE WHEN event_type IN ('error', 'view') THEN 'alternative' ELSE 'primary' END AS selected, CASE WHEN event_type = 'error' THEN 'HIGH' ELSE 'LOW' END AS risk FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE frame_idx % 60 = 0 OR changed""",
     "dynamic_cells_edges": C.sql(f"{C.cells('wide')}, ce AS (SELECT frame_id, cell_id, r_centre * cos((bin + 5e-1) / n_bins * 2 * pi()) AS cx, r_centre * sin((bin + 5e-1) / n_bins * 2 * pi()) AS cy FROM fin WHERE class_id = 4)", "SELECT p.frame_id, p.cell_id AS a, q.cell_id AS b, round(sqrt(pow(p.cx - q.cx, 2) + pow(p.cy - q.cy, 2)), 6) AS dist FROM ce p JOIN ce q ON p.frame_id = q.frame_id AND p.cell_id < q.cell_id AND pow(p.cx - q.cx, 2) + pow(p.cy - q.cy, 2) <= 225e-2"),
     "bbox_classify": C.sql(C.points("wide"), """SELECT frame_id, instance, n, CASE WHEN n < 12 THEN 0 WHEN base > 6e-1 THEN 3 WHEN span <= 35e-2 AND foot >= 3 THEN 2 WHEN (span BETWEEN 8e-1 AND 45e-1 AND foot BETWEEN 15e-1 AND 9e0 AND foot >= span) OR (span BETWEEN 8e-1 AND 22e-1 AND foot <= 12e-1) THEN 4 ELSE 3 END AS cls
   FROM (SELECT frame_id, instance, count(*) AS n, greatest((max(x) - min(x)) / 40, (max(y) - min(y)) / 40) AS foot, max(z) - min(z) AS span, min(z) + 25e-1 AS base FROM pts WHERE instance > 0 GROUP BY ALL)"""),
-    "lattice_resample": C.sql(f"{C.cells('wide')}, xy AS (SELECT x, y, sqrt(x * x + y * y) AS r FROM (SELECT i * 2e0 - 80 AS x, j * 2e0 - 80 AS y FROM range(81) a(i), range(81) b(j)))", f"""SELECT x, y, cell_id, class_id, n FROM (SELECT x, y, (d."offset" + greatest(0, least(floor({C.TURN} * d.n_bins), d.n_bins - 1)))::INT AS cell_id FROM (SELECT *, ({C.RING_OF})::INT AS ring FROM xy) p JOIN dim_ring d USING (ring)) JOIN (SELECT cell_id, class_id, n FROM fin WHERE frame_id = 0) USING (cell_id)"""),
+    "lattice_resample": C.sql(f"{C.cells('wide')}, xy AS (SELECT x, y, sqrt(x * x + y * y) AS r FROM (SELECT i * 2e0 - 80 AS x, j * 2e0 - 80 AS y FROM range(81) a(i), range(81) b(j)))", f"""SELECT frame_id, x, y, cell_id, class_id, n FROM (SELECT x, y, (d."offset" + greatest(0, least(floor({C.TURN} * d.n_bins), d.n_bins - 1)))::INT AS cell_id FROM (SELECT *, ({C.RING_OF})::INT AS ring FROM xy) p JOIN dim_ring d USING (ring)) JOIN (SELECT frame_id, cell_id, class_id, n FROM fin) USING (cell_id)"""),
     "ray_grid": C.sql(_rays(64, 1800), "SELECT beam, azimuth, round(dx, 6) AS dx, round(dy, 6) AS dy, round(dz, 6) AS dz FROM rays"),
     "scene_motion": C.sql(_scene, "SELECT f::INT AS frame_id, prim, round(px + vx * f * 1e-1, 6) AS px, round(py + vy * f * 1e-1, 6) AS py FROM sc, range(40) t(f)"),
     "raycast_nearest_hit": C.sql(f"""{_scene}, {_rays(64, 360)},

@@ -33,7 +33,7 @@ def miou(spark, sf_dir):
 
 def miou_by_range_rollup(spark, sf_dir):
     """Overall (bin 9) and for every bin, empty bins included; one pass of counts feeds both levels."""
-    conf = M.confusion(scored(spark, sf_dir), ["range_bin"])
+    conf = O.kept(M.confusion(scored(spark, sf_dir), ["range_bin"]))  # at most 25 rows a bin, read twice
     both = conf.where("range_bin >= 0").select("truth", "pred", "n", F.explode(F.array(F.col("range_bin"), F.lit(9))).alias("range_bin")).groupBy("truth", "pred", "range_bin").agg(F.sum("n").alias("n"))
     got = M.miou(both, ["range_bin"]).join(both.groupBy("range_bin").agg(F.sum("n").alias("n_points")), "range_bin")
     bins = spark.createDataFrame([(k,) for k in (0, 1, 2, 3, 9)], "range_bin int")
@@ -135,11 +135,12 @@ def road_reference_band_join(spark, sf_dir):
 
 def hazard_estimators(spark, sf_dir):
     """Depth, clearance and step estimates over the hazard's cells of each frame."""
-    c = O.cell_map(pts_dense(spark, sf_dir))
-    h = c.join(hazard_cells(spark, sf_dir), ["frame_id", "cell_id"], "left_semi").join(F.broadcast(_reference(spark, sf_dir, c)), "frame_id")
+    c = O.kept(O.analyse(O.cell_map(pts_dense(spark, sf_dir))))
+    h = c.join(hazard_cells(spark, sf_dir), ["frame_id", "cell_id"], "left_semi").join(_reference(spark, sf_dir, c), "frame_id")
     road = F.first("road")
     return h.groupBy("frame_id").agg(
-        F.round(road - F.min("z_ground"), 6).alias("depth"), F.count_if(F.col("road") - F.col("z_ground") > 0.10).alias("sunk"), F.round(F.percentile("z_ground", 0.1), 6).alias("p10"),
+        # The depth is that of the flagged cells; where none is flagged, of all.
+        F.round(road - F.coalesce(F.min(F.when(F.col("pit"), F.col("z_ground"))), F.min("z_ground")), 6).alias("depth"), F.count_if(F.col("road") - F.col("z_ground") > 0.10).alias("sunk"), F.round(F.percentile("z_ground", 0.1), 6).alias("p10"),
         F.round(F.min("z_obstacle") - road, 6).alias("clearance"), F.round(F.median(F.when(F.col("z_obstacle") - F.col("z_ground") > 0.5, F.col("z_obstacle") - F.col("z_ground"))), 6).alias("both"),
         F.round(F.percentile("z_ground", 0.9) - road, 6).alias("step_p90"), F.round(F.percentile("z_ground", 0.5) - road, 6).alias("step_p50"),
     )
@@ -154,7 +155,9 @@ _scored = f"{C.points('wide')}, sc AS (SELECT *, {_bin} AS range_bin FROM (SELEC
 _iou = "SELECT k AS cls, count(*) FILTER (cls = k AND pred = k) AS tp, count(*) FILTER (cls = k OR pred = k) AS n_any FROM sc, range(5) t(k) WHERE cls <> 0 GROUP BY k"
 _lat = "count(value) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(quantile_cont(value, 95e-2), 6) AS p95, round(max(value), 6) AS max, round(min(value), 6) AS min"
 _occ = "count(DISTINCT (floor(x / 5e-2), floor(y / 5e-2))) AS uniform, count(DISTINCT CASE WHEN z >= -2 AND z < 8 THEN (floor(x / 5e-2), floor(y / 5e-2), floor((z + 2) / 5e-2)) END) AS voxel"
-_haz = f"{C.cells('dense')}, hz AS (SELECT DISTINCT frame_id, cell_id FROM proj WHERE instance = 5), road AS (SELECT frame_id, median(z_ground) AS road FROM fin WHERE abs(r_centre - 105e-1) <= 8 AND (frame_id, cell_id) NOT IN (SELECT (frame_id, cell_id) FROM hz) GROUP BY frame_id), hc AS (SELECT f.*, road FROM fin f JOIN hz USING (frame_id, cell_id) JOIN road USING (frame_id))"
+_hz = """, hz AS (SELECT DISTINCT frame_id, cell_id FROM proj WHERE instance = 5), road AS (SELECT frame_id, median(z_ground) AS road FROM fin WHERE abs(r_centre - 105e-1) <= 8 AND (frame_id, cell_id) NOT IN (SELECT (frame_id, cell_id) FROM hz) GROUP BY frame_id)"""
+_haz = f"{C.cells('dense')}{_hz}, hc AS (SELECT f.*, road FROM fin f JOIN hz USING (frame_id, cell_id) JOIN road USING (frame_id))"
+_flagged = f"{C.analysed('dense')}{_hz}, hc AS (SELECT f.*, road FROM ana f JOIN hz USING (frame_id, cell_id) JOIN road USING (frame_id))"
 ORACLES = {
     "confusion": C.sql(_scored, "SELECT cls AS truth, pred, count(*) AS n FROM sc GROUP BY ALL"),
     "iou_per_class": C.sql(_scored, f"SELECT cls::INT AS cls, tp, round(tp::DOUBLE / nullif(n_any, 0), 6) AS iou FROM ({_iou})"),
@@ -178,6 +181,6 @@ ORACLES = {
     "occupancy2d_semi_join": C.sql(C.points("dense"), "SELECT frame_id, count(*) AS n_hazard, count(*) FILTER (full_) AS n_blocked, round(count(*) FILTER (full_)::DOUBLE / count(*), 6) AS share FROM (SELECT frame_id, floor(x / 5e-2) AS ix, floor(y / 5e-2) AS iy, bool_or(z > 1) AS full_, bool_or(raw = 50) AS hz FROM pts GROUP BY ALL) WHERE hz GROUP BY frame_id"),
     "cells_of_instance": C.sql(_haz, "SELECT f.frame_id, f.cell_id, n, round(z_ground, 6) AS z_ground FROM fin f JOIN hz USING (frame_id, cell_id)"),
     "road_reference_band_join": C.sql(_haz, "SELECT frame_id, round(road, 6) AS road FROM road"),
-    "hazard_estimators": C.sql(_haz, """SELECT frame_id, round(any_value(road) - min(z_ground), 6) AS depth, count(*) FILTER (road - z_ground > 1e-1) AS sunk, round(quantile_cont(z_ground, 1e-1), 6) AS p10, round(min(z_obstacle) - any_value(road), 6) AS clearance,
+    "hazard_estimators": C.sql(_flagged, """SELECT frame_id, round(any_value(road) - coalesce(min(z_ground) FILTER (pit), min(z_ground)), 6) AS depth, count(*) FILTER (road - z_ground > 1e-1) AS sunk, round(quantile_cont(z_ground, 1e-1), 6) AS p10, round(min(z_obstacle) - any_value(road), 6) AS clearance,
   round(median(z_obstacle - z_ground) FILTER (z_obstacle - z_ground > 5e-1), 6) AS both, round(quantile_cont(z_ground, 9e-1) - any_value(road), 6) AS step_p90, round(quantile_cont(z_ground, 5e-1) - any_value(road), 6) AS step_p50 FROM hc GROUP BY frame_id"""),
 }

@@ -87,3 +87,56 @@ def test_published_design_values(spark):
 def test_receiver_statistics(spark):
     r = {x.r: x for x in K.rx_chain(spark, shots=60).collect()}
     assert r[20.0].detected == 60 and r[100.0].cfd_cm > r[20.0].cfd_cm
+    # Published at 100 m, from 4.4 W instead of 3.8 W: 4.91 cm by constant fraction and 34.82 cm by threshold.
+    assert 3.5 < r[100.0].cfd_cm < 7.5 and 25 < r[100.0].threshold_cm < 45
+    assert abs(r[50.0].bias_cfd_cm) < 2 and abs(r[50.0].bias_threshold_cm) < 5
+
+
+def test_a_miss_starts_the_count_of_sightings_anew():
+    t = S.Tracker()
+    seen = [(5.0, 0.0, 9)]
+    need = t.cfg.birth_hits
+    for _ in range(need - 1):
+        assert t.step(seen, 0.1) == []
+    assert t.step([], 0.1) == []
+    for _ in range(need - 1):
+        assert t.step(seen, 0.1) == []
+    assert len(t.step(seen, 0.1)) == 1
+
+
+def test_a_refit_beyond_the_tilt_limit_is_not_taken():
+    import numpy as np
+
+    from ringfield.config import Config
+
+    cfg = Config(max_tilt_deg=0.5)
+    rng = np.random.default_rng(4)
+    x, y = rng.uniform(-15, 15, (2, 4000))
+    slope = np.tan(np.radians(0.55))
+    n, d, inside = S.fit_plane(np.stack([x, y, slope * x - 1.7], axis=1), cfg) or (None, None, 0)
+    assert n is None or n[2] >= np.cos(np.radians(0.5))
+    n, d, inside = S.fit_plane(np.stack([x, y, 0.001 * x - 1.7], axis=1), cfg)
+    assert inside == int((np.abs(np.stack([x, y, 0.001 * x - 1.7], axis=1)[np.hypot(x, y) < cfg.fit_radius] @ n + d) <= cfg.ground_tol).sum())
+
+
+def test_reasons_by_priority(spark):
+    ddl = "id int, track_id long, track_speed double, t_conflict double, clearance double, clearance_range double, hole_depth double, hole_range double, extra_km double, alternative_risk string, mean_trav double, max_slope double"
+    rows = [
+        (0, 7, 8.04, 1.52, 3.1, 38.2, 0.22, 12.2, 0.26, "LOW", 0.91, 2.04), (1, None, None, None, 3.1, 38.2, 0.22, 12.2, 0.001, "HIGH", 0.91, 2.04), (2, 7, 8.0, None, None, 38.2, 0.22, 12.2, None, "MEDIUM", 0.91, 2.04),
+        (3, None, None, None, None, None, None, None, None, None, 0.91, 2.04)]
+    got = {r.id: r.reason for r in D.reason(spark.createDataFrame(rows, ddl)).collect()}
+    assert got == {
+        0: "Rerouted: track #7 (DYNAMIC_OBJECT, 8.0 m/s) predicted to intersect primary route at t+1.5 s. Alternative adds 0.3 km at LOW terrain risk.",
+        1: "Primary route blocked: overhead clearance 3.10 m below vehicle height 3.50 m at 38 m ahead. Alternative at HIGH terrain risk.",
+        2: "Primary route blocked: negative obstacle depth 0.22 m at 12 m ahead. Alternative at MEDIUM terrain risk.",
+        3: "Primary route selected: mean traversability 0.91, max slope 2.0°, no dynamic conflicts within 4 s."}
+
+
+def test_components_of_a_long_chain(spark):
+    import random
+
+    ids = list(range(1000))
+    random.Random(1).shuffle(ids)
+    nodes = spark.range(1000).select(F.lit(0).alias("frame_id"), "id")
+    edges = spark.createDataFrame([(0, min(a, b), max(a, b)) for a, b in zip(ids, ids[1:], strict=False)], "frame_id int, a long, b long")
+    assert S.components(nodes, edges).where("root <> 0").count() == 0
