@@ -24,7 +24,7 @@ HOT_KEY = 1 << 18
 #: Classes (or small buckets) that a task remembers so as not to send them twice.
 SEEN = 1 << 17
 #: Plausible pairs for each class of a meeting up to which it gives all of them.
-SPARSE = 8
+SPARSE = 4
 #: Pairs that a meeting with more gives for each two components, round by round; after these rounds it gives all.
 GROWTH = (1, 8, 128)
 #: Sizes travel as 16-bit codes, logarithms to this base; sizes within 4/3 have codes at most SIZE_GAP apart.
@@ -275,12 +275,6 @@ def buckets(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], salt: int) ->
     return sent.repartition(targets, "target").mapInArrow(meet, "bucket long, large boolean, classes array<long>")
 
 
-def closest(pairs: DataFrame) -> DataFrame:
-    """For every class the pair with its closest partner: at most one pair for each class."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("end"), F.struct("far", "a", "b").alias("p"))
-    return ends.groupBy("end").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct()
-
-
 def texts_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: str) -> DataFrame:
     """The texts (``class``, ``text``) of the representatives of all classes of the pairs, from one scan of the documents.
 
@@ -340,18 +334,20 @@ def verified(pairs: DataFrame, texts: DataFrame, salt: int, scratch: str) -> Dat
 def components(edges: DataFrame, scratch: str) -> DataFrame:
     """The smallest node reachable from every node of the edges (a, b): ``node`` and ``root``.
 
-    Every round takes the least label of the neighbours and then the label of that label, so long chains
-    shrink by jumps; each round's table is written and read back.
+    Every round all nodes of a label take the least label next to any of them, and then the label that this one took, so
+    long chains shrink by jumps; each round's table is written and read back.
     """
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), scratch)
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), scratch)
     while True:
         least = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = labels.join(least, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jump = step.join(labels.select(F.col("node").alias("root"), F.col("root").alias("far")), "root").select("node", "old", F.least("root", "far").alias("root"))
+        # All nodes with one label take the least that any of them met, and then the one that those took.
+        met = step.groupBy("old").agg(F.min("root").alias("met"))
+        jump = step.join(met, "old").select("node", "old", "met").join(met.select(F.col("old").alias("met"), F.col("met").alias("root")), "met").select("node", "old", "root")
         after = stored(jump, scratch)
         labels = after.select("node", "root")
-        if not after.where("root <> old").limit(1).count():
+        if after.where("root <> old").isEmpty():
             return labels
 
 
@@ -535,12 +531,10 @@ class _Links:
 
     def add(self, pairs: DataFrame, texts: DataFrame) -> None:
         """Verify the pairs (stored) and join the components of those that link."""
-        if not pairs.limit(1).count():
-            return
         new = verified(pairs, texts, self.salt, self.scratch)
         release(self.docs.sparkSession)
-        if new.limit(1).count():
-            self.links = stored(self.links.union(new), self.scratch)
+        if not new.isEmpty():
+            self.links = self.links.union(new)
             self.labels = components(self.links, self.scratch)
 
     def join_up(self, members: DataFrame, meetings: DataFrame | None = None) -> None:
@@ -548,20 +542,17 @@ class _Links:
         refused = None
         for most in (*GROWTH, None):
             pairs = candidates(members, meetings, self.labels, self.classes, refused, most, self.scratch)
-            each = pairs.groupBy("a", "b").agg(F.min("far").alias("far"))
+            each = pairs.select("a", "b").distinct()
             if refused is not None:
                 each = each.join(refused.select("a", "b").distinct(), ["a", "b"], "left_anti")
             each = stored(each, self.scratch)
-            if not each.limit(1).count():
+            if each.isEmpty():
                 break
             texts = texts_of(each, self.classes, self.docs, self.scratch)
-            # The closest pair of each class draws groups together; other pairs count only if they still lie across components.
-            first = stored(closest(each), self.scratch)
-            self.add(first, texts)
-            self.add(stored(self.across(each.select("a", "b").join(first, ["a", "b"], "left_anti")), self.scratch), texts)
+            self.add(each, texts)
             # Only a meeting that held pairs back and gave one that was found wrong has more to tell.
             wrong = stored(self.across(pairs.where("more").select("m", "a", "b")), self.scratch)
-            if not wrong.limit(1).count():
+            if wrong.isEmpty():
                 break
             alive = wrong.select("m").distinct()
             refused = stored(wrong if refused is None else refused.join(alive, "m", "left_semi").union(wrong), self.scratch)
@@ -590,7 +581,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    if docs.where("id IS NULL").limit(1).count():
+    if not docs.where("id IS NULL").isEmpty():
         return _by_row(docs).withColumnRenamed("id", id_col)
     spark = docs.sparkSession
     kept, scratch = shared_folder(spark, "similar"), shared_folder(spark, "similar-scratch")
@@ -599,20 +590,20 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         base = stored(describe(docs, salt), kept)
         full = base.where("n > 0")
         classes = stored(full.groupBy("class").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), (F.min("check") != F.max("check")).alias("torn")), kept)
-        if not classes.where("torn").limit(1).count():
+        if classes.where("torn").isEmpty():
             break
         salt += 1  # two different sets with one fingerprint: take others
     found = stored(buckets(docs, frequent_keys(docs, salt), salt), scratch)
     release(spark)
     state = _Links(classes, docs, salt, scratch)
     large = found.where("large")
-    if large.limit(1).count():
+    if not large.isEmpty():
         large = stored(united(stored(large.select("bucket", F.explode("classes").alias("class")), scratch)), scratch)
         state.join_up(stored(gatherings(large), scratch))
         state.join_up(*(stored(x, scratch) for x in split(large, state.labels)))
     # Many keys of a shared passage have the same classes: such buckets count once.
     small = stored(found.where("NOT large").select("classes").distinct().select(F.xxhash64("classes").alias("row"), F.explode("classes").alias("class")), scratch)
-    if state.labels.limit(1).count():
+    if not state.labels.isEmpty():
         # Buckets within one component need no further look.
         small = small.join(rooted(small, state.labels).groupBy("row").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("row"), "row", "left_semi")
     state.join_up(small)
@@ -641,7 +632,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Where ids are repeated or null, rows get keys of their own: of the rows of a component with the least id, or of those
     without an id if all are, one stays, by a hash of its text. Rows without shingles all stay.
     """
-    if docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(id_col).isNull()).limit(1).count():
+    if not docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(id_col).isNull()).isEmpty():
         return _keep_one_row(docs, id_col, text_col)
     gone = stored(similar_documents(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), shared_folder(docs.sparkSession, "gone"))
     return docs.join(maybe_broadcast(gone), id_col, "left_anti").select(*docs.columns)
