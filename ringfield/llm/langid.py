@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .common import Texts, blocks, fresh, maybe_broadcast, saved, small_batches
 from .urlrules import url_host
 
-#: Rows of labelled text that the text model is fitted on, at most, and languages that it knows, at most.
-FIT_ROWS, FIT_LANGUAGES = 4000, 64
+#: Rows of labelled text that the text model is fitted on, about: as many for each language, one at least.
+FIT_ROWS = 4000
 #: Overlapping trigrams repeat evidence; their log-likelihood counts by this factor.
 TEMPER = 1 / 3
 #: Pseudo-counts with which every level of the host hierarchy leans on the level above, and of a declaration.
@@ -40,36 +40,43 @@ def trigrams(t: Texts) -> np.ndarray:
 
 
 class TextModel:
-    """Naive Bayes over byte trigrams: log-probabilities by language."""
+    """Naive Bayes over byte trigrams: log-probabilities by language.
 
-    def __init__(self, languages: list[str], weights: np.ndarray):
-        self.languages, self.weights = languages, weights
+    ``column`` gives each trigram its column of ``weights``: 0 for none (weight 0), 1 for all that no language has.
+    """
+
+    def __init__(self, languages: list[str], weights: np.ndarray, column: np.ndarray):
+        self.languages, self.weights, self.column = languages, weights, column
 
     def scores(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """For each text: its log-likelihood in each language, and its number of trigrams with a letter."""
         t = Texts(column)
         grams = trigrams(t)
+        columns = self.column[grams]
         full = np.flatnonzero(np.diff(t.offsets))
         out, seen = np.zeros((len(t), len(self.languages))), np.zeros(len(t), np.int64)
         if len(full):
             for k, w in enumerate(self.weights):
-                out[full, k] = np.add.reduceat(w[grams], t.offsets[full], dtype=np.float64)
+                out[full, k] = np.add.reduceat(w[columns], t.offsets[full], dtype=np.float64)
             seen[full] = np.add.reduceat((grams > 0), t.offsets[full], dtype=np.int64)
         return out, seen
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", rows: int = FIT_ROWS) -> TextModel:
-    """Fit the text model on a bounded sample of labelled rows: at most about ``rows``, chosen by hash.
+    """Fit the text model on a bounded sample of labelled rows: about ``rows``, as many for each language, chosen by hash.
 
-    Only trigram counts come to the driver, at most 2^18 for each of at most ``FIT_LANGUAGES`` languages. Rows
-    without label or text are left out. Without any row the model has no language and all text is undetermined.
+    The draw hashes label and text, so reruns agree; copies are drawn all or none and then count once. Every language is in
+    the model, however many there are, with the row of its least hash at least. Only trigram
+    counts come to the driver, at most 2^18 for each language. Rows without label or text are left out. Without
+    any row the model has no language and all text is undetermined.
     """
     small_batches(labelled.sparkSession)
-    source = labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull() & (F.col(label_col) != ""))
-    found = source.groupBy(F.col(label_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(FIT_LANGUAGES).collect()
-    total = sum(r["count"] for r in found)
-    draw = F.pmod(F.xxhash64(*labelled.columns), F.lit(1 << 30))
-    sample = source.where(draw <= int((1 << 30) * min(1.0, rows / max(1, total)))).select(F.col(label_col).alias("lang"), F.col(text_col).alias("text")).limit(2 * rows)
+    source = labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull() & (F.col(label_col) != "")).select(F.col(label_col).alias("lang"), F.col(text_col).alias("text"))
+    draw = F.pmod(F.xxhash64("lang", "text"), F.lit(1 << 30))
+    share = saved(source.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("texts"), F.min(draw).alias("first")))
+    each = max(1, rows // max(1, share.count()))
+    drawn = source.join(maybe_broadcast(share), "lang").where(draw <= F.greatest(F.col("first"), F.ceil(F.lit(1 << 30) * F.least(F.lit(1.0), each / F.col("texts")))))
+    sample = drawn.select("lang", "text").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -80,15 +87,16 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", ro
                     ids, n = np.unique(grams[grams > 0], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(ids), pa.string()), pa.array(ids, pa.int32()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
-    languages = sorted(r["lang"] for r in found)
-    counts = np.zeros((len(languages), GRAMS))
-    for r in sample.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect():
-        if r["lang"] in languages:
-            counts[languages.index(r["lang"]), r["gram"]] = r["n"]
-    smooth = counts + 0.5
-    weights = np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32) if languages else np.zeros((0, GRAMS), np.float32)
-    weights[:, 0] = 0
-    return TextModel(languages, weights)
+    found = sample.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    names, of = np.unique(np.array(found.column("lang").to_pylist(), object), return_inverse=True)
+    grams, at = np.unique(found.column("gram").to_numpy(), return_inverse=True)
+    counts = np.zeros((len(names), len(grams)))
+    counts[of, at] = found.column("n").to_numpy()
+    size = counts.sum(axis=1, keepdims=True) + 0.5 * GRAMS
+    weights = np.log(np.concatenate([size, np.full_like(size, 0.5), counts + 0.5], axis=1) / size).astype(np.float32)
+    column = np.ones(GRAMS, np.int32)
+    column[grams], column[0] = np.arange(2, len(grams) + 2), 0
+    return TextModel(names.tolist(), weights, column)
 
 
 def _normal(x: Column) -> Column:

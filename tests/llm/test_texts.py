@@ -234,3 +234,19 @@ def test_prints_find_clips_and_ignore_strangers(spark):
 
 def test_empty_media(spark):
     assert audioprint.op10_audio_prints.__name__ and audioprint.align_every(audioprint.fingerprints(spark.createDataFrame([], "id long, pcm binary"), "id", "pcm"), "id", F.col("id") % 100 == 0).count() == 0
+
+
+def test_seventy_languages_and_copies(spark):
+    """Every language has its share of the sample, however rare, and reruns draw the same rows."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from ringfield.llm import langid
+
+    rng = np.random.default_rng(8)
+    words = {f"l{k:02d}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)] for k in range(70)}
+    rows = [(lang, " ".join(rng.choice(w, 30))) for lang, w in words.items() for _ in range(3)] + [("l00", "same text " * 20)] * 3000 + [(None, "x"), ("l01", None)]
+    table = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    model = langid.fit(table, rows=140)
+    again = langid.fit(table.orderBy(F.rand(3)), rows=140)
+    assert len(model.languages) == 70 and model.languages == again.languages and np.array_equal(model.weights, again.weights)
