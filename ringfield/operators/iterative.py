@@ -283,3 +283,10 @@ def plan_routes(raster: DataFrame, cfg: Config = DEFAULT, distinct_alternative:
         return pd.DataFrame(out)
 
     return raster.select("frame_id", "ix", "iy", "cost").groupBy("frame_id").applyInPandas(run, ROUTE_DDL)
+
+
+def warm_speed(tracks: DataFrame, warmup: int = 10) -> DataFrame:
+    """Median speed of each sequence's first track (the largest) from frame ``warmup`` on, and how many ids were first."""
+    speed = F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy"))
+    first = tracks.groupBy("sequence", "frame_id").agg(F.min(F.struct((-F.col("n_cells")).alias("o"), "track_id", speed.alias("speed"))).alias("t"))
+    return first.groupBy("sequence").agg(F.round(F.median(F.when(F.col("frame_id") >= warmup, F.col("t.speed"))), 4).alias("speed"), F.count_distinct("t.track_id").alias("n_ids"), F.count(F.lit(1)).alias("n_frames"))

@@ -97,3 +97,9 @@ def occupancy(points: DataFrame, by: list[str], cell: float = 0.05, r_max: float
     inside = points.where(F.col("x") * F.col("x") + F.col("y") * F.col("y") <= r_max**2)
     band = (F.col("z") >= low) & (F.col("z") < high)
     return inside.groupBy(*by).agg(F.count_distinct(ix, iy).alias("uniform"), F.count_distinct(F.when(band, ix), F.when(band, iy), F.when(band, iz)).alias("voxel"))
+
+
+def unaccounted(times: DataFrame, by: str, stage: str = "stage", ms: str = "ms", whole: str = "frame") -> DataFrame:
+    """Time of each frame that its stages do not explain; null where the frame's own time is missing."""
+    is_whole = F.col(stage) == whole
+    return times.groupBy(by).agg((F.sum(F.when(is_whole, F.col(ms))) - F.coalesce(F.sum(F.when(~is_whole, F.col(ms))), F.lit(0.0))).alias("unaccounted"))

@@ -76,3 +76,37 @@ def cast(ray_table: DataFrame, scene: DataFrame) -> DataFrame:
     carved = t.join(pits, (F.col("prim") != F.col("pit")) & inside, "left_anti")
     best = carved.groupBy("beam", "azimuth").agg(F.min(F.struct(F.round("t", 9).alias("t"), F.col("prim"), F.col("cls"))).alias("m"), F.first("dx").alias("dx"), F.first("dy").alias("dy"), F.first("dz").alias("dz"))
     return best.select("beam", "azimuth", "m.t", "m.prim", "m.cls", (F.col("m.t") * F.col("dx")).alias("x"), (F.col("m.t") * F.col("dy")).alias("y"), (HEIGHT + F.col("m.t") * F.col("dz")).alias("z")).where((F.col("t") > 0) & (F.col("t") <= R_MAX))
+
+
+# Raw id and reflectance by class; the raw id of a moving object.
+RAW_OF_CLASS, RAW_MOVING = (0, 40, 72, 50, 18), 258
+REFLECTANCE = (0.10, 0.18, 0.30, 0.45, 0.55)
+
+
+def gaussian(seed: int, what: str, *key: str) -> Column:
+    """A standard normal number that depends on the row's key alone, so a task that runs again gives the same one."""
+    u = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(what), F.lit(k), *key), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+    return F.sqrt(-2 * F.log(u(1))) * F.cos(2 * math.pi * u(2))
+
+
+def measured(hits: DataFrame, scene: DataFrame, seed: int = 0, sigma: float = 0.0, dropout: float = 0.0, intensity_sigma: float = 0.0) -> DataFrame:
+    """Hits as a sensor reports them: range noise, dropout, intensity and the packed label word (instance and raw id).
+
+    ``scene`` has ``instance`` (see sources.registry); it is joined by primitive, a few dozen rows.
+    """
+    key = ("beam", "azimuth")
+    about = F.broadcast(scene.select("prim", "instance", ((F.col("vx") != 0) | (F.col("vy") != 0)).alias("moving")))
+    by_class = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("cls") + 1)
+    t = hits.withColumn("t", F.col("t") + sigma * gaussian(seed, "range", *key)) if sigma else hits
+    t = t.where((F.col("t") > 0) & (F.col("t") <= R_MAX))
+    if dropout:
+        t = t.where(F.pmod(F.xxhash64(F.lit(seed), F.lit("drop"), *key), F.lit(1 << 30)) >= int(dropout * (1 << 30)))
+    if sigma:
+        scale = F.col("t") / F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + (F.col("z") - HEIGHT) * (F.col("z") - HEIGHT))
+        t = t.withColumns({"x": F.col("x") * scale, "y": F.col("y") * scale, "z": HEIGHT + (F.col("z") - HEIGHT) * scale})
+    raw = F.when(F.col("moving") & (F.col("cls") == 4), RAW_MOVING).otherwise(by_class(RAW_OF_CLASS))
+    light = by_class(REFLECTANCE) / (1 + F.pow(F.col("t") / 40.0, F.lit(2.0)))
+    if intensity_sigma:
+        light = light + intensity_sigma * gaussian(seed, "light", *key)
+    word = F.col("instance").cast("long") * 65536 + raw
+    return t.join(about, "prim").withColumns({"word": word, "intensity": F.greatest(F.lit(0.0), F.least(light, F.lit(1.0)))}).drop("moving")

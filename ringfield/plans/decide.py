@@ -11,9 +11,12 @@ from ..functions.labels import with_class
 from ..operators import cells as O
 from ..operators import decision as D
 from ..operators import images as I
+from ..operators import metrics as M
 from ..operators import raycast as R
 from ..operators import store as S
 from ..operators.segment import bbox_class
+from ..sources import registry as G
+from ..sources.results import shown
 from ..sources.views import lineitem, pts_dense, pts_wide
 
 # Primitives of the scenes S2, S3 and S5 (kind, centre, size, class, velocity, hazard).
@@ -143,6 +146,31 @@ def raycast_nearest_hit(spark, d):
     return R.cast(R.rays(spark, 64, 360), scene(spark)).select("beam", "azimuth", "prim", "cls", *[F.round(c, 5).alias(c) for c in ("t", "x", "y", "z")])
 
 
+def instance_ids(spark, d):
+    return G.instance_ids(scene(spark)).select("prim", "kind", "instance")
+
+
+def raycast_labels(spark, d):
+    """Packed label and intensity of every return, without noise."""
+    return R.measured(raycast_nearest_hit(spark, d), G.instance_ids(scene(spark))).select("beam", "azimuth", "word", F.round("intensity", 4).alias("intensity"))
+
+
+def scene_registry(spark, d):
+    """Hazards of the scene, read back from its document."""
+    named = scene(spark).withColumns({"name": F.lit("mixed"), "n_frames": F.lit(40), "sha256": F.lit(None).cast("string"), "note": F.lit("")})
+    return G.hazards_of(G.documents(named)).select("name", "n_frames", "instance", "tag", F.round("value", 6).alias("value"), F.round("range_m", 6).alias("range_m"), F.round(F.element_at("y", -1), 6).alias("last_y"))
+
+
+def null_safe_format(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    return c.select("c_custkey", shown(F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")), 2).alias("shown"))
+
+
+def unaccounted_time(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return M.unaccounted(e, "user_id", "event_type", "value", "click").select("user_id", F.round("unaccounted", 4).alias("unaccounted"))
+
+
 def scene_flat_ground_truth(spark, d):
     """One row for a scene with the four quantities that its hazards define."""
     s = scene(spark)
@@ -211,7 +239,8 @@ def split_leak_intersect(spark, d):
 QUERIES = {k: v for k, v in globals().items() if k in (
     "range_pixel", "range_image_depth_test", "knn_vote", "costmap_resample", "costmap_inflate", "costmap_track_cost", "risk_level", "track_route_conflict", "explain_reason", "decision_log_change", "dynamic_cells_edges",
     "bbox_classify", "lattice_resample", "ray_grid", "scene_motion", "raycast_nearest_hit", "scene_flat_ground_truth", "scene_ground_truth", "scan_left_join_labels", "seq_frame_limit", "cache_resume_anti_join",
-    "cache_lookup_join", "runs_list_topk", "decisions_by_run", "scene_upsert_latest", "user_set_on_insert", "split_leak_intersect")}
+    "cache_lookup_join", "runs_list_topk", "decisions_by_run", "scene_upsert_latest", "user_set_on_insert", "split_leak_intersect",
+    "instance_ids", "raycast_labels", "scene_registry", "null_safe_format", "unaccounted_time")}
 
 _img = f"""{C.points('wide')}, shifted AS (SELECT * REPLACE (z - 1 AS z) FROM pts),
 img AS (SELECT *, sqrt(x * x + y * y + z * z) AS range_, greatest(0, least(floor(5e-1 * (-atan2(y, x) / pi() + 1) * 2048), 2047))::INT AS px,
@@ -292,3 +321,13 @@ k AS (SELECT * FROM h WHERE t IS NOT NULL AND NOT EXISTS (SELECT 1 FROM sc p WHE
     "user_set_on_insert": C.sql(_runs, "SELECT uid, status, created_at, n FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY started_at DESC, run_id DESC) AS k, min(started_at) OVER (PARTITION BY uid) AS created_at, count(*) OVER (PARTITION BY uid) AS n FROM r) WHERE k = 1"),
     "split_leak_intersect": C.sql(_fr, "SELECT sequence FROM f WHERE frame_id % 3 <> 0 INTERSECT SELECT sequence FROM f WHERE frame_id % 3 = 0"),
 }
+_numbered = f"{_scene}, num AS (SELECT *, CASE WHEN kind = 'plane' THEN 0 ELSE sum((kind <> 'plane')::INT) OVER (ORDER BY prim) END::INT AS instance FROM sc)"
+ORACLES |= {
+    "instance_ids": C.sql(_numbered, "SELECT prim, kind, instance FROM num"),
+    "raycast_labels": C.sql(_numbered, f"""SELECT beam, azimuth, (instance * 65536 + CASE WHEN h.cls = 4 AND (vx <> 0 OR vy <> 0) THEN 258 WHEN h.cls = 1 THEN 40 WHEN h.cls = 2 THEN 72 WHEN h.cls = 3 THEN 50 WHEN h.cls = 4 THEN 18 ELSE 0 END)::BIGINT AS word,
+  round([10e-2, 18e-2, 30e-2, 45e-2, 55e-2][h.cls + 1] / (1 + pow(t / 40, 2)), 4) AS intensity FROM ({ORACLES["raycast_nearest_hit"]}) h JOIN num USING (prim)"""),
+    "scene_registry": C.sql(_numbered, """SELECT 'mixed' AS name, 40 AS n_frames, instance, hazard AS tag, round(CASE hazard WHEN 'pothole' THEN sz WHEN 'clearance' THEN pz - sz / 2 WHEN 'step' THEN pz + sz / 2 ELSE sqrt(vx * vx + vy * vy) END, 6) AS value,
+  round(sqrt(px * px + py * py), 6) AS range_m, round(py + vy * 39e-1, 6) AS last_y FROM num WHERE hazard <> ''"""),
+    "null_safe_format": "SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN printf('%.2f', c_acctbal) ELSE '—' END AS shown FROM customer",
+    "unaccounted_time": "SELECT user_id, round(sum(value) FILTER (event_type = 'click') - coalesce(sum(value) FILTER (event_type <> 'click'), 0), 4) AS unaccounted FROM events GROUP BY user_id",
+}

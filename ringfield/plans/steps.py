@@ -48,6 +48,10 @@ def tracker(spark, d):
     return S.track(box.select(F.lit("scene").alias("sequence"), "frame_id", F.col("px").alias("cx"), F.col("py").alias("cy"), (F.col("sx") * 10).cast("long").alias("n_cells")))
 
 
+def track_speed(spark, d):
+    return S.warm_speed(tracker(spark, d))
+
+
 def plan_routes(spark, d):
     cost = D.track_cost(D.inflate(raster(spark, d)), pts_wide(spark, d).where("cls = 4").select("frame_id", "x", "y"))
     return S.plan_routes(cost)
@@ -70,7 +74,7 @@ def wire_roundtrip(spark, d):
     return message.mapInPandas(read, "frame_id int, n_cells long, ids long, flags long, classes long")
 
 
-QUERIES = {k: v for k, v in globals().items() if k in ("ransac_plane", "cluster_centroids", "cluster_cc", "segment_geometric", "tracker", "plan_routes", "wire_roundtrip")}
+QUERIES = {k: v for k, v in globals().items() if k in ("ransac_plane", "cluster_centroids", "cluster_cc", "segment_geometric", "tracker", "track_speed", "plan_routes", "wire_roundtrip")}
 
 from .. import checks as C  # noqa: E402
 
