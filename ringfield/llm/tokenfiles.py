@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Texts, blocks, maybe_broadcast, partitions, remove_folder, shared_folder, small_batches
@@ -141,7 +141,7 @@ def _encoder(path: str) -> Encoder:
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
-    """Optimal code lengths of at most ``limit`` bits (package-merge); 0 for an id that does not occur."""
+    """Optimal code lengths of at most ``limit`` bits, or as few more as the number of ids needs (package-merge); 0 for an id that does not occur."""
     order = np.argsort(counts, kind="stable")
     order = order[counts[order] > 0]
     lengths = np.zeros(len(counts), np.uint8)
@@ -149,8 +149,7 @@ def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     if n <= 1:
         lengths[order] = 1
         return lengths
-    if n > 1 << limit:
-        raise ValueError(f"{n} ids do not fit in codes of {limit} bits")
+    limit = max(limit, (n - 1).bit_length())
     weight = counts[order].astype(np.float64)
     level, leaves = weight, [np.ones(n, bool)]
     for _ in range(limit - 1):
@@ -321,16 +320,15 @@ def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> Da
     code = spark.read.parquet(f"{path}/code").first()
     lengths, dtype = np.frombuffer(code["lengths"], np.uint8), np.dtype(f"<u{code['width']}")
     table = spark.read.parquet(f"{path}/blocks")
-    # The blocks' own sizes: about one narrow row for a million tokens, added up in order part by part.
-    sizes = table.groupBy("part").agg(F.sum("tokens").alias("n"), F.sort_array(F.collect_list(F.struct("block", "tokens"))).alias("blocks"))
-    parts = sorted((r["part"], r["n"]) for r in sizes.select("part", "n").collect())
+    # The blocks' own sizes: one narrow row for about a million tokens, added up in order part by part.
+    sizes = table.select("part", "block", "tokens")
+    parts = sorted((r["part"], r["n"]) for r in sizes.groupBy("part").agg(F.sum("tokens").alias("n")).collect())
     begins, total = {}, 0
     for p, n in parts:
         begins[p], total = total, total + n
     offsets = spark.createDataFrame(list(begins.items()) or [(-1, 0)], "part int, begin long")
-    placed = sizes.join(F.broadcast(offsets), "part").select(
-        "part", F.posexplode("blocks").alias("k", "b"), F.col("begin"), F.col("blocks")
-    ).select("part", F.col("b.block").alias("block"), (F.col("begin") + F.aggregate(F.slice("blocks", F.lit(1), F.col("k")), F.lit(0).cast("long"), lambda s, x: s + x["tokens"])).alias("start"))
+    before = F.sum("tokens").over(Window.partitionBy("part").orderBy("block")) - F.col("tokens")
+    placed = sizes.withColumn("before", before).join(F.broadcast(offsets), "part").select("part", "block", (F.col("begin") + F.col("before")).alias("start"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbol, length, limit = decode_tables(lengths, dtype)
