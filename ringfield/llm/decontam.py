@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,39 +9,70 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Texts, blocks, fresh, gram_hashes, small_batches, spans_of, table_of, word_hashes
+from .common import Texts, blocks, fresh, gram_hashes, shared_folder, small_batches, spans_of, stored, table_of, word_hashes
 
 #: Bytes of benchmark text in one broadcast set; a larger benchmark is split over several passes of the same scan.
 SET_BYTES = 32 << 20
+#: Sets that scan in one pass; beyond them the documents are written and read back, so a task holds no more sets at once.
+SETS_AT_ONCE = 2
+
+_ALNUM = table_of("alnum")
 
 
 class GramSet:
-    """The windows of a slice of the benchmark: hashes to look up, words to verify with, items to report."""
+    """The windows of a slice of the benchmark: hashes to look up, words to verify with, items to report.
+
+    The words of all items stand once in one string; a window is its hash, its place there and the items that hold it, all
+    in flat arrays: some 30 bytes a word.
+    """
 
     def __init__(self, items: list[tuple[str, str | None]], n: int):
-        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.items: dict[bytes, list[str]] = {}
-        fold, found = table_of("alnum"), {}
+        self.windows: dict[int, tuple[np.ndarray, ...]] = {}
+        self.names: list[str] = []
+        found: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        texts, at = [], 0
         for item, text in items:
             t = Texts(pa.array([text], pa.string()))
-            folded = fold[t.bytes]
+            folded = _ALNUM[t.bytes]
             starts, ends = spans_of(folded > 0, t.offsets)
             if not len(starts):
                 continue
             k = min(n, len(starts))
-            hashes = gram_hashes(word_hashes(folded, starts, ends), k)
-            for i, h in enumerate(hashes.tolist()):
-                words = b" ".join(folded[s:e].tobytes() for s, e in zip(starts[i : i + k], ends[i : i + k], strict=True))
-                found.setdefault(k, set()).add(h)
-                own = self.items.setdefault(words, [])
-                if item not in own:
-                    own.append(item)
-        for k, hashes in found.items():
-            sorted_ = np.sort(np.fromiter(hashes, np.uint64, len(hashes)))
-            bits = max(16, int(len(sorted_)).bit_length() + 6)
-            sieve = np.zeros(1 << bits, bool)
-            sieve[(sorted_ >> np.uint64(64 - bits)).astype(np.int64)] = True
-            self.windows[k] = (sorted_, sieve)
+            size = ends - starts
+            begin = at + np.cumsum(size + 1) - size - 1
+            texts.append(b" ".join([folded[s:e].tobytes() for s, e in zip(starts, ends, strict=True)]) + b" ")
+            at += len(texts[-1])
+            first = begin[: len(begin) - k + 1]
+            found.setdefault(k, []).append((gram_hashes(word_hashes(folded, starts, ends), k), first, (begin + size)[k - 1 :], np.full(len(first), len(self.names), np.int32)))
+            self.names.append(item)
+        self.text = b"".join(texts)
+        for k, parts in found.items():
+            self.windows[k] = self._index(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+    def _index(self, hashes: np.ndarray, first: np.ndarray, last: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Windows in order of their hashes, equal ones once: hashes, sieve, first and last byte, and the items of each (ends and numbers)."""
+        order = np.argsort(hashes, kind="stable")
+        hashes, first, last, owner = hashes[order], first[order], last[order], owner[order]
+        group = np.flatnonzero(np.diff(hashes, prepend=hashes[:1] ^ np.uint64(1)))
+        size = np.diff(np.append(group, len(hashes)))
+        keep, more, whose = np.ones(len(hashes), bool), [], []
+        for g, n in zip(group[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+            known: dict[bytes, tuple[int, set[int]]] = {}
+            for i in range(g, g + n):
+                at, have = known.setdefault(self.text[first[i] : last[i]], (i, {int(owner[i])}))
+                keep[i] = at == i
+                if int(owner[i]) not in have:
+                    have.add(int(owner[i]))
+                    more.append(at)
+                    whose.append(int(owner[i]))
+        kept = np.flatnonzero(keep)
+        window, item = np.concatenate([kept, np.array(more, np.int64)]), np.concatenate([owner[kept], np.array(whose, np.int32)])
+        by_window = np.argsort(window, kind="stable")
+        ends = np.append(np.searchsorted(window[by_window], kept), len(window))
+        bits = max(16, int(len(kept)).bit_length() + 6)
+        sieve = np.zeros(1 << bits, bool)
+        sieve[(hashes >> np.uint64(64 - bits)).astype(np.int64)] = True
+        return hashes[kept], sieve, first[kept], last[kept], ends, item[by_window]
 
     def scan(self, column: pa.Array) -> tuple[np.ndarray, dict[int, list[tuple[int, int]]], dict[int, set[str]], tuple]:
         """Words of each text, verified runs of hit words by text, items by text, and where the words are."""
@@ -55,16 +85,20 @@ class GramSet:
         items: dict[int, set[str]] = {}
         hashes = word_hashes(folded, starts, ends)
         text_of = np.repeat(np.arange(len(t)), counts)
-        for k, (known, sieve) in self.windows.items():
+        for k, (known, sieve, first_byte, last_byte, ends_of, owners) in self.windows.items():
             grams = gram_hashes(hashes, k)
             if not len(grams):
                 continue
             bits = np.uint64(64 - (len(sieve).bit_length() - 1))
             hit = np.flatnonzero(sieve[(grams >> bits).astype(np.int64)] & (text_of[: len(grams)] == text_of[k - 1 : k - 1 + len(grams)]))
             place = np.minimum(np.searchsorted(known, grams[hit]), len(known) - 1)
-            for i in hit[known[place] == grams[hit]].tolist():
+            sure = known[place] == grams[hit]
+            for i, w in zip(hit[sure].tolist(), place[sure].tolist(), strict=True):
                 words = b" ".join(folded[s:e].tobytes() for s, e in zip(starts[i : i + k].tolist(), ends[i : i + k].tolist(), strict=True))
-                if words in self.items:
+                # Different windows with one hash stand side by side.
+                while w < len(known) and known[w] == grams[i] and self.text[first_byte[w] : last_byte[w]] != words:
+                    w += 1
+                if w < len(known) and known[w] == grams[i]:
                     d = int(text_of[i])
                     first = i - int(at[d])
                     own = runs.setdefault(d, [])
@@ -72,13 +106,10 @@ class GramSet:
                         own[-1] = (own[-1][0], max(own[-1][1], first + k))
                     else:
                         own.append((first, first + k))
-                    items.setdefault(d, set()).update(self.items[words])
+                    items.setdefault(d, set()).update(self.names[o] for o in owners[ends_of[w] : ends_of[w + 1]].tolist())
         return counts, runs, items, (t, starts, ends, at)
 
 
-_ALNUM = table_of("alnum")
-
-
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(runs):
@@ -95,8 +126,8 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col:
     Words are runs of ASCII letters, digits and non-ASCII characters, with A-Z folded. A window is ``n``
     consecutive words of an item, or the whole item where it has fewer (but some). The hash set of the
     windows is broadcast; its size is measured first, and a benchmark of more than ``set_bytes`` bytes is
-    dealt over several sets, which scan one after the other in the same pass over the documents: no shuffle, no
-    row left out. A hit by hash is verified on the words themselves.
+    dealt over several sets, which the driver builds one after the other and which scan SETS_AT_ONCE to a pass
+    over the documents; between passes the documents are written and read back. No shuffle, no row left out. A hit by hash is verified on the words themselves.
 
     Returns the table and the names of the new columns: ``words`` (long), ``runs`` (array of first word and the
     word after the last), ``items`` (sorted ids as strings). Null and empty texts have no words. Rows
@@ -124,6 +155,8 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col:
                     yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(counts, pa.int64()), pa.array(old_runs, pa.list_(pa.list_(pa.int64()))), pa.array(old_items, pa.list_(pa.string()))], b.schema.names)
 
         out = out.mapInArrow(scan, schema)
+        if (s + 1) % SETS_AT_ONCE == 0 and s + 1 < slices:
+            out = stored(out, shared_folder(docs.sparkSession, "scanned"))
     return out, names
 
 
@@ -168,22 +201,3 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col(names["words"]).alias("n_words"), hit.alias("n_hit"), F.size(names["items"]).cast("long").alias("n_items"),
         F.sha2(F.array_join(names["items"], ","), 256).alias("items_sha256"), (F.size(names["runs"]) > 0).alias("contaminated"),
     )
-
-
-def brute_force(text: str | None, items: list[tuple[object, str | None]], n: int = 10) -> tuple[int, int, int, str, bool]:
-    """The contract by plain Python, for tests."""
-    import re
-
-    def words(x: str | None) -> list[str]:
-        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (x or "").translate({c: c + 32 for c in range(65, 91)}))
-
-    own, hit, found = words(text), set(), set()
-    for item, t in items:
-        w = words(t)
-        k = min(n, len(w))
-        for i in range(len(w) - k + 1 if k else 0):
-            for j in range(len(own) - k + 1):
-                if own[j : j + k] == w[i : i + k]:
-                    hit.update(range(j, j + k))
-                    found.add("" if item is None else str(item))
-    return len(own), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)

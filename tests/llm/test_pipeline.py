@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ringfield.llm import decontam
+from brute import contamination
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,7 +26,7 @@ def test_stages(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     some = random.Random(0).sample(unique.select("doc_id", "text").collect(), 40)
     ids = {r.doc_id for r in clean.collect()}
-    assert all((r.doc_id in ids) == (not decontam.brute_force(r.text, items)[4]) for r in some)
+    assert all((r.doc_id in ids) == (not contamination(r.text, items)[4]) for r in some)
     mixed = corpus_pipeline.source_mix(spark, clean, SF)
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= ids
     assert mixed.groupBy("doc_id").count().where("count > 2").count() == 0

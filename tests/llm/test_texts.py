@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from brute import contamination
 from ringfield.llm import audioprint, chatformat, decontam, langid, pii, tokenfiles
 
 SF = "/root/testdata/sf0.001"
@@ -120,16 +121,16 @@ def test_chat_round_trip(spark):
 
 def test_decontamination_by_brute_force(spark):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
-    items = [(r.item_id, r.text) for r in bench.collect()] + [(None, "tiny item"), (900, None), (901, "one"), (901, "two words")]
+    items = [(r.item_id, r.text) for r in bench.collect()] + [(None, "tiny item"), (900, None), (901, "one"), (901, "two words"), (902, bench.first().text), (902, bench.first().text), (903, "again and " * 40), (904, "and again " * 30)]
     passage = items[0][1].split()
-    texts = [None, "", "ONE two  words", "x " + " ".join(passage[:10]) + " y", " ".join(passage[:9]), "Tiny\0item!", " ".join(passage) * 2, "é " * 100, "z" * 300_000] + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    texts = [None, "", "ONE two  words", "x " + " ".join(passage[:10]) + " y", " ".join(passage[:9]), "Tiny\0item!", " ".join(passage) * 2, "é " * 100, "z" * 300_000, "so again and " + "again and " * 12] + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("words__", F.lit(0))
     table = spark.createDataFrame(items, "item_id long, text string")
     for size in (1 << 25, 4000):
         scanned, names = decontam.scan_benchmark(docs, table, set_bytes=size)
         for r in scanned.collect():
             got = (r[names["words"]], sum(b - a for a, b in r[names["runs"]]), len(r[names["items"]]), hashlib.sha256(",".join(r[names["items"]]).encode()).hexdigest(), bool(r[names["runs"]]))
-            assert got == decontam.brute_force(r.text, items), r.doc_id
+            assert got == contamination(r.text, items), r.doc_id
     kept = decontam.decontaminate(docs, table)
     assert kept.columns == docs.columns and kept.where("doc_id IN (2, 3, 6)").count() == 0 and kept.where("doc_id IN (0, 1)").count() == 2
     cut = {r.doc_id: r.text for r in decontam.decontaminate(docs, table, remove="spans").collect()}
@@ -170,6 +171,14 @@ def test_ids_are_those_of_the_library_as_it_comes(tmp_path):
             assert ids[at[k] : at[k + 1]].tolist() == [*again.encode(text, add_special_tokens=False).ids, 2], repr(text)
 
 
+def test_codes_grow_with_the_number_of_ids():
+    lengths = tokenfiles.code_lengths(np.ones(40, np.int64), 4)
+    assert lengths.max() == 6 and abs((2.0 ** -lengths.astype(float)).sum() - 1) < 1e-9
+    ids = np.arange(40).repeat(30)
+    bits, marks = tokenfiles.pack(ids, lengths, tokenfiles.canonical_codes(lengths))
+    assert (tokenfiles.unpack(bits, marks, len(ids), *tokenfiles.decode_tables(lengths, np.uint16)) == ids).all()
+
+
 def test_code_is_optimal_and_limited():
     rng = np.random.default_rng(1)
     for n, limit in ((1, 4), (2, 4), (5, 3), (16, 4), (1000, 12), (3000, 18)):
