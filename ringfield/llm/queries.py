@@ -5,11 +5,11 @@ from __future__ import annotations
 from .audioprint import op10_audio_prints
 from .blend import OP2_SQL, op2_source_mix
 from .chatformat import op5_chat_windows
-from .decontam import op6_decontamination
+from .decontam import OP6_SQL, op6_decontamination
 from .langid import op3_page_language
 from .pii import op4_personal_data
 from .shard import op9_sharding
-from .simjoin import op1_ngram_jaccard
+from .simjoin import OP1_SQL, op1_ngram_jaccard
 from .tokenfiles import op8_token_files
 from .urlrules import OP7_SQL, op7_url_rules
 
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_audio_prints": op10_audio_prints,
 }
-ORACLES = {"op2_source_mix": OP2_SQL, "op7_url_rules": OP7_SQL}
+ORACLES = {"op1_ngram_jaccard": OP1_SQL, "op6_decontamination": OP6_SQL, "op2_source_mix": OP2_SQL, "op7_url_rules": OP7_SQL}
