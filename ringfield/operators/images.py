@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,10 +48,14 @@ def knn_vote(points: DataFrame, image: DataFrame, key: list[str], cfg: Config =
     offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-half, half + 1) for dx in range(-half, half + 1)])
     around = image.select("frame_id", F.col("range").alias("there"), F.col("cls").alias("c"), F.explode(offsets).alias("o"), "py", "px").select("frame_id", (F.col("py") - F.col("o.dy")).alias("py"), (F.col("px") - F.col("o.dx")).alias("px"), F.struct("o.dy", "o.dx", "there", "c").alias("e")).groupBy("frame_id", "py", "px").agg(F.collect_list("e").alias("around"))
     seen = points.select(*key, "frame_id", F.col("range").alias("own"), "py", "px").join(around, ["frame_id", "py", "px"])
+    # sort_array orders structs natively; array_sort would call its comparator row by row.
     sized = F.transform("around", lambda e: F.struct(F.round(F.abs(e["there"] - F.col("own")), 9).alias("d"), e["dy"].alias("dy"), e["dx"].alias("dx"), e["c"].alias("c")))
     centre = F.filter("around", lambda e: (e["dy"] == 0) & (e["dx"] == 0))
-    best = seen.select("frame_id", *key, F.slice(F.array_sort(sized), 1, cfg.knn).alias("near"), F.get(centre, F.lit(0))["c"].alias("own_cls"))
-    score = lambda k: F.aggregate(F.filter("near", lambda s: (s["d"] <= cfg.knn_cutoff) & (s["c"] == k)), F.lit(0.0), lambda a, s: a + F.exp(-s["d"] * s["d"] / (2 * cfg.knn_sigma**2)))
-    scored = best.withColumn("votes", F.array(*[F.round(score(k), 9) for k in range(5)]))
+    best = seen.select(*key, F.slice(F.sort_array(sized), 1, cfg.knn).alias("near"), F.get(centre, F.lit(0))["c"].alias("own_cls"))
+    near = [F.get("near", F.lit(i)) for i in range(cfg.knn)]
+    # One weight for each of the k nearest, once a row; the sums run in the order of the ranks.
+    weighed = best.select(*key, "own_cls", *[c for i, s in enumerate(near) for c in (s["c"].alias(f"c{i}__"), F.when(s["d"] <= cfg.knn_cutoff, F.exp(-s["d"] * s["d"] / (2 * cfg.knn_sigma**2))).otherwise(0.0).alias(f"w{i}__"))])
+    score = lambda k: functools.reduce(operator.add, [F.when(F.col(f"c{i}__") == k, F.col(f"w{i}__")).otherwise(0.0) for i in range(cfg.knn)])
+    scored = weighed.withColumn("votes", F.array(*[F.round(score(k), 9) for k in range(5)]))
     won = F.array_position("votes", F.array_max("votes")).cast("int") - 1
     return scored.select(*key, F.when(F.array_max("votes") > 0, won).otherwise(F.coalesce("own_cls", F.lit(0))).alias("vote"))
