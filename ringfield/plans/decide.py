@@ -17,7 +17,7 @@ from ..operators import store as S
 from ..operators.segment import bbox_class
 from ..sources import registry as G
 from ..sources.results import shown
-from ..sources.views import lineitem, pts_dense, pts_wide
+from ..sources.views import dealt, lineitem, pts_dense, pts_wide
 
 # Primitives of the scenes S2, S3 and S5 (kind, centre, size, class, velocity, hazard).
 SCENE = [(0, "plane", 0.0, 0.0, 0.0, 200.0, 200.0, 0.0, 1, 0.0, 0.0, ""), (1, "pit", 12.0, -0.5, -0.11, 1.4, 1.0, 0.22, 2, 0.0, 0.0, "pothole"), (2, "box", 38.0, 0.0, 3.85, 24.0, 20.0, 1.5, 3, 0.0, 0.0, "clearance"),
@@ -29,7 +29,7 @@ def scene(spark):
 
 
 def image(spark, d):
-    return I.pixels(pts_wide(spark, d).withColumn("z", F.col("z") - 1.0))
+    return I.pixels(dealt(pts_wide(spark, d)).withColumn("z", F.col("z") - 1.0))
 
 
 KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]

@@ -126,7 +126,7 @@ def void_unobserved_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def traversability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.traversability(analysed(spark, sf_dir)).select("frame_id", "cell_id", F.round(F.round("trav", 9), 6).alias("trav"))  # a value that lies on a tie
+    return O.traversability(analysed(spark, sf_dir)).select("frame_id", "cell_id", (F.floor(F.round("trav", 9) * 1e6 + 0.5) / 1e6).alias("trav"))  # the nearest in binary: a decimal tie is rarely one there
 
 
 def refine_topn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,12 +34,17 @@ DENSE = f"""SELECT frame_id, {KEYS}, rr * cos(tt) AS x, rr * sin(tt) AS y,
 
 
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table; where its files give fewer splits than there are cores, its rows are dealt out by key first.
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
 
-    A file with one row group is read by one task, however large. Large tables have splits enough and are not shuffled.
+
+def dealt(points: DataFrame) -> DataFrame:
+    """The points, dealt out by key first where their files give fewer splits than there are cores.
+
+    A file with one row group is read by one task, however large. Large tables have splits enough and are not
+    shuffled. Not for sums of floats whose rounded values are compared: there the order of the rows is felt.
     """
-    table, cores = spark.read.parquet(f"{sf_dir}/lineitem.parquet"), spark.sparkContext.defaultParallelism
-    return table.repartition(cores, "l_orderkey") if table.rdd.getNumPartitions() < cores else table
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    return points.repartition(cores, "l_orderkey") if points.rdd.getNumPartitions() < cores else points
 
 
 def pts_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
