@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from .audioprint import op10_audio_prints
 from .blend import OP2_SQL, op2_source_mix
+from .bytebpe import op12_byte_bpe
 from .chatformat import op5_chat_windows
+from .crosstok import op11_token_alignment
 from .decontam import OP6_SQL, op6_decontamination
 from .langid import op3_page_language
 from .pii import op4_personal_data
+from .runs import op13_word_runs
 from .shard import op9_sharding
 from .simjoin import OP1_SQL, op1_ngram_jaccard
 from .tokenfiles import op8_token_files
@@ -24,5 +27,8 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_sharding": op9_sharding,
     "op10_audio_prints": op10_audio_prints,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_word_runs": op13_word_runs,
 }
 ORACLES = {"op1_ngram_jaccard": OP1_SQL, "op6_decontamination": OP6_SQL, "op2_source_mix": OP2_SQL, "op7_url_rules": OP7_SQL}
