@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Texts, fresh, partitions, shared_folder, small_batches, word_hashes
-from .pages import coded, flat, gather, paged, squeezed, squeezed_codes, unsqueezed, unsqueezed_codes
+from .pages import coded, flat, gather, paged, squeezed, squeezed_codes, stored_by_page, unsqueezed, unsqueezed_codes
 
 SPACE, LETTER, DIGIT, OTHER = range(4)
 
@@ -81,7 +81,7 @@ class Ranks:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(k) for a, k in map(bytes.split, f)}
-        self.encoder = tiktoken.Encoding("piece", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+        self.ranks, self.encoder = ranks, None
         size = max(ranks.values(), default=-1) + 1
         table = [b""] * size
         for word, k in ranks.items():
@@ -91,6 +91,8 @@ class Ranks:
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids of the words, and their ids."""
+        if self.encoder is None:
+            self.encoder = tiktoken.Encoding("piece", pat_str=r"[\s\S]+", mergeable_ranks=self.ranks, special_tokens={})
         ids = [self.encoder.encode_ordinary(w.decode()) for w in words]
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
         return lens, np.fromiter((x for y in ids for x in y), np.uint32, int(lens.sum()))
@@ -112,7 +114,7 @@ def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
     """Byte-level BPE ids of every row of ``docs``: the id column (as it is) and ``ids``, 32-bit little-endian numbers.
 
     1. Documents are cut into pages (``PAGE_BYTES`` of text). A page's pre-tokens are exploded with their positions: its
-       distinct words, and for every position the number of its word. Both are written to the shared folder once.
+       distinct words, and for every position the number of its word. Both are written to the shared folder once, bucketed by page.
     2. The words are shuffled by a bucket of their hash, as packets: one row has the words of one page in one bucket,
        because a row for each word would cost several times its bytes. A bucket's task meets every word of
        the bucket and encodes each distinct one once.
@@ -159,8 +161,7 @@ def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
 
     source = docs.select(F.col(id_col).alias("name"), F.col(text_col).alias("text"))
     schema = f"page long, bucket int, names array<{kind}>, codes binary, lens binary, buckets binary, words binary, sizes binary"
-    source.mapInArrow(scan, schema).write.option("compression", "none").parquet(stage)
-    staged = spark.read.schema(schema).parquet(stage)
+    staged = stored_by_page(source.mapInArrow(scan, schema), stage)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, now = ranks_of(ranks), None

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 
-from .common import Texts, blocks
+from pyspark.sql import DataFrame
+
+from .common import Texts, blocks, partitions
 
 #: Bytes of text of a page. A larger page repeats fewer words, and its codes and dictionary must fit a task several times.
-PAGE_BYTES = 32 << 20
+PAGE_BYTES = 16 << 20
 #: Bytes of text in one vectorised step.
 STEP_BYTES = 1 << 20
+#: Entries that ``gather`` handles at once.
+GATHERED = 1 << 18
 
 
 def paged(batches: Iterator[pa.RecordBatch], text: str, size: int = PAGE_BYTES) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
@@ -48,10 +53,14 @@ def flat(words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gather(data: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The entries ``which`` of a list array (data, offsets), one after the other, and their offsets."""
-    first, count = offsets[which], offsets[which + 1] - offsets[which]
-    run = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
-    return data[np.arange(run[-1]) + np.repeat(first - run[:-1], count)], run
+    """The entries ``which`` of a list array (data, offsets), one after the other, and their offsets; some at a time, so that little is held besides them."""
+    run = np.zeros(len(which) + 1, np.int64)
+    np.cumsum(offsets[which + 1] - offsets[which], out=run[1:])
+    out = np.empty(int(run[-1]), data.dtype)
+    for at in range(0, len(which), GATHERED):
+        first, edge = offsets[which[at : at + GATHERED]], run[at : at + GATHERED + 1]
+        out[edge[0] : edge[-1]] = data[np.arange(edge[0], edge[-1]) + np.repeat(first - edge[:-1], np.diff(edge))]
+    return out, run
 
 
 def squeezed(a: np.ndarray) -> bytes:
@@ -79,3 +88,13 @@ def unsqueezed_codes(b: bytes) -> np.ndarray:
     tail = unsqueezed(b[at + 1 + n :], "<u4" if wide else "<u2").astype(np.int64)
     codes[more] = tail if wide else tail + ((codes[more] - 253) << 16)
     return codes
+
+
+def stored_by_page(table: DataFrame, path: str) -> DataFrame:
+    """Write a table bucketed by its column ``page`` to a shared folder and read it back: a join by page need not shuffle it again."""
+    spark = table.sparkSession
+    name = f"pages_{uuid.uuid4().hex}"
+    table.write.option("compression", "none").option("path", path).bucketBy(partitions(spark), "page").saveAsTable(name)
+    back = spark.table(name).select("*")
+    spark.sql(f"DROP TABLE {name}")  # the files stay: the table is external
+    return back
