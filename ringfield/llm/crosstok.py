@@ -16,7 +16,7 @@ from .common import Texts, fresh, shared_folder, small_batches
 from .pages import coded, flat, gather, paged, squeezed, squeezed_codes, unsqueezed, unsqueezed_codes
 
 #: Segments in one call of a library.
-AT_ONCE = 8192
+AT_ONCE = 4096
 MARK = "▁"
 
 
@@ -27,11 +27,11 @@ class Tokens:
         self.bytes = np.frombuffer(b"".join(table), np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in table])]).astype(np.int64)
 
-    def encode(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, segments: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the segments, one after the other, and the offsets of the segments in them."""
         lens, ids = [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
         for at in range(0, len(segments), AT_ONCE):
-            got = self._ids([s.decode() for s in segments[at : at + AT_ONCE]])
+            got = self._ids(segments.slice(at, AT_ONCE).cast(pa.large_string()).to_pylist())
             lens.append(np.fromiter(map(len, got), np.int64, len(got)))
             ids.append(np.fromiter((x for y in got for x in y), np.int64, int(lens[-1].sum())))
         return np.concatenate(ids), np.cumsum(np.concatenate(lens))
@@ -124,9 +124,8 @@ class Alignment:
         self.lens = np.concatenate(lens)
         self.edges = np.concatenate([[0], np.cumsum(self.lens)]).astype(np.int64)
         data, off = flat(words)
-        segments = words.to_pylist()
-        sides = [side.encode(segments) for side in (a, b)]
-        ok = np.ones(len(segments), bool)
+        sides = [side.encode(words) for side in (a, b)]
+        ok = np.ones(len(words), bool)
         for side, (ids, at) in zip((a, b), sides, strict=True):
             got, run = gather(side.bytes, side.offsets, ids)
             same = np.diff(run[at]) == np.diff(off)
@@ -138,9 +137,8 @@ class Alignment:
             ok &= same
         self.ok = ok
         use = [gather(ids, at, np.flatnonzero(ok)) for ids, at in sides]
-        size = np.where(ok, 0, 0)
         self.offsets = []
-        for (ids, at), (_, run) in zip(sides, use, strict=True):
+        for _, at in sides:
             size = np.where(ok, np.diff(at), 0)
             self.offsets.append(np.concatenate([[0], np.cumsum(size)]).astype(np.int64))
         self.a, self.b = use[0][0], use[1][0]
@@ -245,7 +243,7 @@ def linked_counts(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_
     One pass tokenises and aligns: every page of documents encodes each of its distinct segments once and is written to the
     shared folder with the numbers of its segments, their links, and its distinct id pairs with counts. The pairs are summed by a
     grouped aggregate, a window by B id (at most one row for each A id) finds the highest, and a join brings both back to the
-    pages, where they are summed up. A frequent pair costs one row a page, so no key is hot. A task holds one page (32 MB of text,
+    pages, where they are summed up. A frequent pair costs one row a page, so no key is hot. A task holds one page (8 MB of text,
     or a single longer one). Null and empty texts, and texts that a tokenizer does not give back byte by byte, have zeros and an empty
     ``groups_sha256`` and count nowhere. Ids may be null, repeated and of any type; every row gives one row, other columns are ignored.
     An empty table gives an empty table.

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from .common import Texts, blocks, partitions
 
 #: Bytes of text of a page. A larger page repeats fewer words, and its codes and dictionary must fit a task several times.
-PAGE_BYTES = 16 << 20
+PAGE_BYTES = 8 << 20
 #: Bytes of text in one vectorised step.
 STEP_BYTES = 1 << 20
 #: Entries that ``gather`` handles at once.
@@ -33,6 +33,7 @@ def paged(batches: Iterator[pa.RecordBatch], text: str, size: int = PAGE_BYTES)
             if room >= size:
                 yield number, held
                 number, held, room = number + 1, [], 0
+                pa.default_memory_pool().release_unused()
     if held:
         yield number, held
 
