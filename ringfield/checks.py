@@ -42,11 +42,11 @@ proj AS (SELECT p.*, d.n_bins, d.s, d.r_centre, greatest(0, least(floor({TURN} *
 def cells(view: str) -> str:
     return f"""{projected(view)},
 acc AS (SELECT frame_id, cell_id, any_value(ring) AS ring, any_value(bin) AS bin, any_value(n_bins) AS n_bins, any_value(s) AS s, any_value(r_centre) AS r_centre, count(*) AS n, min(z) AS z_min, max(z) FILTER (cls NOT IN (1, 2)) AS z_high,
-  count(*) FILTER (cls IN (1, 2)) AS n_ground, min(z) FILTER (cls IN (1, 2)) AS z_low, sum(z) FILTER (cls IN (1, 2)) AS gz, sum(z * z) FILTER (cls IN (1, 2)) AS gzz,
+  count(*) FILTER (cls IN (1, 2)) AS n_ground, min(z) FILTER (cls IN (1, 2)) AS z_low, sum(round(z * 1e6)::BIGINT) FILTER (cls IN (1, 2)) AS gz, sum(round(z * 1e6)::BIGINT * round(z * 1e6)::BIGINT) FILTER (cls IN (1, 2)) AS gzz,
   count(*) FILTER (cls = 0) AS h0, count(*) FILTER (cls = 1) AS h1, count(*) FILTER (cls = 2) AS h2, count(*) FILTER (cls = 3) AS h3, count(*) FILTER (cls = 4) AS h4, bool_or(moving) AS moving
   FROM proj GROUP BY frame_id, cell_id),
 fin AS (SELECT *, coalesce(z_low, z_min) AS z_ground, CASE WHEN z_high IS NOT NULL THEN greatest(z_high, coalesce(z_low, z_min)) END AS z_obstacle,
-  CASE WHEN n_ground >= 2 THEN greatest(gzz / n_ground - (gz / n_ground) * (gz / n_ground), 0e0) ELSE 0e0 END AS roughness,
+  CASE WHEN n_ground >= 2 THEN greatest((gzz::DOUBLE / n_ground - (gz::DOUBLE / n_ground) * (gz::DOUBLE / n_ground)) / 1e12, 0e0) ELSE 0e0 END AS roughness,
   CASE greatest(h0, h1, h2, h3, h4) WHEN h0 THEN 0 WHEN h1 THEN 1 WHEN h2 THEN 2 WHEN h3 THEN 3 ELSE 4 END AS class_id,
   CASE WHEN n_ground = 0 THEN least(80, trunc(255 * (7e-1 * least(n / 2e2, 1e0) + 3e-1 * n_ground / n))) ELSE trunc(255 * (7e-1 * least(n / 2e2, 1e0) + 3e-1 * n_ground / n)) END::INT AS confidence FROM acc)"""
 

@@ -14,16 +14,19 @@ KEY = ["frame_id", "cell_id"]
 def accumulate(points: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """One row for each occupied cell of a frame; a hash aggregate with map-side partial sums, so one shuffle of cells.
 
-    Points need frame_id, x, y, z, cls and moving. Null z counts the point but not its height.
+    Points need frame_id, x, y, z, cls and moving. Null z counts the point but not its height. Ground heights are summed as whole
+    micrometres (``gz``) and their squares in two parts (``gzz`` = high * 2^20 + low), so that no order of the rows or of partial sums changes a result.
     """
     ground = F.col("cls").isin(1, 2)
     g = F.when(ground, F.col("z"))
+    um = F.when(ground, F.round(F.col("z") * 1e6).cast("long"))
+    square = um * um
     return (
         project(points.where("cls BETWEEN 0 AND 4"), cfg)
         .groupBy("frame_id", "cell_id", "ring", "bin")
         .agg(
             F.count(F.lit(1)).alias("n"), F.min("z").alias("z_min"), F.max(F.when(~ground, F.col("z"))).alias("z_high"), F.count(g).alias("n_ground"),
-            F.min(g).alias("z_low"), F.sum(g).alias("gz"), F.sum(g * g).alias("gzz"),
+            F.min(g).alias("z_low"), F.sum(um).alias("gz"), F.sum(F.shiftright(square, 20)).alias("gzz_high"), F.sum(square.bitwiseAND((1 << 20) - 1)).alias("gzz_low"),
             *[F.count_if(F.col("cls") == k).alias(f"h{k}") for k in range(5)], F.bool_or("moving").alias("moving"),
         )
     )
@@ -33,6 +36,7 @@ def finalise(acc: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Heights, roughness, class (lowest id wins ties) and confidence of each cell."""
     low = F.coalesce("z_low", "z_min")
     mean = F.col("gz") / F.col("n_ground")
+    squares = F.col("gzz_high") * float(1 << 20) + F.col("gzz_low")
     score = 255 * (0.7 * F.least(F.col("n") / 200.0, F.lit(1.0)) + 0.3 * F.col("n_ground") / F.col("n"))
     hist = [F.col(f"h{k}") for k in range(5)]
     cls = F.lit(4)
@@ -42,7 +46,7 @@ def finalise(acc: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return acc.withColumns({
         "z_ground": low,
         "z_obstacle": F.when(F.col("z_high").isNotNull(), F.greatest(F.col("z_high"), low)),
-        "roughness": F.when(F.col("n_ground") >= 2, F.greatest(F.col("gzz") / F.col("n_ground") - mean * mean, F.lit(0.0))).otherwise(F.lit(0.0)),
+        "roughness": F.when(F.col("n_ground") >= 2, F.greatest((squares / F.col("n_ground") - mean * mean) / 1e12, F.lit(0.0))).otherwise(F.lit(0.0)),
         "class_id": cls,
         "confidence": conf.cast("int"),
     })

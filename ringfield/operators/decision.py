@@ -99,8 +99,9 @@ def reason(context: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 
 def decision_log(frames: DataFrame, by: list[str], order: list[str], fields: list[str], beat: int = 60) -> DataFrame:
-    """The frames to record: the first, every change of the fields, and a heartbeat every ``beat`` frames."""
+    """The frames to record: every change of the fields, as which the first frame counts, and a heartbeat every ``beat`` frames."""
     w = Window.partitionBy(*by).orderBy(*order)
     now, before = F.struct(*fields), F.lag(F.struct(*fields)).over(w)
-    rows = frames.withColumn("frame_idx", F.row_number().over(w) - 1).withColumn("changed", before.isNotNull() & ~before.eqNullSafe(now))
+    new = before.isNull() | ~before.eqNullSafe(now)
+    rows = frames.withColumn("frame_idx", F.row_number().over(w) - 1).withColumn("changed", new)
     return rows.where((F.col("frame_idx") % beat == 0) | F.col("changed"))

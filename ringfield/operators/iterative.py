@@ -1,7 +1,7 @@
-"""Operators that iterate: distance graphs and components, ground planes, tracking, route search.
+"""Operators that iterate: distance graphs and components, geometric segmentation, tracking.
 
-Distance joins and components are joins. What is sequential by nature (a plane fit, a tracker's frames, a shortest path)
-runs as one Python function for each frame or sequence; a frame is one sensor revolution, of bounded size.
+Distance joins and components are joins; a tracker steps through the frames of a sequence in one Python function. ``fit_plane`` and ``shortest`` work on one
+cloud or raster in memory; for tables see ``planes`` and ``routes``.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.grid import ring_table
-from .decision import raster_size
+from .cells import kept
+from .clusters import cluster_roots
+from .planes import ransac_planes
 
 
 def cell_centres(cells: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -50,33 +52,10 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def frame_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The same labels by one function for each frame: for graphs of long chains, whose frames are bounded."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        ids, ends = np.unique(g[["a", "b"]].to_numpy(), return_inverse=True)
-        a, b = ends.reshape(-1, 2).T
-        root = np.arange(len(ids))
-        while True:
-            before = root.copy()
-            low = np.minimum(root[a], root[b])
-            np.minimum.at(root, a, low)
-            np.minimum.at(root, b, low)
-            np.minimum.at(root, before, root)
-            root = root[root]
-            if (root == before).all():
-                break
-        return pd.DataFrame({"frame_id": g["frame_id"].iloc[0], "id": ids, "root": ids[root]})
-
-    kind = nodes.schema["id"].dataType.simpleString()
-    found = edges.select("frame_id", "a", "b").groupBy("frame_id").applyInPandas(run, f"frame_id int, id {kind}, root {kind}")
-    return nodes.select("frame_id", "id").join(found, ["frame_id", "id"], "left").select("frame_id", "id", F.coalesce("root", "id").alias("root"))
-
-
 def cluster_centroids(cells: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Clusters of DYNAMIC cells: centre and size; small ones are dropped."""
-    nodes = cell_centres(cells, cfg).checkpoint()
-    labels = components(nodes, radius_edges(nodes, cfg.link))
+    nodes = kept(cell_centres(cells, cfg))
+    labels = cluster_roots(nodes.withColumnsRenamed({"cx": "x", "cy": "y"}), cfg.link)
     return labels.join(nodes, ["frame_id", "id"]).groupBy("frame_id", F.col("root").alias("cluster")).agg(F.count(F.lit(1)).alias("n_cells"), F.avg("cx").alias("cx"), F.avg("cy").alias("cy")).where(F.col("n_cells") >= cfg.min_cells)
 
 
@@ -112,42 +91,18 @@ def fit_plane(xyz: np.ndarray, cfg: Config = DEFAULT) -> tuple[np.ndarray, float
     return n, off, int((np.abs(near @ n + off) <= cfg.ground_tol).sum())
 
 
-def ransac_planes(points: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """The ground plane of every frame; frames without one have no row."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        got = fit_plane(g.sort_values(["x", "y", "z"])[["x", "y", "z"]].to_numpy(float), cfg)
-        return pd.DataFrame([] if got is None else [{"frame_id": g["frame_id"].iloc[0], "nx": got[0][0], "ny": got[0][1], "nz": got[0][2], "d": got[1], "inliers": got[2]}], columns=["frame_id", "nx", "ny", "nz", "d", "inliers"])
-
-    return points.select("frame_id", "x", "y", "z").groupBy("frame_id").applyInPandas(run, "frame_id int, nx double, ny double, nz double, d double, inliers long")
-
-
-def knn_edges(points: DataFrame, key: str, cfg: Config = DEFAULT) -> DataFrame:
-    """Up to 16 nearest neighbours within 0.5 m of every point: bucketed distance join, then a top-k by point."""
-    r = cfg.cluster_radius
-    cell = lambda c: F.floor(F.col(c) / r).cast("int")
-    probe = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    left = points.select("frame_id", F.col(key).alias("a"), "x", "y", "z", F.explode(probe).alias("o")).select("frame_id", "a", "x", "y", "z", (cell("x") + F.col("o.i")).alias("bx"), (cell("y") + F.col("o.j")).alias("by"), (cell("z") + F.col("o.k")).alias("bz"))
-    right = points.select("frame_id", F.col(key).alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("z").alias("z2"), cell("x").alias("bx"), cell("y").alias("by"), cell("z").alias("bz"))
-    d2 = sum((F.col(c) - F.col(f"{c}2")) * (F.col(c) - F.col(f"{c}2")) for c in ("x", "y", "z"))
-    near = left.join(right, ["frame_id", "bx", "by", "bz"]).where(F.col("a") != F.col("b")).withColumn("d2", d2).where(F.col("d2") <= r * r)
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("frame_id", "a").orderBy("d2", "b")
-    return near.withColumn("k", F.row_number().over(w)).where(F.col("k") <= cfg.cluster_knn).select("frame_id", "a", "b")
-
-
 def segment_geometric(points: DataFrame, key: str, cfg: Config = DEFAULT) -> DataFrame:
     """Classes without a network: plane bands for the ground, boxes of clusters for the rest; frames without a plane are VOID.
 
-    Returns frame_id, the key and ``cls``.
+    Points are clustered by their up to 16 nearest neighbours within 0.5 m. The key is an integer, unique in a frame. Returns
+    frame_id, the key and ``cls``.
     """
     from .segment import band_class, bbox_class
 
     planes = ransac_planes(points, cfg)
-    banded = band_class(points.join(F.broadcast(planes), "frame_id"), cfg).checkpoint()
+    banded = kept(band_class(points.join(planes, "frame_id"), cfg))
     above = banded.where("band = 'above'").select("frame_id", F.col(key).alias("id"), "x", "y", "z", "h")
-    labels = frame_components(above, knn_edges(above.withColumnRenamed("id", key), key, cfg))
+    labels = kept(cluster_roots(above, cfg.cluster_radius, cfg.cluster_knn))
     boxes = above.join(labels, ["frame_id", "id"]).groupBy("frame_id", "root").agg(F.count(F.lit(1)).alias("n"), (F.max("x") - F.min("x")).alias("sx"), (F.max("y") - F.min("y")).alias("sy"), (F.max("h") - F.min("h")).alias("span"), F.min("h").alias("base"))
     high = labels.join(bbox_class(boxes, cfg).select("frame_id", "root", "cls"), ["frame_id", "root"]).select("frame_id", F.col("id").alias(key), "cls")
     low = banded.where("band <> 'above'").select("frame_id", key, F.when(F.col("band") == "ground", 1).otherwise(2).alias("cls"))
@@ -251,40 +206,6 @@ def shortest(cost: np.ndarray, start: tuple[int, int], goal: tuple[int, int]) ->
     return None
 
 
-ROUTE_DDL = "frame_id int, kind string, length double, cost double, risk string, eta double, waypoints array<array<double>>"
-
-
-def plan_routes(raster: DataFrame, cfg: Config = DEFAULT, distinct_alternative: bool = False) -> DataFrame:
-    """A primary and an alternative route for each frame's raster (frame_id, ix, iy, cost).
-
-    Without a way the primary is the straight line. The alternative searches again with the corridor of the primary
-    closed; as the goal lies in it, it usually becomes the primary moved by 2 m. ``distinct_alternative`` adds a
-    finite penalty to the corridor instead.
-    """
-    n = raster_size(cfg)
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        cost = np.zeros((n, n))
-        cost[g["ix"], g["iy"]] = g["cost"]
-        start, goal = (0, n // 2), (n - 1, n // 2)
-        first = shortest(cost, start, goal) or [(i, n // 2) for i in range(n)]
-        near = np.zeros((n, n), bool)
-        for i, j in first:
-            near[max(0, i - 2) : i + 3, max(0, j - 2) : j + 3] = True
-        second = shortest(np.where(near, np.minimum(cost + 0.9, 0.999), cost) if distinct_alternative else np.where(near, np.minimum(cost + 2.0, 1.0), cost), start, goal)
-        second = second or [(i, min(n - 1, j + 8)) for i, j in first]
-        out = []
-        for kind, path in (("primary", first), ("alternative", second)):
-            length = sum(math.hypot(a[0] - b[0], a[1] - b[1]) for a, b in zip(path, path[1:], strict=False)) * cfg.res
-            total = float(sum(cost[p] for p in path))
-            mean = total / len(path)
-            way = path[::4] + ([path[-1]] if (len(path) - 1) % 4 else [])
-            out.append({"frame_id": g["frame_id"].iloc[0], "kind": kind, "length": round(length, 3), "cost": round(total, 3), "risk": "LOW" if mean < 0.25 else "MEDIUM" if mean < 0.55 else "HIGH", "eta": round(length / 8, 1), "waypoints": [[(i + 0.5) * cfg.res, (j + 0.5) * cfg.res - cfg.extent / 2] for i, j in way]})
-        return pd.DataFrame(out)
-
-    return raster.select("frame_id", "ix", "iy", "cost").groupBy("frame_id").applyInPandas(run, ROUTE_DDL)
-
-
 def warm_speed(tracks: DataFrame, warmup: int = 10) -> DataFrame:
     """Median speed of each sequence's first track (the largest) from frame ``warmup`` on, and how many ids were first."""
     speed = F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from .quantiles import exact_quantiles
 
 
 def range_bin(r: Column, cfg: Config = DEFAULT) -> Column:
@@ -61,8 +62,11 @@ def object_recall(points: DataFrame, min_points: int = 5, share: float = 0.5) ->
 
 
 def latency(samples: DataFrame, by: str, value: str = "value") -> DataFrame:
+    """Count, mean, exact median and 95th percentile, greatest and least of each group; groups may have any number of rows."""
     v = F.col(value)
-    return samples.groupBy(by).agg(F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.median(v), 6).alias("median"), F.round(F.percentile(v, 0.95), 6).alias("p95"), F.round(F.max(v), 6).alias("max"), F.round(F.min(v), 6).alias("min"))
+    plain = samples.groupBy(by).agg(F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.max(v), 6).alias("max"), F.round(F.min(v), 6).alias("min"))
+    exact = exact_quantiles(samples, by, value, {"median": 0.5, "p95": 0.95}).select(F.col(by).alias("g__"), F.round("median", 6).alias("median"), F.round("p95", 6).alias("p95"))
+    return plain.join(exact, F.col(by).eqNullSafe(F.col("g__")), "left").select(by, "n", "mean", "median", "p95", "max", "min")
 
 
 def after_warmup(samples: DataFrame, by: str, order: list[str], most: int = 5) -> DataFrame:

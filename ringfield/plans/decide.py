@@ -17,7 +17,7 @@ from ..operators import store as S
 from ..operators.segment import bbox_class
 from ..sources import registry as G
 from ..sources.results import shown
-from ..sources.views import dealt, lineitem, pts_dense, pts_wide
+from ..sources.views import lineitem, pts_dense, pts_wide
 
 # Primitives of the scenes S2, S3 and S5 (kind, centre, size, class, velocity, hazard).
 SCENE = [(0, "plane", 0.0, 0.0, 0.0, 200.0, 200.0, 0.0, 1, 0.0, 0.0, ""), (1, "pit", 12.0, -0.5, -0.11, 1.4, 1.0, 0.22, 2, 0.0, 0.0, "pothole"), (2, "box", 38.0, 0.0, 3.85, 24.0, 20.0, 1.5, 3, 0.0, 0.0, "clearance"),
@@ -29,7 +29,7 @@ def scene(spark):
 
 
 def image(spark, d):
-    return I.pixels(dealt(pts_wide(spark, d)).withColumn("z", F.col("z") - 1.0))
+    return I.pixels(pts_wide(spark, d).withColumn("z", F.col("z") - 1.0))
 
 
 KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
@@ -40,7 +40,7 @@ def range_pixel(spark, d):
 
 
 def depth(spark, d):
-    rows = image(spark, d).withColumns({"px": F.floor(F.col("px") / 64).cast("int"), "py": F.floor(F.col("py") / 4).cast("int"), "range": F.round("range", 6)})
+    rows = image(spark, d).withColumn("range", F.round("range", 6))
     return rows, I.depth_test(rows, KEYS)
 
 
@@ -57,12 +57,13 @@ def travelled(spark, d):
     return O.traversability(O.analyse(O.cell_map(pts_wide(spark, d)))).select("frame_id", "cell_id", F.round("trav", 9).alias("trav"), "class_id", "flags")
 
 
-def frames(spark, n=7):
-    return spark.range(n).select(F.col("id").cast("int").alias("frame_id"))
+def frames(spark, d):
+    """The frames of the views."""
+    return pts_wide(spark, d).select("frame_id").distinct()
 
 
 def raster(spark, d):
-    return D.resample(travelled(spark, d), frames(spark))
+    return D.resample(travelled(spark, d), frames(spark, d))
 
 
 def costmap_resample(spark, d):
@@ -95,7 +96,7 @@ def risk_level(spark, d):
 
 
 def track_route_conflict(spark, d):
-    way = frames(spark).select("frame_id", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("k")).select("frame_id", F.col("k").cast("double").alias("x"), (F.col("k") * 0.25).alias("y"))
+    way = frames(spark, d).select("frame_id", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("k")).select("frame_id", F.col("k").cast("double").alias("x"), (F.col("k") * 0.25).alias("y"))
     return D.conflicts(predicted(spark, d), way).select("frame_id", "track_order", F.round("t_conflict", 6).alias("t_conflict"))
 
 
@@ -110,8 +111,8 @@ def explain_reason(spark, d):
 
 
 def decision_log_change(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", "ts", F.when(F.col("event_type").isin("error", "view"), "alternative").otherwise("primary").alias("selected"), F.when(F.col("event_type") == "error", "HIGH").otherwise("LOW").alias("risk"))
-    return D.decision_log(e, ["user_id"], ["ts", "event_id"], ["selected", "risk"]).select("user_id", "event_id", "frame_idx", "selected", "risk", "changed")
+    e = spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", "ts", F.when(F.col("event_type").isin("error", "view"), "alternative").otherwise("primary").alias("selected"), F.when(F.col("event_type") == "error", "HIGH").otherwise("LOW").alias("risk"), F.concat(F.lit("after "), "event_type").alias("reason"))
+    return D.decision_log(e, ["user_id"], ["ts", "event_id"], ["selected", "risk", "reason"]).select("user_id", "event_id", "frame_idx", "selected", "risk", "reason", "changed")
 
 
 def dynamic_cells_edges(spark, d):
@@ -245,13 +246,13 @@ QUERIES = {k: v for k, v in globals().items() if k in (
 _img = f"""{C.points('wide')}, shifted AS (SELECT * REPLACE (z - 1 AS z) FROM pts),
 img AS (SELECT *, sqrt(x * x + y * y + z * z) AS range_, greatest(0, least(floor(5e-1 * (-atan2(y, x) / pi() + 1) * 2048), 2047))::INT AS px,
   greatest(0, least(floor((1 - (asin(greatest(-1, least(z / greatest(sqrt(x * x + y * y + z * z), 1e-6), 1))) - radians(-25)) / (radians(3) - radians(-25))) * 64), 63))::INT AS py FROM shifted),
-small AS (SELECT * REPLACE (px // 64 AS px, py // 4 AS py, round(range_, 6) AS range_) FROM img),
+small AS (SELECT * REPLACE (round(range_, 6) AS range_) FROM img),
 best AS (SELECT * FROM small QUALIFY row_number() OVER (PARTITION BY frame_id, py, px ORDER BY range_, l_orderkey DESC, l_partkey DESC, l_suppkey DESC, l_linenumber DESC) = 1)"""
 _trav = "greatest(0e0, least(1 - (3e-1 * least(slope / 15e0, 1e0) + 2e-1 * least(roughness / 5e-2, 1e0) + 2e-1 * step::INT + 2e-1 * CASE class_id WHEN 1 THEN 0e0 WHEN 2 THEN 5e-1 ELSE 1e0 END + 1e-1 * overhang::INT), 1e0))"
 _ras = f"""{C.analysed('wide')}, tr AS (SELECT frame_id, cell_id, class_id, flags, round(CASE WHEN confidence < 96 THEN t * (confidence / 255e0) + 5e-1 * (1 - confidence / 255e0) ELSE t END, 9) AS trav FROM (SELECT *, {_trav} AS t FROM ana)),
 xy AS (SELECT ix::INT AS ix, iy::INT AS iy, x, y, sqrt(x * x + y * y) AS r FROM (SELECT ix, iy, (ix + 5e-1) * 25e-2 AS x, (iy + 5e-1) * 25e-2 - 2e1 AS y FROM range(160) a(ix), range(160) b(iy))),
 cov AS (SELECT p.ix, p.iy, (d."offset" + greatest(0, least(floor({C.TURN} * d.n_bins), d.n_bins - 1)))::INT AS cell_id FROM (SELECT *, ({C.RING_OF})::INT AS ring FROM xy) p JOIN dim_ring d USING (ring)),
-ras AS (SELECT f::INT AS frame_id, ix, iy, coalesce(trav, 5e-1) AS trav, coalesce(class_id, 0) AS class_id, coalesce(flags, 0) AS flags FROM cov CROSS JOIN range(7) t(f) LEFT JOIN tr ON tr.frame_id = f AND tr.cell_id = cov.cell_id)"""
+ras AS (SELECT f::INT AS frame_id, ix, iy, coalesce(trav, 5e-1) AS trav, coalesce(class_id, 0) AS class_id, coalesce(flags, 0) AS flags FROM cov CROSS JOIN (SELECT DISTINCT frame_id FROM pts) t(f) LEFT JOIN tr ON tr.frame_id = f AND tr.cell_id = cov.cell_id)"""
 _pred = """pr AS (SELECT frame_id, track_order, s AS step, x + vx * 8e-1 * (s + 1) AS x, y + vy * 8e-1 * (s + 1) AS y FROM (SELECT frame_id, dense_rank() OVER (PARTITION BY frame_id ORDER BY l_orderkey, l_partkey, l_suppkey, x, y)::INT AS track_order, x, y, l_partkey % 5 - 2 AS vx, l_suppkey % 5 - 2 AS vy FROM pts WHERE cls = 4 AND x > 0), range(5) t(s))"""
 _scene = "sc(prim, kind, px, py, pz, sx, sy, sz, cls, vx, vy, hazard) AS (VALUES " + ", ".join("(" + ", ".join(f"{v!r}::DOUBLE" if isinstance(v, float) else repr(v) for v in row) + ")" for row in SCENE) + ")"
 _runs = "r AS (SELECT o_orderkey AS run_id, o_custkey AS uid, o_orderdate AS started_at, o_orderstatus AS status FROM orders)"
@@ -285,7 +286,7 @@ ORACLES = {
   [round(coalesce(sum(exp(-d * d / 2)) FILTER (k <= 5 AND d <= 1 AND c = v), 0), 9) for v in [0]] AS unused,
   [round(coalesce(sum(exp(-d * d / 2)) FILTER (k <= 5 AND d <= 1 AND c = 0), 0), 9), round(coalesce(sum(exp(-d * d / 2)) FILTER (k <= 5 AND d <= 1 AND c = 1), 0), 9), round(coalesce(sum(exp(-d * d / 2)) FILTER (k <= 5 AND d <= 1 AND c = 2), 0), 9), round(coalesce(sum(exp(-d * d / 2)) FILTER (k <= 5 AND d <= 1 AND c = 3), 0), 9), round(coalesce(sum(exp(-d * d / 2)) FILTER (k <= 5 AND d <= 1 AND c = 4), 0), 9)] AS votes
   FROM (SELECT p.rid, p.l_orderkey, p.l_linenumber, p.x, p.y, i.cls AS c, i.py - p.py AS dy, i.px - p.px AS dx, round(abs(i.range_ - p.range_), 9) AS d, row_number() OVER (PARTITION BY p.rid ORDER BY round(abs(i.range_ - p.range_), 9), i.py - p.py, i.px - p.px, i.cls) AS k
-    FROM (SELECT *, row_number() OVER () AS rid FROM small) p JOIN best i ON i.frame_id = p.frame_id AND abs(i.py - p.py) <= 2 AND abs(i.px - p.px) <= 2) GROUP BY rid))""".replace("  [round(coalesce(sum(exp(-d * d / 2)) FILTER (k <= 5 AND d <= 1 AND c = v), 0), 9) for v in [0]] AS unused,\n", "")),
+    FROM (SELECT *, unnest([py - 2, py - 1, py, py + 1, py + 2]) AS near_py FROM (SELECT *, row_number() OVER () AS rid FROM small)) p JOIN best i ON i.frame_id = p.frame_id AND i.py = p.near_py AND abs(i.px - p.px) <= 2) GROUP BY rid))""".replace("  [round(coalesce(sum(exp(-d * d / 2)) FILTER (k <= 5 AND d <= 1 AND c = v), 0), 9) for v in [0]] AS unused,\n", "")),
     "costmap_resample": C.sql(_ras, "SELECT frame_id, ix, iy, round(trav, 6) AS trav, class_id, flags FROM ras"),
     "costmap_inflate": C.sql(_ras + ", hard AS MATERIALIZED (SELECT frame_id, ix, iy FROM ras WHERE class_id IN (3, 4)), shifts AS MATERIALIZED (SELECT a, b FROM range(-5, 6) x(a), range(-5, 6) y(b) WHERE abs(a) + abs(b) <= 5)", """SELECT r.frame_id, r.ix, r.iy, round(CASE WHEN h.ix IS NOT NULL AND r.class_id NOT IN (3, 4) THEN 0 ELSE r.trav END, 6) AS trav, r.class_id FROM ras r LEFT JOIN (SELECT DISTINCT frame_id, ix + a AS ix, iy + b AS iy FROM hard, shifts) h ON h.frame_id = r.frame_id AND h.ix = r.ix AND h.iy = r.iy"""),
     "costmap_track_cost": C.sql(f"{_ras}, {_pred}", """SELECT frame_id, count(*) AS n, round(sum(cost), 4) AS cost, count(*) FILTER (cost >= 1) AS closed FROM (SELECT r.frame_id, greatest(0, least(1 - CASE WHEN hits IS NULL THEN trav ELSE greatest(0, trav - 3e-1 * hits) END, 1)) AS cost
@@ -297,7 +298,7 @@ ORACLES = {
   WHEN event_id % 3 = 0 THEN printf('Primary route blocked: negative obstacle depth %.2f m at %.0f m ahead.', value, value) || extra
   ELSE printf('Primary route selected: mean traversability %.2f, max slope %.1f°, no dynamic conflicts within 4 s.', value / 500, value / 50) END AS reason
   FROM (SELECT *, CASE WHEN value / 1000 > 5e-3 THEN printf(' Alternative adds %.1f km at ', value / 1000) ELSE ' Alternative at ' END || CASE WHEN value < 20 THEN 'LOW' WHEN value < 60 THEN 'MEDIUM' ELSE 'HIGH' END || ' terrain risk.' AS extra FROM (SELECT * REPLACE (floor(value * 10) / 10 + 2e-2 AS value) FROM events))""",
-    "decision_log_change": """SELECT user_id, event_id, frame_idx::INT AS frame_idx, selected, risk, changed FROM (SELECT *, row_number() OVER w - 1 AS frame_idx, coalesce(lag(selected) OVER w <> selected OR lag(risk) OVER w <> risk, false) AS changed FROM (SELECT user_id, event_id, ts, CASE WHEN event_type IN ('error', 'view') THEN 'alternative' ELSE 'primary' END AS selected, CASE WHEN event_type = 'error' THEN 'HIGH' ELSE 'LOW' END AS risk FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE frame_idx % 60 = 0 OR changed""",
+    "decision_log_change": """SELECT user_id, event_id, frame_idx::INT AS frame_idx, selected, risk, reason, changed FROM (SELECT *, row_number() OVER w - 1 AS frame_idx, coalesce(lag(selected) OVER w <> selected OR lag(risk) OVER w <> risk OR lag(reason) OVER w <> reason, true) AS changed FROM (SELECT user_id, event_id, ts, CASE WHEN event_type IN ('error', 'view') THEN 'alternative' ELSE 'primary' END AS selected, CASE WHEN event_type = 'error' THEN 'HIGH' ELSE 'LOW' END AS risk, 'after ' || event_type AS reason FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE frame_idx % 60 = 0 OR changed""",
     "dynamic_cells_edges": C.sql(f"{C.cells('wide')}, ce AS (SELECT frame_id, cell_id, r_centre * cos((bin + 5e-1) / n_bins * 2 * pi()) AS cx, r_centre * sin((bin + 5e-1) / n_bins * 2 * pi()) AS cy FROM fin WHERE class_id = 4)", "SELECT p.frame_id, p.cell_id AS a, q.cell_id AS b, round(sqrt(pow(p.cx - q.cx, 2) + pow(p.cy - q.cy, 2)), 6) AS dist FROM ce p JOIN ce q ON p.frame_id = q.frame_id AND p.cell_id < q.cell_id AND pow(p.cx - q.cx, 2) + pow(p.cy - q.cy, 2) <= 225e-2"),
     "bbox_classify": C.sql(C.points("wide"), """SELECT frame_id, instance, n, CASE WHEN n < 12 THEN 0 WHEN base > 6e-1 THEN 3 WHEN span <= 35e-2 AND foot >= 3 THEN 2 WHEN (span BETWEEN 8e-1 AND 45e-1 AND foot BETWEEN 15e-1 AND 9e0 AND foot >= span) OR (span BETWEEN 8e-1 AND 22e-1 AND foot <= 12e-1) THEN 4 ELSE 3 END AS cls
   FROM (SELECT frame_id, instance, count(*) AS n, greatest((max(x) - min(x)) / 40, (max(y) - min(y)) / 40) AS foot, max(z) - min(z) AS span, min(z) + 25e-1 AS base FROM pts WHERE instance > 0 GROUP BY ALL)"""),

@@ -31,7 +31,7 @@ def project_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cell_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.accumulate(pts_dense(spark, sf_dir)).select("frame_id", "cell_id", "ring", "bin", "n", *r6("z_min", "z_high", "z_low", "gz"), F.round("gzz", 9).alias("gzz"), "n_ground", "h0", "h1", "h2", "h3", "h4", "moving")
+    return O.accumulate(pts_dense(spark, sf_dir)).select("frame_id", "cell_id", "ring", "bin", "n", *r6("z_min", "z_high", "z_low"), "gz", (F.col("gzz_high") * (1 << 20) + F.col("gzz_low")).alias("gzz"), "n_ground", "h0", "h1", "h2", "h3", "h4", "moving")
 
 
 def cell_finalise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +130,7 @@ def traversability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def refine_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.refine(analysed(spark, sf_dir), most=100).select("frame_id", "cell_id", "rank", F.round("score", 6).alias("score"))
+    return O.refine(analysed(spark, sf_dir)).select("frame_id", "cell_id", "rank", F.round("score", 6).alias("score"))
 
 
 def refine_quadrants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +160,7 @@ ORACLES = {
     "ring_table": C.sql(C.RINGS, 'SELECT ring, round(r_in, 6) AS r_in, round(r_out, 6) AS r_out, round(s, 6) AS s, round(r_centre, 6) AS r_centre, n_bins, "offset" FROM dim_ring'),
     "project_ring": C.sql(C.points("wide"), f"SELECT l_orderkey, l_linenumber, x, y, ({C.RING_OF})::INT AS ring FROM (SELECT *, sqrt(x * x + y * y) AS r FROM pts)"),
     "project_cell": C.sql(C.projected("wide"), "SELECT l_orderkey, l_linenumber, x, y, ring, bin, cell_id FROM proj"),
-    "cell_accumulate": C.sql(C.cells("dense"), "SELECT frame_id, cell_id, ring, bin, n, round(z_min, 6) AS z_min, round(z_high, 6) AS z_high, round(z_low, 6) AS z_low, round(gz, 6) AS gz, round(gzz, 9) AS gzz, n_ground, h0, h1, h2, h3, h4, moving FROM acc"),
+    "cell_accumulate": C.sql(C.cells("dense"), "SELECT frame_id, cell_id, ring, bin, n, round(z_min, 6) AS z_min, round(z_high, 6) AS z_high, round(z_low, 6) AS z_low, gz::BIGINT AS gz, gzz::BIGINT AS gzz, n_ground, h0, h1, h2, h3, h4, moving FROM acc"),
     "cell_finalise": C.sql(C.cells("dense"), "SELECT frame_id, cell_id, round(z_ground, 6) AS z_ground, round(z_obstacle, 6) AS z_obstacle, round(roughness, 6) AS roughness, class_id, confidence FROM fin"),
     "neighbour_edges": C.sql(C.edges("wide"), "SELECT frame_id, cell_id, side, neighbour_id FROM edges"),
     "cell_centres_range_join": C.sql(C.RINGS, """SELECT cell_id, ring, cell_id - "offset" AS bin, round(r_centre * cos((cell_id - "offset" + 5e-1) / n_bins * 2 * pi()), 6) AS cx, round(r_centre * sin((cell_id - "offset" + 5e-1) / n_bins * 2 * pi()), 6) AS cy, round(s, 6) AS radial, round(2 * pi() * r_centre / n_bins, 6) AS tangential
@@ -182,7 +182,7 @@ ORACLES = {
     "flags_bitmask": C.sql(C.analysed("dense"), "SELECT frame_id, cell_id, class_id, confidence, flags FROM ana"),
     "void_unobserved_anti_join": C.sql(C.cells("dense"), """SELECT g.frame_id, d.ring, count(*) AS n_void, sum(g.id)::BIGINT AS id_sum FROM (SELECT f.frame_id, i AS id FROM range(705771) t(i), (SELECT DISTINCT frame_id FROM pts) f WHERE NOT EXISTS (SELECT 1 FROM acc WHERE acc.frame_id = f.frame_id AND acc.cell_id = i)) g JOIN dim_ring d ON g.id >= d."offset" AND g.id < d."offset" + d.n_bins GROUP BY g.frame_id, d.ring"""),
     "traversability": C.sql(C.analysed("dense"), f"SELECT frame_id, cell_id, round(round(CASE WHEN confidence < 96 THEN t * (confidence / 255e0) + 5e-1 * (1 - confidence / 255e0) ELSE t END, 9), 6) AS trav FROM (SELECT *, {_trav} AS t FROM ana)"),
-    "refine_topn": C.sql(C.analysed("dense"), f"SELECT frame_id, cell_id, rank::INT AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY {_score} DESC, cell_id) AS rank, {_score} AS score FROM ana WHERE {_far}) WHERE rank <= 100"),
+    "refine_topn": C.sql(C.analysed("dense"), f"SELECT frame_id, cell_id, rank::INT AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY {_score} DESC, cell_id) AS rank, {_score} AS score FROM ana WHERE {_far}) WHERE rank <= 4096"),
     "refine_quadrants": C.sql(C.analysed("dense"), f"SELECT frame_id, cell_id, q::INT AS quadrant, flags, flags + 64 AS parent_flags, round(z_ground, 6) AS z_ground FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY {_score} DESC, cell_id) AS rank FROM ana WHERE {_far}), range(4) t(q) WHERE rank <= 4096"),
     "elevation_ramp": C.sql(C.cells("dense"), f"SELECT frame_id, cell_id, round(greatest(0e0, least((z_ground + 2) / 8e0, 1e0)), 6) AS ramp, round(greatest(coalesce(z_obstacle, z_ground) - z_ground, 1e-1), 6) AS height, {list(L.CLASS_NAMES)!r}[class_id + 1] AS class_name FROM fin"),
 }

