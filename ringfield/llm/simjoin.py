@@ -547,7 +547,10 @@ class _Links:
                 each = each.join(refused.select("a", "b").distinct(), ["a", "b"], "left_anti")
             each = stored(each, self.scratch)
             if each.isEmpty():
-                break
+                # All pairs of the round were refused before, in other meetings: those that hold pairs back have more to tell.
+                if pairs.where("more").isEmpty():
+                    break
+                continue
             texts = texts_of(each, self.classes, self.docs, self.scratch)
             self.add(each, texts)
             # Only a meeting that held pairs back and gave one that was found wrong has more to tell.

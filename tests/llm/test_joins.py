@@ -244,3 +244,18 @@ def test_one_of_each_component_stays_where_ids_are_repeated_or_null(spark):
     got = sorted(((r.doc_id, r.text) for r in simjoin.keep_one(docs).collect()), key=repr)
     assert got == sorted([(1, a), (2, c), (5, d), (None, e), (7, near), (7, None), (None, None), (None, "")], key=repr)
     assert simjoin.keep_one(docs).columns == docs.columns
+
+
+def test_a_round_of_refused_pairs_does_not_end_the_search(spark, monkeypatch, tmp_path):
+    """Rounds fed by hand: the second gives only a pair that was refused before, the third the one that links."""
+    ddl = "m long, a long, b long, more boolean"
+    fed = [[(1, 10, 20, True)], [(1, 10, 20, True)], [(1, 10, 20, False), (1, 10, 30, False)]]
+    asked, asked_most = [], []
+    monkeypatch.setattr(simjoin, "candidates", lambda *a: (asked_most.append(a[5]), spark.createDataFrame(fed[len(asked_most) - 1], ddl))[1])
+    monkeypatch.setattr(simjoin, "texts_of", lambda each, *rest: each)
+    none = spark.createDataFrame([], "class long")
+    search = simjoin._Links(none, none, 0, str(tmp_path))
+    search.add = lambda each, texts: asked.extend(sorted(map(tuple, each.select("a", "b").collect())))
+    search.across = lambda pairs: pairs
+    search.join_up(spark.createDataFrame([(1,)], "row long"))
+    assert asked == [(10, 20), (10, 30)] and len(asked_most) == 3
