@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, DYNAMIC, LOW_CONF, MOVING, NEG_OBSTACLE, OCCUPIED, OVERHANG, REFINED, STEP, VOID_UNOBSERVED, Config
@@ -56,16 +58,27 @@ def cell_map(points: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return finalise(accumulate(points, cfg), cfg)
 
 
-def kept(table: DataFrame) -> DataFrame:
-    """The table computed once for several uses: a checkpoint in the cluster's folder; only where none is set, in a temporary one."""
-    context = table.sparkSession.sparkContext
+def _checkpoints(spark: SparkSession) -> str:
+    """The cluster's folder for checkpoints; only where none is set (tests, a laptop), a temporary one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         import tempfile
 
-        context.setCheckpointDir(table.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def kept(table: DataFrame) -> DataFrame:
+    """The table computed once for several uses: a checkpoint in the cluster's folder."""
+    _checkpoints(table.sparkSession)
     return table.checkpoint()
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder beside the checkpoints."""
+    return f"{_checkpoints(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def ring_medians(cells: DataFrame) -> DataFrame:
     return cells.groupBy("frame_id", "ring").agg(F.median("z_ground").alias("med"), F.count(F.lit(1)).alias("n_occ"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import decide, design, maps, scores, steps
+from .plans import decide, design, maps, scores, steps, stores
 
-QUERIES: dict = {**maps.QUERIES, **scores.QUERIES, **design.QUERIES, **decide.QUERIES, **steps.QUERIES}
-ORACLES: dict = {**maps.ORACLES, **scores.ORACLES, **design.ORACLES, **decide.ORACLES, **steps.ORACLES}
+QUERIES: dict = {**maps.QUERIES, **scores.QUERIES, **design.QUERIES, **decide.QUERIES, **steps.QUERIES, **stores.QUERIES}
+ORACLES: dict = {**maps.ORACLES, **scores.ORACLES, **design.ORACLES, **decide.ORACLES, **steps.ORACLES, **stores.ORACLES}
