@@ -23,7 +23,7 @@ def ransac_plane(spark, d):
 
 
 def cluster_centroids(spark, d):
-    found = S.cluster_centroids(O.dynamic_cells(O.cell_map(pts_wide(spark, d))))
+    found = S.cluster_centroids(O.dynamic_cells(O.cell_map(pts_dense(spark, d))))
     return found.select("frame_id", "cluster", "n_cells", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
 
 
@@ -39,10 +39,10 @@ def segment_geometric(spark, d):
 
 
 def tracker(spark, d):
-    """Tracks of the clusters of moving and standing DYNAMIC cells; the lines of one supplier's turn are a sequence, and its frames those of the view."""
-    p = pts_wide(spark, d).withColumn("frame_id", (F.col("frame_id") * 8 + F.col("l_suppkey") % 8).cast("int"))
+    """Tracks of the clusters of DYNAMIC cells; seven frames of the view are two sequences, by even and odd suppliers."""
+    p = pts_wide(spark, d).withColumn("frame_id", (F.col("frame_id") * 2 + F.col("l_suppkey") % 2).cast("int"))
     found = S.cluster_centroids(O.dynamic_cells(O.cell_map(p)), replace(DEFAULT, min_cells=1))
-    return S.track(found.select((F.col("frame_id") % 8).cast("string").alias("sequence"), F.floor(F.col("frame_id") / 8).alias("frame_id"), "cx", "cy", "n_cells"))
+    return S.track(found.select((F.floor(F.col("frame_id") / 14) * 2 + F.col("frame_id") % 2).cast("string").alias("sequence"), (F.floor(F.col("frame_id") / 2) % 7).alias("frame_id"), "cx", "cy", "n_cells"))
 
 
 def track_speed(spark, d):
@@ -75,11 +75,11 @@ QUERIES = {k: v for k, v in globals().items() if k in ("ransac_plane", "cluster_
 
 from .. import checks as C  # noqa: E402
 
-_roots = C.cells("wide") + """, ce AS MATERIALIZED (SELECT frame_id, cell_id AS id, r_centre * cos((bin + 5e-1) / n_bins * 2 * pi()) AS cx, r_centre * sin((bin + 5e-1) / n_bins * 2 * pi()) AS cy FROM fin WHERE class_id = 4),
+_roots = """, ce AS MATERIALIZED (SELECT frame_id, cell_id AS id, r_centre * cos((bin + 5e-1) / n_bins * 2 * pi()) AS cx, r_centre * sin((bin + 5e-1) / n_bins * 2 * pi()) AS cy FROM fin WHERE class_id = 4),
 link AS MATERIALIZED (SELECT p.frame_id, p.id AS a, q.id AS b FROM ce p JOIN ce q ON p.frame_id = q.frame_id AND p.id <> q.id AND pow(p.cx - q.cx, 2) + pow(p.cy - q.cy, 2) <= 225e-2),
 reach AS (SELECT frame_id, id, id AS root FROM ce UNION SELECT r.frame_id, l.b, r.root FROM reach r JOIN link l ON l.frame_id = r.frame_id AND l.a = r.id),
 roots AS (SELECT frame_id, id, min(root) AS root FROM reach GROUP BY frame_id, id)"""
 ORACLES = {
-    "cluster_cc": C.sql(_roots, "SELECT frame_id, root, count(*) AS n FROM roots GROUP BY frame_id, root"),
-    "cluster_centroids": C.sql(_roots, "SELECT frame_id, root AS cluster, count(*) AS n_cells, round(avg(cx), 6) AS cx, round(avg(cy), 6) AS cy FROM roots JOIN ce USING (frame_id, id) GROUP BY frame_id, root HAVING count(*) >= 4"),
+    "cluster_cc": C.sql(C.cells("wide") + _roots, "SELECT frame_id, root, count(*) AS n FROM roots GROUP BY frame_id, root"),
+    "cluster_centroids": C.sql(C.cells("dense") + _roots, "SELECT frame_id, root AS cluster, count(*) AS n_cells, round(avg(cx), 6) AS cx, round(avg(cy), 6) AS cy FROM roots JOIN ce USING (frame_id, id) GROUP BY frame_id, root HAVING count(*) >= 4"),
     "wire_roundtrip": C.sql(C.analysed("dense"), "SELECT frame_id, count(*) AS n_cells, sum(cell_id)::BIGINT AS ids, sum(flags & 255)::BIGINT AS flags, sum(class_id)::BIGINT AS classes FROM ana GROUP BY frame_id")}

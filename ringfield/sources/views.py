@@ -20,11 +20,11 @@ def _raw(key: str) -> str:
 KEYS = "l_orderkey, l_partkey, l_suppkey, l_linenumber"
 COMMON = f"""{_raw('l_partkey + l_suppkey')} AS raw, {_raw('l_orderkey + l_partkey * 3')} AS pred_raw,
   CASE WHEN (l_partkey + l_suppkey) % 10 IN (7, 8) THEN 1 + l_suppkey % 40 ELSE 0 END AS instance, l_discount * 10 AS intensity"""
-WIDE = f"""SELECT CAST(floor(l_orderkey / 5e3) AS INT) AS frame_id, {KEYS},
+WIDE = f"""SELECT CAST(floor(l_orderkey / 2e4) * 7 + l_linenumber - 1 AS INT) AS frame_id, {KEYS},
   ((l_partkey * 7919 + l_linenumber * 104729 + l_orderkey * 31) % 16001 - 8000) / 1e2 AS x,
   ((l_suppkey * 6971 + l_orderkey * 15485863 + l_linenumber * 13) % 16001 - 8000) / 1e2 AS y,
   (l_quantity - 25e0) / 1e1 AS z, {COMMON} FROM lineitem"""
-DENSE_BASE = f"""SELECT CAST(floor(l_orderkey / 5e3) AS INT) AS frame_id, {KEYS}, CAST(200 + l_partkey % 24 AS INT) AS k0, CAST((l_suppkey * 13 + l_orderkey) % 50 AS INT) AS j0,
+DENSE_BASE = f"""SELECT CAST(floor(l_orderkey / 2e4) * 7 + l_linenumber - 1 AS INT) AS frame_id, {KEYS}, CAST(200 + l_partkey % 24 AS INT) AS k0, CAST((l_suppkey * 13 + l_orderkey) % 50 AS INT) AS j0,
   l_tax, l_discount, {COMMON} FROM lineitem"""
 DENSE_POLAR = """SELECT b.*, d.r_in + d.s * (2e-1 + 1e-1 * (l_orderkey % 7)) AS rr, (j0 + 2e-1 + 1e-1 * (l_partkey % 7)) / d.n_bins * 2e0 * pi() AS tt
   FROM base b JOIN dim_ring d ON d.ring = b.k0"""
@@ -48,7 +48,7 @@ def dealt(rows: DataFrame) -> DataFrame:
 
 
 def pts_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points over 160 m x 160 m, a part of them beyond the envelope. A frame has the lines of 5,000 orders, so frames grow in number, not in size."""
+    """Points over 160 m x 160 m, a part of them beyond the envelope. Every 20,000 orders give seven frames, one for each number of a line: frames grow in number, not in size."""
     return with_class(spark.sql(WIDE.replace("FROM lineitem", "FROM {t}"), t=dealt(lineitem(spark, sf_dir))))
 
 
