@@ -1,19 +1,27 @@
 """Sinks of frames: scan and label files, and the frame log with its replay.
 
-Paths are folders that every executor reaches. A file is written under another name and then renamed, so a task that runs
-twice leaves one whole file.
+Scan and label files go to folders that every executor mounts, under another name first, so a task that runs twice leaves
+one whole file. The frame log goes to any store that pyarrow opens.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pfs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scanstore import listed, store
+
+#: Bytes of messages that a task holds at a time.
+BATCH_BYTES = 16 << 20
+
 
 def _put(path: str, data: bytes) -> None:
     from pyspark import TaskContext
@@ -48,43 +56,95 @@ def write_files(packed: DataFrame, root: str, kind: str, suffix: str) -> int:
     return packed.select("sequence", "frame_id", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+#: The list of a log's parts; a log is what this file names.
+INDEX = "_parts.json"
+
+
 def write_log(messages: DataFrame, root: str) -> int:
     """Record messages (``frame_id``, ``message``) as a log: each behind its length as u32, in order of the frames.
 
-    The log is the part files of the folder in order of their names, one for each range of frames. Returns the
-    number of messages.
+    The log is the part files that its list names, one for each range of frames. Every task writes a file of its own; the
+    list is written at the end, so a second log in the same folder replaces the first, and a job that dies leaves the old one. Returns the number of messages.
     """
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        out = [struct.pack("<I", len(m)) + m for b in batches for m in b.column(1).to_pylist()]
-        if out:
-            _put(f"{root}/{TaskContext.get().partitionId():06d}.log", b"".join(out))
-        yield pa.RecordBatch.from_arrays([pa.array([len(out)], pa.int64())], ["n"])
-
+        fs, base = store(root)
+        context, out, n, file = TaskContext.get(), None, 0, None
+        for b in batches:
+            for m in b.column(1):
+                if out is None:
+                    file = f"{name}-{context.taskAttemptId()}-{context.partitionId():06d}.log"
+                    out = fs.open_output_stream(f"{base}/{file}")
+                data = m.as_buffer()
+                out.write(struct.pack("<I", data.size))
+                out.write(data)
+                n += 1
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([n], pa.int64())], ["file", "n"])
+
+    fs, base = store(root)
+    fs.create_dir(base, recursive=True)
     ranges = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = messages.select("frame_id", "message").repartitionByRange(ranges, "frame_id").sortWithinPartitions("frame_id")
-    return ordered.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = sorted(((r["file"], r["n"]) for r in ordered.mapInArrow(run, "file string, n long").collect()), key=lambda r: r[0].rsplit("-", 1)[1])
+    with fs.open_output_stream(f"{base}/{INDEX}.{name}") as out:
+        out.write(json.dumps(parts).encode())
+    fs.move(f"{base}/{INDEX}.{name}", f"{base}/{INDEX}")
+    for f in listed(fs, base):
+        if f.base_name.endswith(".log") and f.base_name not in {file for file, _ in parts}:
+            fs.delete_file(f.path)
+    return sum(n for _, n in parts)
+
+
+def log_parts(root: str) -> list[tuple[str, int]]:
+    """Files of a log in their order and how many messages each holds: one small entry for each part."""
+    fs, base = store(root)
+    if fs.get_file_info(f"{base}/{INDEX}").type == pfs.FileType.NotFound:
+        raise FileNotFoundError(f"{root} holds no whole frame log")
+    return [(f"{base}/{file}", n) for file, n in json.loads(fs.open_input_file(f"{base}/{INDEX}").read())]
+
+
+def part_messages(root: str, file: str, first: int, last: int) -> Iterator[bytes]:
+    """The messages ``first`` to ``last`` (exclusive) of a part, read one at a time; a message that is cut off ends it."""
+    fs, _ = store(root)
+    with fs.open_input_stream(file, buffer_size=1 << 20) as f:
+        for k in range(last):
+            head = f.read(4)
+            if len(head) < 4:
+                return
+            data = f.read(struct.unpack("<I", head)[0])
+            if len(data) < struct.unpack("<I", head)[0]:
+                return
+            if k >= first:
+                yield data
 
 
 def read_log(spark: SparkSession, root: str) -> DataFrame:
     """The messages of a log with their place (``part``, ``pos``); a message cut off at the end of a part is left out."""
+    parts = [(k, file, n) for k, (file, n) in enumerate(log_parts(root))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                at, found = 0, []
-                while at + 4 <= len(raw):
-                    end = at + 4 + struct.unpack_from("<I", raw, at)[0]
-                    if end > len(raw):
-                        break
-                    found.append(raw[at + 4 : end])
-                    at = end
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(found), pa.int32()), pa.array(range(len(found)), pa.int64()), pa.array(found, pa.binary())], ["part", "pos", "message"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.log").load(root)
-    return files.select(F.regexp_extract("path", r"(\d+)\.log$", 1).cast("int").alias("part"), "content").mapInArrow(run, "part int, pos long, message binary")
+            for part, file, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                pos, held, size = 0, [], 0
+                for m in part_messages(root, file, 0, n):
+                    held.append(m)
+                    size += len(m)
+                    if size > BATCH_BYTES:
+                        yield _placed(part, pos, held)
+                        pos, held, size = pos + len(held), [], 0
+                yield _placed(part, pos, held)
+
+    files = spark.createDataFrame(parts, "part int, file string, n long")
+    return files.repartition(max(1, len(parts)), "part").mapInArrow(run, "part int, pos long, message binary")
+
+
+def _placed(part: int, pos: int, held: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part] * len(held), pa.int32()), pa.array(range(pos, pos + len(held)), pa.int64()), pa.array(held, pa.binary())], ["part", "pos", "message"])
 
 
 def numbered(log: DataFrame) -> tuple[DataFrame, int]:

@@ -19,13 +19,13 @@ PARTITION_BYTES = 64 << 20
 _FRAME = re.compile(r"^(\d{6})\.bin$")
 
 
-def _store(root: str) -> tuple[pfs.FileSystem, str]:
+def store(root: str) -> tuple[pfs.FileSystem, str]:
     """The file system of a path or address (local or mounted, hdfs, s3, gs) and the path in it."""
     root = re.sub(r"^file:/+", "/", root)
     return pfs.FileSystem.from_uri(root) if "://" in root else (pfs.LocalFileSystem(), root)
 
 
-def _listed(fs: pfs.FileSystem, path: str) -> list[pfs.FileInfo]:
+def listed(fs: pfs.FileSystem, path: str) -> list[pfs.FileInfo]:
     return sorted(fs.get_file_info(pfs.FileSelector(path, allow_not_found=True)), key=lambda f: f.base_name)
 
 
@@ -52,17 +52,17 @@ class ScanReader(DataSourceReader):
         if has(root):
             return [(root.rstrip("/").rsplit("/", 1)[-1], root)]
         for top in (f"{root}/sequences", root):
-            found = [(d.base_name, d.path) for d in _listed(fs, top) if d.type == pfs.FileType.Directory and has(d.path)]
+            found = [(d.base_name, d.path) for d in listed(fs, top) if d.type == pfs.FileType.Directory and has(d.path)]
             if found:
                 return found
         raise FileNotFoundError(f"{root} has no sequence with a folder velodyne")
 
     def partitions(self) -> list[Frames]:
-        fs, root = _store(self.root)
+        fs, root = store(self.root)
         parts, held, size = [], [], 0
         for name, folder in self._sequences(fs, root):
-            scans = [f for f in _listed(fs, f"{folder}/velodyne") if _FRAME.match(f.base_name)]
-            labels = {f.base_name: f.path for f in _listed(fs, f"{folder}/labels")}
+            scans = [f for f in listed(fs, f"{folder}/velodyne") if _FRAME.match(f.base_name)]
+            labels = {f.base_name: f.path for f in listed(fs, f"{folder}/labels")}
             for f in scans[: None if self.limit is None else max(0, int(self.limit))]:
                 row = {"sequence": name, "frame_id": int(f.base_name[:6])}
                 if (self.only is None or name == self.only) and all(test(row[c], v) for c, test, v in self.tests):
@@ -74,7 +74,7 @@ class ScanReader(DataSourceReader):
         return [*parts, Frames(held)] if held or not parts else parts
 
     def read(self, partition: Frames) -> Iterator[pa.RecordBatch]:
-        fs, _ = _store(self.root)
+        fs, _ = store(self.root)
         for name, frame, scan, label in partition.frames:
             raw = fs.open_input_file(scan).read()
             if len(raw) % 16:
@@ -112,7 +112,7 @@ class ScanWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
-        fs, root = _store(self.root)
+        fs, root = store(self.root)
         folder = f"{root}/{self.stage}/{TaskContext.get().taskAttemptId()}"
         staged, seen, now, held = [], set(), None, []
 
@@ -148,13 +148,13 @@ class ScanWriter(DataSourceArrowWriter):
         return Written(staged)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        fs, root = _store(self.root)
+        fs, root = store(self.root)
         moves = [move for m in messages if m is not None for move in m.staged]
         if len({to for _, to in moves}) != len(moves):
             self.abort(messages)
             raise ValueError("two tasks wrote one frame")
         if self.overwrite:
-            for d in _listed(fs, f"{root}/sequences"):
+            for d in listed(fs, f"{root}/sequences"):
                 fs.delete_dir(d.path)
         for folder in {to.rsplit("/", 1)[0] for _, to in moves}:
             fs.create_dir(folder, recursive=True)
@@ -163,7 +163,7 @@ class ScanWriter(DataSourceArrowWriter):
         self.abort(messages)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        fs, root = _store(self.root)
+        fs, root = store(self.root)
         if fs.get_file_info(f"{root}/{self.stage}").type == pfs.FileType.Directory:
             fs.delete_dir(f"{root}/{self.stage}")
 
