@@ -98,6 +98,34 @@ def reason(context: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return context.withColumn("reason", say)
 
 
+def decide(routes: DataFrame, tracks: DataFrame, hazards: DataFrame | None = None, terrain: DataFrame | None = None, cfg: Config = DEFAULT) -> DataFrame:
+    """The decision of every frame: which route, its risk, arrival and reason.
+
+    ``routes`` are those of ``plan_routes`` (both kinds for each frame); ``tracks`` have frame_id, track_id, vx, vy, n_cells and ``predicted`` points. The first track, the largest
+    first, that comes within 3 m of a waypoint of the primary route moves the vehicle to the alternative. ``hazards`` (frame_id, clearance, clearance_range,
+    hole_depth, hole_range) and ``terrain`` (frame_id, mean_trav, max_slope) may be missing; a frame without terrain counts as 0.91 and 0 degrees.
+    The risk is that of the selected route, the arrival that of the primary one. A frame without a primary route has no row.
+    """
+    # What a frame without measured terrain says.
+    mean_trav, max_slope = 0.91, 0.0
+    first = routes.where("kind = 'primary'").select("frame_id", F.col("length").alias("l1"), F.col("risk").alias("r1"), "eta", "waypoints")
+    other = routes.where("kind = 'alternative'").select("frame_id", F.col("length").alias("l2"), F.col("risk").alias("alternative_risk"))
+    ranked = tracks.select("frame_id", "track_id", "vx", "vy", "predicted", F.row_number().over(Window.partitionBy("frame_id").orderBy(F.desc("n_cells"), "track_id")).alias("track_order"))
+    points = ranked.select("frame_id", "track_order", F.posexplode("predicted").alias("step", "p")).select("frame_id", "track_order", "step", F.get("p", F.lit(0)).alias("x"), F.get("p", F.lit(1)).alias("y"))
+    way = first.select("frame_id", F.explode("waypoints").alias("p")).select("frame_id", F.get("p", F.lit(0)).alias("x"), F.get("p", F.lit(1)).alias("y"))
+    speed = F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")).cast("double")
+    block = conflicts(points, way, cfg).join(ranked, ["frame_id", "track_order"]).select("frame_id", "track_id", speed.alias("track_speed"), F.round("t_conflict", 1).alias("t_conflict"))
+    kinds = {"clearance": hazards, "clearance_range": hazards, "hole_depth": hazards, "hole_range": hazards, "mean_trav": terrain, "max_slope": terrain}
+    rows = first.join(other, "frame_id", "left").join(block, "frame_id", "left")
+    for table in (hazards, terrain):
+        if table is not None:
+            rows = rows.join(table.select("frame_id", *[c for c, t in kinds.items() if t is table]), "frame_id", "left")
+    rows = rows.withColumns({c: F.lit(None).cast("double") for c, t in kinds.items() if t is None})
+    moved = F.col("track_id").isNotNull()
+    told = reason(rows.withColumns({"extra_km": F.round(F.greatest(F.lit(0.0), F.col("l2") - F.col("l1")) / 1000, 3), "mean_trav": F.coalesce("mean_trav", F.lit(mean_trav)), "max_slope": F.coalesce("max_slope", F.lit(max_slope))}), cfg)
+    return told.select("frame_id", F.when(moved, "alternative").otherwise("primary").alias("selected"), F.when(moved, F.col("alternative_risk")).otherwise(F.col("r1")).alias("risk"), F.col("eta"), "extra_km", "track_id", "t_conflict", "reason")
+
+
 def decision_log(frames: DataFrame, by: list[str], order: list[str], fields: list[str], beat: int = 60) -> DataFrame:
     """The frames to record: every change of the fields, as which the first frame counts, and a heartbeat every ``beat`` frames."""
     w = Window.partitionBy(*by).orderBy(*order)

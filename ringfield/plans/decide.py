@@ -100,6 +100,17 @@ def track_route_conflict(spark, d):
     return D.conflicts(predicted(spark, d), way).select("frame_id", "track_order", F.round("t_conflict", 6).alias("t_conflict"))
 
 
+def decision_of_frame(spark, d):
+    """Decisions of the frames: DYNAMIC points of the view as tracks, given routes whose lengths and risks follow the frame's number."""
+    p = pts_wide(spark, d).where("cls = 4 AND x > 0").select("frame_id", F.dense_rank().over(_by_order()).alias("track_id"), "x", "y", (F.col("l_partkey") % 5 - 2).alias("vx"), (F.col("l_suppkey") % 5 - 2).alias("vy"), (F.col("l_partkey") % 7).alias("n_cells")).distinct()
+    tracks = p.withColumn("predicted", F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: F.array(F.col("x") + F.col("vx") * 0.8 * k, F.col("y") + F.col("vy") * 0.8 * k)))
+    f = frames(spark, d).select("frame_id", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.array(k.cast("double"), k * 0.25)).alias("way"))
+    risks = F.array(F.lit("LOW"), F.lit("MEDIUM"), F.lit("HIGH"))
+    route = lambda kind, length, turn: f.select("frame_id", F.lit(kind).alias("kind"), length.cast("double").alias("length"), F.get(risks, (F.col("frame_id") + turn) % 3).alias("risk"), F.round(length / 8, 1).alias("eta"), F.col("way").alias("waypoints"))
+    base = F.lit(40) + F.col("frame_id") % 4 * 2
+    return D.decide(route("primary", base, 0).union(route("alternative", base + (F.col("frame_id") % 5 - 1) * 7, 1)), tracks).select("frame_id", "selected", "risk", "eta", "extra_km", "track_id", "t_conflict", "reason")
+
+
 def explain_reason(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     v = F.floor(F.col("value") * 10) / 10 + 0.02  # no value lies halfway between two printed ones
@@ -238,7 +249,7 @@ def split_leak_intersect(spark, d):
 
 
 QUERIES = {k: v for k, v in globals().items() if k in (
-    "range_pixel", "range_image_depth_test", "knn_vote", "costmap_resample", "costmap_inflate", "costmap_track_cost", "risk_level", "track_route_conflict", "explain_reason", "decision_log_change", "dynamic_cells_edges",
+    "range_pixel", "range_image_depth_test", "knn_vote", "costmap_resample", "costmap_inflate", "costmap_track_cost", "risk_level", "track_route_conflict", "decision_of_frame", "explain_reason", "decision_log_change", "dynamic_cells_edges",
     "bbox_classify", "lattice_resample", "ray_grid", "scene_motion", "raycast_nearest_hit", "scene_flat_ground_truth", "scene_ground_truth", "scan_left_join_labels", "seq_frame_limit", "cache_resume_anti_join",
     "cache_lookup_join", "runs_list_topk", "decisions_by_run", "scene_upsert_latest", "user_set_on_insert", "split_leak_intersect",
     "instance_ids", "raycast_labels", "scene_registry", "null_safe_format", "unaccounted_time")}
@@ -332,3 +343,9 @@ ORACLES |= {
     "null_safe_format": "SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN printf('%.2f', c_acctbal) ELSE '—' END AS shown FROM customer",
     "unaccounted_time": "SELECT user_id, round(sum(value) FILTER (event_type = 'click') - coalesce(sum(value) FILTER (event_type <> 'click'), 0), 4) AS unaccounted FROM events GROUP BY user_id",
 }
+ORACLES["decision_of_frame"] = C.sql(C.points("wide"), """SELECT f.frame_id, CASE WHEN track_id IS NULL THEN 'primary' ELSE 'alternative' END AS selected, ['LOW', 'MEDIUM', 'HIGH'][(f.frame_id + (track_id IS NOT NULL)::INT) % 3 + 1] AS risk, round((40 + f.frame_id % 4 * 2) / 8e0, 1) AS eta, extra_km, track_id, t_conflict,
+  CASE WHEN track_id IS NULL THEN 'Primary route selected: mean traversability 0.91, max slope 0.0°, no dynamic conflicts within 4 s.' ELSE printf('Rerouted: track #%d (DYNAMIC_OBJECT, %.1f m/s) predicted to intersect primary route at t+%.1f s.', track_id, speed, t_conflict)
+    || CASE WHEN extra_km > 5e-3 THEN printf(' Alternative adds %.1f km at ', extra_km) ELSE ' Alternative at ' END || ['LOW', 'MEDIUM', 'HIGH'][(f.frame_id + 1) % 3 + 1] || ' terrain risk.' END AS reason
+  FROM (SELECT DISTINCT frame_id, round(greatest(0e0, (frame_id % 5 - 1) * 7e0) / 1000, 3) AS extra_km FROM pts) f LEFT JOIN (SELECT frame_id, track_id, sqrt(vx * vx + vy * vy) AS speed, round(8e-1 * (s + 1), 1) AS t_conflict FROM (
+    SELECT t.*, s, row_number() OVER (PARTITION BY frame_id ORDER BY n_cells DESC, track_id, s) AS k FROM (SELECT DISTINCT frame_id, dense_rank() OVER (PARTITION BY frame_id ORDER BY l_orderkey, l_partkey, l_suppkey, x, y)::INT AS track_id, x, y, l_partkey % 5 - 2 AS vx, l_suppkey % 5 - 2 AS vy, l_partkey % 7 AS n_cells FROM pts WHERE cls = 4 AND x > 0) t, range(5) a(s), range(10) b(w)
+    WHERE pow(x + vx * 8e-1 * (s + 1) - w, 2) + pow(y + vy * 8e-1 * (s + 1) - w * 25e-2, 2) < 9) WHERE k = 1) USING (frame_id)""")
