@@ -68,6 +68,14 @@ class Cached:
 _MODELS: dict[tuple[str, str], Callable[[np.ndarray], np.ndarray]] = {}
 
 
+def _loaded(file: str, load: Callable) -> Callable[[np.ndarray], np.ndarray]:
+    """The model of this worker."""
+    mine = (file, f"{load.__module__}.{load.__qualname__}")
+    if mine not in _MODELS:
+        _MODELS[mine] = load(SparkFiles.get(file))
+    return _MODELS[mine]
+
+
 def load_onnx(path: str) -> Callable[[np.ndarray], np.ndarray]:
     """A network file as a function from [1, 5, rows, columns] to the scores of the 20 learning ids."""
     import onnxruntime
@@ -96,14 +104,12 @@ class Model:
         classes = np.array(CLASS_OF_LEARNING, np.int32)
 
         def run(group: pa.Table) -> pa.Table:
-            mine = (file, f"{load.__module__}.{load.__qualname__}")
-            if mine not in _MODELS:
-                _MODELS[mine] = load(SparkFiles.get(file))
+            model = _loaded(file, load)
             image = np.zeros((1, 5, h, w), np.float32)
             py, px = group.column("py").to_numpy(), group.column("px").to_numpy()
             for k, c in enumerate(("range", "x", "y", "z", "intensity")):
                 image[0, k, py, px] = (group.column(c).to_numpy() - MEANS[k]) / STDS[k]
-            scores = _MODELS[mine](image)
+            scores = model(image)
             if scores.shape != (1, len(classes), h, w):
                 raise ValueError(f"{file} gives scores of shape {scores.shape}, not {(1, len(classes), h, w)}")
             return group.select(["frame_id", "py", "px", "range"]).append_column("cls", pa.array(classes[scores[0].argmax(axis=0)[py, px]]))
