@@ -40,7 +40,7 @@ def match_rules(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     its host (no more labels than the deepest rule has), so a rule fits exactly if the probe lies in its
     interval. Rules and probes are sorted together by range partitions; each task sweeps its
     sorted rows once with the stack of rules whose intervals are open. The rules that are open where a
-    partition begins are the prefixes of its first key; they are found by an equi-join of those prefixes.
+    partition begins are the prefixes of its first key; they are found by an equi-join of those prefixes, none longer than the longest rule.
     Memory is the depth of nesting; a host with any share of the rows is split by the sort.
 
     Returns the id, ``host``, ``path``, ``rule`` (host and path, else null) and ``verdict``. Null addresses
@@ -55,7 +55,7 @@ def match_rules(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     rule_key = F.concat(reversed_host(F.col("host")), F.lit("/"), F.col("path"))
     rules = saved(rules.select(F.translate(F.col("host"), _UPPER, _LOWER).alias("host"), F.col("path"), F.col("verdict")).groupBy("host", "path").agg(F.min("verdict").alias("verdict")))
     starts = rules.select(rule_key.alias("key"), F.lit(-1).cast("long").alias("row"), F.concat("host", "path").alias("rule"), F.char_length("host").alias("depth"), "verdict")
-    deepest = rules.agg(F.max(F.size(F.split("host", r"\.", -1)))).first()[0] or 0
+    deepest, longest = (x or 0 for x in rules.agg(F.max(F.size(F.split("host", r"\.", -1))), F.max(F.char_length(rule_key))).first())
     labels = F.reverse(F.split("host", r"\.", -1))
     probes = (
         rows.where("host <> ''")
@@ -70,7 +70,7 @@ def match_rules(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
 
     # The open rules where each partition begins: the rules whose key is a prefix of its first key.
     first = swept.groupBy("part").agg(F.min(F.struct("key", "row")).alias("f")).select("part", "f.key")
-    cuts = first.select("part", F.explode(F.sequence(F.lit(0), F.char_length("key"))).alias("n"), "key").select("part", F.substring("key", F.lit(1), F.col("n")).alias("key"))
+    cuts = first.select("part", F.explode(F.sequence(F.lit(0), F.least(F.char_length("key"), F.lit(longest)))).alias("n"), "key").select("part", F.substring("key", F.lit(1), F.col("n")).alias("key"))
     open_at: dict[int, list] = {}
     for r in cuts.join(maybe_broadcast(starts), "key").select("part", "key", "rule", "depth", "verdict").collect():
         open_at.setdefault(r["part"], []).append((r["key"], r["rule"], r["depth"], r["verdict"]))
