@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ class GramSet:
     """The windows of a slice of the benchmark: hashes to look up, words to verify with, items to report.
 
     The words of all items stand once in one string; a window is its hash, its place there and the items that hold it, all
-    in flat arrays: some 30 bytes a word.
+    in flat arrays with a sieve of bits: some 35 bytes a word.
     """
 
     def __init__(self, items: list[tuple[str, str | None]], n: int):
@@ -69,10 +70,11 @@ class GramSet:
         window, item = np.concatenate([kept, np.array(more, np.int64)]), np.concatenate([owner[kept], np.array(whose, np.int32)])
         by_window = np.argsort(window, kind="stable")
         ends = np.append(np.searchsorted(window[by_window], kept), len(window))
-        bits = max(16, int(len(kept)).bit_length() + 6)
+        bits = max(16, int(len(kept)).bit_length() + 4)
         sieve = np.zeros(1 << bits, bool)
         sieve[(hashes >> np.uint64(64 - bits)).astype(np.int64)] = True
-        return hashes[kept], sieve, first[kept], last[kept], ends, item[by_window]
+        place = np.int32 if max(len(self.text), len(window)) < 1 << 31 else np.int64
+        return hashes[kept], np.packbits(sieve, bitorder="little"), first[kept].astype(place), last[kept].astype(place), ends.astype(place), item[by_window]
 
     def scan(self, column: pa.Array) -> tuple[np.ndarray, dict[int, list[tuple[int, int]]], dict[int, set[str]], tuple]:
         """Words of each text, verified runs of hit words by text, items by text, and where the words are."""
@@ -89,8 +91,9 @@ class GramSet:
             grams = gram_hashes(hashes, k)
             if not len(grams):
                 continue
-            bits = np.uint64(64 - (len(sieve).bit_length() - 1))
-            hit = np.flatnonzero(sieve[(grams >> bits).astype(np.int64)] & (text_of[: len(grams)] == text_of[k - 1 : k - 1 + len(grams)]))
+            top = (grams >> np.uint64(64 - (len(sieve).bit_length() + 2))).astype(np.int64)
+            passed = (sieve[top >> 3] >> (top & 7).astype(np.uint8)) & 1
+            hit = np.flatnonzero((passed == 1) & (text_of[: len(grams)] == text_of[k - 1 : k - 1 + len(grams)]))
             place = np.minimum(np.searchsorted(known, grams[hit]), len(known) - 1)
             sure = known[place] == grams[hit]
             for i, w in zip(hit[sure].tolist(), place[sure].tolist(), strict=True):
@@ -127,24 +130,27 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col:
     consecutive words of an item, or the whole item where it has fewer (but some). The hash set of the
     windows is broadcast; its size is measured first, and a benchmark of more than ``set_bytes`` bytes is
     dealt over several sets, which the driver builds one after the other and which scan SETS_AT_ONCE to a pass
-    over the documents; between passes the documents are written and read back. No shuffle, no row left out. A hit by hash is verified on the words themselves.
+    over the documents; between passes the documents are written and read back, and the sets of the pass are released. No shuffle, no row left out. A hit by hash is verified on the words themselves.
 
     Returns the table and the names of the new columns: ``words`` (long), ``runs`` (array of first word and the
     word after the last), ``items`` (sorted ids as strings). Null and empty texts have no words. Rows
     with equal item ids count as one item with several texts; a null item id is the empty string. An empty
     benchmark hits nothing. Columns of the documents stay as they are, whatever their names.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     names = {k: fresh(docs, f"{k}__") for k in ("words", "runs", "items")}
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0))).first()[0]
     slices = max(1, -(-size // set_bytes))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{names['words']}` bigint, `{names['runs']}` array<array<bigint>>, `{names['items']}` array<string>"
     out = docs.withColumns({names["words"]: F.lit(0).cast("long"), names["runs"]: F.array().cast("array<array<bigint>>"), names["items"]: F.array().cast("array<string>")})
+    shared: list = []
     for s in range(slices):
         part = benchmark.where(F.pmod(F.xxhash64(item_col, item_text), F.lit(slices)) == s) if slices > 1 else benchmark
-        grams = GramSet([(r[0], r[1]) for r in part.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")), item_text).collect()], n)
+        shared.append(spark.sparkContext.broadcast(GramSet([(r[0], r[1]) for r in part.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")), item_text).collect()], n)))
 
-        def scan(batches: Iterator[pa.RecordBatch], grams: GramSet = grams) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], held: Broadcast = shared[-1]) -> Iterator[pa.RecordBatch]:
+            grams = held.value
             for whole in batches:
                 for b in blocks(whole, text_col):
                     counts, runs, items, _ = grams.scan(b.column(b.schema.get_field_index(text_col)))
@@ -156,7 +162,9 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col:
 
         out = out.mapInArrow(scan, schema)
         if (s + 1) % SETS_AT_ONCE == 0 and s + 1 < slices:
-            out = stored(out, shared_folder(docs.sparkSession, "scanned"))
+            out = stored(out, shared_folder(spark, "scanned"))
+            while shared:
+                shared.pop().unpersist()
     return out, names
 
 

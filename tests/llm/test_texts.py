@@ -259,3 +259,14 @@ def test_seventy_languages_and_copies(spark):
     model = langid.fit(table, rows=140)
     again = langid.fit(table.orderBy(F.rand(3)), rows=140)
     assert len(model.languages) == 70 and model.languages == again.languages and np.array_equal(model.weights, again.weights)
+
+
+def test_a_set_of_windows_is_small_when_sent():
+    """The broadcast set of a benchmark of distinct words takes at most 40 bytes a word."""
+    import pickle
+
+    from ringfield.llm.decontam import GramSet
+
+    items = [(f"i{k}", " ".join(f"w{(k * 911 + j * j * 7919) % 100003}" for j in range(500))) for k in range(400)]
+    words = sum(len(t.split()) for _, t in items)
+    assert words == 200_000 and len(pickle.dumps(GramSet(items, 10), 5)) <= 40 * words
