@@ -62,16 +62,22 @@ class TextModel:
         return out, seen
 
 
+def primary_tag(label: Column) -> Column:
+    """The language of a label or declaration: its first run of letters A-Z and digits in lower case (``zh-Hant``: zh); a label that begins otherwise stands for itself."""
+    first = F.lower(F.regexp_extract(label, r"^\s*([A-Za-z0-9]+)", 1))
+    return F.when(first != "", first).otherwise(F.lower(F.trim(label)))
+
+
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", rows: int = FIT_ROWS) -> TextModel:
     """Fit the text model on a bounded sample of labelled rows: about ``rows``, as many for each language, chosen by hash.
 
     The draw hashes label and text, so reruns agree; copies are drawn all or none and then count once. Every language is in
     the model, however many there are, with the row of its least hash at least. Only trigram
-    counts come to the driver, at most 2^18 for each language. Rows without label or text are left out. Without
+    counts come to the driver, at most 2^18 for each language. Labels count by their ``primary_tag``. Rows without label or text are left out. Without
     any row the model has no language and all text is undetermined.
     """
     small_batches(labelled.sparkSession)
-    source = labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull() & (F.col(label_col) != "")).select(F.col(label_col).alias("lang"), F.col(text_col).alias("text"))
+    source = labelled.where(F.col(text_col).isNotNull()).select(primary_tag(F.col(label_col)).alias("lang"), F.col(text_col).alias("text")).where("lang <> ''")
     draw = F.pmod(F.xxhash64("lang", "text"), F.lit(1 << 30))
     share = saved(source.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("texts"), F.min(draw).alias("first")))
     each = max(1, rows // max(1, share.count()))
@@ -118,7 +124,7 @@ def identify(rows: DataFrame, model: TextModel, id_col: str, text_col: str, decl
     """
     n = len(model.languages)
     known = F.array(*[F.lit(x) for x in model.languages]) if n else F.array().cast("array<string>")
-    tag = F.lower(F.regexp_extract(F.coalesce(declared, F.lit("")), r"^\s*([A-Za-z]+)", 1))
+    tag = primary_tag(F.coalesce(declared, F.lit("")))
     source = rows.select(F.col(id_col).alias("id"), F.coalesce(host, F.lit("")).alias("host"), F.when(F.array_contains(known, tag), tag).alias("declared"), F.col(text_col).alias("text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

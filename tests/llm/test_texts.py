@@ -270,3 +270,48 @@ def test_a_set_of_windows_is_small_when_sent():
     items = [(f"i{k}", " ".join(f"w{(k * 911 + j * j * 7919) % 100003}" for j in range(500))) for k in range(400)]
     words = sum(len(t.split()) for _, t in items)
     assert words == 200_000 and len(pickle.dumps(GramSet(items, 10), 5)) <= 40 * words
+
+
+def test_labels_of_any_case_and_region_match_declarations(spark):
+    rows = [(k, ("the cat and the dog of house " if k % 2 else "der hund und die katze im haus ") * 3 + str(k), "EN" if k % 2 else " De-AT", "h") for k in range(60)]
+    docs = spark.createDataFrame([*rows, (60, "no label here", " ", "h"), (61, "nor here", None, "h")], "doc_id long, text string, lang string, source string")
+    model = langid.fit(docs)
+    got = {r.doc_id: r for r in langid.identify(docs, model, "doc_id", "text", F.col("lang"), F.col("source")).collect()}
+    assert model.languages == ["de", "en"] and all(got[k].declared == got[k].lang == ("en" if k % 2 else "de") for k in range(60))
+    assert got[60].declared is None and got[61].declared is None
+
+
+def test_posterior_by_brute_force(spark):
+    """Language and confidence of every document, recomputed with counts in plain Python."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs.select("text", "lang"))
+    host = F.concat(F.col("source"), F.when(F.col("doc_id") % 3 == 0, ".a.org").when(F.col("doc_id") % 3 == 1, ".b.org").otherwise(".com"))
+    got = {r.doc_id: (r.lang, r.confidence) for r in langid.identify(docs, model, "doc_id", "text", F.col("lang"), host).collect()}
+    names, n = model.languages, len(model.languages)
+    rows = []
+    for r in docs.select("doc_id", "text", "lang", host.alias("host")).collect():
+        values, seen = model.scores(pa.array([r.text], pa.string()))
+        rows.append((r.doc_id, r.host or "", r.lang if r.lang in names else None, values[0], int(seen[0]), int(values[0].argmax()) if seen[0] else -1))
+    levels = (lambda h: h, lambda h: ".".join(h.split(".")[-2:]), lambda h: h.split(".")[-1], lambda h: "")
+    counts: dict = {}
+    says = np.full((n, n), langid.DECLARED_LEAN / n)
+    for _, h, declared, _, _, best in rows:
+        if best >= 0:
+            for k, level in enumerate(levels):
+                counts.setdefault((k, level(h)), np.zeros(n))[best] += 1
+            if declared is not None:
+                says[names.index(declared), best] += 1
+    says /= says.sum(axis=0, keepdims=True)
+    for doc, h, declared, values, seen, _ in rows:
+        if not seen and declared is None:
+            assert got[doc] == ("und", 0.0)
+            continue
+        share = (counts[3, ""] + 1) / (counts[3, ""].sum() + n)
+        for k in (2, 1, 0):
+            c = counts.get((k, levels[k](h)), np.zeros(n))
+            share = (c + langid.LEAN * share) / (c.sum() + langid.LEAN)
+        lp = values * langid.TEMPER + np.log(share) + (np.log(says[names.index(declared)]) if declared is not None else 0.0)
+        post = np.exp(lp - lp.max())
+        post /= post.sum()
+        assert abs(got[doc][1] - post.max()) < 2e-6 and post[names.index(got[doc][0])] > post.max() - 1e-9
+    assert len(got) == len(rows) and len({v[0] for v in got.values()}) >= 4
