@@ -31,15 +31,24 @@ def fresh(table: DataFrame, prefix: str) -> str:
     return name
 
 
-def saved(table: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in ``spark.checkpoint.dir``.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``.
 
-    The folder is read from the session; only where the setting is absent (tests, a laptop) a
-    temporary folder of this machine is taken.
+    It is read from the session; only where the setting is absent and Spark runs on this machine alone (tests, a
+    laptop) a temporary folder is taken. On a cluster the missing setting is an error.
     """
-    context = table.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(table.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def saved(table: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the folder of ``checkpoint_folder``."""
+    checkpoint_folder(table.sparkSession)
     return table.checkpoint(eager=True)
 
 
@@ -224,11 +233,8 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder path under ``spark.checkpoint.dir`` (where it is unset: a temporary folder of this machine)."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    """A new folder path under that of ``checkpoint_folder``."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(table: DataFrame, folder: str) -> DataFrame:
