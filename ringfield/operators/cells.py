@@ -59,12 +59,17 @@ def cell_map(points: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 
 def _checkpoints(spark: SparkSession) -> str:
-    """The cluster's folder for checkpoints; only where none is set (tests, a laptop), a temporary one."""
+    """The cluster's folder for checkpoints; only where none is set and Spark runs on this machine alone, a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 

@@ -17,10 +17,6 @@ R_LAM, GAIN, K_EFF, I_DARK = 0.50, 100.0, 0.02, 1.0e-9
 BAND, R_F, I_N, TEMP = 200e6, 1.0e3, 3.0e-12, 300.0
 CFD_FRACTION, CFD_DELAY, TDC_LSB, SIGMAS = 0.70, 4.0e-9, 50e-12, 5.0
 AZ_DEG, EL_DEG, MASS_LIMIT, POWER_LIMIT, SNR_NEED, DT_SIM, N_SAMPLES = 30.0, 20.0, 1500.0, 25.0, 6.0, 50e-12, 16384
-COMPONENTS = (
-    ("laser and driver", 1.20, 8.0), ("transmit optics", 0.0, 45.0), ("receive optics and filter", 0.0, 55.0), ("photodiode and bias", 0.35, 6.0), ("amplifier", 0.15, 2.0), ("discriminator", 0.25, 2.0),
-    ("time converter", 0.40, 2.0), ("mirror and driver", 1.50, 12.0), ("aggregator and network", 2.00, 15.0), ("regulation losses", 1.00, 25.0), ("board and wiring", 0.0, 40.0), ("enclosure and mount", 0.0, 120.0),
-)
 V_SAT, R_CAL, RESPONSE = 2.0, 50.0, 400
 # Derived.
 SIGMA_PULSE, TAU = PULSE / 2.35482, 1 / (2 * math.pi * BAND)
@@ -103,21 +99,24 @@ def scan_coverage(spark: SparkSession) -> DataFrame:
     return grid(spark, 2.0, 150.0, 500, "r").where("i % 10 = 0").select("r", spot.alias("spot"), cell.alias("cell"), F.pow(cell / spot, F.lit(2.0)).alias("per_cell"), (1 / (spot * spot)).alias("density"))
 
 
-def budget(spark: SparkSession) -> DataFrame:
-    """Components with their totals, limits and margins."""
-    parts = spark.createDataFrame([(*c, k) for k, c in enumerate(COMPONENTS)], "component string, power double, mass double, k int")
-    total = parts.rollup("component").agg(F.sum("power").alias("power"), F.sum("mass").alias("mass")).select(F.coalesce("component", F.lit("TOTAL")).alias("component"), "power", "mass")
-    limit = spark.createDataFrame([("LIMIT", POWER_LIMIT, MASS_LIMIT)], "component string, power double, mass double")
-    margin = total.where("component = 'TOTAL'").select(F.lit("MARGIN").alias("component"), (POWER_LIMIT - F.col("power")).alias("power"), (MASS_LIMIT - F.col("mass")).alias("mass"))
-    return total.unionByName(limit).unionByName(margin)
+def budget(parts: DataFrame, power_limit: float = POWER_LIMIT, mass_limit: float = MASS_LIMIT) -> DataFrame:
+    """Power and mass of each component (``parts``: component, power, mass), their totals, the limits and the margins left.
 
-
-def audit(spark: SparkSession, expected: list[tuple[str, str]]) -> DataFrame:
-    """Expected (file, key) pairs with the value that the results hold, or MISSING."""
-    have = range_error_budget(spark).select(F.lit("range_accuracy").alias("file"), F.col("term").alias("key"), F.format_string("%.4f", "cm").alias("value")).unionByName(
-        budget(spark).where("component IN ('TOTAL', 'MARGIN')").select(F.lit("power_budget").alias("file"), F.col("component").alias("key"), F.format_string("%.3f", "power").alias("value")))
-    want = spark.createDataFrame(expected, "file string, key string")
-    return want.join(have, ["file", "key"], "left").select("file", "key", F.coalesce("value", F.lit("MISSING")).alias("value"))
+    A component of several rows has their sum. Nulls count as nothing; a null component is called UNNAMED.
+    Without parts the totals are 0.
+    """
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("power", "mass")]
+    each = parts.groupBy(F.coalesce("component", F.lit("UNNAMED")).alias("component")).agg(*sums)
+    total = each.agg(*sums)  # one row, also without parts
+    row = lambda name, power, mass: F.struct(F.lit(name).alias("component"), power.cast("double").alias("power"), mass.cast("double").alias("mass"))
+    limit = F.lit(power_limit), F.lit(mass_limit)
+    frame = total.select(F.explode(F.array(row("TOTAL", F.col("power"), F.col("mass")), row("LIMIT", *limit), row("MARGIN", limit[0] - F.col("power"), limit[1] - F.col("mass")))).alias("x")).select("x.*")
+    return each.select("component", F.col("power").cast("double"), F.col("mass").cast("double")).unionByName(frame)
+
+
+def audit(have: DataFrame, expected: DataFrame) -> DataFrame:
+    """Expected (file, key) pairs with the value (string) that the results ``have`` hold there, or MISSING."""
+    return expected.select("file", "key").join(have.select("file", "key", "value"), ["file", "key"], "left").select("file", "key", F.coalesce("value", F.lit("MISSING")).alias("value"))
 
 
 RX_DDL = "r double, detected long, bias_threshold_cm double, jitter_threshold_cm double, threshold_cm double, bias_cfd_cm double, jitter_cfd_cm double, cfd_cm double"

@@ -15,6 +15,17 @@ def _round(df, keep, values, digits=6):
     return df.select(*keep, *[F.round(v, digits).alias(v) for v in values])
 
 
+def _parts(spark, d):
+    """The brands of the part table as components: a watt for each 1,000 of price, a gram for each unit of size; exact sums."""
+    return spark.read.parquet(f"{d}/part.parquet").select(F.col("p_brand").alias("component"), (F.col("p_retailprice") / 1000).cast("decimal(18,6)").alias("power"), F.col("p_size").cast("long").alias("mass"))
+
+
+def _results(spark, d):
+    """Values of two results as text: range accuracy, and the frame of the budget."""
+    accuracy = K.range_error_budget(spark).select(F.lit("range_accuracy").alias("file"), F.col("term").alias("key"), F.format_string("%.4f", "cm").alias("value"))
+    return accuracy.unionByName(K.budget(_parts(spark, d)).where("component IN ('TOTAL', 'MARGIN')").select(F.lit("power_budget").alias("file"), F.col("component").alias("key"), F.format_string("%.3f", "power").alias("value")))
+
+
 QUERIES = {
     "link_budget": lambda spark, d: _round(K.link_budget(spark).withColumn("nanowatt", F.col("power") * 1e9), ["i", F.round("rho", 6).alias("rho")], ["r", "nanowatt", "snr"]),
     "link_budget_rmax": lambda spark, d: _round(K.link_budget_rmax(spark), [F.round("rho", 6).alias("rho"), "pinned"], ["r_max", "snr_100"]),
@@ -22,8 +33,8 @@ QUERIES = {
     "range_error_budget": lambda spark, d: _round(K.range_error_budget(spark), ["term"], ["cm"]),
     "snr_sweep_union": lambda spark, d: _round(K.snr_sweeps(spark), ["sweep", "i"], ["x", "snr"]),
     "scan_coverage": lambda spark, d: _round(K.scan_coverage(spark), [], ["r", "spot", "cell", "per_cell", "density"]),
-    "budget_rollup": lambda spark, d: _round(K.budget(spark), ["component"], ["power", "mass"]),
-    "audit_left_join": lambda spark, d: K.audit(spark, EXPECTED),
+    "budget_rollup": lambda spark, d: _round(K.budget(_parts(spark, d)), ["component"], ["power", "mass"]),
+    "audit_left_join": lambda spark, d: K.audit(_results(spark, d), spark.createDataFrame(EXPECTED, "file string, key string")),
     "rx_chain": lambda spark, d: K.rx_chain(spark),
 }
 
@@ -55,8 +66,9 @@ _width = e(math.sqrt(K.SIGMA_PULSE**2 + K.TAU**2))
 _budget = f"""SELECT unnest(['tdc', 'jitter', 'walk_threshold', 'walk_cfd', 'total_threshold', 'total_cfd']) AS term, unnest([t, j, w, w / 100, sqrt(t * t + j * j + w * w), sqrt(t * t + j * j + w * w / 1e4)]) AS cm FROM (
   SELECT {e(K.C_LIGHT)} * 5e-11 / sqrt(12) / 2 * 100 AS t, {e(K.C_LIGHT)} * ({e(2.2 * K.TAU)} / {_snr('1e2', '1e-1')}) / 2 * 100 AS j, {e(K.C_LIGHT)} * (max(c) - min(c)) / 4 * 100 AS w
   FROM (SELECT -{_width} * sqrt(2 * ln(a / {_limit})) AS c FROM (SELECT {e(K.R_F * K.GAIN * K.R_LAM * 0.98)} * {_power('r', 'rho')} AS a FROM (VALUES (1e1), (25e0), (5e1), (75e0), (1e2)) x(r), (VALUES (1e-1), (9e-1)) y(rho)) WHERE a > {_limit}))"""
-_parts = "(VALUES " + ", ".join(f"('{n}', {e(p)}, {e(m)})" for n, p, m in K.COMPONENTS) + ") v(component, power, mass)"
-_all = f"SELECT component, power, mass FROM {_parts} UNION ALL SELECT 'TOTAL', sum(power), sum(mass) FROM {_parts} UNION ALL SELECT 'LIMIT', 25e0, 15e2 UNION ALL SELECT 'MARGIN', 25e0 - sum(power), 15e2 - sum(mass) FROM {_parts}"
+_watts = "(SELECT coalesce(p_brand, 'UNNAMED') AS component, CAST(p_retailprice / 1000 AS DECIMAL(18, 6)) AS power, CAST(p_size AS BIGINT) AS mass FROM part)"
+_sums = "coalesce(sum(power), 0)::DOUBLE AS power, coalesce(sum(mass), 0)::DOUBLE AS mass"
+_all = f"SELECT component, {_sums} FROM {_watts} GROUP BY component UNION ALL SELECT 'TOTAL', {_sums} FROM {_watts} UNION ALL SELECT 'LIMIT', 25e0, 15e2 UNION ALL SELECT 'MARGIN', 25e0 - power, 15e2 - mass FROM (SELECT {_sums} FROM {_watts})"
 _sweep = lambda name, lo, hi, steps, **k: f"SELECT '{name}' AS sweep, i, round(x, 6) AS x, round({_snr('1e2', **{'rho': '1e-1', **k})}, 6) AS snr FROM {_grid(lo, hi, steps)}"
 ORACLES = {
     "link_budget": f"SELECT i, round(rho, 6) AS rho, round(x, 6) AS r, round({_power('x', 'rho')} * 1e9, 6) AS nanowatt, round({_snr('x', 'rho')}, 6) AS snr FROM {_grid(1.0, 400.0, 4000)}, (SELECT (k * 2 + 1) / 1e1 AS rho FROM range(5) t(k))",

@@ -80,8 +80,24 @@ def test_published_design_values(spark):
     assert abs(cm["total_cfd"] - math.sqrt(cm["tdc"] ** 2 + cm["jitter"] ** 2 + cm["walk_cfd"] ** 2)) < 1e-9 and 48 < cm["walk_threshold"] < 53
     worst = {round(r.aperture, 3): r.worst for r in K.eye_safety(spark).collect()}
     assert abs(worst[0.05] - 0.8531) < 0.0001
-    total = {r.component: r for r in K.budget(spark).collect()}
-    assert abs(total["TOTAL"].power - 6.85) < 1e-9 and abs(total["TOTAL"].mass - 332) < 1e-9
+
+
+#: The published parts with their power in W and mass in g.
+PUBLISHED_PARTS = [
+    ("905 nm laser diode + GaN driver", 1.20, 8.0), ("TX collimating optics (50 mm)", 0.00, 45.0), ("RX objective + 905 nm bandpass filter", 0.00, 55.0), ("APD + HV bias supply", 0.35, 6.0),
+    ("TIA", 0.15, 2.0), ("CFD comparator", 0.25, 2.0), ("TDC", 0.40, 2.0), ("MEMS mirror + driver ASIC", 1.50, 12.0),
+    ("MCU/FPGA aggregator + UDP PHY", 2.00, 15.0), ("Power regulation losses", 1.00, 25.0), ("PCB, connectors, wiring", 0.00, 40.0), ("Enclosure, optical bench, mount", 0.00, 120.0),
+]
+
+
+def test_budget_of_the_published_parts(spark):
+    parts = spark.createDataFrame(PUBLISHED_PARTS, "component string, power double, mass double")
+    total = {r.component: r for r in K.budget(parts).collect()}
+    assert len(total) == 15 and abs(total["TOTAL"].power - 6.85) < 1e-9 and abs(total["TOTAL"].mass - 332) < 1e-9
+    assert abs(total["MARGIN"].power - (K.POWER_LIMIT - 6.85)) < 1e-9 and abs(total["MARGIN"].mass - (K.MASS_LIMIT - 332)) < 1e-9
+    odd = spark.createDataFrame([(None, 1.0, None), ("a", None, 2.0), ("a", 3.0, 4.0)], "component string, power double, mass double")
+    assert {r.component: (r.power, r.mass) for r in K.budget(odd).collect()} == {"UNNAMED": (1.0, 0.0), "a": (3.0, 6.0), "TOTAL": (4.0, 6.0), "LIMIT": (25.0, 1500.0), "MARGIN": (21.0, 1494.0)}
+    assert {r.component: (r.power, r.mass) for r in K.budget(parts.limit(0)).collect()} == {"TOTAL": (0.0, 0.0), "LIMIT": (25.0, 1500.0), "MARGIN": (25.0, 1500.0)}
 
 
 def test_receiver_statistics(spark):
