@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from .common import Texts, blocks, fresh, small_batches, spans_of, table_of
 
 KINDS = ("email", "ip", "card", "phone")
-TAGS = ("O", *KINDS)
+#: What only the field finds, beside the four kinds: an assigned key or token of an account.
+ADDED = ("secret",)
+TAGS = ("O", *KINDS, *ADDED)
 
 # -- fixed patterns --------------------------------------------------------------------------------
 
@@ -24,6 +26,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+_KEY = re.compile(r"[A-Za-z0-9+/_-]{16,}")
 
 
 def _digits(text: str) -> list[int]:
@@ -39,6 +42,8 @@ def valid(kind: str, text: str) -> bool:
     if kind == "ip":
         return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in text.split("."))
     d = _digits(text)
+    if kind == "secret":
+        return _KEY.fullmatch(text) is not None and 0 < len(d) < sum(c.isalnum() for c in text)
     if kind == "card":
         return 13 <= len(d) <= 19 and luhn(d)
     return kind == "email" or 9 <= len(d) <= 15
@@ -69,54 +74,77 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # -- word shapes -----------------------------------------------------------------------------------
 
 _WHITE = table_of("white")
-_FLAGS = np.full(256, 32, np.uint8)  # 1 letter, 2 @, 4 hyphen, 8 parenthesis, 16 plus, 32 other
+_FLAGS = np.full(256, 32, np.uint8)  # 1 letter, 2 @, 4 hyphen, 8 parenthesis, 16 plus, 64 equals sign or colon, 32 other
 _FLAGS[list(range(65, 91)) + list(range(97, 123)) + list(range(128, 256))] = 1
 _FLAGS[list(range(48, 58)) + [9, 10, 11, 12, 13, 32, 46]] = 0
-_FLAGS[64], _FLAGS[45], _FLAGS[[40, 41]], _FLAGS[43] = 2, 4, 8, 16
+_FLAGS[64], _FLAGS[45], _FLAGS[[40, 41]], _FLAGS[43], _FLAGS[[58, 61]] = 2, 4, 8, 16, 64
 _COUNTS = np.zeros(256, np.uint64)  # digits, and dots above bit 32
 _COUNTS[48:58] = 1
 _COUNTS[46] = 1 << 32
 #: Buckets of the number of digits: 0, 1-2, 3, 4-6, 7, 8-9, 10-11, 12, 13-19, more.
 _DIGITS = np.array([1, 3, 4, 7, 8, 10, 12, 13, 20])
-N_SHAPES = 10 * 5 * 64
+#: Buckets of the changes between letter and digit: 0-1, 2-3, 4-7, more.
+_CHANGES = np.array([2, 4, 8])
+_CLASS = np.zeros(256, np.uint8)  # 1 letter, 2 digit; neighbours of both kinds sum to 3
+_CLASS[list(range(65, 91)) + list(range(97, 123)) + list(range(128, 256))] = 1
+_CLASS[48:58] = 2
+N_SHAPES = 10 * 5 * 128 * 4
 EDGE = N_SHAPES  # the shape beyond the ends of a line
 
 
 def shapes(b: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A number for each word: bucket of its digits, bucket of its dots, and which other characters it has."""
+    """A number for each word: buckets of its digits, its dots and its changes between letter and digit, and which other characters it has."""
     if not len(starts):
         return np.zeros(0, np.int64)
     flags = np.bitwise_or.reduceat(_FLAGS[b], starts).astype(np.int64)
     counts = np.add.reduceat(_COUNTS[b], starts)
     digits = np.searchsorted(_DIGITS, (counts & np.uint64(0xFFFFFFFF)).astype(np.int64), "right")
     dots = np.minimum((counts >> np.uint64(32)).astype(np.int64), 4)
-    return (digits * 5 + dots) * 64 + flags
+    change = np.zeros(len(b), np.uint8)
+    change[1:] = _CLASS[b[1:]] + _CLASS[b[:-1]] == 3
+    changes = np.searchsorted(_CHANGES, np.add.reduceat(change, starts, dtype=np.int64), "right")
+    return ((digits * 5 + dots) * 128 + flags) * 4 + changes
 
 
 def _features(shape: int) -> list[int]:
-    """Indicator features of a shape: its digits, its dots, each kind of character, and the whole shape."""
+    """Indicator features of a shape: its digits, its dots, each kind of character, its changes (the whole shape is one more)."""
     if shape == EDGE:
         return [0]
-    flags, rest = shape % 64, shape // 64
-    return [1 + rest // 5, 11 + rest % 5, *(16 + k for k in range(6) if flags >> k & 1), 22 + shape]
+    flags, rest = shape // 4 % 128, shape // 512
+    return [1 + rest // 5, 11 + rest % 5, *(16 + k for k in range(7) if flags >> k & 1), 23 + shape % 4]
 
 
-N_FEATURES = 22 + N_SHAPES
+N_PARTS = 27
+
+
+def _parts_of(shapes: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(shapes), N_PARTS), np.float32)
+    for i, s in enumerate(shapes.tolist()):
+        out[i, _features(s)] = 1
+    return out
+
 
 # -- the field -------------------------------------------------------------------------------------
 
 
-def labelled_table(seed: int = 7, rows: int = 400) -> list[tuple[list[str], list[str]]]:
+def labelled_table(seed: int = 7, rows: int = 600) -> list[tuple[list[str], list[str]]]:
     """The small labelled table: lines of words with the tag of each word, made by rule from a seed.
 
     Positive lines hold e-mail addresses, IP addresses, card and phone numbers in international and local
-    writing; negative ones hold dates, times, prices, versions, amounts, codes and plain words.
+    writing, and assigned keys (``name = "value"``, ``name: value``, ``name=value``; values in hexadecimal digits or
+    in mixed letters and digits); negative ones hold dates, times, prices, versions, amounts, codes, bare
+    digests, file names, short quoted words and plain words.
     """
     rng = random.Random(seed)
     pick, digit = rng.choice, lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     letters = "abcdefghijklmnopqrstuvwxyz"
     word = lambda: "".join(pick(letters) for _ in range(rng.randint(1, 12))) + pick(["", "", "", ",", ".", "!!", "###", "%%%"])
     part = lambda: str(rng.randint(0, 255))
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    mixed = lambda n: "".join(rng.choice(letters + letters.upper() + "0123456789" * 3) for _ in range(n))
+    value = lambda: pick([hexa(32), hexa(40), hexa(64), mixed(rng.randint(16, 40)), pick(["sk", "pk", "AK"]) + pick("-_") + mixed(24)])
+    name = lambda: pick(["key", "secret", "password", "access", "credential", "auth", "api_key"])
+    quoted = lambda x: pick(['"', "'"]).join(["", x, ""])
     positive = (
         lambda: ([f"{word().strip('.,!#%') or 'a'}.{digit(2)}@mail{digit(1)}.example.com"], "email"),
         lambda: ([f"{pick(letters)}{digit(1)}@{word().strip('.,!#%') or 'b'}.org"], "email"),
@@ -128,10 +156,13 @@ def labelled_table(seed: int = 7, rows: int = 400) -> list[tuple[list[str], list
         lambda: ([f"({digit(3)})", f"{digit(3)}-{digit(4)}"], "phone"),
         lambda: ([f"+{digit(2)}", digit(3), digit(7)], "phone"),
         lambda: ([f"{digit(3)}-{digit(3)}-{digit(4)}"], "phone"),
+        lambda: ([name(), "=", quoted(value())], "secret"),
+        lambda: ([name() + ":", value()], "secret"),
+        lambda: ([name() + pick("=:") + pick([value(), quoted(value())])], "secret"),
     )
     negative = (
         lambda: f"{digit(4)}-{digit(2)}-{digit(2)}", lambda: f"{digit(2)}:{digit(2)}", lambda: f"${digit(2)}.{digit(2)}", lambda: f"{digit(1)}.{digit(1)}.{digit(1)}",
-        lambda: digit(rng.randint(1, 9)), lambda: f'"{digit(8)}{word()}{digit(9)}"', lambda: f"({digit(1)})", lambda: f"{digit(2)}%", lambda: f"{digit(1)},{digit(3)},{digit(3)}",
+        lambda: digit(rng.randint(1, 9)), lambda: quoted(word().strip(".,!#%") + digit(2)), lambda: hexa(40), lambda: hexa(7), lambda: f"{word().strip('.,!#%')}{digit(4)}_{digit(1)}.jpg", lambda: f"{digit(4)}-{digit(2)}-{digit(2)}T{digit(2)}:{digit(2)}:{digit(2)}Z", lambda: quoted(word().strip(".,!#%")), lambda: f"({digit(1)})", lambda: f"{digit(2)}%", lambda: f"{digit(1)},{digit(3)},{digit(3)}",
         lambda: f"{word()}-{digit(2)}", lambda: f"#{digit(10)}", lambda: "=", lambda: f"@{word()}", lambda: "...", lambda: f"v{digit(1)}.{digit(2)}", lambda: "(see", lambda: digit(24), lambda: "+", lambda: "-",
     )
     out = []
@@ -143,10 +174,14 @@ def labelled_table(seed: int = 7, rows: int = 400) -> list[tuple[list[str], list
                 tags.append("O")
             if k % 4 and rng.random() < 0.5:
                 own, kind = pick(positive)()
+                if kind == "secret" and rng.random() < 0.3:  # keys also stand in a row
+                    words.append(name() + pick("=:") + value())
+                    tags.append(kind)
                 if rng.random() < 0.3:
                     own[-1] += pick([".", ",", "%%%"])
                 words += own
-                tags += [kind] * len(own)
+                # Of an assigned key only the word with the value is marked.
+                tags += ["O"] * (len(own) - 1) + [kind] if kind == "secret" else [kind] * len(own)
             elif rng.random() < 0.7:
                 words.append(pick(negative)())
                 tags.append("O")
@@ -184,13 +219,10 @@ def train(table: list[tuple[list[str], list[str]]], epochs: int = 120, rate: flo
     shape, tag, mask = np.full((n, m + 2), EDGE), np.zeros((n, m), int), np.zeros((n, m), bool)
     for i, (s, t) in enumerate(lines):
         shape[i, 1 : len(s) + 1], tag[i, : len(t)], mask[i, : len(t)] = s, t, True
-    expand = np.zeros((N_SHAPES + 1, N_FEATURES), np.float32)
     used = np.unique(shape)
-    for s in used:
-        expand[s, _features(int(s))] = 1
-    dense = expand[used]
+    dense = np.hstack([_parts_of(used), np.eye(len(used), dtype=np.float32)])
     index = np.searchsorted(used, shape)
-    weights, trans = [np.zeros((N_FEATURES, k)) for _ in range(3)], np.zeros((k, k))
+    weights, trans = [np.zeros((dense.shape[1], k)) for _ in range(3)], np.zeros((k, k))
     sums = [np.full_like(w, 1e-6) for w in weights], np.full_like(trans, 1e-6)
     gold = np.eye(k)[tag] * mask[..., None]
     pair_mask = mask[:, 1:]
@@ -222,10 +254,15 @@ def train(table: list[tuple[list[str], list[str]]], epochs: int = 120, rate: flo
             w += rate * g / np.sqrt(s)
         sums[1][...] += g_trans * g_trans
         trans += rate * g_trans / np.sqrt(sums[1])
-    every = np.zeros((N_SHAPES + 1, N_FEATURES), np.float32)
-    for s in range(N_SHAPES + 1):
-        every[s, _features(s)] = 1
-    return Field(*[(every @ w).astype(np.float32) for w in weights], trans.astype(np.float32))
+    every = _parts_of(np.arange(N_SHAPES + 1))
+
+    def by_shape(w: np.ndarray) -> np.ndarray:
+        """A weight for every shape; one that no line has goes by its parts alone."""
+        out = every @ w[:N_PARTS]
+        out[used] += w[N_PARTS:]
+        return out.astype(np.float32)
+
+    return Field(*map(by_shape, weights), trans.astype(np.float32))
 
 
 @lru_cache(maxsize=1)
@@ -289,7 +326,7 @@ def find_in(column: pa.Array, field: Field) -> list[list[dict]]:
     of = np.searchsorted(t.offsets, starts, "right") - 1
     first = np.flatnonzero(np.diff(gap, prepend=-1) | np.diff(of, prepend=-1))
     tags = viterbi(field, shape, first, np.diff(np.append(first, len(shape))))
-    cue = (shape >= 5 * 64) | (shape % 64 & 2 > 0)  # a digit or an @
+    cue = (shape >= 5 * 512) | (shape // 4 % 128 & 2 > 0)  # a digit or an @
     line = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(shape))))
     for d in np.unique(of[cue | (tags > 0)]).tolist():
         raw = b[t.offsets[d] : t.offsets[d + 1]].tobytes()
@@ -298,14 +335,15 @@ def find_in(column: pa.Array, field: Field) -> list[list[dict]]:
         lo, hi = np.searchsorted(of, [d, d + 1])
         own = np.flatnonzero(tags[lo:hi]) + lo
         if len(own):
-            run = np.flatnonzero((np.diff(own, prepend=-2) != 1) | (np.diff(tags[own], prepend=-1) != 0) | (np.diff(line[own], prepend=-1) != 0))
+            run = np.flatnonzero((np.diff(own, prepend=-2) != 1) | (np.diff(tags[own], prepend=-1) != 0) | (np.diff(line[own], prepend=-1) != 0) | (tags[own] > len(KINDS)))
             for a, z in zip(run, np.append(run[1:], len(own)), strict=True):
                 s = len(raw[: starts[own[a]] - t.offsets[d]].decode())
                 e = s + len(raw[starts[own[a]] - t.offsets[d] : ends[own[z - 1]] - t.offsets[d]].decode())
-                m, kind = _TRIM.search(text, s, e), TAGS[tags[own[a]]]
+                kind = TAGS[tags[own[a]]]
+                m = max(_KEY.finditer(text, s, e), key=lambda x: x.end() - x.start(), default=None) if kind == "secret" else _TRIM.search(text, s, e)
                 if m and valid(kind, m[0]) and (kind != "email" or "@" in m[0]) and (kind != "ip" or _IP.fullmatch(m[0])) and not any(x < m.end() and m.start() < y for _, x, y, _ in found):
                     found.append((kind, m.start(), m.end(), False))
-        out[d] = [{"kind": k, "start": s, "end": e, "fixed": f} for k, s, e, f in sorted(found, key=lambda x: (KINDS.index(x[0]), x[1]))]
+        out[d] = [{"kind": k, "start": s, "end": e, "fixed": f} for k, s, e, f in sorted(found, key=lambda x: (TAGS.index(x[0]), x[1]))]
     return out
 
 
@@ -318,12 +356,15 @@ def find_pii(docs: DataFrame, text_col: str = "text", span_col: str = "spans", l
 
     ``fixed`` spans come from the patterns of e-mail addresses, IP addresses, card and phone numbers. The
     conditional random field (word shapes of a word and its neighbours, one chain for each line, decoded
-    by Viterbi over many lines at once) adds spans such as phone numbers in local writing; what it adds has passed the
-    check of its kind and overlaps no fixed span. Sorted by kind in the order of ``KINDS``, then start.
+    by Viterbi over many lines at once) adds spans such as phone numbers in local writing and the kind ``secret``: keys and
+    tokens that a name is given (at least 16 letters and digits, both present; the longest such run of each tagged word).
+    What it adds has passed the check of its kind and overlaps no fixed span. Sorted by kind in the order of ``KINDS``
+    and ``ADDED``, then start.
 
     The field is trained on a small labelled table (``labelled``: words and tags of some lines; by default
-    ``labelled_table()``, 400 lines) on the driver. Null and empty texts have no spans. Columns stay, but one named
-    ``span_col`` is replaced.
+    ``labelled_table()``, 600 lines) on the driver. Null and empty texts have no spans, an empty table gives one with the same columns, repeated rows
+    stay repeated, each with its spans; equal scores of two tag paths go to the earlier tag. Columns stay, but one named
+    ``span_col`` is replaced. Of a very long text the whole is read; memory grows with the longest text.
     """
     small_batches(docs.sparkSession)
     field = train(labelled) if labelled else default_field()
@@ -370,4 +411,4 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: str) -> Column:
         return F.size(F.filter("spans", lambda s: s["fixed"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, KINDS), F.sha2(listed(fixed), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(count, KINDS), F.sha2(listed(fixed), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: ~s["fixed"])).cast("long").alias("n_added"))
