@@ -309,6 +309,63 @@ def test_prints_find_clips_and_ignore_strangers(spark):
     assert min(rates, key=rates.get) == 8
 
 
+def every_offset(own, queries, votes=3, errors=0.25, overlap=12):
+    """Alignments by counting equal integers and differing bits at every offset, frame by frame."""
+    out = []
+    for q, p in queries:
+        best = None
+        for o in range(1 - len(own), len(p)):
+            a, b = max(0, o), min(len(p), len(own) + o)
+            n = int((p[a:b] == own[a - o : b - o]).sum())
+            if n and (best is None or n > best[1]):
+                best = o, n, b - a, float(np.bitwise_count(p[a:b] ^ own[a - o : b - o]).sum()) / (32 * (b - a))
+        if best and best[1] >= votes and best[2] >= overlap and best[3] <= errors:
+            out.append((q, best[0], best[1], best[3]))
+    return out
+
+
+def test_votes_equal_counting_at_every_offset():
+    rng = np.random.default_rng(11)
+    for k in range(300):
+        draw = lambda: np.repeat(rng.integers(0, 4, rng.integers(0, 12)), rng.integers(1, 6)).astype("<u4")
+        queries = [(q, draw()) for q in range(rng.integers(0, 5))]
+        own = draw()
+        got = audioprint.Index([(q, p.tobytes()) for q, p in queries]).align(own, 1 + k % 3, 0.5, 1 + k % 7)
+        assert got == every_offset(own, queries, 1 + k % 3, 0.5, 1 + k % 7)
+
+
+def test_silence_meets_silence_once():
+    """Two recordings of 200,000 silent frames: 4 * 10^10 meetings of frames, one of stretches."""
+    still = np.zeros(200_000, "<u4")
+    assert audioprint.Index([(7, still.tobytes())]).align(still[:-5], 3, 0.25, 12) == [(7, 0, 199_995, 0.0)]
+
+
+def test_audio_query_by_brute_force(spark):
+    """The query against every pair of prints at every offset; several blocks of queries give the same."""
+    rows = {r.vec_id: r for r in audioprint.op10_audio_prints(spark, SF).collect()}
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
+    own = {v.vec_id: audioprint.fingerprint(audioprint.chroma(audioprint.sounding(v.embedding) / 32768.0)) for v in vectors}
+    groups = {}
+    for i, p in sorted(own.items()):
+        groups.setdefault(p.tobytes(), []).append(i)
+    asks = [(g[0], own[g[0]]) for g in groups.values() if any(i % 100 == 0 for i in g)]
+    assert len(rows) == len(vectors) and asks
+    for g in groups.values():
+        want = sorted((q, o, n, int(r * 10000 + 0.5)) for q, o, n, r in every_offset(own[g[0]], asks))
+        for i in g:
+            assert rows[i].class_id == g[0] and [tuple(m) for m in rows[i].matches] == want
+    prints = spark.createDataFrame([(str(i), bytearray(p.tobytes())) for i, p in own.items()], "id string, print binary")
+    some = prints.where("id % 100 = 0")
+    one = sorted(map(tuple, audioprint.align(prints, some, "id").collect()))
+    kept, audioprint.INDEX_FRAMES = audioprint.INDEX_FRAMES, 150
+    try:
+        assert sorted(map(tuple, audioprint.align(prints, some, "id").collect())) == one
+    finally:
+        audioprint.INDEX_FRAMES = kept
+    named = audioprint.align_every(prints, "id", F.col("id") == "0")
+    assert named.schema["matches"].dataType.elementType["query"].dataType.simpleString() == "string" and named.count() == len(own)
+
+
 def test_empty_media(spark):
     assert audioprint.op10_audio_prints.__name__ and audioprint.align_every(audioprint.fingerprints(spark.createDataFrame([], "id long, pcm binary"), "id", "pcm"), "id", F.col("id") % 100 == 0).count() == 0
 
