@@ -14,6 +14,7 @@ from ..operators import images as I
 from ..operators import metrics as M
 from ..operators import raycast as R
 from ..operators import store as S
+from ..operators.lattice import lattice
 from ..operators.segment import bbox_class
 from ..sources import registry as G
 from ..sources.results import shown
@@ -140,10 +141,8 @@ def bbox_classify(spark, d):
 
 
 def lattice_resample(spark, d):
-    """A 2 m lattice over the footprint of every frame, each point with the map cell that covers it."""
-    c = O.cell_map(pts_wide(spark, d))
-    xy = spark.range(81 * 81).select(((F.col("id") / 81).cast("int") * 2.0 - 80.0).alias("x"), ((F.col("id") % 81) * 2.0 - 80.0).alias("y"))
-    return project(xy).join(c.select("frame_id", "cell_id", "class_id", "n"), "cell_id").select("frame_id", "x", "y", "cell_id", "class_id", "n")
+    """A 5 cm lattice over the footprint of every frame, 1.6 million sites a frame at most, each with the map cell that covers it."""
+    return lattice(O.cell_map(pts_wide(spark, d))).select("frame_id", "stride", "ix", "iy", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "cell_id", "class_id", "n")
 
 
 def ray_grid(spark, d):
@@ -313,7 +312,12 @@ ORACLES = {
     "dynamic_cells_edges": C.sql(f"{C.cells('wide')}, ce AS (SELECT frame_id, cell_id, r_centre * cos((bin + 5e-1) / n_bins * 2 * pi()) AS cx, r_centre * sin((bin + 5e-1) / n_bins * 2 * pi()) AS cy FROM fin WHERE class_id = 4)", "SELECT p.frame_id, p.cell_id AS a, q.cell_id AS b, round(sqrt(pow(p.cx - q.cx, 2) + pow(p.cy - q.cy, 2)), 6) AS dist FROM ce p JOIN ce q ON p.frame_id = q.frame_id AND p.cell_id < q.cell_id AND pow(p.cx - q.cx, 2) + pow(p.cy - q.cy, 2) <= 225e-2"),
     "bbox_classify": C.sql(C.points("wide"), """SELECT frame_id, instance, n, CASE WHEN n < 12 THEN 0 WHEN base > 6e-1 THEN 3 WHEN span <= 35e-2 AND foot >= 3 THEN 2 WHEN (span BETWEEN 8e-1 AND 45e-1 AND foot BETWEEN 15e-1 AND 9e0 AND foot >= span) OR (span BETWEEN 8e-1 AND 22e-1 AND foot <= 12e-1) THEN 4 ELSE 3 END AS cls
   FROM (SELECT frame_id, instance, count(*) AS n, greatest((max(x) - min(x)) / 40, (max(y) - min(y)) / 40) AS foot, max(z) - min(z) AS span, min(z) + 25e-1 AS base FROM pts WHERE instance > 0 GROUP BY ALL)"""),
-    "lattice_resample": C.sql(f"{C.cells('wide')}, xy AS (SELECT x, y, sqrt(x * x + y * y) AS r FROM (SELECT i * 2e0 - 80 AS x, j * 2e0 - 80 AS y FROM range(81) a(i), range(81) b(j)))", f"""SELECT frame_id, x, y, cell_id, class_id, n FROM (SELECT x, y, (d."offset" + greatest(0, least(floor({C.TURN} * d.n_bins), d.n_bins - 1)))::INT AS cell_id FROM (SELECT *, ({C.RING_OF})::INT AS ring FROM xy) p JOIN dim_ring d USING (ring)) JOIN (SELECT frame_id, cell_id, class_id, n FROM fin) USING (cell_id)"""),
+    "lattice_resample": C.sql(f"""{C.cells('wide')},
+foot AS MATERIALIZED (SELECT frame_id, round(greatest(min(cx), -1e2), 6) AS x0, round(greatest(min(cy), -1e2), 6) AS y0, round(least(max(cx), 1e2), 6) AS x1, round(least(max(cy), 1e2), 6) AS y1
+  FROM (SELECT frame_id, r_centre * cos((bin + 5e-1) * 2 * pi() / n_bins) AS cx, r_centre * sin((bin + 5e-1) * 2 * pi() / n_bins) AS cy FROM fin) GROUP BY frame_id),
+sized_ AS (SELECT *, greatest(1, ceil(sqrt(nx * ny / 16e5)))::BIGINT AS stride FROM (SELECT *, greatest(1, ceil((x1 - x0) / 5e-2))::BIGINT AS nx, greatest(1, ceil((y1 - y0) / 5e-2))::BIGINT AS ny FROM foot)),
+sites AS (SELECT frame_id, stride, ix, y0, x0 + (ix + 5e-1) * 5e-2 AS x, unnest(range(0, ny, stride)) AS iy FROM (SELECT *, unnest(range(0, nx, stride)) AS ix FROM sized_)),
+xy AS (SELECT *, sqrt(x * x + y * y) AS r FROM (SELECT frame_id, stride, ix, iy, x, y0 + (iy + 5e-1) * 5e-2 AS y FROM sites))""", f"""SELECT frame_id, stride, ix, iy, round(x, 6) AS x, round(y, 6) AS y, cell_id, class_id, n FROM (SELECT p.frame_id, stride, ix, iy, x, y, (d."offset" + greatest(0, least(floor({C.TURN} * d.n_bins), d.n_bins - 1)))::INT AS cell_id FROM (SELECT *, ({C.RING_OF})::INT AS ring FROM xy) p JOIN dim_ring d USING (ring)) JOIN (SELECT frame_id, cell_id, class_id, n FROM fin) USING (frame_id, cell_id)"""),
     "ray_grid": C.sql(_rays(64, 1800), "SELECT beam, azimuth, round(dx, 6) AS dx, round(dy, 6) AS dy, round(dz, 6) AS dz FROM rays"),
     "scene_motion": C.sql(_scene, "SELECT f::INT AS frame_id, prim, round(px + vx * f * 1e-1, 6) AS px, round(py + vy * f * 1e-1, 6) AS py FROM sc, range(40) t(f)"),
     "raycast_nearest_hit": C.sql(f"""{_scene}, {_rays(64, 360)},
