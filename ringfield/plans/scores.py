@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from .. import checks as C
 from ..config import DEFAULT
-from ..functions.grid import radius, ring_table, rings
+from ..functions.grid import radius, rings
 from ..functions.labels import with_class
 from ..operators import cells as O
+from ..operators.hazards import estimators, road_reference
 from ..operators import metrics as M
 from ..sources.views import pts_dense, pts_wide
 
@@ -122,28 +123,17 @@ def cells_of_instance(spark, sf_dir):
     return O.cell_map(pts_dense(spark, sf_dir)).join(hazard_cells(spark, sf_dir), ["frame_id", "cell_id"], "left_semi").select("frame_id", "cell_id", "n", F.round("z_ground", 6).alias("z_ground"))
 
 
-def _reference(spark, sf_dir, cells):
-    """Median ground of the cells whose ring centre is within 8 m of 10.5 m, without the hazard's cells."""
-    d = F.broadcast(ring_table(spark).select("ring", "r_centre"))
-    near = cells.join(d, "ring").where(F.abs(F.col("r_centre") - 10.5) <= 8.0)
-    return near.join(hazard_cells(spark, sf_dir), ["frame_id", "cell_id"], "left_anti").groupBy("frame_id").agg(F.median("z_ground").alias("road"))
-
-
 def road_reference_band_join(spark, sf_dir):
-    return _reference(spark, sf_dir, O.cell_map(pts_dense(spark, sf_dir))).select("frame_id", F.round("road", 6).alias("road"))
+    """The road around 10.5 m, without the hazard's cells."""
+    road = road_reference(O.cell_map(pts_dense(spark, sf_dir)), hazard_cells(spark, sf_dir), 10.5)
+    return road.select("frame_id", F.round("road", 6).alias("road"))
 
 
 def hazard_estimators(spark, sf_dir):
     """Depth, clearance and step estimates over the hazard's cells of each frame."""
-    c = O.kept(O.analyse(O.cell_map(pts_dense(spark, sf_dir))))
-    h = c.join(hazard_cells(spark, sf_dir), ["frame_id", "cell_id"], "left_semi").join(_reference(spark, sf_dir, c), "frame_id")
-    road = F.first("road")
-    return h.groupBy("frame_id").agg(
-        # The depth is that of the flagged cells; where none is flagged, of all.
-        F.round(road - F.coalesce(F.min(F.when(F.col("pit"), F.col("z_ground"))), F.min("z_ground")), 6).alias("depth"), F.count_if(F.col("road") - F.col("z_ground") > 0.10).alias("sunk"), F.round(F.percentile("z_ground", 0.1), 6).alias("p10"),
-        F.round(F.min("z_obstacle") - road, 6).alias("clearance"), F.round(F.median(F.when(F.col("z_obstacle") - F.col("z_ground") > 0.5, F.col("z_obstacle") - F.col("z_ground"))), 6).alias("both"),
-        F.round(F.percentile("z_ground", 0.9) - road, 6).alias("step_p90"), F.round(F.percentile("z_ground", 0.5) - road, 6).alias("step_p50"),
-    )
+    c, hazard = O.kept(O.analyse(O.cell_map(pts_dense(spark, sf_dir)))), hazard_cells(spark, sf_dir)
+    found = estimators(c, hazard, road_reference(c, hazard, 10.5))
+    return found.select("frame_id", "sunk", "n_both", *[F.round(k, 6).alias(k) for k in found.columns if k not in ("frame_id", "sunk", "n_both")])
 
 
 QUERIES = {k: v for k, v in globals().items() if k in (
@@ -181,6 +171,7 @@ ORACLES = {
     "occupancy2d_semi_join": C.sql(C.points("dense"), "SELECT frame_id, count(*) AS n_hazard, count(*) FILTER (full_) AS n_blocked, round(count(*) FILTER (full_)::DOUBLE / count(*), 6) AS share FROM (SELECT frame_id, floor(x / 5e-2) AS ix, floor(y / 5e-2) AS iy, bool_or(z > 1) AS full_, bool_or(raw = 50) AS hz FROM pts GROUP BY ALL) WHERE hz GROUP BY frame_id"),
     "cells_of_instance": C.sql(_haz, "SELECT f.frame_id, f.cell_id, n, round(z_ground, 6) AS z_ground FROM fin f JOIN hz USING (frame_id, cell_id)"),
     "road_reference_band_join": C.sql(_haz, "SELECT frame_id, round(road, 6) AS road FROM road"),
-    "hazard_estimators": C.sql(_flagged, """SELECT frame_id, round(any_value(road) - coalesce(min(z_ground) FILTER (pit), min(z_ground)), 6) AS depth, count(*) FILTER (road - z_ground > 1e-1) AS sunk, round(quantile_cont(z_ground, 1e-1), 6) AS p10, round(min(z_obstacle) - any_value(road), 6) AS clearance,
+    "hazard_estimators": C.sql(_flagged, """SELECT frame_id, round(any_value(road) - coalesce(min(z_ground) FILTER (pit), min(z_ground)), 6) AS depth, count(*) FILTER (road - z_ground > 1e-1) AS sunk,
+  round(any_value(road) - quantile_cont(z_ground, 1e-1), 6) AS depth_p10, round(avg(coalesce(pit, false)::INT) FILTER (road - z_ground > 1e-1), 6) AS detection_rate, round(avg(coalesce(pit, false)::INT), 6) AS flag_rate, count(*) FILTER (z_obstacle - z_ground > 5e-1) AS n_both, round(quantile_cont(z_ground, 1e-1), 6) AS p10, round(min(z_obstacle) - any_value(road), 6) AS clearance,
   round(median(z_obstacle - z_ground) FILTER (z_obstacle - z_ground > 5e-1), 6) AS both, round(quantile_cont(z_ground, 9e-1) - any_value(road), 6) AS step_p90, round(quantile_cont(z_ground, 5e-1) - any_value(road), 6) AS step_p50 FROM hc GROUP BY frame_id"""),
 }

@@ -156,3 +156,30 @@ def test_components_of_a_long_chain(spark):
     nodes = spark.range(1000).select(F.lit(0).alias("frame_id"), "id")
     edges = spark.createDataFrame([(0, min(a, b), max(a, b)) for a, b in zip(ids, ids[1:], strict=False)], "frame_id int, a long, b long")
     assert S.components(nodes, edges).where("root <> 0").count() == 0
+
+
+def test_hazards_against_numpy(spark):
+    """Reference and estimators of two frames with a centre of their own; a frame without cells in the band has no row."""
+    import numpy as np
+
+    from ringfield.functions.grid import rings
+    from ringfield.operators.hazards import estimators, road_reference
+
+    rng, table = np.random.default_rng(3), rings()
+    rows, centre = [], {1: 10.5, 2: 30.0, 3: 90.0}
+    for f in (1, 2, 3):
+        for k in {1: range(100, 300), 2: range(380, 480), 3: range(5)}[f]:
+            rows.append((f, k, table[k][6], round(float(rng.normal(-0.2 * (k % 7 == 0), 0.05)), 3), None if k % 3 else round(float(rng.uniform(0, 3)), 3), [True, False, None][k % 3 if k % 7 == 0 else 1], centre[f]))
+    cells = spark.createDataFrame(rows, "frame_id int, ring int, cell_id int, z_ground double, z_obstacle double, pit boolean, centre double")
+    hazard = cells.where("ring % 7 = 0").select("frame_id", "cell_id")
+    road = {r.frame_id: r.road for r in road_reference(cells, hazard, F.col("centre")).collect()}
+    got = {r.frame_id: r for r in estimators(cells, hazard, road_reference(cells, hazard, F.col("centre"))).collect()}
+    assert set(road) == set(got) == {1, 2}
+    for f in (1, 2):
+        own = [r for r in rows if r[0] == f]
+        assert abs(road[f] - np.median([r[3] for r in own if r[1] % 7 and abs(table[r[1]][4] - centre[f]) <= 8])) < 1e-12
+        h = [r for r in own if r[1] % 7 == 0]
+        z, sunk, gaps = np.array([r[3] for r in h]), [r for r in h if road[f] - r[3] > 0.10], [r[4] - r[3] for r in h if r[4] is not None and r[4] - r[3] > 0.5]
+        want = {"depth": road[f] - min([r[3] for r in h if r[5]]), "depth_p10": road[f] - np.percentile(z, 10), "p10": np.percentile(z, 10), "sunk": len(sunk), "detection_rate": sum(bool(r[5]) for r in sunk) / len(sunk), "flag_rate": sum(bool(r[5]) for r in h) / len(h),
+                "clearance": min(r[4] for r in h if r[4] is not None) - road[f], "both": np.median(gaps), "n_both": len(gaps), "step_p90": np.percentile(z, 90) - road[f], "step_p50": np.median(z) - road[f]}
+        assert all(abs(got[f][k] - v) < 1e-9 for k, v in want.items()), (got[f], want)
