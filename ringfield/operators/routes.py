@@ -1,4 +1,4 @@
-"""Routes over cost rasters: shortest paths by delta-stepping over tiles, paths by pointer jumping."""
+"""Routes over cost rasters: frames side by side where a raster is small, else delta-stepping over tiles and paths by pointer jumping."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ import heapq
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from .decision import raster_size
 
 #: Cells along a side of a tile, and the width of a bucket of distances (a free step is 1).
 TILE, BUCKET = 32, 64.0
+#: Cells along a side of a raster up to which one search of a task covers a frame's raster (half a megabyte of costs); larger ones are cut into tiles.
+WHOLE = 256
 AROUND = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]
 
 
@@ -127,6 +131,62 @@ def way_back(found: DataFrame, goal: int) -> DataFrame:
     return way.join(found.select("frame_id", "cell", "dist"), ["frame_id", "cell"])
 
 
+def searched(cost: np.ndarray, start: int, goal: int) -> tuple[list[int], list[float]] | None:
+    """The cells of the shortest way over a square raster of costs and their distances; None if there is none.
+
+    Cells settle by distance, then number, and the first to give a cell its least distance stays before it.
+    """
+    n = cost.shape[0]
+    # A closed border spares the look at the edges.
+    side = n + 2
+    padded = np.full((side, side), np.inf)
+    padded[1:-1, 1:-1] = np.where(cost < 1.0, 1 + cost, np.inf)
+    flat = padded.ravel().tolist()
+    place = lambda c: (c // n + 1) * side + c % n + 1
+    first, last = place(start), place(goal)
+    if flat[last] == math.inf and first != last:
+        return None
+    around = [(dx * side + dy, math.hypot(dx, dy)) for dx, dy in AROUND]
+    dist, up, heap = {first: 0.0}, {}, [(0.0, first)]
+    while heap:
+        d, at = heapq.heappop(heap)
+        if at == last:
+            way = [at]
+            while at in up:
+                at = up[at]
+                way.append(at)
+            way.reverse()
+            return [(c // side - 1) * n + c % side - 1 for c in way], [dist[c] for c in way]
+        if d > dist[at]:
+            continue
+        for by, length in around:
+            to = at + by
+            g = d + length * flat[to]
+            if g < dist.get(to, math.inf):
+                dist[to], up[to] = g, at
+                heapq.heappush(heap, (g, to))
+    return None
+
+
+def whole_ways(raster: DataFrame, frames: DataFrame, start: tuple[int, int], goal: int, n: int, unknown: float) -> DataFrame:
+    """The cells of the shortest way of each of the frames (frame_id, cell, dist); cells that the raster lacks cost ``unknown``.
+
+    A row is a frame with its known costs: n * n numbers at most.
+    """
+    costs = raster.groupBy("frame_id").agg(F.collect_list(F.struct((F.col("ix") * n + F.col("iy")).alias("cell"), F.col("cost"))).alias("c"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                cost, known = np.full(n * n, unknown), b.column(1)[k].values
+                if known is not None:
+                    cost[known.field("cell").to_numpy()] = known.field("cost").to_numpy()
+                cells, dist = searched(cost.reshape(n, n), start[0] * n + start[1], goal) or ([], [])
+                yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[k].as_py()] * len(cells), pa.int32()), pa.array(cells, pa.int32()), pa.array(dist, pa.float64())], ["frame_id", "cell", "dist"])
+
+    return frames.join(costs, "frame_id", "left").repartition("frame_id").mapInArrow(search, "frame_id int, cell int, dist double")
+
+
 def _described(path: DataFrame, kind: str, cfg: Config) -> DataFrame:
     """Length, cost, risk, arrival and waypoints of each frame's path (frame_id, ix, iy, order, cost)."""
     rows = path.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("order", "ix", "iy", "cost"))).alias("p"), F.count(F.lit(1)).alias("n"))
@@ -141,16 +201,23 @@ def _described(path: DataFrame, kind: str, cfg: Config) -> DataFrame:
     return told.select("frame_id", F.lit(kind).alias("kind"), F.round("l", 3).alias("length"), F.round("total", 3).alias("cost"), risk.alias("risk"), F.round(F.round("l", 9) / 8, 1).alias("eta"), way.alias("waypoints"))
 
 
-def plan_routes(raster: DataFrame, cfg: Config = DEFAULT, distinct_alternative: bool = False) -> DataFrame:
+def _all_cells(raster: DataFrame, frames: DataFrame, n: int, unknown: float) -> DataFrame:
+    every = frames.select("frame_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("ix")).select("frame_id", "ix", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("iy"))
+    return every.join(raster, ["frame_id", "ix", "iy"], "left").select("frame_id", "ix", "iy", F.coalesce("cost", F.lit(unknown)).alias("cost"))
+
+
+def plan_routes(raster: DataFrame, cfg: Config = DEFAULT, distinct_alternative: bool = False, frames: DataFrame | None = None, unknown: float = 0.0) -> DataFrame:
     """A primary and an alternative route for each frame's raster (frame_id, ix, iy, cost).
 
+    Cells that the raster lacks cost ``unknown``; ``frames`` (frame_id, each once) are needed where the raster may lack all cells of one.
+
     Without a way the primary is the straight line. The alternative searches again with the corridor of the primary
     closed; as the goal lies in it, it usually becomes the primary moved by 2 m. ``distinct_alternative`` adds a
     finite penalty to the corridor instead.
     """
     n = raster_size(cfg)
     grid = kept(raster.select(F.col("frame_id").cast("int").alias("frame_id"), F.col("ix").cast("int").alias("ix"), F.col("iy").cast("int").alias("iy"), F.col("cost").cast("double").alias("cost")))
-    frames = grid.select("frame_id").distinct()
+    frames = kept((grid.select("frame_id").distinct() if frames is None else frames.select(F.col("frame_id").cast("int").alias("frame_id"))).where("frame_id IS NOT NULL"))
     goal = (n - 1) * n + n // 2
 
     def cells(way: DataFrame, order: Column, default: DataFrame) -> DataFrame:
@@ -158,13 +225,19 @@ def plan_routes(raster: DataFrame, cfg: Config = DEFAULT, distinct_alternative:
         own = way.select("frame_id", F.floor(F.col("cell") / n).cast("int").alias("ix"), (F.col("cell") % n).cast("int").alias("iy"), order.alias("order"))
         return kept(own.union(default.join(own.select("frame_id").distinct(), "frame_id", "left_anti")))
 
-    priced = lambda path: path.join(grid, ["frame_id", "ix", "iy"], "left").withColumn("cost", F.coalesce("cost", F.lit(0.0)))
+    priced = lambda path: path.join(grid, ["frame_id", "ix", "iy"], "left").withColumn("cost", F.coalesce("cost", F.lit(unknown)))
     straight = frames.select("frame_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("ix")).select("frame_id", "ix", F.lit(n // 2).alias("iy"), F.col("ix").cast("double").alias("order"))
-    first = cells(way_back(distances(grid, (0, n // 2), n), goal), F.col("dist"), straight)
+
+    def shortest(costs: DataFrame) -> DataFrame:
+        if n <= WHOLE:
+            return kept(whole_ways(costs, frames, (0, n // 2), goal, n, unknown))
+        return way_back(distances(_all_cells(costs, frames, n, unknown) if unknown else costs, (0, n // 2), n), goal)
+
+    first = cells(shortest(grid), F.col("dist"), straight)
     wide = F.explode(F.sequence(F.lit(-2), F.lit(2)))
     near = first.select("frame_id", "ix", "iy", wide.alias("dx")).select("frame_id", "ix", "iy", "dx", wide.alias("dy")).select("frame_id", (F.col("ix") + F.col("dx")).alias("ix"), (F.col("iy") + F.col("dy")).alias("iy")).distinct().withColumn("near", F.lit(True)).where(f"ix BETWEEN 0 AND {n - 1} AND iy BETWEEN 0 AND {n - 1}")
     more = F.least(F.col("cost") + 0.9, F.lit(0.999)) if distinct_alternative else F.least(F.col("cost") + 2.0, F.lit(1.0))
-    closed = grid.join(near, ["frame_id", "ix", "iy"], "full").select("frame_id", "ix", "iy", F.coalesce("cost", F.lit(0.0)).alias("cost"), "near").select("frame_id", "ix", "iy", F.when(F.col("near"), more).otherwise(F.col("cost")).alias("cost"))
+    closed = grid.join(near, ["frame_id", "ix", "iy"], "full").select("frame_id", "ix", "iy", F.coalesce("cost", F.lit(unknown)).alias("cost"), "near").select("frame_id", "ix", "iy", F.when(F.col("near"), more).otherwise(F.col("cost")).alias("cost"))
     moved = first.select("frame_id", "ix", F.least(F.lit(n - 1), F.col("iy") + 8).alias("iy"), "order")
-    second = cells(way_back(distances(closed, (0, n // 2), n), goal), F.col("dist"), moved)
+    second = cells(shortest(closed), F.col("dist"), moved)
     return _described(priced(first), "primary", cfg).union(_described(priced(second), "alternative", cfg))

@@ -15,7 +15,7 @@ from ..operators import planes as P
 from ..operators import routes as W
 from ..sources.files import decode_frame, wire_frames
 from ..sources.views import pts_dense, pts_wide
-from .decide import raster
+from .decide import frames, known
 
 
 def ransac_plane(spark, d):
@@ -50,8 +50,8 @@ def track_speed(spark, d):
 
 
 def plan_routes(spark, d):
-    cost = D.track_cost(D.inflate(raster(spark, d)), pts_wide(spark, d).where("cls = 4").select("frame_id", "x", "y"))
-    return W.plan_routes(cost)
+    cost = D.track_cost(D.inflate(known(spark, d), sparse=True), pts_wide(spark, d).where("cls = 4").select("frame_id", "x", "y"), sparse=True)
+    return W.plan_routes(cost, frames=frames(spark, d), unknown=D.UNKNOWN["cost"])
 
 
 def wire_roundtrip(spark, d):
