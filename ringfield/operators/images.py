@@ -14,6 +14,9 @@ from ..config import DEFAULT, Config
 # Means and deviations of range, x, y, z, intensity.
 MEANS, STDS = (12.12, 10.88, 0.23, -1.04, 0.21), (12.32, 11.47, 6.91, 0.86, 0.16)
 
+#: Pixels along a side of the tiles in which votes are looked up.
+VOTE_TILE = 8
+
 
 def pixels(points: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Add ``range``, ``py`` and ``px``; directions beyond the field of view go to its edge, none is dropped."""
@@ -41,13 +44,19 @@ def knn_vote(points: DataFrame, image: DataFrame, key: list[str], cfg: Config =
     """A class for each point from the pixels around it: the k nearest in range within the cutoff vote by distance.
 
     ``image`` has one row for a pixel (frame_id, py, px, range, cls). Rows do not wrap around in azimuth; empty
-    pixels do not vote; ties go to the lowest class; without a vote the own pixel decides. The neighbours are gathered
-    once for each pixel, so a point looks up one array of at most window^2 entries by an equi-join.
+    pixels do not vote; ties go to the lowest class; without a vote the own pixel decides. The pixels of a tile of 8 x 8 and those within
+    half a window of it are gathered in one array (a pixel is sent about twice, not window^2 times); a point looks up the array of its tile by an equi-join
+    and takes its window from it.
     """
     half = cfg.knn_window // 2
-    offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-half, half + 1) for dx in range(-half, half + 1)])
-    around = image.select("frame_id", F.col("range").alias("there"), F.col("cls").alias("c"), F.explode(offsets).alias("o"), "py", "px").select("frame_id", (F.col("py") - F.col("o.dy")).alias("py"), (F.col("px") - F.col("o.dx")).alias("px"), F.struct("o.dy", "o.dx", "there", "c").alias("e")).groupBy("frame_id", "py", "px").agg(F.collect_list("e").alias("around"))
-    seen = points.select(*key, "frame_id", F.col("range").alias("own"), "py", "px").join(around, ["frame_id", "py", "px"])
+    tile = lambda c: F.floor(c / VOTE_TILE).cast("int")
+    reach = lambda c: F.explode(F.sequence(tile(F.col(c) - half), tile(F.col(c) + half)))
+    met = image.select("frame_id", "py", "px", F.col("range").alias("there"), F.col("cls").alias("c"), reach("py").alias("ty")).select("*", reach("px").alias("tx"))
+    gathered = met.groupBy("frame_id", "ty", "tx").agg(F.collect_list(F.struct("py", "px", "there", "c")).alias("tile"))
+    near = lambda e: (F.abs(e["py"] - F.col("py")) <= half) & (F.abs(e["px"] - F.col("px")) <= half)
+    seen = points.select(*key, "frame_id", F.col("range").alias("own"), "py", "px", tile(F.col("py")).alias("ty"), tile(F.col("px")).alias("tx")).join(gathered, ["frame_id", "ty", "tx"])
+    shift = lambda e: F.struct((e["py"] - F.col("py")).alias("dy"), (e["px"] - F.col("px")).alias("dx"), e["there"].alias("there"), e["c"].alias("c"))
+    seen = seen.select(*key, "own", F.transform(F.filter("tile", near), shift).alias("around")).where(F.size("around") > 0)
     # sort_array orders structs natively; array_sort would call its comparator row by row.
     sized = F.transform("around", lambda e: F.struct(F.round(F.abs(e["there"] - F.col("own")), 9).alias("d"), e["dy"].alias("dy"), e["dx"].alias("dx"), e["c"].alias("c")))
     centre = F.filter("around", lambda e: (e["dy"] == 0) & (e["dx"] == 0))
