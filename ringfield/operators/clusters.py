@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,8 +13,8 @@ from .cells import kept
 
 #: Finest tiles along a side of a coarse one; points of a tile beyond which it is split.
 FINE, MOST = 8, 50_000
-#: Candidate pairs looked at in one step inside a tile.
-PAIRS = 1 << 21
+#: Candidate pairs looked at in one step, and rows from which on whole tiles are united together (thousands of tiles hold a few points each).
+PAIRS, ROWS = 1 << 21, 1 << 16
 
 
 def union(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -29,12 +31,15 @@ def union(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             return root
 
 
-def links(xyz: np.ndarray, sources: np.ndarray, ids: np.ndarray, radius: float, nearest: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (source, other) within the radius, at most the ``nearest`` of a source (ties by id); some candidates at a time."""
+def links(xyz: np.ndarray, sources: np.ndarray, ids: np.ndarray, radius: float, nearest: int | None, tile: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (source, other) of one tile within the radius, at most the ``nearest`` of a source (ties by id); some candidates at a time.
+
+    ``tile`` numbers the tiles from 0 on, in ascending order.
+    """
     box = np.floor(xyz / radius).astype(np.int64)
-    box -= box.min(axis=0) - 1
+    box -= np.minimum.reduceat(box, np.flatnonzero(np.diff(tile, prepend=-1)), axis=0)[tile] - 1
     size = box.max(axis=0) + 2
-    key = (box[:, 0] * size[1] + box[:, 1]) * size[2] + box[:, 2]
+    key = ((tile * size[0] + box[:, 0]) * size[1] + box[:, 1]) * size[2] + box[:, 2]
     order = np.argsort(key, kind="stable")
     sorted_key = key[order]
     steps = np.array([(i * size[1] + j) * size[2] + k for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
@@ -119,18 +124,47 @@ def cluster_roots(points: DataFrame, radius: float, nearest: int | None = None)
     table = points.select("frame_id", "id", "x", "y", F.lit(0.0).alias("z") if flat else F.col("z"))
     sound = table.where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
 
-    def unite(group: pa.Table) -> pa.Table:
-        xyz = np.stack([group.column(c).to_numpy().astype(float) for c in "xyz"], axis=1)
-        ids, home = group.column("id").to_numpy(), group.column("home").to_numpy(zero_copy_only=False)
-        order = np.argsort(ids, kind="stable")
-        xyz, ids, home = xyz[order], ids[order], home[order]
-        a, b = links(xyz, np.flatnonzero(home), ids, radius, nearest)
-        root = union(a, b, len(ids))
-        seen = home.copy()
-        seen[b] = True
-        return pa.table({"frame_id": group.column("frame_id").take(order).filter(seen), "id": pa.array(ids[seen]), "label": pa.array(ids[root[seen]]), "home": pa.array(home[seen])})
-
-    local = kept(tiled(sound, radius).groupBy("frame_id", "tile").applyInArrow(unite, f"frame_id int, id {kind}, label {kind}, home boolean"))
+    def numbers(t: pa.Table) -> np.ndarray:
+        """The tiles of sorted rows, numbered from 0."""
+        new = np.zeros(len(t), bool)
+        for c in (*t.column("tile").combine_chunks().flatten(), t.column("frame_id").combine_chunks()):
+            v = c.cast(pa.int64()).fill_null(1 << 40).to_numpy(zero_copy_only=False)
+            new[1:] |= v[1:] != v[:-1]
+        return np.cumsum(new)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+        held, rows, limit = [], 0, ROWS
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows >= limit:
+                table = pa.Table.from_batches(held).combine_chunks()
+                tile = numbers(table)
+                cut = int(np.searchsorted(tile, tile[-1]))
+                if cut:
+                    yield table.slice(0, cut), tile[:cut]
+                held, rows = table.slice(cut).to_batches(), len(table) - cut
+                limit = max(ROWS, 2 * rows)
+        if rows:
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield table, numbers(table)
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, tile in whole(batches):
+            ids = table.column("id").to_numpy()
+            order = np.lexsort((ids, tile))
+            table, ids = table.take(order), ids[order]
+            xyz = np.stack([table.column(c).to_numpy().astype(float) for c in "xyz"], axis=1)
+            home = table.column("home").to_numpy()
+            a, b = links(xyz, np.flatnonzero(home), ids, radius, nearest, tile)
+            root = union(a, b, len(ids))
+            seen = home.copy()
+            seen[b] = True
+            out = pa.table({"frame_id": table.column("frame_id").filter(pa.array(seen)), "id": pa.array(ids[seen]), "label": pa.array(ids[root[seen]]), "home": pa.array(home[seen])})
+            yield from out.combine_chunks().to_batches()
+
+    spread = tiled(sound, radius).repartition("frame_id", "tile").sortWithinPartitions("frame_id", "tile")
+    local = kept(spread.select("frame_id", "tile", "id", "x", "y", "z", "home").mapInArrow(unite, f"frame_id int, id {kind}, label {kind}, home boolean"))
     # Labels of one point in several tiles belong together.
     shared = local.groupBy("frame_id", "id").agg(F.min("label").alias("a"), F.collect_set("label").alias("all")).where(F.size("all") > 1)
     ties = kept(shared.select("frame_id", "a", F.explode("all").alias("b")).where("a <> b").distinct())

@@ -110,6 +110,18 @@ def segment_geometric(points: DataFrame, key: str, cfg: Config = DEFAULT) -> Dat
     return points.select("frame_id", key).join(known, ["frame_id", key], "left").select("frame_id", key, F.coalesce("cls", F.lit(0)).alias("cls"))
 
 
+def within(a: np.ndarray, b: np.ndarray, radius: float) -> list[tuple[int, int]]:
+    """Pairs (row of a, row of b) of points in the plane that may be within the radius: both coordinates are at most so far apart (and a little more)."""
+    far = radius * (1 + 1e-9)
+    order = np.argsort(b[:, 0], kind="stable")
+    low, high = (np.searchsorted(b[order, 0], a[:, 0] + s * far, side) for s, side in ((-1, "left"), (1, "right")))
+    out = []
+    for i, (lo, hi) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
+        some = order[lo:hi]
+        out += [(i, j) for j in some[np.abs(b[some, 1] - a[i, 1]) <= far].tolist()]
+    return out
+
+
 class Tracker:
     """Constant-velocity Kalman tracks of cluster centres with greedy nearest association; state can be saved and restored."""
 
@@ -127,25 +139,32 @@ class Tracker:
         move = np.eye(4)
         move[0, 2] = move[1, 3] = dt
         noise = np.diag([c.q_pos, c.q_pos, c.q_vel, c.q_vel]) * dt
-        see = np.eye(2, 4)
         found = sorted(found, key=lambda f: (-f[2], f[0], f[1]))
-        for t in self.tracks:
-            x, p = np.array(t["x"]), np.array(t["p"]).reshape(4, 4)
-            t["x"], t["p"], t["age"], t["seen"] = (move @ x).tolist(), (move @ p @ move.T + noise).ravel().tolist(), t["age"] + 1, False
+        # All tracks at once: one stack of states and one of covariances.
+        x = np.array([t["x"] for t in self.tracks]).reshape(-1, 4) @ move.T
+        p = move @ np.array([t["p"] for t in self.tracks]).reshape(-1, 4, 4) @ move.T + noise
+        spots = np.array([f[:2] for f in found], float).reshape(-1, 2)
         gate = c.v_max * dt + c.gate_extra
-        pairs = sorted((math.hypot(t["x"][0] - f[0], t["x"][1] - f[1]), i, j) for i, t in enumerate(self.tracks) for j, f in enumerate(found))
-        used_t, used_f = set(), set()
+        pairs = sorted((math.hypot(x[i, 0] - spots[j, 0], x[i, 1] - spots[j, 1]), i, j) for i, j in within(x[:, :2], spots, gate))
+        met = {}
+        used_f = set()
         for dist, i, j in pairs:
-            if dist > gate or i in used_t or j in used_f:
+            if dist > gate or i in met or j in used_f:
                 continue
-            used_t.add(i)
             used_f.add(j)
-            t = self.tracks[i]
-            x, p = np.array(t["x"]), np.array(t["p"]).reshape(4, 4)
-            gain = p @ see.T @ np.linalg.inv(see @ p @ see.T + np.eye(2) * c.r_meas)
-            x = x + gain @ (np.array(found[j][:2]) - see @ x)
-            t.update(x=x.tolist(), p=((np.eye(4) - gain @ see) @ p).ravel().tolist(), hits=t["hits"] + 1, misses=0, seen=True, n_cells=found[j][2])
-            t["born"] = t["born"] or t["hits"] >= c.birth_hits
+            met[i] = j
+        if met:
+            i, j = np.array(list(met)), np.array(list(met.values()))
+            gain = p[i][:, :, :2] @ np.linalg.inv(p[i][:, :2, :2] + np.eye(2) * c.r_meas)
+            left = np.tile(np.eye(4), (len(i), 1, 1))
+            left[:, :, :2] -= gain
+            x[i] += (gain @ (spots[j] - x[i][:, :2])[:, :, None])[:, :, 0]
+            p[i] = left @ p[i]
+        for i, (t, state, spread) in enumerate(zip(self.tracks, x.tolist(), p.reshape(-1, 16).tolist(), strict=True)):
+            t.update(x=state, p=spread, age=t["age"] + 1, seen=i in met)
+            if i in met:
+                t.update(hits=t["hits"] + 1, misses=0, n_cells=found[met[i]][2])
+                t["born"] = t["born"] or t["hits"] >= c.birth_hits
         for t in self.tracks:
             if not t["seen"]:
                 # A track is born by sightings in a row: a miss starts the count anew.
