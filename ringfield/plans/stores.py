@@ -36,12 +36,19 @@ def label_cache_index(spark, d):
     """The classes of every frame's points in a cache of labels, looked up by key: where they lie and how many are DYNAMIC."""
     p = pts_wide(spark, d).select(F.format_string("wide/%06d", "frame_id").alias("key"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "cls")
 
+    own = p.groupBy("key").agg(F.count(F.lit(1)).alias("n_points"), F.sort_array(F.collect_list(F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "cls"))).alias("c"))
+    labelled = own.select("key", "n_points", F.unhex(F.array_join(F.transform("c", lambda e: F.concat(F.lit("0"), e["cls"].cast("string"))), "")).alias("labels"))
+    # One pass over the points; a part of the cache then reads the files that hold its keys.
+    root = new_folder(spark, "segmented")
+    labelled.repartitionByRange("key").sortWithinPartitions("key").write.parquet(root)
+    table = spark.read.schema(labelled.schema).parquet(root)
+
     def segment(frames):
-        own = p.join(frames.select("key"), "key", "left_semi").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "cls"))).alias("c"))
-        return own.select("key", F.unhex(F.array_join(F.transform("c", lambda e: F.concat(F.lit("0"), e["cls"].cast("string"))), "")).alias("labels"))
+        first, last = frames.agg(F.min("key"), F.max("key")).first()
+        return table.where(F.col("key").between(first, last)).join(frames.select("key"), "key", "left_semi").select("key", "labels")
 
     cache = LabelCache(spark, new_folder(spark, "labels"))
-    frames = p.groupBy("key").agg(F.count(F.lit(1)).alias("n_points")).withColumn("file", F.concat("key", F.lit(".bin")))
+    frames = table.select("key", "n_points", F.concat("key", F.lit(".bin")).alias("file"))
     cache.build(frames, segment, "view")
     return cache.of(frames.select("key")).select("position", "key", "offset", "n_points", F.length(F.regexp_replace(F.hex("labels"), "[^4]", "")).cast("long").alias("n_dynamic"))
 

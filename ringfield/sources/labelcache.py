@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.cells import kept
+
 VERSION = 1
 #: Frames of one part: what a build that dies has to do again at most.
 PART_FRAMES = 1000
@@ -63,7 +65,8 @@ class LabelCache:
         if have is None:
             text = json.dumps({"version": VERSION, "mode": mode, "model": model})
             self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/meta")
-        todo, added = frames.select("key", "n_points", "file").join(self.index().select("key"), "key", "left_anti"), 0
+        # Kept, as every part takes its frames from it: else a build of many parts would compute the frames for each anew.
+        todo, added = kept(frames.select("key", "n_points", "file").join(self.index().select("key"), "key", "left_anti")), 0
         last = None
         while True:
             some = todo if last is None else todo.where(F.col("key") > last)
