@@ -32,6 +32,23 @@ def union(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def links(xyz: np.ndarray, sources: np.ndarray, ids: np.ndarray, radius: float, nearest: int | None, tile: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (source, other) of one tile within the radius, at most the ``nearest`` of a source.
+
+    A source with so many others within a part of the radius has its nearest there, so crowded places never look at all within the radius.
+    """
+    if nearest is None:
+        return _pairs(xyz, sources, ids, radius, nearest, tile)
+    out = []
+    for part in (4, 2, 1):
+        a, b = _pairs(xyz, sources, ids, radius / part, nearest, tile)
+        if part > 1:
+            full = np.bincount(a, minlength=len(xyz)) >= nearest
+            a, b, sources = a[full[a]], b[full[a]], sources[~full[sources]]
+        out.append((a, b))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _pairs(xyz: np.ndarray, sources: np.ndarray, ids: np.ndarray, radius: float, nearest: int | None, tile: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (source, other) of one tile within the radius, at most the ``nearest`` of a source (ties by id); some candidates at a time.
 
     ``tile`` numbers the tiles from 0 on, in ascending order.

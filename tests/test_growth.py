@@ -50,6 +50,17 @@ def test_clusters_of_many_tiles_in_small_blocks(spark, monkeypatch):
     assert [r for f, _, r in at_once if f == 0] == clusters.union(a, b, 500).tolist()
 
 
+def test_nearest_of_crowded_points_come_from_a_part_of_the_radius(monkeypatch):
+    rng = np.random.default_rng(11)
+    xyz = np.vstack([rng.normal(0, 0.2, (600, 3)).round(2), rng.uniform(-4, 4, (200, 3))])
+    ids, tile, looked = rng.permutation(800), np.zeros(800, np.int64), []
+    whole = clusters._pairs
+    monkeypatch.setattr(clusters, "_pairs", lambda *a: looked.append((a[3], len(a[1]))) or whole(*a))
+    got = set(zip(*(k.tolist() for k in clusters.links(xyz, np.arange(800), ids, 0.5, 16, tile)), strict=True))
+    assert got == set(zip(*(k.tolist() for k in whole(xyz, np.arange(800), ids, 0.5, 16, tile)), strict=True))
+    assert [r for r, _ in looked] == [0.125, 0.25, 0.5] and looked[2][1] < 400
+
+
 def test_gated_pairs_are_all_pairs_within(spark):
     rng = np.random.default_rng(2)
     a, b = rng.uniform(-40, 40, (200, 2)), rng.uniform(-40, 40, (150, 2))
