@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, Texts, blocks, fresh, gram_hashes, maybe_broadcast, mix, partitions, release, remove_folder, shared_folder, small_batches, spans_of, stored, table_of, word_hashes
@@ -35,6 +35,12 @@ SKETCH = 8
 BITMAP_BITS = 24
 #: Partners of one class that are verified in one task.
 STAR = 256
+#: Bytes of text that a worker hashes at once.
+STEP_BYTES = 1 << 18
+#: Links that one task unites before labels travel between tasks.
+EDGES = 1 << 17
+#: Rows of a narrow table that one task reads, groups and joins without a shuffle.
+TASK_ROWS = 1 << 18
 
 _WHITE = table_of("white")
 
@@ -63,23 +69,35 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> list[np.ndarray]:
 
 
 def levels_of(n: int) -> list[int]:
-    """Size bands: a document of n shingles is in band floor(log4 n), and also meets partners of 3/4 of its size."""
-    own, less = (n.bit_length() - 1) >> 1, (max(1, -(-3 * n // 4)).bit_length() - 1) >> 1
+    """Size bands: a document of n shingles is in band floor(log2 n), and also meets partners of 3/4 of its size."""
+    own, less = n.bit_length() - 1, max(1, -(-3 * n // 4)).bit_length() - 1
     return [own] if own == less else [own, less]
 
 
+def parts_of(level: int) -> int:
+    """Parts of a sketch in a size band, few enough that most hold several hashes of a set.
+
+    A set of the band has 2^level to 8/3 * 2^level hashes and must fill more than a third as many parts; the root leaves
+    five standard deviations for that. Sets of fewer than 16 hashes get parts of their own for nearly every one.
+    """
+    return 1024 if level < 4 else (1 << level) + (4 << level // 2)
+
+
 def parity_words(s: np.ndarray, level: int) -> np.ndarray:
-    """The keys of the non-empty parts of a set's sketch in a size band, in the order of the parts.
+    """The keys of the non-empty parts of a set's sketch in a size band: those of several hashes first, each in the order of the parts.
 
     The space of hashes is cut into m parts; each part's word is the XOR of the hashes in it. A token in one set
     alone changes the word of one part, so the number of parts that differ is a lower bound of the symmetric
-    difference. The key names band, part and word.
+    difference. The key names band, part, word and whether the part holds one hash or more, so its place in the order
+    is the same for all sets that show it. Texts that share one shingle by chance, or a common line, share
+    the keys of parts that hold one hash, hardly ever those of several.
     """
-    bits = max(2 * level + 3, 10)
-    part = s >> np.uint64(64 - bits)
+    part = ((s >> np.uint64(32)) * np.uint64(parts_of(level))) >> np.uint64(32)
     first = np.flatnonzero(np.diff(part, prepend=part[:1] ^ np.uint64(1)))
     word = np.bitwise_xor.reduceat(mix(s), first)
-    return mix(word ^ mix(part[first] + np.uint64(level << 56)))
+    single = np.diff(first, append=len(s)) == 1
+    keys = mix(word ^ mix(part[first] + np.uint64(level << 56) + (single.astype(np.uint64) << np.uint64(48))))
+    return np.concatenate([keys[~single], keys[single]])
 
 
 def probe_keys(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -88,7 +106,7 @@ def probe_keys(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     For sizes a <= b <= 4a/3 and similarity >= 3/4 the symmetric difference is at most (a + b)/7, which is at most a/3
     and, from the larger side, b/4. So at most d = floor(n/3) non-empty parts of a set of n differ from a partner's,
     and by the pigeonhole its first d + 1 keys in any order common to all sets (rare before frequent,
-    then by part) hold a common one. With fewer keys than that, all of them and the band's empty key go out.
+    parts of several hashes before those of one, then by part) hold a common one. With fewer keys than that, all of them and the band's empty key go out.
     """
     out = []
     for level in levels_of(len(s)):
@@ -134,7 +152,7 @@ def describe(docs: DataFrame, salt: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in blocks(whole, "text"):
+            for b in blocks(whole, "text", STEP_BYTES):
                 rows = []
                 for s in shingle_sets(b.column(1)):
                     rows.append((*_class_id(s, salt), len(s), bit_sketch(s)) if len(s) else (0, 0, 0, np.zeros(SKETCH, np.int64)))
@@ -152,7 +170,7 @@ def frequent_keys(docs: DataFrame, salt: int) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for whole in batches:
-            for b in blocks(whole, "text"):
+            for b in blocks(whole, "text", STEP_BYTES):
                 keys = [np.zeros(0, np.uint64)]
                 for s in shingle_sets(b.column(1)):
                     if len(s) > 2 and _new(seen, c := _class_id(s, salt)[0]):
@@ -216,7 +234,7 @@ def buckets(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], salt: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(to[cut]), *parts], ["target", "keys", "classes", "codes"])
 
         for whole in batches:
-            for b in blocks(whole, "text"):
+            for b in blocks(whole, "text", STEP_BYTES):
                 for s in shingle_sets(b.column(1)):
                     # A set of at most two shingles has no partner but its equals.
                     if len(s) > 2 and _new(seen, c := _class_id(s, salt)[0]):
@@ -275,16 +293,26 @@ def buckets(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], salt: int) ->
     return sent.repartition(targets, "target").mapInArrow(meet, "bucket long, large boolean, classes array<long>")
 
 
+def sized(table: DataFrame, folder: str) -> tuple[DataFrame, int]:
+    """``stored``, with the number of rows (seen while writing). Up to TASK_ROWS rows are read by one task: grouping them needs no shuffle."""
+    seen = Observation()
+    out = stored(table.observe(seen, F.count(F.lit(1)).alias("n")), folder)
+    n = seen.get["n"]
+    return (out.coalesce(1) if n <= TASK_ROWS else out), n
+
+
 def texts_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: str) -> DataFrame:
     """The texts (``class``, ``text``) of the representatives of all classes of the pairs, from one scan of the documents.
 
     Few ids (counted) are broadcast to the scan; for more, a bitmap of fixed size, built from the ids, thins out the scan and
     a join on the id makes it exact. Texts are smaller than sets of shingles.
     """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    wanted = stored(ends.join(classes.select("class", "rep"), "class"), scratch)
-    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    ends, n = sized(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), scratch)
+    few = n <= BROADCAST_ROWS
+    wanted = classes.select("class", "rep").join(F.broadcast(ends) if few else ends, "class")
+    if few:
         return stored(docs.join(F.broadcast(wanted), docs["id"] == wanted["rep"]).select("class", "text"), scratch)
+    wanted = stored(wanted, scratch)
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BITMAP_BITS))
     bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
     for r in wanted.select(slot("rep").alias("slot")).selectExpr("cast(slot div 64 as int) AS w", "shiftleft(1L, cast(slot % 64 as int)) AS bit").groupBy("w").agg(F.bit_or("bit").alias("bits")).collect():
@@ -306,15 +334,17 @@ def verified(pairs: DataFrame, texts: DataFrame, salt: int, scratch: str) -> Dat
     The text of b travels to the tasks of a; a class with many partners is dealt over several of them, STAR partners each.
     """
     spark = pairs.sparkSession
-    stars = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners")).select("a", F.ceil(F.col("partners") / STAR).cast("int").alias("parts"))
-    dealt = pairs.join(stars, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
-    right = dealt.join(texts, dealt["b"] == texts["class"]).select("a", "part", F.lit(1).alias("kind"), "b", "text")
-    left = stars.join(texts, stars["a"] == texts["class"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("a").alias("b"), "text")
+    stars = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts"))
+    dealt, n = sized(pairs.join(stars, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")), scratch)
+    near = F.broadcast if n <= BROADCAST_ROWS else lambda table: table
+    right = texts.join(near(dealt), dealt["b"] == texts["class"]).select("a", "part", F.lit(1).alias("kind"), "b", "text")
+    heads = near(dealt.select("a", "part").distinct())
+    left = texts.join(heads, heads["a"] == texts["class"]).select("a", "part", F.lit(0).alias("kind"), F.col("a").alias("b"), "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         star, own = None, np.zeros(0, np.uint64)
         for whole in batches:
-            for b in blocks(whole, "text"):
+            for b in blocks(whole, "text", STEP_BYTES):
                 out = []
                 for a, what, c, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), shingle_sets(b.column(4)), strict=True):
                     if not len(s) or _class_id(s, salt)[0] != c:
@@ -328,16 +358,21 @@ def verified(pairs: DataFrame, texts: DataFrame, salt: int, scratch: str) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(2)], ["a", "b"])
 
     met = left.union(right).repartition(partitions(spark), "a", "part").sortWithinPartitions("a", "part", "kind")
-    return stored(met.mapInArrow(compare, "a long, b long").distinct(), scratch)
+    return sized(met.mapInArrow(compare, "a long, b long"), scratch)[0]
 
 
 def components(edges: DataFrame, scratch: str) -> DataFrame:
     """The smallest node reachable from every node of the edges (a, b): ``node`` and ``root``.
 
-    Every round all nodes of a label take the least label next to any of them, and then the label that this one took, so
-    long chains shrink by jumps; each round's table is written and read back.
+    Each task unites EDGES edges first; where these are more, labels travel between the groups found. Every round all nodes of a
+    label take the least label next to any of them, and then the label that this one took, so long chains shrink by
+    jumps; each round's table is written and read back.
     """
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), scratch)
+    tasks = -(-edges.count() // EDGES)
+    near = (edges.coalesce(1) if tasks <= 1 else edges.repartition(tasks)).mapInArrow(_unite, "node long, root long")
+    if tasks <= 1:
+        return sized(near, scratch)[0]
+    both = stored(near.where("node <> root").select(F.explode(F.array(F.struct(F.col("node").alias("a"), F.col("root").alias("b")), F.struct(F.col("root").alias("a"), F.col("node").alias("b")))).alias("e")).select("e.a", "e.b").distinct(), scratch)
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), scratch)
     while True:
         least = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
@@ -351,6 +386,25 @@ def components(edges: DataFrame, scratch: str) -> DataFrame:
             return labels
 
 
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes of a task's edges, each with the least node of its component there."""
+    ends = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+    for b in batches:
+        for k in range(2):
+            ends[k].append(b.column(k).to_numpy())
+    names, at = np.unique(np.concatenate([*ends[0], *ends[1]]), return_inverse=True)
+    parent = list(range(len(names)))
+    for x, y in zip(at[: len(at) // 2].tolist(), at[len(at) // 2 :].tolist(), strict=True):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        while parent[y] != y:
+            parent[y] = y = parent[parent[y]]
+        parent[max(x, y)] = min(x, y)
+    for x, above in enumerate(parent):
+        parent[x] = parent[above]  # names are in order and a parent comes first: its own is a root by now
+    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[parent] if len(names) else names)], ["node", "root"])
+
+
 def rooted(members: DataFrame, labels: DataFrame) -> DataFrame:
     """The members (with a column ``class``) and the component that each is known to be in: at first itself."""
     return members.join(labels.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
@@ -466,18 +520,19 @@ def candidates(members: DataFrame, meetings: DataFrame | None, labels: DataFrame
     can be joined there, one pair less than these are; or at most so many for each two components (None: all). Pairs
     found wrong before (``refused``) are not given again.
     """
-    full = rooted(members, labels).join(classes.select("class", "n", "sketch"), "class")
+    full = maybe_broadcast(rooted(members, labels)).join(classes.select("class", "n", "sketch"), "class")
     told = full.groupBy("row").agg(F.collect_list(F.struct("class", "root", "n", "sketch")).alias("list"))
     if meetings is None:
         met = told.select(F.col("row").alias("m"), F.col("list").alias("x"), F.expr("if(true, null, list)").alias("y"))
     else:
-        told = stored(told, scratch)
-        side = lambda k, x: told.select(F.col("row").alias(k), F.col("list").alias(x))
-        met = meetings.join(side("left", "x"), "left").join(side("right", "y"), "right").select(F.xxhash64("left", "right").alias("m"), "x", F.expr("if(left = right, null, y)").alias("y"))
+        m = F.xxhash64("left", "right").alias("m")
+        sides = meetings.select(m, F.col("left").alias("row"), F.lit(0).alias("side")).union(meetings.where("left <> right").select(m, F.col("right").alias("row"), F.lit(1).alias("side")))
+        side = lambda k, x: F.first(F.when(F.col("side") == k, F.col("list")), ignorenulls=True).alias(x)
+        met = told.join(maybe_broadcast(sides), "row").groupBy("m").agg(side(0, "x"), side(1, "y"))
     if refused is None:
         met = met.select("m", "x", "y", F.expr("cast(null AS array<struct<a: bigint, b: bigint>>)").alias("no"))
     else:
-        met = met.join(refused.groupBy("m").agg(F.collect_list(F.struct("a", "b")).alias("no")), "m", "left").select("m", "x", "y", "no")
+        met = met.join(maybe_broadcast(refused.groupBy("m").agg(F.collect_list(F.struct("a", "b")).alias("no"))), "m", "left").select("m", "x", "y", "no")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[tuple[int, int]] = set()
@@ -512,7 +567,7 @@ def candidates(members: DataFrame, meetings: DataFrame | None, labels: DataFrame
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["m", "a", "b", "far", "more"])
 
-    return stored(met.mapInArrow(compare, "m long, a long, b long, far double, more boolean"), scratch)
+    return sized(met.mapInArrow(compare, "m long, a long, b long, far double, more boolean"), scratch)[0]
 
 
 class _Links:
@@ -521,7 +576,7 @@ class _Links:
     def __init__(self, classes: DataFrame, docs: DataFrame, salt: int, scratch: str):
         self.classes, self.docs, self.salt, self.scratch = classes, docs, salt, scratch
         none = docs.sparkSession.range(0)
-        self.links, self.labels = none.select(F.col("id").alias("a"), F.col("id").alias("b")), none.select(F.col("id").alias("node"), F.col("id").alias("root"))
+        self.labels = none.select(F.col("id").alias("node"), F.col("id").alias("root"))
 
     def across(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs that lie across two components."""
@@ -534,8 +589,8 @@ class _Links:
         new = verified(pairs, texts, self.salt, self.scratch)
         release(self.docs.sparkSession)
         if not new.isEmpty():
-            self.links = self.links.union(new)
-            self.labels = components(self.links, self.scratch)
+            known = self.labels.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+            self.labels = maybe_broadcast(components(known.union(new), self.scratch))
 
     def join_up(self, members: DataFrame, meetings: DataFrame | None = None) -> None:
         """Verify pairs until no meeting holds two classes that may link and are in two components."""
@@ -545,8 +600,8 @@ class _Links:
             each = pairs.select("a", "b").distinct()
             if refused is not None:
                 each = each.join(refused.select("a", "b").distinct(), ["a", "b"], "left_anti")
-            each = stored(each, self.scratch)
-            if each.isEmpty():
+            each, n = sized(each, self.scratch)
+            if not n:
                 # All pairs of the round were refused before, in other meetings: those that hold pairs back have more to tell.
                 if pairs.where("more").isEmpty():
                     break
@@ -554,11 +609,11 @@ class _Links:
             texts = texts_of(each, self.classes, self.docs, self.scratch)
             self.add(each, texts)
             # Only a meeting that held pairs back and gave one that was found wrong has more to tell.
-            wrong = stored(self.across(pairs.where("more").select("m", "a", "b")), self.scratch)
-            if wrong.isEmpty():
+            wrong, n = sized(self.across(pairs.where("more").select("m", "a", "b")), self.scratch)
+            if not n:
                 break
-            alive = wrong.select("m").distinct()
-            refused = stored(wrong if refused is None else refused.join(alive, "m", "left_semi").union(wrong), self.scratch)
+            alive = maybe_broadcast(wrong.select("m").distinct())
+            refused = wrong if refused is None else sized(refused.join(alive, "m", "left_semi").union(wrong), self.scratch)[0]
             if meetings is None:
                 members = members.join(alive.withColumnRenamed("m", "row"), "row", "left_semi")
             else:
@@ -601,20 +656,22 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     state = _Links(classes, docs, salt, scratch)
     large = found.where("large")
     if not large.isEmpty():
-        large = stored(united(stored(large.select("bucket", F.explode("classes").alias("class")), scratch)), scratch)
-        state.join_up(stored(gatherings(large), scratch))
-        state.join_up(*(stored(x, scratch) for x in split(large, state.labels)))
+        large = sized(united(sized(large.select("bucket", F.explode("classes").alias("class")), scratch)[0]), scratch)[0]
+        state.join_up(sized(gatherings(large), scratch)[0])
+        state.join_up(*(sized(x, scratch)[0] for x in split(large, state.labels)))
     # Many keys of a shared passage have the same classes: such buckets count once.
-    small = stored(found.where("NOT large").select("classes").distinct().select(F.xxhash64("classes").alias("row"), F.explode("classes").alias("class")), scratch)
+    small, n = sized(found.where("NOT large").select("classes").distinct().select(F.xxhash64("classes").alias("row"), F.explode("classes").alias("class")), scratch)
     if not state.labels.isEmpty():
         # Buckets within one component need no further look.
-        small = small.join(rooted(small, state.labels).groupBy("row").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("row"), "row", "left_semi")
-    state.join_up(small)
-    labels = stored(state.labels, kept)
+        small, n = sized(small.join(rooted(small, state.labels).groupBy("row").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("row"), "row", "left_semi"), scratch)
+    if n:
+        state.join_up(small)
+    known = sized(state.labels.select(F.col("node").alias("class"), "root").join(classes.select("class", "rep"), "class"), kept)[0]
     remove_folder(spark, scratch)
-    known = classes.join(labels.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "rep", F.coalesce("root", "class").alias("root"))
     ids = known.groupBy("root").agg(F.min("rep").alias("component"))
-    told = known.join(ids, "root").select("class", F.col("rep").alias("class_id"), F.col("component").alias("component_id"))
+    linked = maybe_broadcast(known.join(ids, "root").select("class", F.struct("component").alias("linked")))
+    # A component without any id has none, so a link counts even where its least id is null.
+    told = classes.join(linked, "class", "left").select("class", F.col("rep").alias("class_id"), F.when(F.col("linked").isNull(), F.col("rep")).otherwise(F.col("linked.component")).alias("component_id"))
     return (
         full.join(told, "class").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", "component_id")
         .unionByName(base.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("class_id"), F.col("id").alias("component_id")))

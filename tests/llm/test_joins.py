@@ -259,3 +259,27 @@ def test_a_round_of_refused_pairs_does_not_end_the_search(spark, monkeypatch, tm
     search.across = lambda pairs: pairs
     search.join_up(spark.createDataFrame([(1,)], "row long"))
     assert asked == [(10, 20), (10, 30)] and len(asked_most) == 3
+
+
+def test_texts_with_some_shingles_in_common_hardly_share_keys():
+    """Sets of hashes from one pool, a few of which any two have in common by chance: single ones must not make buckets."""
+    rng, none = np.random.default_rng(5), np.zeros(0, np.uint64)
+    pool = rng.integers(0, 2**63, 40_000).astype(np.uint64) * np.uint64(2)
+    keys = [np.unique(simjoin.probe_keys(np.unique(rng.choice(pool, int(rng.integers(100, 700)), replace=False)), none)) for _ in range(300)]
+    times = np.unique(np.concatenate(keys), return_counts=True)[1]
+    assert times[times > 1].sum() < sum(map(len, keys)) / 10
+
+
+@pytest.mark.parametrize("most", [7, 1 << 17])
+def test_components_of_many_tasks_and_of_one(spark, monkeypatch, tmp_path, most):
+    monkeypatch.setattr(simjoin, "EDGES", most)
+    rng = random.Random(9)
+    edges = [(k, k + 1) for k in range(60, 100)] + [(500, 200), (200, 300), (-5, 500)] + [(rng.randrange(1000, 1060), rng.randrange(1060, 1100)) for _ in range(40)]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    found = simjoin.components(spark.createDataFrame(edges, "a long, b long").repartition(5), str(tmp_path))
+    assert sorted(map(tuple, found.select("node", "root").collect())) == sorted(root.items())
+    none = simjoin.components(spark.createDataFrame([], "a long, b long"), str(tmp_path))
+    assert none.count() == 0
