@@ -615,9 +615,10 @@ class _Links:
             alive = maybe_broadcast(wrong.select("m").distinct())
             refused = wrong if refused is None else sized(refused.join(alive, "m", "left_semi").union(wrong), self.scratch)[0]
             if meetings is None:
-                members = members.join(alive.withColumnRenamed("m", "row"), "row", "left_semi")
+                # Written, since each round reads them twice and would else join them with all rounds before.
+                members = sized(members.join(alive.withColumnRenamed("m", "row"), "row", "left_semi"), self.scratch)[0]
             else:
-                meetings = meetings.join(alive, F.xxhash64("left", "right") == alive["m"], "left_semi")
+                meetings = sized(meetings.join(alive, F.xxhash64("left", "right") == alive["m"], "left_semi"), self.scratch)[0]
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
