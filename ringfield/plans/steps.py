@@ -39,10 +39,11 @@ def segment_geometric(spark, d):
 
 
 def tracker(spark, d):
-    """Tracks of the clusters of DYNAMIC cells; seven frames of the view are two sequences, by even and odd suppliers."""
-    p = pts_wide(spark, d).withColumn("frame_id", (F.col("frame_id") * 2 + F.col("l_suppkey") % 2).cast("int"))
+    """Tracks of the clusters of DYNAMIC cells. Seven frames of the view are one sequence of 42, in six rounds by order key: more frames than speeds need to settle."""
+    turn = F.pmod("l_orderkey", F.lit(6)) * 7 + F.pmod("frame_id", F.lit(7))
+    p = pts_wide(spark, d).withColumn("frame_id", (F.floor(F.col("frame_id") / 7) * 42 + turn).cast("int"))
     found = S.cluster_centroids(O.dynamic_cells(O.cell_map(p)), replace(DEFAULT, min_cells=1))
-    return S.track(found.select((F.floor(F.col("frame_id") / 14) * 2 + F.col("frame_id") % 2).cast("string").alias("sequence"), (F.floor(F.col("frame_id") / 2) % 7).alias("frame_id"), "cx", "cy", "n_cells"))
+    return S.track(found.select(F.floor(F.col("frame_id") / 42).cast("string").alias("sequence"), F.pmod("frame_id", F.lit(42)).alias("frame_id"), "cx", "cy", "n_cells"))
 
 
 def track_speed(spark, d):

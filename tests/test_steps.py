@@ -183,3 +183,31 @@ def test_hazards_against_numpy(spark):
         want = {"depth": road[f] - min([r[3] for r in h if r[5]]), "depth_p10": road[f] - np.percentile(z, 10), "p10": np.percentile(z, 10), "sunk": len(sunk), "detection_rate": sum(bool(r[5]) for r in sunk) / len(sunk), "flag_rate": sum(bool(r[5]) for r in h) / len(h),
                 "clearance": min(r[4] for r in h if r[4] is not None) - road[f], "both": np.median(gaps), "n_both": len(gaps), "step_p90": np.percentile(z, 90) - road[f], "step_p50": np.median(z) - road[f]}
         assert all(abs(got[f][k] - v) < 1e-9 for k, v in want.items()), (got[f], want)
+
+
+def test_sequences_of_the_tracked_view_outlast_the_warm_up(spark, tmp_path):
+    """Two sequences of all points, against clusters from SQL stepped one by one: each has speeds after its first ten frames."""
+    import duckdb
+    import pytest
+
+    from helpers import SF
+    from ringfield import checks as C
+    from ringfield.plans import steps
+
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet")
+    rows.union(rows.withColumn("l_orderkey", F.col("l_orderkey") + 20_000)).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    view = C.sql(C.cells("wide") + steps._roots, "SELECT frame_id // 42, frame_id % 42, avg(cx), avg(cy), count(*) FROM roots JOIN ce USING (frame_id, id) GROUP BY frame_id, root")
+    found = duck.execute(view.replace("floor(l_orderkey / 2e4) * 7 + l_linenumber - 1", "floor(l_orderkey / 2e4) * 42 + l_orderkey % 6 * 7 + l_linenumber - 1")).fetchall()
+    want = {}
+    for sequence in (0, 1):
+        t, first = S.Tracker(), {}
+        for frame in range(42):
+            if told := t.step([c[2:] for c in found if c[:2] == (sequence, frame)], DEFAULT.frame_dt):
+                first[frame] = (told[0]["track_id"], math.hypot(told[0]["vx"], told[0]["vy"]))
+        want[str(sequence)] = (float(np.median([v for f, (_, v) in first.items() if f >= 10])), len({i for i, _ in first.values()}), len(first))
+    got = {r.sequence: (r.speed, r.n_ids, r.n_frames) for r in steps.track_speed(spark, str(tmp_path)).collect()}
+    assert {c[:2] for c in found} == {(s, f) for s in (0, 1) for f in range(42)} and got.keys() == want.keys()
+    for k in want:
+        assert got[k] == (pytest.approx(want[k][0], abs=1e-3), *want[k][1:]) and got[k][0] > 0
